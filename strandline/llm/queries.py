@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm.chat_format import chat_format, read_back
 from strandline.llm.line_dedup import line_dedup
+from strandline.llm.mixing import mix_sources
 from strandline.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from strandline.llm.sp_sampling import sample_digest
 from strandline.llm.substring_dedup import substring_dedup
+from strandline.llm.token_counts import token_counts
+from strandline.llm.topk_search import quantised, top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -146,12 +150,48 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
 
+def op3_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_digest(_read(spark, sf_dir, "documents"), samples=2)
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("x"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP4_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    CAST(list_sum(list_transform(generate_series(1, len(q.x)), lambda i: q.x[i] * v.x[i])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.x) = len(v.x)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
+        "op3_sp_sampling": op3_sp_sampling,
+        "op4_topk_search": op4_topk_search,
         "op5_chat_format": op5_chat_format,
+        "op6_mixing": op6_mixing,
         "op7_line_dedup": op7_line_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
@@ -159,6 +199,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
         "op2_quality_rules": OP2_SQL,
+        "op4_topk_search": OP4_SQL,
         "op5_chat_format": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
     }
