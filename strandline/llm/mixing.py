@@ -21,7 +21,7 @@ from strandline.llm.common import cut, n_words_col
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CHUNK, FAN_IN = 8192, 1024
-OPEN = 10  # documents that a chunk leaves undecided, and that the landing tries together
+OPEN = 12  # documents that a chunk leaves undecided, and that the landing tries together
 SALTS = 32
 
 
@@ -106,9 +106,8 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _level(leave: int, last: bool, seed: int, level: int):
     def run(key, pdf):
-        # Large documents first, so that what is left open at the end is small.
-        by, rise = ["size", "order", "id_text", "text_hash"], [False, True, True, True]
-        pdf = pdf.sort_values(by, ascending=rise, kind="stable").reset_index(drop=True)
+        # Small documents first: what is left open at the end is large, and its subsets have sums of many sizes.
+        pdf = pdf.sort_values(["size", "order", "id_text", "text_hash"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(pdf["chunk"].iat[0]), *key[0].encode()])
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["p"].to_numpy(), size, rng, leave)
