@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.llm.chat_format import chat_format, read_back
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.mixing import mix_sources
+from strandline.llm.near_dedup import near_components
 from strandline.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from strandline.llm.sp_sampling import sample_digest
 from strandline.llm.substring_dedup import substring_dedup
@@ -178,6 +179,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_read(spark, sf_dir, "documents"), percent=80, words=4)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))) END AS sh
+  FROM d
+), x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x AS a JOIN x AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+r(doc_id, low) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION SELECT CASE WHEN e.a = r.doc_id THEN e.b ELSE e.a END, r.low FROM r JOIN e ON r.doc_id IN (e.a, e.b)
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(low) AS component_id, s.doc_id = min(low) AS kept
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, sh
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
@@ -191,6 +218,7 @@ def queries() -> dict:
         "op5_chat_format": op5_chat_format,
         "op6_mixing": op6_mixing,
         "op7_line_dedup": op7_line_dedup,
+        "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -202,4 +230,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk_search": OP4_SQL,
         "op5_chat_format": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op9_near_dedup": OP9_SQL,
     }
