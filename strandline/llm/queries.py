@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.chat_format import chat_format, read_back
+from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.mixing import mix_sources
 from strandline.llm.near_dedup import near_components
@@ -179,6 +180,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_read(spark, sf_dir, "documents"), percent=80, words=4)
 
@@ -218,6 +223,7 @@ def queries() -> dict:
         "op5_chat_format": op5_chat_format,
         "op6_mixing": op6_mixing,
         "op7_line_dedup": op7_line_dedup,
+        "op8_kn_quality": op8_kn_quality,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
     }
