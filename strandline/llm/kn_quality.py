@@ -8,7 +8,8 @@ Documents are dealt into groups once, with their text compressed. A group sends
 in trusted documents, and gets their log-probabilities back; with these it scores its documents. So what moves are
 distinct n-grams of groups, not the occurrences, and a frequent n-gram is one row for each group.
 
-A document is kept if its perplexity is at most its language's quantile of the held-out trusted documents.
+A document is kept if its perplexity, shrunk towards the mean for short texts, is at most its language's quantile of
+the held-out trusted documents.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ BEGIN, END = "\x02", "\x03"
 GRAMS = "grp int, gram string, c long"
 SCORES = "doc_id string, lang string, held boolean, n_grams long, log_loss double"
 SALTS = 32
+PRIOR = 40  # characters of mean held-out loss that are added to each text, as the loss of a short text says little
 DENSE = 1 << 25
 
 
@@ -165,8 +167,8 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return p.select("gram", F.log("p").alias("logp"))
 
 
-def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, fold: int = 5, per_group: int = 2048) -> DataFrame:
-    """doc_id, n_grams, perplexity, threshold and kept for each row. `labels` has doc_id and quality; a document is
+def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold: int = 5, per_group: int = 2048) -> DataFrame:
+    """doc_id, n_grams, perplexity, shrunk_perplexity, threshold and kept for each row. `labels` has doc_id and quality; a document is
     trusted if all its labels say 1. One in `fold` trusted documents, by a hash, sets thresholds instead of training.
 
     A language without held-out documents, null included, takes the threshold over all languages; without any, or
@@ -201,7 +203,10 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, fold
     out = cut(out.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     real = F.col("n_grams") > 1
     held = out.where(real & F.col("trusted") & F.col("held"))
-    limit = F.percentile_approx("log_loss", quantile, 10000).alias("limit")
+    mean = F.lit(held.agg(F.sum(F.col("log_loss") * F.col("n_grams")) / F.sum("n_grams")).first()[0]).cast("double")
+    shrunk = (F.col("log_loss") * F.col("n_grams") + F.coalesce(mean, F.lit(0.0)) * PRIOR) / (F.col("n_grams") + PRIOR)
+    out, held = out.withColumn("score", shrunk), held.withColumn("score", shrunk)
+    limit = F.percentile_approx("score", quantile, 10000).alias("limit")
     overall = F.lit(held.agg(limit).first()["limit"]).cast("double")  # one number
     key = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n"))
     by_lang = held.groupBy(key.alias("key")).agg(limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -212,6 +217,7 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, fold
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n_grams"),
         F.when(real, F.exp("log_loss")).alias("perplexity"),
+        F.when(real, F.exp("score")).alias("shrunk_perplexity"),
         F.exp(at).alias("threshold"),
-        (real & F.coalesce(F.col("log_loss") <= at, F.lit(True))).alias("kept"),
+        (real & F.coalesce(F.col("score") <= at, F.lit(True))).alias("kept"),
     )
