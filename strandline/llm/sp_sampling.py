@@ -46,7 +46,8 @@ class _Path:
     def __init__(self, text, token, step, node, edge, lattice):
         self.text, self.token, self.step, self.node, self.edge = text, token, step, node, edge
         self.cond = lattice.cond[edge]
-        self.rows, self.first = np.unique(text, return_index=True)
+        self.first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][: len(text)])
+        self.rows = text[self.first]
         self.end = np.r_[self.first[1:], len(text)]
         sums = np.r_[0.0, np.cumsum(self.cond)]
         self.before = sums[:-1] - np.repeat(sums[self.first], self.end - self.first)
@@ -55,19 +56,23 @@ class _Path:
 
 def _walk(lattice, key, text, token, node, step, sample):
     """Draw the rest of each pre-token from `node` on; arrays of (text, token, step, node, edge), in path order."""
-    got, at = [], np.arange(len(node))
+    got, at, turn, steps = [], np.arange(len(node)), 0, np.zeros(len(node), np.int64)
     while len(at):
         e = lattice.draw(node, _uniform(key[at], token[at], step, sample, 0))
         got.append((at, step, node, e))
+        steps[at] = turn = turn + 1
         node, step = lattice.target[e], step + 1
         live = np.flatnonzero(node)
         at, node, step = at[live], node[live], step[live]
     if not got:
         none = np.empty(0, np.int64)
         return none, none, none, none, none
-    at, step, node, edge = (np.concatenate(x) for x in zip(*got))
-    by = np.lexsort((step, at))
-    return text[at[by]], token[at[by]], step[by], node[by], edge[by]
+    first = np.cumsum(steps) - steps
+    out = np.empty((3, int(steps.sum())), np.int64)
+    for k, (at, *cols) in enumerate(got):
+        for row, col in zip(out, cols):
+            row[first[at] + k] = col
+    return np.repeat(text, steps), np.repeat(token, steps), *out
 
 
 def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, samples: int):
@@ -127,17 +132,12 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, s
         path, split_place, split_mask = _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, flat, k + 1)
 
     for k, p in enumerate(paths):
-        pieces = lattice.piece[p.edge]
-        for r, a, b in zip(p.rows.tolist(), p.first.tolist(), p.end.tolist()):
-            edges, inside = pieces[a:b], p.token[a:b]
-            order = np.lexsort((-p.step[a:b], inside))  # pieces of a pre-token were drawn from its end
-            ids = edges[order]
-            if (ids < 0).any():
-                ids = _with_bytes(ids, vocab)
-            gap = logp[k, r] - perturbed[samples, r]
-            with np.errstate(over="ignore"):
-                inclusion = float(-np.expm1(-np.exp(gap)))
-            yield r, k, ids, float(logp[k, r]), float(perturbed[k, r]), inclusion
+        ids, cuts = _piece_ids(lattice, p, vocab)
+        gaps = logp[k, p.rows] - perturbed[samples, p.rows]
+        with np.errstate(over="ignore"):
+            inclusion = -np.expm1(-np.exp(gaps))
+        for i, r in enumerate(p.rows.tolist()):
+            yield r, k, ids[cuts[i] : cuts[i + 1]], float(logp[k, r]), float(perturbed[k, r]), float(inclusion[i])
     for r in set(range(n)) - set(full.tolist()):
         yield r, 0, np.empty(0, np.int64), 0.0, float(perturbed[0, r]), 1.0
 
@@ -196,21 +196,35 @@ def _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, f
         mask_at |= dict(zip(rows.tolist(), mask.tolist()))
     none = np.empty(0, np.int64)
     cols = [np.concatenate([none, *x]) for x in zip(*parts)] if parts else [none] * 5
-    by = np.lexsort((cols[2], cols[1], cols[0]))
+    by = np.argsort((cols[0] << 40) | (cols[1] << 8) | cols[2], kind="stable")
     path = _Path(*(c[by] for c in cols), lattice)
     rows = path.rows.tolist()
     return path, np.array([place[r] for r in rows], np.int64), np.array([mask_at[r] for r in rows], np.int64)
 
 
-def _with_bytes(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    out: list[int] = []
-    for i in ids.tolist():
-        if i >= 0:
-            out.append(i)
-        else:
-            c = chr(-1 - i)
-            out.extend(vocab.byte_ids[list((SPACE if c == HELD else c).encode("utf-8", "surrogatepass"))].tolist())
-    return np.array(out, np.int64)
+def _piece_ids(lattice, path: _Path, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts of a path in text order, and where each text's ids begin and end. Inside a pre-token the
+    path runs backwards; a character without a piece becomes its byte pieces."""
+    n = len(path.text)
+    new = np.flatnonzero(path.step[1:] <= path.step[:-1]) + 1 if n else np.empty(0, np.int64)
+    first = np.r_[0, new][: min(n, 1) + len(new)]
+    size = np.diff(np.r_[first, n]) if n else first
+    turned = np.repeat(2 * first + size - 1, size) - np.arange(n)
+    edge = path.edge[turned]
+    ids, times = lattice.piece[edge], lattice.tokens[edge]
+    total = np.r_[0, np.cumsum(times)]
+    cuts = total[np.r_[path.first, n]] if n else np.zeros(1, np.int64)
+    ids = np.repeat(ids, times)
+    odd = np.flatnonzero(ids < 0)
+    if len(odd):
+        cp, place = -1 - ids[odd], odd - np.repeat(total[:-1], times)[odd]
+        cp = np.where(cp == ord(HELD), ord(SPACE), cp)
+        length = np.repeat(times, times)[odd]
+        shift = 6 * (length - 1 - place)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[length]
+        head = np.where(length == 1, cp, lead | (cp >> shift))
+        ids[odd] = vocab.byte_ids[np.where(place == 0, head, 0x80 | ((cp >> shift) & 0x3F))]
+    return ids, cuts
 
 
 def row_keys(doc_ids, seed: int) -> np.ndarray:
@@ -229,7 +243,7 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary: str = PIECES, batch_chars: int = 1_000_000) -> DataFrame:
+def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary: str = PIECES, batch_chars: int = 2_000_000) -> DataFrame:
     """Up to `samples` distinct segmentations of each row's whole text: doc_id, sample (from 0, best perturbed score
     first), ids, log_prob (under the unigram model, given the text), perturbed score and inclusion probability.
 
@@ -253,7 +267,7 @@ def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary:
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def sample_digest(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary: str = PIECES, batch_chars: int = 1_000_000) -> DataFrame:
+def sample_digest(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary: str = PIECES, batch_chars: int = 2_000_000) -> DataFrame:
     """As `sample_encode`, with a digest of the ids (as little-endian 32-bit numbers) and whether they decode to the text."""
     vocab = Vocabulary.from_file(vocabulary)
 

@@ -7,6 +7,7 @@ pre-tokens that share it, level by level, and the count stored at the terminal n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,9 @@ def split_batch(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndar
     lists = [pretokens(t) for t in texts]
     if any(len(w) > LONGEST for ws in lists for w in (ws if len(ws) < 8 else (max(ws, key=len),))):
         lists = [cut_long(ws) for ws in lists]
-    number: dict[str, int] = {}
-    for ws in lists:
-        for w in set(ws):
-            number.setdefault(w, len(number))
+    number = {w: i for i, w in enumerate(set().union(*lists))}
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((number[w] for ws in lists for w in ws), np.int64, int(sizes.sum()))
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
     return list(number), flat, sizes
 
 

@@ -189,9 +189,9 @@ class Lattice:
 
     def sum_scores(self) -> None:
         """Sets `total` (log of the summed probability of each prefix), and for each edge `cond` (its log-probability
-        among the edges of its node), `rest` (the probability of the other edges) and `upto` (node + cumulated)."""
+        among the edges of its node), `rest` (the probability of the other edges) and `tail` (of it and those after it)."""
         total = np.zeros(len(self.depth))
-        self.cond, self.rest, self.upto = (np.zeros(len(self.owner)) for _ in range(3))
+        self.cond, self.rest, self.tail = (np.zeros(len(self.owner)) for _ in range(3))
         for a, b, s, e, cuts in self._each_level():
             value = total[self.target[s:e]] + self.logp[s:e]
             group = self.owner[s:e] - a
@@ -205,12 +205,15 @@ class Lattice:
             others = np.add.reduceat(np.where(p > 0.5, 0.0, p), cuts)[group]  # only one edge can be over a half
             self.rest[s:e] = np.where(p > 0.5, others, np.where(single[group], 0.0, 1.0 - p))
             c = np.cumsum(p)
-            self.upto[s:e] = self.owner[s:e] + c - (c[cuts] - p[cuts])[group]
-        last = self.ptr[2:] - 1 if len(self.ptr) > 2 else np.empty(0, np.int64)
-        self.upto[last] = self.owner[last] + 1.0
+            self.tail[s:e] = c[np.r_[cuts[1:], e - s] - 1][group] - c + p
+            self.tail[s + cuts] = 2.0
         self.total = total
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node, by inverse cumulated probability."""
-        e = np.searchsorted(self.upto, node + u, side="right")
-        return np.minimum(np.maximum(e, self.ptr[node]), self.ptr[node + 1] - 1)
+        """An edge of each node, by inverse probability cumulated from its last edge."""
+        e = self.ptr[node + 1] - 1  # the longest piece, mostly the likeliest
+        live = np.flatnonzero(u >= self.tail[e])
+        while len(live):
+            e[live] -= 1
+            live = live[u[live] >= self.tail[e[live]]]
+        return e
