@@ -3,15 +3,16 @@
 A document's set is its distinct word shingles. Equal sets form a class, represented by its smallest doc_id. Of each
 class 128 minima are taken; four in a row hash to a band key, and the low 4 bits of each are packed into a signature of
 512 bits. Classes that share a band are candidates; equal bits, corrected for chance collisions, estimate the
-similarity, and pairs that may reach the threshold are confirmed on their full sets.
+similarity, and what may reach the threshold is confirmed on the full sets.
 
 With 32 bands of 4 minima a pair at similarity 0.8 shares no band with a probability of 5e-8, and the estimate is
 refused only 6 standard deviations below the threshold.
 
-Only components are wanted, so not all pairs of a group are made. Confirmed first: each class with the most similar of
-its bands' smallest members; then its other such pairs, but only across components. What is then left in a band are
-pairs across components, and there all of them are estimated: the members outside the band's largest component against
-all its members, in blocks of bounded size on both sides; first the few most similar of each, then all.
+Only components are wanted, so no stage makes the pairs of a group. A task takes a band's members (in pairs of blocks,
+where they are many), walks the graph of estimates breadth first and returns a spanning forest. The components of the
+forests are clusters that hold every pair that may be linked. In the same way a task takes a cluster's texts, walks the
+graph of confirmed links, and returns a spanning forest; the components of these are the result. Each pair that shares
+a band meets in some task, unless a walk has already joined its two ends.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
 MARGIN = 0.25  # the estimate may be this far below the threshold
-BLOCK = 4096
+BLOCK = 2048  # members of a band in a block
+TEXT_BLOCK, SHINGLE_BLOCK = 256, 1_000_000  # texts of a cluster in a block, and about the shingles in these
 SIGNED = "doc_id long, n long, k1 long, k2 long, sig array<long>, bands array<long>"
 
 
@@ -97,85 +99,120 @@ def _sign(words: int, chars: int = 4_000_000):
     return run
 
 
-def _matches(x, y):
-    """How many of the packed minima agree, from two signature arrays."""
-    ones = F.lit(0x1111111111111111)
-
-    def differ(a, b):
-        z = a.bitwiseXOR(b)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(ones))
-
-    return F.lit(MINIMA) - F.aggregate(F.zip_with(x, y, differ), F.lit(0), lambda s, v: s + v)
-
-
 def _least_matches(threshold: float) -> int:
     chance = 2.0**-BITS
     return int(MINIMA * (max(threshold - MARGIN, 0.0) * (1 - chance) + chance))
 
 
-def _confirm(percent: int, words: int):
-    """Of rows (a, b, ta, tb): the pairs whose full sets reach the threshold."""
+def _pack_text(frames):
+    import zstandard
 
-    def run(frames):
-        import zstandard
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for pdf in frames:
+        raw = encode_all(pdf["text"])
+        yield pdf[["node", "cluster"]].assign(n=[len(x) // 4 for x in raw], t=[pack(x) for x in raw])
+
+
+def _forest(n: int, linked) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest of a graph on 0..n-1. linked(x, rest): which of `rest` are x's neighbours."""
+    rest, a_out, b_out = np.arange(n), [], []
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = linked(x, rest)
+            found = rest[hit]
+            if len(found):
+                a_out.append(np.full(len(found), x))
+                b_out.append(found)
+                rest = rest[~hit]
+                queue.extend(found.tolist())
+    return a_out, b_out
+
+
+def _walks(pdf: pd.DataFrame, keys: list[str], graph) -> pd.DataFrame:
+    """The forests of all groups of a frame. graph(start, end) gives the neighbour function of sorted rows."""
+    a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(pdf):
+        node = pdf["node"].to_numpy(np.int64)
+        change = np.zeros(len(pdf) - 1, bool)
+        for k in keys:
+            v = pdf[k].to_numpy(np.int64)
+            change |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(np.r_[True, change])
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)]):
+            a, b = _forest(e - s, graph(s, e))
+            a_out += [node[s + x] for x in a]
+            b_out += [node[s + x] for x in b]
+    return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+
+
+def _estimated(least: int):
+    """Spanning forests of the graphs of estimates of a frame's bands."""
 
-        held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        unpack = zstandard.ZstdDecompressor().decompress
-        for pdf in frames:
-            good = []
-            for s in range(0, len(pdf), 256):
-                part = pdf.iloc[s : s + 256]
-                right = shingle_sets([unpack(t) for t in part["tb"]], words)
-                for a, ta, y in zip(part["a"].tolist(), part["ta"], right):
-                    if held[0] != a:
-                        held = (a, shingle_sets([unpack(ta)], words)[0])
-                    both = len(np.intersect1d(held[1], y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(held[1]) + len(y) - both) and both > 0)
-            yield pdf.loc[np.array(good, bool), ["a", "b"]]
+    def run(pdf):
+        keys = ["band", "low", "high"]
+        pdf = pdf.sort_values([*keys, "node"]).reset_index(drop=True)
+        sig = np.stack(pdf["sig"].to_list()).astype(np.int64).view(np.uint64) if len(pdf) else None
 
-    return run
+        def graph(s, e):
+            def linked(x, rest):
+                z = sig[s + rest] ^ sig[s + x]
+                z |= z >> np.uint64(1)
+                z = (z | (z >> np.uint64(2))) & np.uint64(0x1111111111111111)
+                return MINIMA - np.bitwise_count(z).sum(axis=1, dtype=np.int64) >= least
 
+            return linked
 
-def _pack_text(frames):
-    import zstandard
+        return _walks(pdf, keys, graph)
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for pdf in frames:
-        yield pd.DataFrame({"node": pdf["node"], "t": [pack(x) for x in encode_all(pdf["text"])]})
+    return run
 
 
-def _compare(least: int, limit: int | None):
-    """Of a group of band blocks: the pairs across components that may reach the threshold, for each probe and other
-    component the `limit` most similar."""
+def _confirmed(percent: int, words: int):
+    """Spanning forests of the graphs of confirmed links of a frame's clusters."""
 
     def run(pdf):
-        a_out, b_out = [], []
-        pdf = pdf.sort_values(["band", "block", "chunk"], kind="stable")
-        cuts = np.flatnonzero((pdf[["band", "block", "chunk"]].diff() != 0).any(axis=1).to_numpy()) if len(pdf) else []
-        sig = np.stack(pdf["sig"].to_list()).astype(np.int64).view(np.uint64) if len(pdf) else np.empty((0, 8), np.uint64)
-        node, comp, probe = (pdf[c].to_numpy() for c in ("node", "comp", "probe"))
-        for s, e in zip(cuts, [*cuts[1:], len(pdf)]):
-            members = np.flatnonzero(~probe[s:e]) + s
-            for i in (np.flatnonzero(probe[s:e]) + s).tolist():
-                z = sig[members] ^ sig[i]
-                z |= z >> np.uint64(1)
-                z = (z | (z >> np.uint64(2))) & np.uint64(0x1111111111111111)
-                same = MINIMA - np.bitwise_count(z).sum(axis=1)
-                hit = np.flatnonzero((same >= least) & (comp[members] != comp[i]))
-                if limit is not None and len(hit) > limit:
-                    by = np.lexsort((node[members[hit]], -same[hit].astype(int), comp[members[hit]]))
-                    c = comp[members[hit[by]]]
-                    hit = hit[by[np.arange(len(by)) - np.searchsorted(c, c) < limit]]
-                b_out.append(node[members[hit]])
-                a_out.append(np.full(len(hit), node[i]))
-        none = np.empty(0, np.int64)
-        a, b = np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        import zstandard
+
+        keys = ["cluster", "low", "high"]
+        pdf = pdf.sort_values([*keys, "node"]).reset_index(drop=True)
+        unpack, sets = zstandard.ZstdDecompressor().decompress, []
+        for s in range(0, len(pdf), 256):
+            sets += shingle_sets([unpack(t) for t in pdf["t"].iloc[s : s + 256]], words)
+
+        def graph(s, e):
+            own = sets[s:e]
+            size = np.array([len(x) for x in own])
+            values, owner = np.concatenate(own), np.repeat(np.arange(e - s), size)
+            by = np.argsort(values, kind="stable")
+            values, owner = values[by], owner[by]
+
+            def linked(x, rest):
+                low, high = np.searchsorted(values, own[x], "left"), np.searchsorted(values, own[x], "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=e - s)[rest]
+                return (both > 0) & (100 * both >= percent * (size[x] + size[rest] - both))
+
+            return linked
+
+        return _walks(pdf, keys, graph)
 
     return run
 
 
+def _block_pairs(rows: DataFrame, key: str, most: int, weight: int) -> DataFrame:
+    """Rows of each key, dealt into blocks of about `most` rows and a sum of n of about `weight`, once for each pair
+    of blocks (low, high) that a block belongs to. A key with one block has the pair (0, 0)."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / weight)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.where((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    return rows.drop("own", "other", "blocks")
+
+
 def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: documents whose sets of `words`-word shingles have
     100 * intersection >= `percent` * union are linked, and a component is known by its smallest doc_id, the one kept.
@@ -188,63 +225,31 @@ def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     least = _least_matches(percent / 100)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(source.mapInArrow(_sign(words), SIGNED))
-    groups = max(16, signed.count() // 2048)
+    groups = F.lit(max(16, signed.count() // 2048))
     key = ["k1", "k2", "n"]
     classes = signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = cut(classes)
-    sigs = classes.select("node", "sig")
 
-    # Bands that several classes share, with their smallest member.
+    # Bands that several classes share, and the clusters of what may be similar in them.
     members = classes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("size")).where("hub < top")
-    members = cut(members.join(shared.select("band", "hub", "size"), "band"))
-    texts = members.select("node").distinct().join(source.select(F.col("doc_id").alias("node"), "text"), "node")
-    texts = cut(texts.mapInPandas(_pack_text, "node long, t binary"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
-        right = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-        joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return joined.mapInPandas(_confirm(percent, words), "a long, b long")
-
-    # Star pairs: each member with its band's smallest.
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-    stars = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    stars = cut(stars.withColumn("same", _matches(F.col("sa"), F.col("sb"))).where(F.col("same") >= least).select("a", "b", "same").distinct())
-    best = stars.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("na"))).alias("m")).select((-F.col("m.na")).alias("a"), "b")
+    shared = members.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
+    members = members.join(shared, "band").join(classes.select("node", "sig"), "node").withColumn("n", F.lit(0))
+    members = _block_pairs(members, "band", BLOCK, 1).withColumn("grp", F.pmod(F.xxhash64("band", "low", "high"), groups))
+    clusters = components(members.groupBy("grp").applyInPandas(_estimated(least), "a long, b long"))
+    heads = clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()
+    clusters = clusters.withColumnRenamed("component", "cluster").unionByName(heads)
+
+    # The links among a cluster's texts.
+    texts = clusters.join(source.withColumnRenamed("doc_id", "node"), "node")
+    texts = texts.mapInPandas(_pack_text, "node long, cluster long, n long, t binary")
+    texts = cut(texts)
+    blocks = _block_pairs(texts, "cluster", TEXT_BLOCK, SHINGLE_BLOCK)
+    blocks = blocks.withColumn("grp", F.pmod(F.xxhash64("cluster", "low", "high"), groups))
+    confirmed = blocks.groupBy("grp").applyInPandas(_confirmed(percent, words), "a long, b long")
     links = signed.where("n > 0").select("doc_id", *key).join(classes.select(*key, "node"), key)
     twice = links.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("doc_id")
     same_id = links.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    comps = components(confirm(best).unionByName(same_id))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components, with these."""
-        ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        joined = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return joined.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
-
-    def merge(pairs: DataFrame) -> DataFrame:
-        """Components after the links among these pairs."""
-        good = across(confirm(pairs)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        step = components(good)
-        moved = comps.join(step.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
-        kept = moved.select("node", F.coalesce("new", "component").alias("component"))
-        return cut(kept.unionByName(step.join(comps, "node", "left_anti")))
-
-    rest = cut(across(stars).select("a", "b"))
-    if not rest.isEmpty():
-        comps = merge(rest)
-    tested = stars.select("a", "b")
-    for limit in (4, None):
-        pairs = cut(_across_bands(members, sigs, comps, groups, least, limit).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if limit is None:
-                break
-            continue
-        comps = merge(pairs)
-        tested = tested.unionByName(pairs)
+    comps = components(confirmed.unionByName(same_id))
 
     named = classes.select(*key, "node").join(comps, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", *key).join(named, key, "left")
@@ -255,29 +260,6 @@ def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across_bands(members, sigs, comps, groups: int, least: int, limit: int | None) -> DataFrame:
-    """Candidate pairs across components inside bands, both sides cut into blocks."""
-    rows = members.select("band", "node").join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    counts = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    bands = counts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
-    bands = bands.where("comps > 1").select(
-        "band",
-        F.col("m.comp").alias("main"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("chunks"),
-    )
-    rows = rows.join(bands, "band").join(sigs, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
-    base = ["band", "node", "comp", "sig"]
-    as_member = rows.select(*base, F.lit(False).alias("probe"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    as_probe = rows.where("comp <> main").select(
-        *base, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk")
-    )
-    both = as_member.unionByName(as_probe).withColumn("grp", F.pmod(F.xxhash64("band", "block", "chunk"), F.lit(groups)))
-    return both.groupBy("grp").applyInPandas(_compare(least, limit), "a long, b long").distinct()
-
-
 def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The input rows, with their own columns, of the documents kept: one of each group. Of rows that share a doc_id,
     all stay or go together."""
