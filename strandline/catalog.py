@@ -1,13 +1,16 @@
-"""The registry of queries: each module under strandline.plans adds (query, SQL) pairs."""
+"""The registry of queries: each module of strandline.plans adds its own."""
 
 from __future__ import annotations
 
-FLAGSHIP = "ret_top_k"
+from strandline.plans import events, keyed, lineage, review, texts  # noqa: F401
+from strandline.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "review_manifest"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
