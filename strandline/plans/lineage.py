@@ -1 +1,174 @@
-"""To come."""
+"""Queries that look for where texts come from: copies, overlaps, similar files and greedy assignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandline.functions import fixed_values as V
+from strandline.functions import scores as S
+from strandline.functions import text as T
+from strandline.operators import diffs, ranking, sequences
+from strandline.plans.registry import Tables, query
+from strandline.plans.texts import sql_tokens
+
+
+@query(
+    "content_hash_join",
+    """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), f AS (SELECT h, min(doc_id) AS first_doc, count(*) AS copies FROM h GROUP BY h HAVING count(*) > 1)
+    SELECT h.doc_id, f.first_doc, f.copies FROM h JOIN f USING (h) WHERE h.doc_id <> f.first_doc""",
+)
+def content_hash_join(t: Tables):
+    """HSH-04, JON-03, JON-04: each copy with the first document of its content."""
+    h = t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    first = h.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
+    return h.join(first, "h").where("doc_id <> first_doc").select("doc_id", "first_doc", "copies")
+
+
+def _source_tokens(t: Tables):
+    """AGG-15: the distinct tokens of each source, one row each."""
+    return t.documents.select("source", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+
+
+SOURCE_TOKENS = f"SELECT DISTINCT source, unnest({sql_tokens('text')}) AS token FROM documents"
+
+
+def _pair_overlap(df, key: str, item: str):
+    """MTH-01 for all pairs of keys that share an item: the item is the join key."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
+    a, b = (df.select(F.col(key).alias(k), item) for k in "ab")
+    both = a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = both.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
+    return both.withColumn("overlap", S.ratio(F.col("shared"), F.least("na", "nb")))
+
+
+@query(
+    "overlap_coefficient",
+    f"""WITH t AS ({SOURCE_TOKENS}), n AS (SELECT source, count(*) AS n FROM t GROUP BY source)
+    SELECT p.a, p.b, p.shared, p.shared / least(na.n, nb.n) AS overlap FROM (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM t x JOIN t y ON x.token = y.token AND x.source < y.source GROUP BY ALL) p
+    JOIN n na ON na.source = p.a JOIN n nb ON nb.source = p.b""",
+)
+def overlap_coefficient(t: Tables):
+    """MTH-01, AGG-15, CND-13: token overlap of all pairs of sources."""
+    return _pair_overlap(_source_tokens(t), "source", "token").select("a", "b", "shared", "overlap")
+
+
+@query(
+    "fingerprint_rank",
+    f"""WITH t AS ({SOURCE_TOKENS}), n AS (SELECT source, count(*) AS n FROM t GROUP BY source),
+    p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM t x JOIN t y ON x.token = y.token AND x.source <> y.source GROUP BY ALL),
+    s AS (SELECT p.a, p.b, 0.35e0 * (p.shared / least(na.n, nb.n)) + 0.65e0 * (p.shared / nb.n) AS score FROM p JOIN n na ON na.source = p.a JOIN n nb ON nb.source = p.b)
+    SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE score >= 0.12) WHERE r <= 3""",
+)
+def fingerprint_rank(t: Tables):
+    """MTH-03, WIN-01, CND-13: the three most alike sources of each, with weighted overlaps and a floor."""
+    one = _pair_overlap(_source_tokens(t), "source", "token")
+    both = one.select("a", "b", "na", "nb", "shared").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "shared"))
+    score = 0.35 * (F.col("shared") / F.least("na", "nb")) + 0.65 * (F.col("shared") / F.col("nb"))
+    df = both.withColumn("score", score).where(F.col("score") >= V.FINGERPRINT_FLOOR)
+    best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    return df.withColumn("r", F.row_number().over(best)).where("r <= 3").select("a", "b", "score")
+
+
+HOST_PARTS = """SELECT DISTINCT host, unnest(ps) AS part FROM (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host,
+  list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS ps FROM pages)"""
+
+
+@query(
+    "shape_similarity",
+    f"""WITH t AS ({HOST_PARTS}), n AS (SELECT host, count(*) AS n FROM t GROUP BY host)
+    SELECT p.a, p.b, 0.55e0 * (p.shared / least(na.n, nb.n)) + 0.45e0 * (p.shared / nb.n) AS score FROM (SELECT x.host AS a, y.host AS b, count(*) AS shared FROM t x JOIN t y ON x.part = y.part AND x.host < y.host GROUP BY ALL) p
+    JOIN n na ON na.host = p.a JOIN n nb ON nb.host = p.b WHERE 0.55e0 * (p.shared / least(na.n, nb.n)) + 0.45e0 * (p.shared / nb.n) >= 0.2""",
+)
+def shape_similarity(t: Tables):
+    """MTH-04, CND-14, AGG-15: pairs of hosts with like path parts."""
+    parts = F.filter(F.split(T.url_path(F.col("url")), "/"), lambda p: p != "")
+    df = t.pages.select(F.lower(T.url_host(F.col("url"))).alias("host"), F.explode(parts).alias("part")).distinct()
+    score = 0.55 * (F.col("shared") / F.least("na", "nb")) + 0.45 * (F.col("shared") / F.col("nb"))
+    return _pair_overlap(df, "host", "part").select("a", "b", score.alias("score")).where(F.col("score") >= V.SHAPE_FLOOR)
+
+
+@query(
+    "best_second_margin",
+    f"""WITH t AS ({SOURCE_TOKENS}), n AS (SELECT source, count(*) AS n FROM t GROUP BY source),
+    p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM t x JOIN t y ON x.token = y.token AND x.source <> y.source GROUP BY ALL),
+    s AS (SELECT p.a, p.b, p.shared / nb.n AS score FROM p JOIN n nb ON nb.source = p.b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s),
+    m AS (SELECT a, max(score) FILTER (WHERE r = 1) AS best, coalesce(max(score) FILTER (WHERE r = 2), 0) AS second FROM r WHERE r <= 2 GROUP BY a)
+    SELECT a, best, second, CASE WHEN best >= 0.55 AND second >= 0.55 AND best - second < 0.08 THEN 'ambiguous' WHEN best >= 0.55 THEN 'moved' WHEN best >= 0.4 THEN 'low_confidence' ELSE 'added' END AS match_type FROM m""",
+)
+def best_second_margin(t: Tables):
+    """WIN-06: how sure the best match of each source is."""
+    one = _pair_overlap(_source_tokens(t), "source", "token")
+    both = one.select("a", "b", "shared", "nb").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", F.col("na").alias("nb")))
+    df = both.withColumn("score", F.col("shared") / F.col("nb"))
+    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    df = df.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("a").agg(
+        F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("second")
+    )
+    return df.withColumn("match_type", ranking.match_type(F.col("best"), F.col("second"), V.MOVED_FLOOR, V.LOW_FLOOR, V.AMBIGUOUS_MARGIN))
+
+
+def _near_pairs(t: Tables):
+    """Neighbouring documents of a source with one first word."""
+    first = F.get(T.sentences(F.col("text")), F.lit(0))
+    df = t.documents.select("source", "doc_id", "text", F.substring(first, 1, 12).alias("head"))
+    w = Window.partitionBy("source", "head").orderBy("doc_id")
+    return df.select("doc_id", "text", F.lag("doc_id").over(w).alias("old_id"), F.lag("text").over(w).alias("old_text")).where("old_id is not null")
+
+
+@query("char_ratio")
+def char_ratio(t: Tables):
+    """DIF-02, MTH-13: character similarity of neighbouring documents, of the first 2,000 characters (what is compared
+    is part of the measure)."""
+    pairs = _near_pairs(t).select("doc_id", "old_id", F.left("text", F.lit(2000)).alias("new"), F.left("old_text", F.lit(2000)).alias("old"))
+    return pairs.select("doc_id", "old_id", F.round(diffs.ratio(F.col("old"), F.col("new")), 6).alias("ratio"))
+
+
+@query("line_opcodes")
+def line_opcodes(t: Tables):
+    """DIF-01: insert and replace blocks of lines between neighbouring documents."""
+    pairs = _near_pairs(t).select(F.col("doc_id").alias("pair_id"), F.col("old_text").alias("old"), F.col("text").alias("new"))
+    return diffs.line_opcodes(pairs)
+
+
+@query("unified_diff")
+def unified_diff(t: Tables):
+    """DIF-03, DIF-04, DIF-05, AGG-02: unified diffs of neighbouring documents, parsed into hunks with counts."""
+    pairs = _near_pairs(t).select(F.col("doc_id").alias("pair_id"), F.col("old_text").alias("old"), F.col("text").alias("new"))
+    return diffs.hunks(pairs.select("pair_id", diffs.unified(F.col("old"), F.col("new")).alias("diff")), "pair_id", "diff")
+
+
+@query(
+    "unified_diff_parse",
+    """WITH d AS (SELECT doc_id, string_split('@@ -1,2 +1,3 @@' || chr(10) || '+' || replace(text, chr(10), chr(10) || '-') || chr(10) || '@@ -9 +9 @@' || chr(10) || ' same' || chr(10) || '+tail', chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS pos FROM d),
+    h AS (SELECT *, sum(CASE WHEN starts_with(line, '@@') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS hunk FROM l)
+    SELECT doc_id, CAST(hunk AS BIGINT) AS hunk, CAST(max(CASE WHEN starts_with(line, '@@') THEN regexp_extract(line, '\\+(\\d+)', 1) END) AS INTEGER) AS new_start,
+      count(*) FILTER (WHERE starts_with(line, '+')) AS added, count(*) FILTER (WHERE starts_with(line, '-')) AS removed FROM h WHERE hunk > 0 GROUP BY doc_id, hunk""".replace("\\\\", "\\"),
+)
+def unified_diff_parse(t: Tables):
+    """DIF-04, DIF-06, AGG-02: hunks of a diff text by a running count of their heads."""
+    text = F.concat(F.lit("@@ -1,2 +1,3 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n-")), F.lit("\n@@ -9 +9 @@\n same\n+tail"))
+    df = diffs.hunks(t.documents.select("doc_id", text.alias("diff")), "doc_id", "diff")
+    return df.select("doc_id", "hunk", "new_start", "added", "removed")
+
+
+@query("greedy_assignment")
+def greedy_assignment(t: Tables):
+    """SEQ-01, SEQ-02, JON-05: each benchmark item takes its best document that no earlier item took; candidates share
+    tokens, and their order decides."""
+    from strandline.plans.review import claim_scores
+
+    scored = claim_scores(t).select(F.lit(0).alias("grp"), F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
+    w = Window.partitionBy("target").orderBy(F.desc("score"), "source")
+    top = scored.withColumn("r", F.row_number().over(w)).where("r <= 20").drop("r")
+    return sequences.greedy(top, "grp").select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@query("leader_clustering")
+def leader_clustering(t: Tables):
+    """SEQ-03: the sentences of each conversation, clustered in order by shared tokens."""
+    df = t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    df = df.select("conv_id", (F.col("turn") * 100_000 + F.col("pos")).alias("ord"), T.tokens(F.col("s")).alias("tokens"))
+    return sequences.leaders(df, "conv_id", least=2)

@@ -1 +1,181 @@
-"""To come."""
+"""Queries that link claims (benchmark items) to passages (documents), and what is rolled up from the links."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandline.functions import fixed_values as V
+from strandline.functions import scores as S
+from strandline.functions import text as T
+from strandline.operators import ranking
+from strandline.plans.registry import Tables, query
+from strandline.plans.texts import sql_any, sql_tokens
+
+
+def claim_scores(t: Tables):
+    """(item_id, doc_id, score) of all pairs that share a token: shared tokens over the claim's tokens."""
+    claims = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    docs = t.documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    shared = claims.join(docs, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return shared.select("item_id", "doc_id", (F.col("k") / F.col("n")).alias("score"))
+
+
+SCORES = f"""SELECT c.item_id, d.doc_id, count(*) / any_value(c.n) AS score FROM
+  (SELECT item_id, len(ts) AS n, unnest(ts) AS token FROM (SELECT item_id, {sql_tokens("text")} AS ts FROM benchmark)) c
+  JOIN (SELECT doc_id, unnest({sql_tokens("text")}) AS token FROM documents) d USING (token) GROUP BY ALL"""
+TOP = f"""SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM ({SCORES})) WHERE rank <= 5"""
+LINKS = f"SELECT item_id, doc_id, score FROM ({TOP}) WHERE score >= greatest(0.08e0, 0.6e0 * best)"
+
+
+def _top(t: Tables):
+    return ranking.top_with_cutoff(claim_scores(t), "item_id", "score", [F.desc("doc_id")], V.TOP_K, V.MIN_SCORE, V.RELATIVE_FLOOR)
+
+
+def _links(t: Tables):
+    return _top(t).where("accepted").select("item_id", "doc_id", "score")
+
+
+@query("claim_hunk_topk", f"SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({TOP})")
+def claim_hunk_topk(t: Tables):
+    """JON-08, MTH-02, WIN-03: the five best passages of each claim."""
+    return _top(t).select("item_id", "doc_id", "score", "rank")
+
+
+@query("link_acceptance", LINKS)
+def link_acceptance(t: Tables):
+    """WIN-03: links that reach the floor and 0.6 of the claim's best."""
+    return _links(t)
+
+
+MARKER = r"(?i)\b(eq|fig|sec|tab)\b"
+
+
+def _sql_recall(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE len(list_intersect({a}, {b})) / len({b}) END"
+
+
+def _sql_tags(x: str) -> str:
+    from strandline.functions.fixed_values import SEMANTIC_TAGS
+
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_any(x, ms)} THEN '{v}' END" for v, ms in SEMANTIC_TAGS) + "], lambda q: q IS NOT NULL)"
+
+
+@query(
+    "claim_score_full",
+    f"""WITH p AS (SELECT t.item_id, t.doc_id, b.text AS ct, d.text AS dt, {sql_tokens("b.text")} AS c, {sql_tokens("d.text")} AS h, [d.source, d.lang] AS path FROM ({TOP}) t
+      JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+    s AS (SELECT item_id, doc_id, {_sql_recall("path", "c")} AS path, {_sql_recall("h", "c")} AS symbol, {_sql_recall(_sql_tags("lower(dt)"), _sql_tags("lower(ct)"))} AS semantic,
+      {_sql_recall("list_distinct(list_concat(h, path))", "c")} AS hint, {_sql_recall("c", "h")} AS ident,
+      CASE WHEN regexp_matches(ct, '(?i)\\b(eq|fig|sec|tab)\\b') AND regexp_matches(dt, '(?i)\\b(eq|fig|sec|tab)\\b') THEN 1e0 ELSE 0e0 END AS marker FROM p)
+    SELECT item_id, doc_id, round(0.20e0 * path + 0.20e0 * symbol + 0.20e0 * semantic + 0.15e0 * hint + 0.20e0 * ident + 0.05e0 * marker, 9) AS score FROM s""",
+)
+def claim_score_full(t: Tables):
+    """MTH-12, STR-53: the weighted six-part score of each claim's candidates."""
+    top = _top(t).select("item_id", "doc_id")
+    claims = t.benchmark.select("item_id", F.col("text").alias("ct"), T.tokens(F.col("text")).alias("c"))
+    docs = t.documents.select("doc_id", F.col("text").alias("dt"), T.tokens(F.col("text")).alias("h"), F.array("source", "lang").alias("path"))
+    df = top.join(claims, "item_id").join(docs, "doc_id")
+    c, h, path = F.col("c"), F.col("h"), F.col("path")
+    semantic = S.recall(T.semantic_tags(F.lower("dt")), T.semantic_tags(F.lower("ct")))
+    marker = (F.col("ct").rlike(MARKER) & F.col("dt").rlike(MARKER)).cast("double")
+    score = 0.20 * S.recall(path, c) + 0.20 * S.recall(h, c) + 0.20 * semantic + 0.15 * S.recall(F.array_union(h, path), c) + 0.20 * S.recall(c, h) + 0.05 * marker
+    return df.select("item_id", "doc_id", F.round(score, 9).alias("score"))
+
+
+@query(
+    "status_rollup",
+    f"""WITH l AS ({LINKS}), s AS (SELECT b.item_id, b.item_id % 5 AS contribution, coalesce(bool_or(q.quality = 1), false) AS mapped FROM benchmark b LEFT JOIN l USING (item_id) LEFT JOIN labels q USING (doc_id) GROUP BY b.item_id)
+    SELECT contribution, count(*) AS claims, count(*) FILTER (WHERE mapped) AS mapped, CASE WHEN bool_and(mapped) THEN 'mapped' WHEN bool_or(mapped) THEN 'partially_mapped' ELSE 'unmapped' END AS status FROM s GROUP BY contribution""",
+)
+def status_rollup(t: Tables):
+    """AGG-07, REV-05: contribution status from the claims that good documents back."""
+    backed = _links(t).join(t.labels, "doc_id").groupBy("item_id").agg(F.bool_or(F.col("quality") == 1).alias("m"))
+    df = t.benchmark.select("item_id").join(backed, "item_id", "left").select((F.col("item_id") % 5).alias("contribution"), F.coalesce("m", F.lit(False)).alias("m"))
+    status = F.when(F.bool_and("m"), "mapped").when(F.bool_or("m"), "partially_mapped").otherwise("unmapped")
+    return df.groupBy("contribution").agg(F.count("*").alias("claims"), F.count_if("m").alias("mapped"), status.alias("status"))
+
+
+@query(
+    "group_projection",
+    f"""WITH l AS ({LINKS})
+    SELECT item_id % 5 AS contribution, source AS cluster, round(max(score), 9) AS best, count(DISTINCT item_id) AS claims, round(least(0.95e0, max(score) + 0.15e0), 9) AS confidence,
+      CASE WHEN count(DISTINCT item_id) / 8e0 >= 0.75 THEN 'FULL' ELSE 'PARTIAL' END AS coverage
+    FROM l JOIN documents USING (doc_id) GROUP BY ALL""",
+)
+def group_projection(t: Tables):
+    """AGG-04, REV-06, SRT-10: the best link and the claims of each contribution and cluster."""
+    df = _links(t).join(t.documents.select("doc_id", F.col("source").alias("cluster")), "doc_id").withColumn("contribution", F.col("item_id") % 5)
+    claims = F.count_distinct("item_id")
+    return df.groupBy("contribution", "cluster").agg(
+        F.round(F.max("score"), 9).alias("best"), claims.alias("claims"), F.round(F.least(F.lit(0.95), F.max("score") + 0.15), 9).alias("confidence"),
+        F.when(claims / 8.0 >= 0.75, "FULL").otherwise("PARTIAL").alias("coverage"),
+    )
+
+
+@query(
+    "review_manifest",
+    f"""WITH l AS (SELECT doc_id, count(*) AS linked, max(score) AS best FROM ({LINKS}) GROUP BY doc_id),
+    d AS (SELECT doc_id, source, lang, len(string_split(text, chr(10))) AS lines, strlen(text) AS bytes FROM documents)
+    SELECT d.doc_id, left(sha256('{{"doc_id":' || d.doc_id || ',"source":"' || source || '"}}'), 24) AS file_id,
+      CASE WHEN bytes > 60000 THEN 'large_fallback' WHEN lang <> 'en' THEN 'other_language' WHEN q.quality = 0 THEN 'low_confidence' WHEN coalesce(linked, 0) > 0 THEN 'core' ELSE 'supporting' END AS bucket,
+      CASE WHEN coalesce(linked, 0) > 0 OR lines >= 50 THEN 'high' WHEN lines >= 10 THEN 'medium' ELSE 'low' END AS significance,
+      CAST(lines AS BIGINT) AS changed_lines, coalesce(linked, 0) AS linked_claims, round(coalesce(best, 0), 9) AS best_score
+    FROM d LEFT JOIN l USING (doc_id) LEFT JOIN labels q USING (doc_id)""",
+)
+def review_manifest(t: Tables):
+    """REV-01 to REV-08: one entry for each document, with bucket, significance and links."""
+    links = _links(t).groupBy("doc_id").agg(F.count("*").alias("linked"), F.max("score").alias("best"))
+    docs = t.documents.select("doc_id", "source", "lang", F.size(F.split("text", "\n", -1)).cast("long").alias("changed_lines"), F.octet_length("text").alias("bytes"))
+    df = docs.join(links, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    linked = F.coalesce("linked", F.lit(0).cast("long"))
+    bucket = (
+        F.when(F.col("bytes") > 60_000, "large_fallback")
+        .when(F.col("lang") != "en", "other_language")
+        .when(F.col("quality") == 0, "low_confidence")
+        .when(linked > 0, "core")
+        .otherwise("supporting")
+    )
+    return df.select(
+        "doc_id", S.stable_digest(24, doc_id=F.col("doc_id"), source=F.col("source")).alias("file_id"), bucket.alias("bucket"),
+        S.significance(F.col("changed_lines"), linked).alias("significance"), "changed_lines", linked.alias("linked_claims"),
+        F.round(F.coalesce("best", F.lit(0.0)), 9).alias("best_score"),
+    )
+
+
+@query("claim_index", f"""SELECT item_id, left(sha256('{{"claim":' || item_id || ',"text":"' || s || '"}}'), 20) AS claim_id, s AS claim_text, CAST(k AS INTEGER) AS k FROM (
+    SELECT item_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s, k, row_number() OVER (PARTITION BY item_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) ORDER BY k) AS r FROM (
+      SELECT item_id, unnest(ss) AS s, unnest(generate_series(0, len(ss) - 1)) AS k FROM (SELECT item_id, list_filter(string_split(text, '.'), lambda x: trim(x) <> '') AS ss FROM benchmark)))
+    WHERE r = 1 AND length(s) >= 12""")
+def claim_index(t: Tables):
+    """REV-02, FLT-10, HSH-09, WIN-09: claims of each item, normalised, long enough and not seen before in it."""
+    parts = F.filter(F.split("text", r"\."), lambda x: F.btrim(x) != "")
+    df = t.benchmark.select("item_id", F.posexplode(parts).alias("k", "s"))
+    df = df.withColumn("s", F.btrim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " ")))
+    df = ranking.first_per_key(df, ["item_id", "s"], ["k"]).where(F.length("s") >= 12)
+    return df.select("item_id", S.stable_digest(20, claim=F.col("item_id"), text=F.col("s")).alias("claim_id"), F.col("s").alias("claim_text"), "k")
+
+
+@query("bucket_view", f"""WITH k AS (SELECT unnest({[*V.BUCKETS]!r}) AS bucket, unnest(generate_series(1, {len(V.BUCKETS)})) AS place)
+    SELECT k.bucket, CAST(k.place AS INTEGER) AS place, count(d.doc_id) AS n FROM k LEFT JOIN (SELECT doc_id, CASE WHEN lang <> 'en' THEN 'other_language' WHEN n_chars > 5000 THEN 'large_fallback' ELSE 'core' END AS bucket FROM documents) d USING (bucket) GROUP BY ALL""")
+def bucket_view(t: Tables):
+    """CLI-01, AGG-11: all buckets in order, the empty ones too."""
+    b = F.when(F.col("lang") != "en", "other_language").when(F.col("n_chars") > 5000, "large_fallback").otherwise("core")
+    counts = t.documents.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    keys = t.spark.createDataFrame([(name, k + 1) for k, name in enumerate(V.BUCKETS)], "bucket string, place int")
+    return keys.join(counts, "bucket", "left").select("bucket", "place", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("best_anchor", f"""SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM ({SCORES})) WHERE r = 1""")
+def best_anchor(t: Tables):
+    """CLI-07, SRT-07: each claim's best passage, the first of equals, as a maximum combined before the shuffle."""
+    best = F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m")
+    return claim_scores(t).groupBy("item_id").agg(best).select("item_id", (-F.col("m.d")).alias("doc_id"))
+
+
+@query("weak_mapping", """SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN false WHEN doc_id % 2 = 0 AND quality <= 0 AND toxic <= 0 THEN true WHEN n_chars % 10 / 10e0 >= 0.25 THEN false WHEN quality >= 0.2 OR toxic >= 0.2 THEN false WHEN doc_id % 2 > 0 THEN false ELSE true END AS weak FROM documents JOIN labels USING (doc_id)""")
+def weak_mapping(t: Tables):
+    """FLT-08, CLI-05, CTR-11: the ordered rules for weak mappings, on measures made from the tables."""
+    df = t.documents.join(t.labels, "doc_id")
+    weak = S.weak_mapping(F.col("n_chars") % 3, F.col("doc_id") % 2, F.col("quality"), F.col("toxic"), (F.col("n_chars") % 10) / 10.0)
+    return df.select("doc_id", weak.alias("weak"))
