@@ -36,8 +36,7 @@ def _uniform(key, token, step, sample: int, what: int) -> np.ndarray:
 
 def _gumbel_below(log_mass, limit, u) -> np.ndarray:
     """A Gumbel variable at `log_mass`, given that it is at most `limit`."""
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        return np.where(np.isneginf(log_mass), -np.inf, limit - np.logaddexp(0.0, limit - log_mass + np.log(-np.log(u))))
+    return limit - np.logaddexp(0.0, limit - log_mass + np.log(-np.log(u)))
 
 
 class _Path:
@@ -58,7 +57,9 @@ def _walk(lattice, key, text, token, node, step, sample):
     """Draw the rest of each pre-token from `node` on; arrays of (text, token, step, node, edge), in path order."""
     got, at, turn, steps = [], np.arange(len(node)), 0, np.zeros(len(node), np.int64)
     while len(at):
-        e = lattice.draw(node, _uniform(key[at], token[at], step, sample, 0))
+        e = lattice.ptr[node]
+        free = np.flatnonzero(lattice.several[node])
+        e[free] = lattice.draw(node[free], _uniform(key[at[free]], token[at[free]], step[free], sample, 0))
         got.append((at, step, node, e))
         steps[at] = turn = turn + 1
         node, step = lattice.target[e], step + 1
@@ -75,46 +76,50 @@ def _walk(lattice, key, text, token, node, step, sample):
     return np.repeat(text, steps), np.repeat(token, steps), *out
 
 
-def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, samples: int):
-    """Yields (text number, sample number, ids, log-probability, perturbed score, inclusion), texts without pieces too."""
+def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, samples: int, at_once: int = 500_000):
+    """Yields (text number, sample number, ids, log-probability, perturbed score, inclusion), texts without pieces too.
+    One lattice serves all texts; about `at_once` characters are searched together."""
     words, flat, sizes = split_batch(texts)
     lattice = Lattice(words, vocab)
     lattice.sum_scores()
-    # Edge numbers to piece ids; a character without a piece becomes several byte pieces.
-    owner_text = np.repeat(np.arange(len(texts)), sizes)
+    ends = np.cumsum(sizes)
+    for a, b in batches(texts, at_once):
+        part = flat[ends[a] - sizes[a] : ends[b - 1]]
+        for r, *rest in _search(lattice, part, sizes[a:b], keys[a:b], vocab, samples):
+            yield a + r, *rest
+
+
+def _search(lattice: Lattice, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, vocab: Vocabulary, samples: int):
+    """The samples of some texts; `flat` numbers their pre-tokens, `sizes` says how many each has."""
+    n = len(sizes)
+    owner_text = np.repeat(np.arange(n), sizes)
     ends = np.cumsum(sizes)
     token = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
     node = lattice.terminal[flat]
     zero = np.zeros(len(flat), np.int64)
     path = _Path(*_walk(lattice, keys[owner_text], owner_text, token, node, zero, 0), lattice)
-    n = len(texts)
     perturbed = np.full((samples + 1, n), -np.inf)
     logp = np.zeros((samples, n))
     full = np.flatnonzero(sizes)
     perturbed[0] = -np.log(-np.log(_uniform(keys, zero[:1], 0, 0, 1)))  # the whole probability is 1
-    paths, bounds, masks = [], [], []
+    paths, bounds, splits = [], [], []
+    split_at = split_mask = None
 
     for k in range(samples):
         if len(path.rows):
             logp[k, path.rows] = path.log_prob
-        limit = perturbed[k][path.text]
-        mask = np.zeros(len(path.text), np.int64)
-        rest = lattice.rest[path.edge].copy()
-        fresh = np.ones(len(path.text), bool)
+        rest = lattice.rest[path.edge]
         if k:  # before the split there is nothing new; at the split some edges were excluded before
-            place = np.arange(len(path.text)) - np.repeat(path.first, path.end - path.first)
-            fresh = place > np.repeat(split_place, path.end - path.first)
-            at = path.first + split_place
-            mask[at] = split_mask
-            rest[at] = _left(lattice, path.node[at], split_mask | _bit(lattice, path.node[at], path.edge[at]))
-            fresh[at] = True
-        mask |= _bit(lattice, path.node, path.edge)
-        with np.errstate(divide="ignore"):
-            log_mass = np.where(fresh, path.before + np.log(rest), -np.inf)
-        bound = _gumbel_below(log_mass, limit, _uniform(keys[path.text], path.token, path.step, k, 2))
+            rest[split_at] = _left(lattice, path.node[split_at], split_mask | _bit(lattice, path.node[split_at], path.edge[split_at]))
+            rest[np.arange(len(rest)) < np.repeat(split_at, path.end - path.first)] = 0.0
+        some = np.flatnonzero(rest > 0)
+        text = path.text[some]
+        u = _uniform(keys[text], path.token[some], path.step[some], k, 2)
+        bound = np.full(len(rest), -np.inf)
+        bound[some] = _gumbel_below(path.before[some] + np.log(rest[some]), perturbed[k][text], u)
         paths.append(path)
         bounds.append(bound)
-        masks.append(mask)
+        splits.append((split_at, split_mask))
         # The best region of each text over all paths so far.
         best, where, whose = np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1)
         for q, (p, b) in enumerate(zip(paths, bounds)):
@@ -129,7 +134,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, s
         perturbed[k + 1] = best
         if k + 1 == samples:
             break
-        path, split_place, split_mask = _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, flat, k + 1)
+        path, split_at, split_mask = _next_path(lattice, keys, paths, bounds, splits, where, whose, sizes, ends, flat, k + 1)
 
     for k, p in enumerate(paths):
         ids, cuts = _piece_ids(lattice, p, vocab)
@@ -155,7 +160,7 @@ def _left(lattice, node, mask):
     return np.where(free, np.exp(lattice.cond[edge]), 0.0).sum(1)
 
 
-def _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, flat, sample):
+def _next_path(lattice, keys, paths, bounds, splits, where, whose, sizes, ends, flat, sample):
     """Draw a path in the popped region of each text that still has one, and close that region."""
     parts, place, mask_at = [], {}, {}
     for q, p in enumerate(paths):
@@ -165,8 +170,10 @@ def _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, f
         at = where[rows]
         index = np.searchsorted(p.rows, rows)
         bounds[q][at] = -np.inf
-        mask = masks[q][at]
         node, token, step = p.node[at], p.token[at], p.step[at]
+        mask = _bit(lattice, node, p.edge[at])
+        if splits[q][0] is not None:  # a region at its path's own split excludes what was excluded there
+            mask |= np.where(splits[q][0][index] == at, splits[q][1][index], 0)
         # The edge at the split, among those not excluded.
         count = lattice.ptr[node + 1] - lattice.ptr[node]
         own = np.arange(int(count.max()))
@@ -199,7 +206,8 @@ def _next_path(lattice, keys, paths, bounds, masks, where, whose, sizes, ends, f
     by = np.argsort((cols[0] << 40) | (cols[1] << 8) | cols[2], kind="stable")
     path = _Path(*(c[by] for c in cols), lattice)
     rows = path.rows.tolist()
-    return path, np.array([place[r] for r in rows], np.int64), np.array([mask_at[r] for r in rows], np.int64)
+    at = path.first + np.array([place[r] for r in rows], np.int64)
+    return path, at, np.array([mask_at[r] for r in rows], np.int64)
 
 
 def _piece_ids(lattice, path: _Path, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +266,7 @@ def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary:
             rows = []
             for d, _, k, ids, lp, g, inc in _each(pdf, vocab, samples, seed, batch_chars):
                 rows.append((d, k, ids, lp, g, inc))
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLES.split(", ")])
                     rows = []
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLES.split(", ")])

@@ -11,10 +11,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.unigram import LONGEST, Lattice, Vocabulary, cut_long, pretokens
+from strandline.llm.unigram import LONGEST, SPACE, Lattice, Vocabulary, cut_long, pretokens, spaced
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -33,13 +35,28 @@ def batches(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
 
 def split_batch(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, the number of each occurrence in order, and how many each text has."""
-    lists = [pretokens(t) for t in texts]
-    if any(len(w) > LONGEST for ws in lists for w in (ws if len(ws) < 8 else (max(ws, key=len),))):
-        lists = [cut_long(ws) for ws in lists]
+    if any(t and SPACE in t for t in texts):
+        return _number([pretokens(t) for t in texts])
+    pieces = pc.split_pattern(pa.array([spaced(t) if t else "" for t in texts], pa.large_string()), " ")
+    coded = pieces.flatten().dictionary_encode()
+    words, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    if max(map(len, words), default=0) > LONGEST:
+        return _number([pretokens(t) for t in texts])
+    sizes = np.diff(pieces.offsets.to_numpy())
+    if "" in words:  # between two spaces, or a text without pre-tokens
+        real = flat != words.index("")
+        sums = np.r_[0, np.cumsum(real)]
+        ends = np.cumsum(sizes)
+        sizes, flat = sums[ends] - sums[ends - sizes], flat[real]
+        words[words.index("")] = "\n"  # keeps the numbers of the others; none uses it
+    return words, flat, sizes.astype(np.int64)
+
+
+def _number(lists: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    lists = [cut_long(ws) for ws in lists]
     number = {w: i for i, w in enumerate(set().union(*lists))}
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-    return list(number), flat, sizes
+    return list(number), np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum())), sizes
 
 
 def count_texts(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

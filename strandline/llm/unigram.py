@@ -116,8 +116,12 @@ def pretokens(text: str | None) -> list[str]:
         return []
     if SPACE in text:
         text = text.replace(SPACE, HELD)
-    out = (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")
-    return list(filter(None, out))
+    return list(filter(None, spaced(text).split(" ")))
+
+
+def spaced(text: str) -> str:
+    """The pre-tokens of a text, between spaces."""
+    return (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ")
 
 
 def cut_long(words: list[str]) -> list[str]:
@@ -208,6 +212,7 @@ class Lattice:
             self.tail[s:e] = c[np.r_[cuts[1:], e - s] - 1][group] - c + p
             self.tail[s + cuts] = 2.0
         self.total = total
+        self.several = np.diff(self.ptr) > 1
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by inverse probability cumulated from its last edge."""
