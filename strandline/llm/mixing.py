@@ -21,7 +21,8 @@ from strandline.llm.common import cut, n_words_col
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CHUNK, FAN_IN = 8192, 1024
-OPEN = 12  # documents that a chunk leaves undecided, and that the landing tries together
+# Documents that a chunk leaves open: the largest, and some at quantiles of size. Their subsets have sums of many sizes.
+LARGEST, QUANTILES = 7, (0.05, 0.25, 0.5, 0.75, 0.95)
 SALTS = 32
 
 
@@ -53,14 +54,18 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     return stats.select("source_key", "source_size", "n_docs", F.coalesce(target, F.col("cap")).alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int) -> np.ndarray:
-    """Move probabilities to 0 or 1 with the sums of p and p * size unchanged, until `leave` or fewer are between."""
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: bool = False) -> np.ndarray:
+    """Move probabilities to 0 or 1 with the sums of p and p * size unchanged, until two or fewer are between. With
+    `hold`, LARGEST and QUANTILES name, by place in the given order, some that stay as they are."""
     p = p.astype(float).copy()
-    live = [int(i) for i in np.flatnonzero((p > 0) & (p < 1))]
+    live = np.flatnonzero((p > 0) & (p < 1))
+    most = len(live) - 1
+    held = {*range(max(most + 1 - LARGEST, 0), most + 1), *(round(q * most) for q in QUANTILES if most >= 0)} if hold else ()
+    live = np.delete(live, sorted(held)).tolist()
     u = rng.random(len(live) + 1).tolist()
     pi, s, n = p.tolist(), size.astype(float).tolist(), len(live)
-    window, nxt, left, k = live[:3], 3, len(live), 0
-    while len(window) == 3 and left > leave:
+    window, nxt, k = live[:3], 3, 0
+    while len(window) == 3:
         a, b, c = window
         d = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
         if d == (0.0, 0.0, 0.0):
@@ -79,12 +84,10 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int
             pi[i] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
             if 0 < pi[i] < 1:
                 keep.append(i)
-        left -= 3 - len(keep)
         if len(keep) == 3:  # rounding only; the nearest one lands
             i = min(keep, key=lambda j: min(pi[j], 1 - pi[j]))
             pi[i] = float(round(pi[i]))
             keep.remove(i)
-            left -= 1
         take = min(3 - len(keep), n - nxt)
         window = keep + live[nxt : nxt + take]
         nxt += take
@@ -104,13 +107,12 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _level(leave: int, last: bool, seed: int, level: int):
+def _level(last: bool, seed: int, level: int):
     def run(key, pdf):
-        # Small documents first: what is left open at the end is large, and its subsets have sums of many sizes.
         pdf = pdf.sort_values(["size", "order", "id_text", "text_hash"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(pdf["chunk"].iat[0]), *key[0].encode()])
         size = pdf["size"].to_numpy(float)
-        p = flight(pdf["p"].to_numpy(), size, rng, leave)
+        p = flight(pdf["p"].to_numpy(), size, rng, hold=True)
         pdf["p"] = landing(p, size) if last else p
         return pdf
 
@@ -149,7 +151,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         last = level == 2
         chunk = spread if level == 0 else F.floor(F.col("chunk") / FAN_IN).cast("long") if not last else F.lit(0).cast("long")
         df = df.withColumn("chunk", chunk.cast("long")).select(*columns)
-        df = cut(df.groupBy("source_key", "chunk").applyInPandas(_level(OPEN, last, seed, level), schema))
+        df = cut(df.groupBy("source_key", "chunk").applyInPandas(_level(last, seed, level), schema))
         if not last:
             open_ = (F.col("p") > 0) & (F.col("p") < 1)
             done.append(df.where(~open_))

@@ -101,7 +101,7 @@ def _search(lattice: Lattice, flat: np.ndarray, sizes: np.ndarray, keys: np.ndar
     perturbed = np.full((samples + 1, n), -np.inf)
     logp = np.zeros((samples, n))
     full = np.flatnonzero(sizes)
-    perturbed[0] = -np.log(-np.log(_uniform(keys, zero[:1], 0, 0, 1)))  # the whole probability is 1
+    perturbed[0] = -np.log(-np.log(_uniform(keys, np.zeros(1), 0, 0, 1)))  # the whole probability is 1
     paths, bounds, splits = [], [], []
     split_at = split_mask = None
 
