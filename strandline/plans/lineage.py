@@ -119,10 +119,8 @@ def _near_pairs(t: Tables):
 
 @query("char_ratio")
 def char_ratio(t: Tables):
-    """DIF-02, MTH-13: character similarity of neighbouring documents, of the first 2,000 characters (what is compared
-    is part of the measure)."""
-    pairs = _near_pairs(t).select("doc_id", "old_id", F.left("text", F.lit(2000)).alias("new"), F.left("old_text", F.lit(2000)).alias("old"))
-    return pairs.select("doc_id", "old_id", F.round(diffs.ratio(F.col("old"), F.col("new")), 6).alias("ratio"))
+    """DIF-02, MTH-13: character similarity of neighbouring documents."""
+    return _near_pairs(t).select("doc_id", "old_id", F.round(diffs.ratio(F.col("old_text"), F.col("text")), 6).alias("ratio"))
 
 
 @query("line_opcodes")
@@ -156,13 +154,15 @@ def unified_diff_parse(t: Tables):
 
 @query("greedy_assignment")
 def greedy_assignment(t: Tables):
-    """SEQ-01, SEQ-02, JON-05: each benchmark item takes its best document that no earlier item took; candidates share
-    tokens, and their order decides."""
+    """SEQ-01, SEQ-02, JON-05: each benchmark item takes its best document that no earlier item took. Of n items no
+    one needs more than n candidates, as the others take n - 1 at most."""
     from strandline.plans.review import claim_scores
 
+    most = t.benchmark.count()
+
     scored = claim_scores(t).select(F.lit(0).alias("grp"), F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
     w = Window.partitionBy("target").orderBy(F.desc("score"), "source")
-    top = scored.withColumn("r", F.row_number().over(w)).where("r <= 20").drop("r")
+    top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
     return sequences.greedy(top, "grp").select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
