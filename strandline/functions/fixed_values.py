@@ -85,3 +85,69 @@ AMBIGUOUS_MARGIN, MOVED_FLOOR, LOW_FLOOR = 0.08, 0.55, 0.40
 LARGE_LINES, LARGE_BYTES = 5000, 524_288
 PARSE_SECTIONS, PARSE_SECTION_CHARS, PARSE_TOTAL_CHARS, PARSE_BATCHES, PARSE_LEAST = 8, 3500, 14_000, 3, 200
 BUCKETS = ("core", "supporting", "low_confidence", "large_fallback", "other_language", "added", "deleted")
+
+# Known upstream repositories.
+UPSTREAM_ALIASES = (
+    ("transformers", "https://github.com/huggingface/transformers"),
+    ("huggingface/transformers", "https://github.com/huggingface/transformers"),
+    ("trl", "https://github.com/huggingface/trl"),
+    ("huggingface/trl", "https://github.com/huggingface/trl"),
+    ("triton", "https://github.com/openai/triton"),
+    ("openai/triton", "https://github.com/openai/triton"),
+)
+DEPENDENCY_REPOS = (
+    ("transformers", "https://github.com/huggingface/transformers"),
+    ("trl", "https://github.com/huggingface/trl"),
+    ("triton", "https://github.com/openai/triton"),
+    ("fairseq", "https://github.com/facebookresearch/fairseq"),
+    ("peft", "https://github.com/huggingface/peft"),
+    ("accelerate", "https://github.com/huggingface/accelerate"),
+)
+FRAMEWORKS = (
+    ("https://github.com/huggingface/transformers", ("transformers", "AutoModelForCausalLM", "PreTrainedModel", "from_pretrained"),
+     ("PreTrainedModel", "PretrainedConfig", "PreTrainedTokenizer"), ("src/transformers/models",)),
+    ("https://github.com/huggingface/trl",
+     ("trl", "DPOTrainer", "PPOTrainer", "SFTTrainer", "GRPOTrainer", "GRPOConfig", "TrlParser", "reward_trainer", "GOLDConfig"),
+     ("DPOTrainer", "PPOTrainer", "SFTTrainer", "GRPOTrainer"), ("trl/trainer", "trl/experimental/gold")),
+    ("https://github.com/openai/triton", ("triton", "triton.language", "triton.jit"), (), ("python/triton",)),
+    ("https://github.com/facebookresearch/fairseq", ("fairseq", "register_model", "register_task", "FairseqCriterion"),
+     ("BaseFairseqModel", "FairseqCriterion", "FairseqTask"), ("fairseq_cli", "criterions")),
+)
+METADATA_CONFIDENCE = ((".gitmodules", 0.95), (".git/config", 0.9), ("citation.cff", 0.86), ("citation.bib", 0.86))
+METADATA_DEFAULT = 0.82
+
+# Formula concepts, in papers and in code.
+PAPER_CONCEPTS = (
+    ("attention", ("attention", "qkv", "kv-cache")),
+    ("cache", ("cache", "cached")),
+    ("cross_entropy", ("cross entropy", "nll", "negative log-likelihood")),
+    ("fused_kernel", ("kernel", "fused", "cuda", "triton")),
+    ("kl", ("kl", "kullback", "divergence", "kl-div")),
+    ("low_rank", ("low-rank", "rank decomposition", "rank-deficient")),
+    ("preference", ("preference", "chosen", "rejected", "pairwise")),
+    ("sigmoid", ("sigmoid", "log-sigmoid", "log sigmoid")),
+    ("softmax", ("softmax", "log-softmax", "log softmax")),
+    ("temperature", ("temperature", "beta")),
+)
+CODE_CONCEPTS = (
+    ("attention", ("attention", "attn", "qkv")),
+    ("cache", ("cache", "cached")),
+    ("cross_entropy", ("cross_entropy", "crossentropy", "nll_loss", "nll")),
+    ("fused_kernel", ("kernel", "triton", "cuda", "fused")),
+    ("kl", ("kl_div", "kldiv", "kl", "divergence")),
+    ("low_rank", ("lora", "low_rank", "rank", "adapter")),
+    ("preference", ("preference", "chosen", "rejected", "pairwise")),
+    ("sigmoid", ("sigmoid", "logsigmoid")),
+    ("softmax", ("softmax", "log_softmax")),
+    ("temperature", ("temperature", "beta")),
+)
+SIGNATURES = (
+    ("C1", "Low-rank adaptation modules", ("low-rank", "adapter", "rank-decomposition"),
+     ("low-rank", "rank decomposition", "adapter", "adaptation matrices")),
+    ("C2", "Frozen backbone fine-tuning", ("frozen", "backbone", "trainable"),
+     ("frozen", "freeze", "pretrained weights", "trainable parameters")),
+    ("C1", "Direct preference optimization objective", ("preference", "objective", "alignment"),
+     ("direct preference optimization", "preference objective", "reward model", "preference data")),
+    ("C1", "IO-aware fused attention kernel", ("io-aware", "attention", "kernel"),
+     ("io-aware", "exact attention", "fused attention", "attention kernel", "tiling")),
+)
