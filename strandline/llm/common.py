@@ -6,12 +6,12 @@ a multi-byte character, so words `[^\\x20\\x09-\\x0D]+` can be cut on bytes.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import checkpointed as cut  # noqa: F401
+
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
 
@@ -21,16 +21,6 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-        )
-    return df.checkpoint(eager=True)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

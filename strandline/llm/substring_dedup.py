@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import doc_groups, encode_all, planes, unplanes, window_hashes, window_starts, word_hashes
+from strandline.llm.common import doc_groups, encode_all, planes, unplanes, window_hashes, window_starts, word_hashes, words_col
 
 PACKED = "bucket int, grp int, docs binary, ords binary, counts binary, pos binary, hashes binary, tops binary"
 TOLD = "grp int, docs binary, ords binary, counts binary, pos binary"
@@ -238,7 +238,6 @@ def substring_dedup(docs: DataFrame, window: int = 20, want_text: bool = True) -
     and keeps all its words. Further columns are ignored. An empty table gives an empty result.
     """
     block = max(1, window // 2)
-    spark = docs.sparkSession
     grouped, n = doc_groups(docs)
     buckets = max(32, -(-n // 2048))
     sent = grouped.groupBy("grp").applyInPandas(probes(block, buckets), ", ".join(PACKED.split(", ")[:-1]))
@@ -247,12 +246,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, want_text: bool = True) -
     late = full.groupBy("bucket").applyInPandas(later_ones, TOLD)
     out = grouped.groupBy("grp").cogroup(late.groupBy("grp")).applyInPandas(remove(window, want_text), KEPT)
     lone = docs.where(F.col("doc_id").isNull()).select(F.lit(0).alias("grp"), "doc_id", F.col("text").cast("string").alias("text"))
-    return out.unionByName(_untouched(lone, want_text)) if spark else out
+    return out.unionByName(_untouched(lone, want_text))
 
 
 def _untouched(docs: DataFrame, want_text: bool) -> DataFrame:
-    from strandline.llm.common import words_col
-
     words = words_col(F.col("text"))
     kept = F.array_join(words, " ")
     return docs.select(
