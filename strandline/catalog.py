@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import events, keyed, lineage, review, texts  # noqa: F401
+from strandline.plans import events, keyed, lineage, more, review, texts  # noqa: F401
 from strandline.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "review_manifest"

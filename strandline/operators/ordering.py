@@ -1,4 +1,4 @@
-"""Places in a total order without moving all rows to one task."""
+"""Places in a total order without moving all rows to one task, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The frame with a broadcast hint if it has at most `rows` rows (of a few short columns), as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """`name`: the place of each row, from 1. Rows are range-partitioned by the order; each partition numbers its own,
     and starts where the partitions before it end. Only one count for each partition is gathered. The order's columns

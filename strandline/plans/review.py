@@ -9,15 +9,20 @@ from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
 from strandline.operators import ranking
+from strandline.operators.ordering import broadcast_if_small
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_any, sql_tokens
 
 
 def claim_scores(t: Tables):
-    """(item_id, doc_id, score) of all pairs that share a token: shared tokens over the claim's tokens."""
+    """(item_id, doc_id, score) of all pairs that share a token: shared tokens over the claim's tokens.
+
+    Documents are dealt by doc_id before they are exploded, so the pairs of a document are counted where they arise.
+    The claims' tokens are broadcast while they are few."""
     claims = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    docs = t.documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    shared = claims.join(docs, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    claims = broadcast_if_small(claims)
+    docs = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    shared = docs.join(claims, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     return shared.select("item_id", "doc_id", (F.col("k") / F.col("n")).alias("score"))
 
 

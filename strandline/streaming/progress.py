@@ -19,7 +19,7 @@ STATE = "event_type string, seen boolean"
 
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """STM-01: event files as they arrive; `ts` becomes a timestamp for watermarks."""
+    """STM-01: event files as they arrive; `ts` becomes a timestamp for watermarks. A single file needs a glob pattern."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
