@@ -311,3 +311,31 @@ def json_block(x: Column) -> Column:
     array = F.regexp_extract(x, r"(?s)(\[.*\])", 1)
     obj = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
     return F.coalesce(F.nullif(strip(fenced), F.lit("")), F.nullif(array, F.lit("")), F.nullif(obj, F.lit("")))
+
+
+def is_local(x: Column) -> Column:
+    """FLT-13: no scheme, or a file address."""
+    return F.lower(F.regexp_extract(x, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).isin("", "file")
+
+
+def base_classes(code: Column) -> Column:
+    """STR-32: base classes of a file's classes, without subscripts and without all but the last qualifier."""
+    lists = F.regexp_extract_all(code, F.lit(r"class\s+[A-Za-z_][A-Za-z0-9_]*\(([^)]*)\)"), F.lit(1))
+    names = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
+    bare = F.transform(names, lambda n: F.element_at(F.split(strip(F.regexp_replace(n, r"\[.*$", "")), r"\."), -1))
+    return F.array_distinct(F.filter(bare, lambda n: n.rlike("^[A-Za-z_][A-Za-z0-9_]*$")))
+
+
+def case_slug(source: Column, cases) -> Column:
+    """STR-48: the first case (slug, aliases) with an alias in the lower-cased source; null if none."""
+    return F.nullif(first_marker(F.lower(source), cases, ""), F.lit(""))
+
+
+def has_marker(x: Column) -> Column:
+    """STR-53: a mention of an equation, figure, section or table."""
+    return x.rlike(r"(?i)\b(eq|fig|sec|tab)\b")
+
+
+def cluster_summary(label: Column, files: Column, change_type: Column, rationale: Column) -> Column:
+    """STR-52: one sentence on a cluster of changes."""
+    return F.format_string("%s: %d file(s) changed as %s (%s).", label, F.size(files), change_type, rationale)

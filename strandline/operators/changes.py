@@ -134,3 +134,42 @@ def owners_of_ranges(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
     df = hunks.join(ranges, "path").withColumn("hit", ranges_overlap(F.col("start"), end, F.col("a"), F.col("b")))
     anchored, every = F.collect_set(F.when(F.col("hit"), F.col("cluster"))), F.collect_set("cluster")
     return df.groupBy("path", "hunk_id").agg(F.array_sort(F.when(F.size(anchored) > 0, anchored).otherwise(every)).alias("clusters"))
+
+
+def map_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """SEQ-01, REV-09: pairs of files of two trees (path, text), and what is left: equal paths first, then equal
+    contents, then the best similar file that is free, new files in order of path; else added or deleted."""
+    from strandline.operators.sequences import greedy
+
+    same = new.select("path").join(old.select("path"), "path").select(F.col("path").alias("source_path"), F.col("path").alias("current_path"), F.lit("exact_path").alias("match_type"))
+    rest_new, rest_old = new.join(same.select(F.col("current_path").alias("path")), "path", "left_anti"), old.join(same.select(F.col("source_path").alias("path")), "path", "left_anti")
+    compared = compare_snapshots(rest_old, rest_new)
+    moved = moved_files(compared).withColumn("match_type", F.lit("content_hash"))
+    free_new = rest_new.join(moved.select(F.col("current_path").alias("path")), "path", "left_anti")
+    free_old = rest_old.join(moved.select(F.col("source_path").alias("path")), "path", "left_anti")
+
+    def keyed(df, side):
+        words = T.identifier_words(F.regexp_replace("path", r"\.[^./]*$", ""))
+        return df.select(F.col("path").alias(side), F.col("text").alias(f"{side}_text"), T.extension(F.col("path")).alias("ext"), F.explode(words).alias("word"))
+
+    pairs = keyed(free_new, "target").join(keyed(free_old, "source"), ["ext", "word"]).drop("word").dropDuplicates(["target", "source"])
+    score = file_similarity(F.col("source"), F.col("source_text"), F.col("target"), F.col("target_text"))
+    scored = pairs.select(F.lit(0).alias("grp"), "target", "source", score.alias("score")).where(F.col("score") >= 0.40)
+    fuzzy = greedy(scored, "grp").select(F.col("source").alias("source_path"), F.col("target").alias("current_path"), F.when(F.col("score") >= 0.55, "moved").otherwise("low_confidence").alias("match_type"))
+    paired = same.unionByName(moved.select(*same.columns)).unionByName(fuzzy)
+    none = F.lit(None).cast("string")
+    added = new.select(F.col("path").alias("current_path")).join(paired, "current_path", "left_anti").select(none.alias("source_path"), "current_path", F.lit("added").alias("match_type"))
+    deleted = old.select(F.col("path").alias("source_path")).join(paired, "source_path", "left_anti").select("source_path", none.alias("current_path"), F.lit("deleted").alias("match_type"))
+    return paired.unionByName(added).unionByName(deleted)
+
+
+def file_payloads(hunks: DataFrame) -> DataFrame:
+    """DIF-05, AGG-02, ARR-07: one payload for each file: sums of its hunks, and the hunks in order with ids."""
+    from strandline.functions.scores import stable_digest
+
+    ids = stable_digest(24, file_id=F.col("file_id").cast("string"), new_start=F.col("new_start"), old_start=F.col("old_start"))
+    row = F.struct("hunk", ids.alias("hunk_id"), "old_start", "old_count", "new_start", "new_count", "added", "removed")
+    return hunks.groupBy("file_id").agg(
+        F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum(F.col("added") + F.col("removed")).alias("changed"),
+        F.count("*").alias("n_hunks"), F.array_sort(F.collect_list(row)).alias("hunks"),
+    )

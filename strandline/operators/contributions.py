@@ -152,3 +152,39 @@ def reading_order(files: DataFrame) -> DataFrame:
     tagged = F.exists("tags", lambda t: F.contains(F.lower("path"), t)).cast("int")
     w = Window.partitionBy("job", "cluster_id").orderBy(F.desc("shared"), F.desc("tagged"), "path")
     return files.withColumns({"shared": shared, "tagged": tagged}).withColumn("place", F.row_number().over(w))
+
+
+def merge_details(contributions: DataFrame, details: DataFrame) -> DataFrame:
+    """SEQ-05: each detail finding (job, ord, snippet, refs) goes to the contribution of its job that shares most tokens
+    with it, two at least (the earliest of equals); a contribution with details is one step more complex, 5 at most."""
+    c = contributions.withColumn("c_tokens", F.array_union(T.tokens(F.col("title")), "keywords"))
+    d = details.withColumn("d_tokens", T.tokens(F.col("snippet")))
+    pairs = d.join(c.select("job", F.col("place").alias("c_place"), "c_tokens"), "job")
+    pairs = pairs.withColumn("n", F.size(F.array_intersect("d_tokens", "c_tokens"))).where("n >= 2")
+    w = Window.partitionBy("job", "ord").orderBy(F.desc("n"), "c_place")
+    best = pairs.withColumn("r", F.row_number().over(w)).where("r = 1")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "snippet", "refs")))
+    got = best.groupBy("job", F.col("c_place").alias("place")).agg(rows.alias("d"))
+    out = contributions.join(got, ["job", "place"], "left")
+    hints = F.coalesce(F.slice(F.transform("d", lambda x: x["snippet"]), 1, 3), F.array().cast("array<string>"))
+    refs = F.array_distinct(F.concat("evidence_refs", F.coalesce(F.flatten(F.transform("d", lambda x: x["refs"])), F.array().cast("array<string>"))))
+    more = F.least(F.col("complexity") + F.col("d").isNotNull().cast("int"), F.lit(5))
+    return out.withColumns({"hints": hints, "evidence_refs": refs, "complexity": more}).drop("d")
+
+
+def trace_anchors(anchors: DataFrame, most: int = 4) -> DataFrame:
+    """CTR-09, SRT-09: a cluster's best anchors for a contribution. anchors: job, cluster_id, contribution_id, path,
+    start, snippet, keywords; 3 for each keyword in the snippet, 4 for each shared concept, 2 for each keyword in the path."""
+    low = F.lower("snippet")
+    words = F.size(F.filter("keywords", lambda k: F.contains(low, F.lower(k))))
+    ideas = F.size(F.array_intersect(concepts(low, V.CODE_CONCEPTS), concepts(F.lower(F.array_join("keywords", " ")), V.PAPER_CONCEPTS)))
+    paths = F.size(F.filter("keywords", lambda k: F.contains(F.lower("path"), F.lower(k))))
+    df = anchors.withColumn("score", 3 * words + 4 * ideas + 2 * paths).where("score > 0")
+    w = Window.partitionBy("job", "cluster_id", "contribution_id").orderBy(F.desc("score"), F.desc("path"), F.desc("start"))
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def with_suggestions(own: DataFrame, suggested: DataFrame) -> DataFrame:
+    """CTR-07: suggested contributions (a landed table) first, then a job's own; merged by title."""
+    both = suggested.withColumn("ord", F.col("ord") - 1_000_000).unionByName(own)
+    return merge_by_title(both)

@@ -118,3 +118,80 @@ def revision(files: DataFrame) -> DataFrame:
 def cache_key(**parts: Column) -> Column:
     """HSH-07, HSH-08: digest of named parts, 32 hex digits."""
     return S.stable_digest(32, **parts)
+
+
+def coerce_contribution(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """JSN-03, STR-46: contributions from a model's reply, however it is wrapped; missing lists are empty, complexity is
+    clamped to 1..5 (2 where missing), confidence to 0..0.99 (0.45 where missing); items without a title go."""
+    kind = "array<struct<title:string,section:string,keywords:array<string>,impl_hints:array<string>,implementation_complexity:string,confidence:string,repo_url:string>>"
+    df = payloads.withColumn("_i", F.from_json(T.json_block(F.col(column)), kind))
+    df = df.select(*payloads.columns, F.posexplode("_i").alias("ord", "i")).where(F.btrim(F.coalesce("i.title", F.lit(""))) != "")
+    none = F.array().cast("array<string>")
+    complexity = F.coalesce(F.col("i.implementation_complexity").try_cast("int"), F.lit(2))
+    confidence = F.coalesce(F.col("i.confidence").try_cast("double"), F.lit(0.45))
+    return df.select(
+        *[c for c in payloads.columns if c != column], "ord", "i.title", F.coalesce("i.section", F.lit("")).alias("section"),
+        F.coalesce("i.keywords", none).alias("keywords"), F.coalesce("i.impl_hints", none).alias("hints"),
+        F.greatest(F.lit(1), F.least(F.lit(5), complexity)).alias("complexity"),
+        F.greatest(F.lit(0.0), F.least(F.lit(0.99), confidence)).alias("confidence"), T.repo_key(F.col("i.repo_url")).alias("repo_url"),
+    )
+
+
+def context_summary(files: DataFrame, most: int = 10) -> DataFrame:
+    """STR-51, AGG-05: each repository's most frequent top folders and imports (ties by name), as text."""
+    def top(df, name):
+        counts = df.groupBy("repo_url", "v").agg(F.count("*").alias("n"))
+        w = Window.partitionBy("repo_url").orderBy(F.desc("n"), "v")
+        rows = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("v", F.lit(" ("), "n", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ")
+        return rows.groupBy("repo_url").agg(listed.alias(name))
+
+    dirs = files.where(F.contains("path", F.lit("/"))).select("repo_url", F.get(F.split("path", "/"), F.lit(0)).alias("v"))
+    mods = files.select("repo_url", F.explode(T.imports(F.col("text"))).alias("v"))
+    df = top(dirs, "dirs").join(top(mods, "imports"), "repo_url", "full_outer")
+    return df.withColumn("summary", F.concat(F.lit("folders: "), F.coalesce("dirs", F.lit("-")), F.lit("\nimports: "), F.coalesce("imports", F.lit("-"))))
+
+
+def all_warnings(*stages: DataFrame) -> DataFrame:
+    """AGG-14: distinct warnings of each job over stages (job, warnings), in order of stage."""
+    every = None
+    for k, s in enumerate(stages):
+        part = s.select("job", F.lit(k).alias("k"), F.posexplode("warnings").alias("pos", "w"))
+        every = part if every is None else every.unionByName(part)
+    rows = F.array_sort(F.collect_list(F.struct("k", "pos", "w")))
+    return every.groupBy("job").agg(F.array_distinct(F.transform(rows, lambda x: x["w"])).alias("warnings"))
+
+
+def job_list(jobs: DataFrame) -> DataFrame:
+    """API-02, SRT-11: jobs, newest first."""
+    return jobs.orderBy(F.desc("created_at"), "job")
+
+
+def result_of(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """API-03, API-04: each job with its result and how to answer for it."""
+    df = jobs.join(results, "job", "left")
+    code = F.when(F.col("result").isNotNull(), 200).when(F.col("status").isin("queued", "running"), 202).when(F.col("status") == "failed", 409).otherwise(404)
+    return df.withColumn("code", code)
+
+
+def file_of(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """API-06, CLI-02: wanted (job, file_id) rows with their entry and the first bucket that holds it."""
+    first = entries.groupBy("job", "file_id").agg(F.min_by(F.struct(*[c for c in entries.columns if c not in ("job", "file_id")]), "bucket_place").alias("e"))
+    return wanted.join(first, ["job", "file_id"], "left").select("job", "file_id", "e.*")
+
+
+def cluster_files(anchors: DataFrame) -> DataFrame:
+    """CLI-08, CLI-09, AGG-17: files of each cluster by number of anchors, then path; how many can be compared."""
+    df = anchors.groupBy("cluster_id", "path").agg(F.count("*").alias("n"), F.count_if("comparable").alias("comparable"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "path")
+    return df.withColumn("place", F.row_number().over(w))
+
+
+def linked_hunks(hunks: DataFrame) -> DataFrame:
+    """CLI-11: hunks of each file that hold the selected claim; hunks: file_id, claim_ids, selected."""
+    return hunks.groupBy("file_id").agg(F.count_if(F.array_contains("claim_ids", F.col("selected"))).alias("n"))
+
+
+def checklist(x: Column) -> Column:
+    """CLI-12: non-empty sentences of what a contribution says."""
+    return F.filter(F.flatten(F.transform(F.filter(x, lambda v: v.isNotNull()), T.sentences)), lambda v: v != "")

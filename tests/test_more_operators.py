@@ -79,3 +79,47 @@ def test_reviews(spark):
     files = spark.createDataFrame([("r", "b", "2"), ("r", "a", "1")], "repo_url string, path string, text string")
     assert reviews.revision(files).first().revision == reviews.revision(files.orderBy("path")).first().revision
     assert files.select(reviews.cache_key(a=F.lit("x"))).first()[0]
+
+
+def test_map_files(spark):
+    old = spark.createDataFrame([("a.py", "1"), ("b.py", "same"), ("src/model.py", "class A: pass\n" * 6), ("gone.py", "q")], "path string, text string")
+    new = spark.createDataFrame([("a.py", "2"), ("c.py", "same"), ("lib/model.py", "class A: pass\n" * 6 + "x = 1"), ("fresh.rs", "z")], "path string, text string")
+    got = {(r.source_path, r.current_path, r.match_type) for r in changes.map_files(old, new).collect()}
+    assert got == {
+        ("a.py", "a.py", "exact_path"), ("b.py", "c.py", "content_hash"), ("src/model.py", "lib/model.py", "moved"), ("gone.py", None, "deleted"), (None, "fresh.rs", "added"),
+    }
+
+
+def test_payloads_and_views(spark):
+    reply = 'ok ```json\n[{"title": "T", "implementation_complexity": 9, "confidence": "x"}, {"title": " "}]\n```'
+    r = reviews.coerce_contribution(spark.createDataFrame([("j", reply), ("k", "nothing")], "job string, payload string")).collect()
+    assert [(x.job, x.title, x.keywords, x.complexity, x.confidence, x.repo_url) for x in r] == [("j", "T", [], 5, 0.45, None)]
+    files = spark.createDataFrame([("r", "src/a.py", "import os"), ("r", "src/b.py", "import os\nimport re"), ("s", "x", "")], "repo_url string, path string, text string")
+    assert reviews.context_summary(files).where("repo_url = 'r'").first().summary == "folders: src (2)\nimports: os (2), re (1)"
+    a = spark.createDataFrame([("j", ["x", "y"])], "job string, warnings array<string>")
+    b = spark.createDataFrame([("j", ["y", "z"])], "job string, warnings array<string>")
+    assert reviews.all_warnings(a, b).first().warnings == ["x", "y", "z"]
+    hunks = spark.createDataFrame([("f", 1, 1, 1, 1, 2, 3, 1), ("f", 2, 9, 1, 10, 1, 0, 2)], "file_id string, hunk long, old_start int, old_count int, new_start int, new_count int, added long, removed long")
+    p = changes.file_payloads(hunks).first()
+    assert (p.added, p.removed, p.changed, p.n_hunks, [h.hunk for h in p.hunks]) == (3, 3, 6, 2, [1, 2]) and len({h.hunk_id for h in p.hunks}) == 2
+    anchors = spark.createDataFrame([("D", "b", True), ("D", "a", False), ("D", "b", False)], "cluster_id string, path string, comparable boolean")
+    assert [(r.path, r.n, r.comparable) for r in reviews.cluster_files(anchors).orderBy("place").collect()] == [("b", 2, 1), ("a", 1, 0)]
+
+
+def test_details_and_anchor_traces(spark):
+    from strandline.operators import contributions as N
+
+    own = spark.createDataFrame([("j", 1, "Low rank adapter", ["adapter", "matrices"], ["Table 1"], 2)], "job string, place int, title string, keywords array<string>, evidence_refs array<string>, complexity int")
+    details = spark.createDataFrame([("j", 1, "The adapter matrices are trained", ["Eq. 2"]), ("j", 2, "Unrelated", [])], "job string, ord int, snippet string, refs array<string>")
+    r = N.merge_details(own, details).first()
+    assert (r.hints, r.evidence_refs, r.complexity) == (["The adapter matrices are trained"], ["Table 1", "Eq. 2"], 3)
+    anchors = spark.createDataFrame([("j", "D", "C", "lora/adapter.py", 3, "lora rank update", ["adapter"]), ("j", "D", "C", "x.py", 1, "nothing", ["adapter"])], "job string, cluster_id string, contribution_id string, path string, start int, snippet string, keywords array<string>")
+    assert [(x.path, x.score) for x in N.trace_anchors(anchors).collect()] == [("lora/adapter.py", 2)]
+
+
+def test_small_text_functions(spark):
+    from strandline.functions import text as T
+
+    df = spark.createDataFrame([("file:///x", "class A(b.Base[int], Other):\n pass")], "u string, code string")
+    r = df.select(T.is_local(F.col("u")).alias("l"), T.base_classes(F.col("code")).alias("b"), T.case_slug(F.col("u"), [("s", ("///x",))]).alias("c")).first()
+    assert (r.l, r.b, r.c) == (True, ["Base", "Other"], "s")
