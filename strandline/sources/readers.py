@@ -159,3 +159,14 @@ def by_kind(requests: DataFrame, branches: dict) -> DataFrame:
         part = branch(requests.where(kind == name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def artifacts(spark: SparkSession, folder: str, sessions: DataFrame, schema: str, key: str = "cache_key") -> DataFrame:
+    """SRC-22: stored payloads of sessions that are ready (cache_key, build_status); written by sinks.write_artifacts."""
+    stored = spark.read.text(folder).withColumn("p", F.from_json("value", schema)).select(key, "p.*")
+    return stored.join(sessions.where("build_status = 'ready'").select(key).distinct(), key, "left_semi")
+
+
+def primary_language(files: DataFrame, languages: tuple[str, ...] = ("python",)) -> DataFrame:
+    """FLT-11: files in the configured languages."""
+    return files.where(T.language(F.col("path")).isin(*languages))

@@ -123,3 +123,16 @@ def test_small_text_functions(spark):
     df = spark.createDataFrame([("file:///x", "class A(b.Base[int], Other):\n pass")], "u string, code string")
     r = df.select(T.is_local(F.col("u")).alias("l"), T.base_classes(F.col("code")).alias("b"), T.case_slug(F.col("u"), [("s", ("///x",))]).alias("c")).first()
     assert (r.l, r.b, r.c) == (True, ["Base", "Other"], "s")
+
+
+def test_artifacts(spark, tmp_path):
+    from strandline.sources import readers, sinks
+
+    files = spark.createDataFrame([("k1", "f1", 3), ("k1", "f2", 4), ("k2", "f3", 5)], "cache_key string, file_id string, n int")
+    sinks.write_artifacts(files, str(tmp_path / "a"))
+    sinks.write_artifacts(files.where("cache_key = 'k1' and file_id = 'f1'"), str(tmp_path / "a"))
+    sessions = spark.createDataFrame([("k1", "ready"), ("k2", "building")], "cache_key string, build_status string")
+    got = readers.artifacts(spark, str(tmp_path / "a"), sessions, "file_id string, n int").collect()
+    assert [(r.cache_key, r.file_id, r.n) for r in got] == [("k1", "f1", 3)]
+    paths = spark.createDataFrame([("a.py",), ("b.rs",)], "path string")
+    assert [r.path for r in readers.primary_language(paths).collect()] == ["a.py"]
