@@ -22,3 +22,27 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, so that their Python workers can import it
+    wherever they run; the driver's file server hands it out."""
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package, raw = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    target = Path(tempfile.mkdtemp(prefix="strandline")) / "strandline_package.zip"
+    target.write_bytes(raw.getvalue())
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
