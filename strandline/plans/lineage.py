@@ -26,8 +26,9 @@ def content_hash_join(t: Tables):
 
 
 def _source_tokens(t: Tables):
-    """AGG-15: the distinct tokens of each source, one row each."""
-    return t.documents.select("source", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    """AGG-15: the distinct tokens of each source, one row each. (A plain explode would have the optimiser filter on the
+    array's size first, and so tokenise each text twice.)"""
+    return t.documents.select("source", F.explode_outer(T.tokens(F.col("text"))).alias("token")).where("token is not null").distinct()
 
 
 SOURCE_TOKENS = f"SELECT DISTINCT source, unnest({sql_tokens('text')}) AS token FROM documents"

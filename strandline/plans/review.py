@@ -21,7 +21,7 @@ def claim_scores(t: Tables):
     The claims' tokens are broadcast while they are few."""
     claims = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
     claims = broadcast_if_small(claims)
-    docs = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    docs = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("token"))
     shared = docs.join(claims, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     return shared.select("item_id", "doc_id", (F.col("k") / F.col("n")).alias("score"))
 

@@ -122,7 +122,7 @@ def sql_count(x: str, markers) -> str:
 )
 def sentence_score(t: Tables):
     """MTH-07, CTR-02: the three sentences of each document with the highest score."""
-    df = t.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    df = t.documents.select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "s")).where("pos is not null")
     df = df.select("doc_id", (F.col("pos") + 1).alias("pos"), T.sentence_score(F.col("s")).cast("int").alias("score"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     return df.withColumn("r", F.row_number().over(best)).where("r <= 3").drop("r")
@@ -312,7 +312,7 @@ def owner_groups(t: Tables):
     SELECT source, token, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS r FROM c) WHERE r <= 6""")
 def freq_topk(t: Tables):
     """AGG-05: the six most frequent tokens of each source, ties by token."""
-    df = t.documents.select("source", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("source", "token").agg(F.count("*").alias("n"))
+    df = t.documents.select("source", F.explode_outer(T.tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("source", "token").agg(F.count("*").alias("n"))
     best = Window.partitionBy("source").orderBy(F.desc("n"), "token")
     return df.withColumn("r", F.row_number().over(best)).where("r <= 6").drop("r")
 
