@@ -32,12 +32,16 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.x, group = np.unique(x, axis=0, return_inverse=True)
-        by = np.lexsort((ids, group.ravel()))
-        g = group.ravel()[by]
+        group = group.ravel()
+        by = np.lexsort((ids, group))
+        g, ids = group[by], ids[by]
+        begins = np.r_[True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])] if len(g) else np.empty(0, bool)
+        copy = np.arange(len(g)) - np.maximum.accumulate(np.where(begins, np.arange(len(g)), 0))
+        g, ids = g[copy < k], ids[copy < k]  # more copies of a row cannot enter
         place = np.arange(len(g)) - np.searchsorted(g, g)
-        some = place <= k  # one more than k, as the query itself may be among them
-        self.ids = np.full((len(self.x), k + 1), np.iinfo(np.int64).max)
-        self.ids[g[some], place[some]] = ids[by][some]
+        some = place < 2 * k  # as k of them may be the query itself
+        self.ids = np.full((len(self.x), place[some].max(initial=0) + 1), np.iinfo(np.int64).max)
+        self.ids[g[some], place[some]] = ids[some]
         self.order = np.argsort(self.x, axis=0, kind="stable")
         self.values = np.take_along_axis(self.x, self.order, axis=0)
         self.exact = self.x.astype(float)
@@ -96,8 +100,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rows of the query's own vec_id; ties go to the smaller vec_id. Returns query_id, rank (from 1), vec_id, score.
 
     Fewer than k candidates give fewer rows. Vectors of another length than the query's take no part for it. Rows with
-    a null vec_id or vector take no part. Rows that repeat a vec_id and vector count once. Other columns are ignored;
-    an empty table gives an empty result. Products must stay within 64 bits.
+    a null vec_id or vector take no part. Rows that repeat a vec_id are rows of their own, with a rank each, and rows of
+    `queries` that share a vec_id put all their scores into one ranking, as in the SQL. Other columns are ignored; an
+    empty table gives an empty result. Products must stay within 64 bits.
     """
     vectors = vectors.where("vec_id is not null and x is not null").select("vec_id", "x", F.size("x").alias("dim"))
     queries = queries.where("vec_id is not null and x is not null").select("vec_id", "x", F.size("x").alias("dim"))
@@ -116,5 +121,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     keys = ["dim", "block", "query_block"]
     found = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best).cast("int"))
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -30,6 +30,28 @@ def test_top_k(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, [r for r in rows if r[0] % 10 == 0], 5)
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_top_k_repeated_rows(spark, tmp_path, copies, monkeypatch):
+    """Repeated rows are rows in the SQL; small blocks, equal vectors, and repeated queries."""
+    import duckdb
+    from strandline.llm import queries, topk_search
+
+    rng = random.Random(copies)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)] + [(100 + i, [2.0, 2.0, 2.0]) for i in range(8)]
+    rows = rows * copies + [(50, [1.0, 2.0, -1.0]), (100, [2.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.OP4_SQL})").fetchall())
+    for block in (4096, 30):
+        monkeypatch.setattr(topk_search, "BLOCK", block)
+        assert sorted(map(tuple, queries.op4_topk_search(spark, str(tmp_path)).collect())) == want
+    once = spark.createDataFrame([(100, [2, 2, 2])], "vec_id long, x array<bigint>")
+    vectors = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in rows], "vec_id long, x array<bigint>")
+    assert sorted(map(tuple, top_k(vectors, once, 5).collect())) == brute([(i, [int(v) for v in x]) for i, x in rows], [(100, [2, 2, 2])], 5)
+
+
 def test_search_stops_early():
     rng = np.random.default_rng(0)
     x = rng.integers(-5, 6, (5000, 3))
