@@ -28,8 +28,8 @@ def running_budget(df: DataFrame, key: str, order: str, text: str, sections: int
     return out.select(key, F.col("a.taken").alias("sections"), F.col("a.used").alias("chars"))
 
 
-def pack_batches(df: DataFrame, key: str, order: str, text: str, sections: int, total: int, most: int) -> DataFrame:
-    """Batch sizes: texts fill a batch up to `sections` or `total` characters; what follows `most` batches is left out."""
+def pack_batches(df: DataFrame, key: str, order: str, text: str, sections: int, total: int, most: int, section_chars: int | None = None) -> DataFrame:
+    """Batch sizes: texts, each cut to `section_chars`, fill a batch up to `sections` or `total` characters; what follows `most` batches is left out."""
     empty = F.array().cast("array<struct<texts:bigint,chars:bigint>>")
     start = F.struct(empty.alias("full"), F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("chars"))
 
@@ -43,6 +43,6 @@ def pack_batches(df: DataFrame, key: str, order: str, text: str, sections: int,
         )
 
     last = F.array(F.struct(F.col("a.texts").alias("texts"), F.col("a.chars").alias("chars")))
-    out = _sorted(df, key, order, text, None).select(key, F.aggregate("sizes", start, step).alias("a"))
+    out = _sorted(df, key, order, text, section_chars).select(key, F.aggregate("sizes", start, step).alias("a"))
     out = out.select(key, F.posexplode(F.slice(F.concat(F.col("a.full"), last), 1, most)).alias("batch", "b"))
     return out.select(key, "batch", "b.texts", "b.chars")

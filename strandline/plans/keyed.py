@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.operators import folds, ranking
 from strandline.operators.graph import components
@@ -200,10 +201,25 @@ def running_budget(t: Tables):
     return folds.running_budget(t.conversations, "conv_id", "turn", "text", sections=8, section_chars=500, total=1500, least=100)
 
 
+@query(
+    "running_budget_full",
+    f"""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(left(text, {V.PARSE_SECTION_CHARS})) AS n FROM conversations),
+    r(conv_id, k, used, taken, stop) AS (
+      SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM (SELECT DISTINCT conv_id FROM s)
+      UNION ALL SELECT s.conv_id, s.k, used + least(n, {V.PARSE_TOTAL_CHARS} - used), taken + 1,
+        NOT (taken + 1 < {V.PARSE_SECTIONS} AND {V.PARSE_TOTAL_CHARS} - (used + least(n, {V.PARSE_TOTAL_CHARS} - used)) >= {V.PARSE_LEAST})
+      FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1 WHERE NOT stop)
+    SELECT conv_id, max(taken) AS sections, max(used) AS chars FROM r GROUP BY conv_id""",
+)
+def running_budget_full(t: Tables):
+    """WIN-07: turns taken in order within the reference's limits."""
+    return folds.running_budget(t.conversations, "conv_id", "turn", "text", V.PARSE_SECTIONS, V.PARSE_SECTION_CHARS, V.PARSE_TOTAL_CHARS, V.PARSE_LEAST)
+
+
 @query("batch_pack")
 def batch_pack(t: Tables):
-    """WIN-08: turns packed greedily into at most three batches."""
-    return folds.pack_batches(t.conversations, "conv_id", "turn", "text", sections=4, total=2000, most=3)
+    """WIN-08: turns packed greedily into at most three batches, within the reference's limits."""
+    return folds.pack_batches(t.conversations, "conv_id", "turn", "text", V.PARSE_SECTIONS, V.PARSE_TOTAL_CHARS, V.PARSE_BATCHES, V.PARSE_SECTION_CHARS)
 
 
 @query("group_max", """SELECT source, lang, max(n_chars) AS best, bool_or(n_chars > 5000) AS any_long, least(0.95e0, max(n_chars) / 10000e0 + 0.15e0) AS confidence FROM documents GROUP BY source, lang""")

@@ -282,6 +282,18 @@ def snapshot_scan(t: Tables):
     return df.where("place <= 40")
 
 
+@query(
+    "snapshot_scan_full",
+    f"""SELECT source, doc_id, n AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n
+    FROM documents WHERE strlen(text) <= {V.MAX_FILE_BYTES}) WHERE n <= {V.MAX_FILES}""",
+)
+def snapshot_scan_full(t: Tables):
+    """SRC-02, SRT-13: the documents of each source within the reference's limits, size before place as there."""
+    first = Window.partitionBy("source").orderBy("doc_id")
+    df = t.documents.where(F.octet_length("text") <= V.MAX_FILE_BYTES).select("source", "doc_id", F.row_number().over(first).cast("long").alias("place"))
+    return df.where(F.col("place") <= V.MAX_FILES)
+
+
 @query("reference_markers", r"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all('see Eq. ' || doc_id || ' and Table 2, figure ' || (doc_id % 3) || ' and Table 2', '(?i)\b(?:eq(?:uation)?\.?\s*\d+|algorithm\s*\d+|table\s*\d+|fig(?:ure)?\.?\s*\d+)\b'))) AS INTEGER) AS n FROM documents""")
 def reference_markers(t: Tables):
     """STR-20: distinct references of a phrase made from each id."""
@@ -325,6 +337,15 @@ def large_file_mode(t: Tables):
     return df.select("doc_id", F.when((F.col("lines") > 100) | (F.col("bytes") > 20_000), "raw_diff_only").otherwise("inline").alias("mode"), "lines", "bytes")
 
 
+@query("large_file_mode_full", f"""SELECT doc_id, CASE WHEN lines > {V.LARGE_LINES} OR bytes > {V.LARGE_BYTES} THEN 'raw_diff_only' ELSE 'inline' END AS mode, lines, bytes
+    FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)""")
+def large_file_mode_full(t: Tables):
+    """REV-14: display mode by lines and bytes, with the reference's thresholds."""
+    df = t.documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("bytes"))
+    large = (F.col("lines") > V.LARGE_LINES) | (F.col("bytes") > V.LARGE_BYTES)
+    return df.select("doc_id", F.when(large, "raw_diff_only").otherwise("inline").alias("mode"), "lines", "bytes")
+
+
 @query("significance_queue", """SELECT doc_id, significance, lines, CAST(row_number() OVER (ORDER BY linked DESC, rank DESC, lines DESC, doc_id) AS BIGINT) AS place FROM (
     SELECT doc_id, lines, linked, CASE WHEN linked > 0 OR lines >= 50 THEN 'high' WHEN lines >= 10 THEN 'medium' ELSE 'low' END AS significance,
       CASE WHEN linked > 0 OR lines >= 50 THEN 3 WHEN lines >= 10 THEN 2 ELSE 1 END AS rank

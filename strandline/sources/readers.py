@@ -41,11 +41,11 @@ def strict_text(content: Column) -> Column:
 
 def snapshot(files: DataFrame, repo: str = "repo_url", most: int = V.MAX_FILES, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
     """SRC-02, SRC-05: the first `most` included files of each repository by path, of at most `max_bytes`, as text;
-    the place is taken before the size and the encoding are looked at."""
+    a file left out for its size or encoding takes no place."""
     w = Window.partitionBy(repo).orderBy("path")
-    df = files.where(T.included_file(F.col("path"))).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most)
-    df = df.where(F.col("length") <= max_bytes).withColumn("text", strict_text(F.col("content"))).where("text is not null")
-    return df.select(repo, "path", "ord", "text")
+    df = files.where(T.included_file(F.col("path"))).where(F.col("length") <= max_bytes)
+    df = df.withColumn("text", strict_text(F.col("content"))).where("text is not null")
+    return df.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most).select(repo, "path", "ord", "text")
 
 
 def supporting(files: DataFrame) -> DataFrame:
