@@ -9,7 +9,7 @@ in trusted documents, and gets their log-probabilities back; with these it score
 distinct n-grams of groups, not the occurrences, and a frequent n-gram is one row for each group.
 
 A document is kept if its perplexity, shrunk towards the mean for short texts, is at most its language's quantile of
-the held-out trusted documents.
+the held-out trusted documents, which is drawn towards the quantile over all languages the fewer there are.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SCORES = "doc_id string, lang string, held boolean, n_grams long, log_loss doubl
 SALTS = 32
 PRIOR = 40  # characters of mean held-out loss that are added to each text, as the loss of a short text says little
 DENSE = 1 << 25
-LEAST_HELD = 50  # a quantile of fewer held-out documents says nothing
+PRIOR_HELD = 50  # held-out documents that the overall threshold counts for beside a language's own
 
 
 def _ids(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +172,9 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold:
     """doc_id, n_grams, perplexity, shrunk_perplexity, threshold and kept for each row. `labels` has doc_id and quality; a document is
     trusted if all its labels say 1. One in `fold` trusted documents, by a hash, sets thresholds instead of training.
 
-    A language with fewer than 50 held-out documents takes the threshold over all languages; without any, or
-    without training text, all texts are kept. Null and empty texts have a null perplexity and are not kept. Repeated
+    A language's threshold is the mean of its own quantile, weighted by its n held-out documents, and the quantile over
+    all languages, weighted by PRIOR_HELD, at every n; without any held-out document, or without training text, all
+    texts are kept. Null and empty texts have a null perplexity and are not kept. Repeated
     rows give repeated results; rows with a null doc_id are scored and never trusted. Other columns are ignored; an
     empty table gives an empty result.
     """
@@ -210,11 +211,11 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold:
     limit = F.percentile_approx("score", quantile, 10000).alias("limit")
     overall = F.lit(held.agg(limit).first()["limit"]).cast("double")  # one number
     key = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n"))
-    by_lang = held.groupBy(key.alias("key")).agg(limit, F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).drop("n")
+    by_lang = held.groupBy(key.alias("key")).agg(limit, F.count("*").alias("n"))
     by_lang = by_lang.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = out.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = out.join(by_lang, ["key", "salt"], "left")
-    at = F.coalesce(F.col("limit"), overall)
+    at = F.coalesce((F.col("limit") * F.col("n") + overall * PRIOR_HELD) / (F.col("n") + PRIOR_HELD), overall)
     return out.select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n_grams"),

@@ -333,6 +333,29 @@ def test_kn_quality_held_out(spark):
     assert rate[1] >= 0.9 and rate[0] <= 0.2
 
 
+def test_kn_threshold_of_rare_languages(spark):
+    """Each language's own quantile counts at every number of held-out documents, few or many."""
+    folder = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(5)) == 0
+    out = kn_quality.kn_quality(d, labels).join(d.select("doc_id", "lang"), "doc_id")
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = 1 and b = 1").select("doc_id")
+    rows = out.join(trusted.withColumn("t", held), "doc_id", "left").select("lang", "t", "shrunk_perplexity", "threshold").collect()
+    scores, found = collections.defaultdict(list), {}
+    for r in rows:
+        found[r.lang] = math.log(r.threshold)
+        if r.t and r.shrunk_perplexity:
+            scores[r.lang].append(math.log(r.shrunk_perplexity))
+
+    def at(x):
+        return sorted(x)[math.ceil(0.99 * len(x)) - 1]
+
+    overall = at([v for x in scores.values() for v in x])
+    assert min(len(x) for x in scores.values()) < 50
+    for lang, x in scores.items():
+        assert found[lang] == pytest.approx((at(x) * len(x) + overall * kn_quality.PRIOR_HELD) / (len(x) + kn_quality.PRIOR_HELD), abs=1e-6)
+
+
 def test_kn_awkward(spark):
     labels = spark.createDataFrame([(3, 1, 0), (5, 1, 0), (3, 1, 1), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     out = kn_quality.kn_quality(edge.table(spark), labels).collect()
