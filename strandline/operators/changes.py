@@ -31,24 +31,42 @@ def moved_files(compared: DataFrame) -> DataFrame:
     return new.join(old, ["h", "n"]).select("source_path", "current_path")
 
 
-def file_similarity(old_path: Column, old: Column, new_path: Column, new: Column) -> Column:
-    """MTH-13: character ratio, and bonuses for shared path words and an equal stem; 1 at most."""
+def path_bonus(old_path: Column, new_path: Column) -> Column:
+    """MTH-13: what shared path words and an equal stem add to the similarity."""
     shared = F.size(F.array_intersect(T.identifier_words(old_path), T.identifier_words(new_path)))
     def stem(p):
         return F.lower(F.regexp_replace(F.regexp_extract(p, "([^/]+)$", 1), r"\.[^.]*$", ""))
 
-    return F.least(diffs.ratio(old, new) + F.least(0.05 * shared, F.lit(0.2)) + F.when(stem(old_path) == stem(new_path), 0.12).otherwise(0.0), F.lit(1.0))
+    return F.least(0.05 * shared, F.lit(0.2)) + F.when(stem(old_path) == stem(new_path), 0.12).otherwise(0.0)
+
+
+def file_similarity(old_path: Column, old: Column, new_path: Column, new: Column) -> Column:
+    """MTH-13: character ratio, and bonuses for shared path words and an equal stem; 1 at most."""
+    return F.least(diffs.ratio(old, new) + path_bonus(old_path, new_path), F.lit(1.0))
+
+
+def same_extension_pairs(old: DataFrame, new: DataFrame, least: float = 0.0) -> DataFrame:
+    """(source, target, score) of all old and new files (path, text) of one extension, shared path words or not, with a
+    similarity of at least `least`. A pair whose lengths alone keep it below is not compared: the ratio is at most
+    2 min / sum of the lengths. Pairs are dealt out one by one before the texts come in; a null text has no similarity."""
+    def side(df, name):
+        ext = F.coalesce(T.extension(F.col("path")), F.lit(""))
+        return df.where("text is not null").select(F.col("path").alias(name), ext.alias("ext"), F.length("text").alias(f"{name}_n"))
+
+    a, b = F.col("source_n"), F.col("target_n")
+    bound = F.when(a + b == 0, 1.0).otherwise(2.0 * F.least(a, b) / (a + b)) + path_bonus(F.col("source"), F.col("target"))
+    pairs = side(new, "target").join(side(old, "source"), "ext").where(bound >= least - 1e-9).select("source", "target")
+    pairs = pairs.join(old.select(F.col("path").alias("source"), F.col("text").alias("source_text")), "source")
+    pairs = pairs.join(new.select(F.col("path").alias("target"), F.col("text").alias("target_text")), "target")
+    pairs = pairs.repartition("source", "target")
+    score = file_similarity(F.col("source"), F.col("source_text"), F.col("target"), F.col("target_text"))
+    return pairs.select("source", "target", score.alias("score")).where(F.col("score") >= least)
 
 
 def fuzzy_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """JON-05, WIN-06: each new file (path, text) against old files of one extension that share a word of the path; the
-    best, the second and what they say."""
-    def keyed(df, side):
-        words = T.identifier_words(F.regexp_replace("path", r"\.[^./]*$", ""))
-        return df.select(F.col("path").alias(f"{side}_path"), F.col("text").alias(f"{side}_text"), T.extension(F.col("path")).alias("ext"), F.explode(words).alias("word"))
-
-    pairs = keyed(new, "new").join(keyed(old, "old"), ["ext", "word"]).drop("word").dropDuplicates(["new_path", "old_path"])
-    pairs = pairs.withColumn("sim", file_similarity(F.col("old_path"), F.col("old_text"), F.col("new_path"), F.col("new_text")))
+    """JON-05, WIN-06: each new file (path, text) against all old files of its extension; the best, the second and what
+    they say."""
+    pairs = same_extension_pairs(old, new).select(F.col("target").alias("new_path"), F.col("source").alias("old_path"), F.col("score").alias("sim"))
     w = Window.partitionBy("new_path").orderBy(F.desc("sim"), "old_path")
     df = pairs.select("new_path", "old_path", "sim").withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("new_path").agg(
         F.max(F.when(F.col("r") == 1, F.struct("sim", "old_path"))).alias("a"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("sim"))), F.lit(0.0)).alias("second")
@@ -148,13 +166,7 @@ def map_files(old: DataFrame, new: DataFrame) -> DataFrame:
     free_new = rest_new.join(moved.select(F.col("current_path").alias("path")), "path", "left_anti")
     free_old = rest_old.join(moved.select(F.col("source_path").alias("path")), "path", "left_anti")
 
-    def keyed(df, side):
-        words = T.identifier_words(F.regexp_replace("path", r"\.[^./]*$", ""))
-        return df.select(F.col("path").alias(side), F.col("text").alias(f"{side}_text"), T.extension(F.col("path")).alias("ext"), F.explode(words).alias("word"))
-
-    pairs = keyed(free_new, "target").join(keyed(free_old, "source"), ["ext", "word"]).drop("word").dropDuplicates(["target", "source"])
-    score = file_similarity(F.col("source"), F.col("source_text"), F.col("target"), F.col("target_text"))
-    scored = pairs.select(F.lit(0).alias("grp"), "target", "source", score.alias("score")).where(F.col("score") >= 0.40)
+    scored = same_extension_pairs(free_old, free_new, 0.40).select(F.lit(0).alias("grp"), "target", "source", "score")
     fuzzy = greedy(scored, "grp").select(F.col("source").alias("source_path"), F.col("target").alias("current_path"), F.when(F.col("score") >= 0.55, "moved").otherwise("low_confidence").alias("match_type"))
     paired = same.unionByName(moved.select(*same.columns)).unionByName(fuzzy)
     none = F.lit(None).cast("string")

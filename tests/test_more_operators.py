@@ -90,6 +90,45 @@ def test_map_files(spark):
     }
 
 
+def test_renames_without_shared_words(spark):
+    """Against the full comparison of all files of one extension."""
+    import difflib
+    import random
+    import re
+
+    rng = random.Random(5)
+    def body(n):
+        return "".join(rng.choice("abcdefgh \n") for _ in range(n))
+
+    texts = [body(rng.randint(20, 120)) for _ in range(8)]
+    old = [(f"old{i}/{'pqrstuvw'[i] * 4}.py", t) for i, t in enumerate(texts)] + [("main.py", "def run():\n    return 42\n" * 9), ("notes.md", "z"), ("Makefile", "all: build\n")]
+    new = [(f"new{i}/{'ghijklmn'[i] * 4}.py", t[: len(t) * 9 // 10] + body(5)) for i, t in enumerate(texts)] + [("train.py", "def run():\n    return 42\n" * 9 + "x = 1\n"), ("Rules", "all: build\n\n")]
+    frame = [spark.createDataFrame(x, "path string, text string") for x in (old, new)]
+
+    def ext(p):
+        return p.rsplit(".", 1)[1] if "." in p else ""
+
+    def score(a, b):
+        shared = set(re.findall("[a-z0-9]+", a[0].lower())) & set(re.findall("[a-z0-9]+", b[0].lower()))  # "py" at most
+        return min(difflib.SequenceMatcher(None, a[1], b[1]).ratio() + 0.05 * len(shared), 1.0)
+
+    ranked = {b[0]: sorted(((-score(a, b), a[0]) for a in old if ext(a[0]) == ext(b[0]))) for b in new}
+    found = {r.new_path: r for r in changes.fuzzy_matches(*frame).collect()}
+    assert set(found) == set(ranked)
+    for path, best in ranked.items():
+        assert found[path].old_path == best[0][1] and found[path].best == pytest.approx(-best[0][0])
+        assert found[path].second == pytest.approx(-best[1][0] if len(best) > 1 else 0.0)
+    used, want = set(), set()
+    for path in sorted(ranked):
+        free = [(-s, a) for s, a in ranked[path] if a not in used and -s >= 0.40]
+        if free:
+            used.add(free[0][1])
+        want.add((free[0][1], path, "moved" if free[0][0] >= 0.55 else "low_confidence") if free else (None, path, "added"))
+    want |= {(a[0], None, "deleted") for a in old if a[0] not in used}
+    got = {(r.source_path, r.current_path, r.match_type) for r in changes.map_files(*frame).collect()}
+    assert got == want and ("main.py", "train.py", "moved") in got
+
+
 def test_payloads_and_views(spark):
     reply = 'ok ```json\n[{"title": "T", "implementation_complexity": 9, "confidence": "x"}, {"title": " "}]\n```'
     r = reviews.coerce_contribution(spark.createDataFrame([("j", reply), ("k", "nothing")], "job string, payload string")).collect()
