@@ -35,13 +35,15 @@ def _marks(rows: DataFrame, min_docs: int, min_chars: int, keep_first: bool) ->
     keyed = keyed.where(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"),
         F.xxhash64(F.lit(7), F.length("key"), F.reverse("key")).alias("h2"),
-        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("row.id"), F.lit(SALTS)).cast("int").alias("salt"),
         "row",
         "pos",
     )
     keyed = keyed.repartitionByRange(parts(rows.sparkSession), "h1", "h2", "salt")
     here = Window.partitionBy("h1", "h2", "salt").orderBy("row", "pos")
-    streamed = keyed.withColumn("new_doc", (F.coalesce(F.lag("row").over(here) != F.col("row"), F.lit(True))).cast("int"))
+    # Rows of one id are neighbours, as the salt is the id's and the order begins with it.
+    before = F.lag("row").over(here)
+    streamed = keyed.withColumn("new_doc", (before.isNull() | ~before["id"].eqNullSafe(F.col("row.id"))).cast("int"))
     found = (
         streamed.groupBy("h1", "h2", "salt")
         .agg(F.sum("new_doc").alias("docs"), F.min(F.struct("row", "pos")).alias("first"))
@@ -67,8 +69,8 @@ def line_dedup(
     for, n_lines, n_dropped, drop_bitmap (array of word number and 62 bits) and kept_text (other lines joined by \\n).
 
     A null or empty text is one empty line. Rows that share a doc_id count as one document for the number of
-    documents, and equal rows are told apart by their text; a null doc_id is an ordinary value. An empty table gives
-    an empty result. Other columns are ignored.
+    documents, whatever their texts, and are told apart by their text; a null doc_id is an ordinary value, so all rows
+    without an id are one document. An empty table gives an empty result. Other columns are ignored.
     """
     aside = {c: f"_in_{k}" for k, c in enumerate(columns)}
     base = docs.select(

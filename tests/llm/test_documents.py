@@ -76,6 +76,15 @@ def test_line_dedup_many_lines(spark):
         assert got[d] == (300, 43, "\n".join(f"d{d} {k}" for k in range(300) if k % 7))
 
 
+def test_line_dedup_counts_ids(spark):
+    """Rows that share a doc_id, null or not, are one document for the count, whatever their texts."""
+    rows = [(1, f"same\nown {i}") for i in range(10)] + [(None, f"null\nown {i}") for i in range(10)]
+    rows += [(100 + i % 9, f"nine\nown {i}") for i in range(20)] + [(200 + i, f"ten\nown {i}") for i in range(10)] + [(200, "ten\nmore")]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    gone = collections.Counter(r.doc_id for r in out if r.n_dropped)
+    assert gone == {**{200 + i: 1 for i in range(1, 10)}, 200: 2} and len(out) == len(rows)
+
+
 def test_quality_rules_awkward(spark):
     out = quality_rules(edge.table(spark)).collect()
     assert len(out) == len(edge.ROWS) and set(out[0].asDict()) >= {"doc_id", "kept", "base_failed"}
