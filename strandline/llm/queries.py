@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.chat_format import chat_format, read_back
+from strandline.llm.chat_format import chat_format, read_back, unescape
 from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.mixing import mix_sources
@@ -101,7 +101,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     df = chat_format(messages).withColumn("turns", read_back(F.col("formatted")))
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    def piece(x):
+        return unescape(F.substring(F.col("formatted"), x["start"].cast("int") + 1, x["length"].cast("int")))
+
+    loss = F.array_join(F.transform("loss_spans", piece), "")
     df = df.withColumns({"_all": all_turns, "_loss": loss})
     return df.select(
         "conv_id",

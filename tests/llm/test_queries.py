@@ -9,3 +9,19 @@ from tests.test_queries import duck, same_rows  # noqa: F401
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, duck, name):  # noqa: F811
     same_rows(spark, duck, Q.queries()[name], Q.oracle_sql()[name])
+
+
+def test_chat_loss_is_read_from_the_spans(spark, monkeypatch):
+    """Spans that are one off must show in the query's loss columns."""
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF
+
+    def loss():
+        return {r.conv_id: (r.loss_chars, r.loss_sha256) for r in Q.op5_chat_format(spark, SF).collect()}
+
+    right, real = loss(), Q.chat_format
+    off = F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length")))
+    monkeypatch.setattr(Q, "chat_format", lambda df: real(df).withColumn("loss_spans", off))
+    wrong = loss()
+    assert right[-1] != wrong[-1] and sum(right[c] != wrong[c] for c in right) > len(right) / 2
