@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -166,8 +167,18 @@ def bucket_counts(t: Tables):
 def connected_components(t: Tables):
     """GRF-01, GRF-02: customers linked through a supplier of large first lines. The graph is the bipartite one, so a
     supplier with many customers makes one edge for each, not one for each pair."""
+    return _linked_customers(t, t.lineitem.where("l_quantity >= 50 and l_linenumber = 1"))
+
+
+@query("connected_components_full")
+def connected_components_full(t: Tables):
+    """GRF-01, GRF-02: customers linked through a supplier of any line item; tested by brute force."""
+    return _linked_customers(t, t.lineitem)
+
+
+def _linked_customers(t: Tables, lines: DataFrame) -> DataFrame:
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    edges = t.lineitem.where("l_quantity >= 50 and l_linenumber = 1").join(o, "l_orderkey").select(F.col("o_custkey").alias("c"), "l_suppkey").distinct()
+    edges = lines.join(o, "l_orderkey").select(F.col("o_custkey").alias("c"), "l_suppkey").distinct()
     top = 1 << 40  # suppliers' numbers lie above all customers'
     comps = components(edges.select((F.col("l_suppkey") + F.lit(top)).alias("a"), F.col("c").alias("b")))
     several = edges.groupBy("l_suppkey").agg(F.count("*").alias("n")).where("n > 1").select("l_suppkey")

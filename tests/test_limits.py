@@ -55,3 +55,24 @@ def test_snapshot_places(spark):
     df = spark.createDataFrame(files, "repo_url string, path string, length long, content binary")
     got = readers.snapshot(df, most=2, max_bytes=100).collect()
     assert sorted((r.path, r.ord) for r in got) == [("a.py", 1), ("d.py", 2)]
+
+
+def test_connected_components_over_all_lines(spark, tmp_path):
+    """Against union-find; no line is a first one of 50 or more."""
+    import random
+
+    rng = random.Random(3)
+    orders = [(i, rng.randint(1, 40)) for i in range(60)]
+    lines = [(rng.randint(0, 59), rng.randint(1, 45), rng.randint(2, 5), 10.0) for _ in range(70)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    customers = {}
+    for o, s, _, _ in lines:
+        customers.setdefault(s, set()).add(dict(orders)[o])
+    groups = {c: {c} for _, c in orders}
+    for cs in customers.values():
+        whole = set().union(*(groups[c] for c in cs))
+        for c in whole:
+            groups[c] = whole
+    want = sorted((c, min(groups[c])) for c in {c for cs in customers.values() if len(cs) > 1 for c in cs})
+    assert sorted(map(tuple, catalog.queries()["connected_components_full"](spark, str(tmp_path)).collect())) == want
