@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import mix64
-from strandline.llm.token_counts import PIECES, batches, split_batch
+from strandline.llm.token_counts import PIECES, batches, distinct_bound, split_batch
 from strandline.llm.unigram import HELD, SPACE, Lattice, Vocabulary
 
 SAMPLES = "doc_id string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
@@ -78,8 +78,15 @@ def _walk(lattice, key, text, token, node, step, sample):
 
 def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, samples: int, at_once: int = 500_000):
     """Yields (text number, sample number, ids, log-probability, perturbed score, inclusion), texts without pieces too.
-    One lattice serves all texts; about `at_once` characters are searched together."""
-    words, flat, sizes = split_batch(texts)
+    One lattice serves all texts, or halves of them where their distinct pre-tokens are over `at_once` characters; about
+    `at_once` characters are searched together."""
+    words, flat, sizes, _ = split_batch(texts, vocab)
+    if distinct_bound(texts, words, at_once):
+        half = len(texts) // 2
+        for a, b in ((0, half), (half, len(texts))):
+            for r, *rest in sample_texts(texts[a:b], keys[a:b], vocab, samples, at_once):
+                yield a + r, *rest
+        return
     lattice = Lattice(words, vocab)
     lattice.sum_scores()
     ends = np.cumsum(sizes)
@@ -203,13 +210,21 @@ def _next_path(lattice, keys, paths, bounds, splits, where, whose, sizes, ends,
         mask_at |= dict(zip(rows.tolist(), mask.tolist()))
     none = np.empty(0, np.int64)
     cols = [np.concatenate([none, *x]) for x in zip(*parts)] if parts else [none] * 5
-    by = np.argsort((cols[0] << 40) | (cols[1] << 8) | cols[2], kind="stable")
+    by = _in_order(*cols[:3])
     path = _Path(*(c[by] for c in cols), lattice)
     rows = path.rows.tolist()
     at = path.first + np.array([place[r] for r in rows], np.int64)
     return path, at, np.array([mask_at[r] for r in rows], np.int64)
 
 
+def _in_order(text: np.ndarray, token: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Places by text, pre-token and step, sorted by one packed number where the three fit into it."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (text, token, step)]
+    if sum(bits) > 62:
+        return np.lexsort((step, token, text))
+    return np.argsort((text << (bits[1] + bits[2])) | (token << bits[2]) | step, kind="stable")
+
+
 def _piece_ids(lattice, path: _Path, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts of a path in text order, and where each text's ids begin and end. Inside a pre-token the
     path runs backwards; a character without a piece becomes its byte pieces."""

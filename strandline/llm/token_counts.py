@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.unigram import LONGEST, SPACE, Lattice, Vocabulary, cut_long, pretokens, spaced
+from strandline.llm.unigram import LONG, SPACE, Lattice, Vocabulary, pretokens, seam_parts, spaced
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -33,40 +33,71 @@ def batches(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def split_batch(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pre-tokens, the number of each occurrence in order, and how many each text has."""
+def split_batch(texts: list[str | None], vocab: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens, the number of each occurrence in order, how many each text has, and how many before long
+    ones were cut at their seams."""
     if any(t and SPACE in t for t in texts):
-        return _number([pretokens(t) for t in texts])
-    pieces = pc.split_pattern(pa.array([spaced(t) if t else "" for t in texts], pa.large_string()), " ")
-    coded = pieces.flatten().dictionary_encode()
-    words, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if max(map(len, words), default=0) > LONGEST:
-        return _number([pretokens(t) for t in texts])
-    sizes = np.diff(pieces.offsets.to_numpy())
-    if "" in words:  # between two spaces, or a text without pre-tokens
-        real = flat != words.index("")
-        sums = np.r_[0, np.cumsum(real)]
-        ends = np.cumsum(sizes)
-        sizes, flat = sums[ends] - sums[ends - sizes], flat[real]
-        words[words.index("")] = "\n"  # keeps the numbers of the others; none uses it
-    return words, flat, sizes.astype(np.int64)
+        words, flat, sizes = _number([pretokens(t) for t in texts])
+    else:
+        pieces = pc.split_pattern(pa.array([spaced(t) if t else "" for t in texts], pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        words, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        sizes = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
+        if "" in words:  # between two spaces, or a text without pre-tokens
+            real = flat != words.index("")
+            sizes, flat = _per_text(real, sizes), flat[real]
+            words[words.index("")] = "\n"  # keeps the numbers of the others; none uses it
+    return *_at_seams(words, flat, sizes, vocab), sizes
+
+
+def _per_text(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of each text's entries."""
+    sums, ends = np.r_[0, np.cumsum(x)], np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
 
 
 def _number(lists: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    lists = [cut_long(ws) for ws in lists]
-    number = {w: i for i, w in enumerate(set().union(*lists))}
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     return list(number), np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum())), sizes
 
 
-def count_texts(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and pre-tokens of each text."""
-    words, flat, sizes = split_batch(texts)
+def _at_seams(words: list[str], flat: np.ndarray, sizes: np.ndarray, vocab: Vocabulary):
+    """The same with each long pre-token replaced by its parts."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    if not long:
+        return words, flat, sizes
+    number, n_parts = {w: i for i, w in enumerate(words)}, np.ones(len(words), np.int64)
+    cut = dict(zip(long, seam_parts([words[i] for i in long], vocab)))
+    for i, parts in cut.items():
+        n_parts[i] = len(parts)
+    begin = np.cumsum(n_parts) - n_parts
+    table = np.repeat(np.arange(len(words)), n_parts)
+    for i, parts in cut.items():
+        table[begin[i] : begin[i] + len(parts)] = [number.setdefault(w, len(number)) for w in parts]
+    out = list(number)
+    for i, parts in cut.items():
+        if len(parts) > 1:
+            out[i] = "\n"  # none uses it any more
+    n = n_parts[flat]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return out, table[np.repeat(begin[flat], n) + inside], _per_text(n, sizes)
+
+
+def distinct_bound(texts: list[str | None], words: list[str], most: int) -> bool:
+    """Whether the distinct pre-tokens of several texts are too many characters for one trie (text without spaces)."""
+    return len(texts) > 1 and sum(map(len, words)) > most
+
+
+def count_texts(texts: list[str | None], vocab: Vocabulary, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and pre-tokens of each text. A trie holds about `most` characters, or one longer text."""
+    words, flat, sizes, whole = split_batch(texts, vocab)
+    if distinct_bound(texts, words, most):
+        half = len(texts) // 2
+        return tuple(np.concatenate(x) for x in zip(count_texts(texts[:half], vocab, most), count_texts(texts[half:], vocab, most)))
     lattice = Lattice(words, vocab)
     per_word = lattice.best_counts()[lattice.terminal]
-    sums = np.r_[0, np.cumsum(per_word[flat])]
-    ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - sizes], sizes
+    return _per_text(per_word[flat], sizes), whole
 
 
 def token_counts(docs: DataFrame, vocabulary: str = PIECES, batch_chars: int = 4_000_000) -> DataFrame:

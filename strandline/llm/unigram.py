@@ -4,8 +4,10 @@ The vocabulary file gives pieces in order of rank; their probabilities follow Zi
 trained). A character without a piece of its own is spelled in byte pieces, so every text has a segmentation and
 decoding gives the text back exactly.
 
-Pre-tokens: each space begins a new one and is its first character, each newline is one of its own, and pre-tokens of
-more than `LONGEST` code points are cut there. Segmentations never cross pre-tokens.
+Pre-tokens: each space begins a new one and is its first character, each newline is one of its own. Segmentations never
+cross pre-tokens, of any length. A pre-token over `LONG` code points (an address, encoded bytes, text without spaces) is
+searched in the parts between its seams, the places that no piece crosses: every segmentation is cut there, so the parts
+are independent, and the best segmentation, the sums and the samples are those of the whole pre-token.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from strandline.llm.common import mix64
 
 SPACE = "▁"
 HELD = "\udc81"  # stands for a genuine U+2581 inside the lattice; no valid text holds it
-LONGEST = 64
+LONG = 64  # pre-tokens over this length are looked through for seams; it changes no result
 ZIPF_SHIFT = 2.7
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -42,6 +44,8 @@ class Vocabulary:
             self.bytes[i] = bytes([b])
         texts = [t for t, _, _ in pieces]
         self.longest = max(map(len, texts), default=1)
+        if self.longest > 62:
+            raise ValueError("a piece of over 62 code points; edge sets are 64-bit masks")
         h = _Codes(texts).whole() if texts else np.empty(0, np.uint64)
         self.ids = np.array([i for _, i, _ in pieces], dtype=np.int32)
         if len(np.unique(h)) != len(h):
@@ -124,8 +128,24 @@ def spaced(text: str) -> str:
     return (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ")
 
 
-def cut_long(words: list[str]) -> list[str]:
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+def seam_parts(words: list[str], vocab: Vocabulary) -> list[list[str]]:
+    """Each word cut wherever no piece of the vocabulary, found in the word, crosses."""
+    codes = _Codes(words)
+    first = np.repeat(codes.end - codes.size, codes.size)
+    change = np.zeros(len(codes.cp) + 1, np.int64)  # of the number of pieces across the place before each character
+    at = np.arange(len(codes.cp))
+    for k in range(2, vocab.longest + 1):
+        last = at[at - first + 1 >= k]
+        begin = last[vocab.find(codes.between(last + 1 - k, last + 1)) >= 0] + 1 - k
+        np.add.at(change, begin + 1, 1)
+        np.add.at(change, begin + k, -1)
+    seam = np.flatnonzero((np.cumsum(change)[:-1] == 0) & (at > first))
+    cuts = np.searchsorted(seam, np.r_[codes.end - codes.size, codes.end])
+    out = []
+    for w, start, a, b in zip(words, codes.end - codes.size, cuts[: len(words)], cuts[len(words) :]):
+        edges = [0, *(seam[a:b] - start).tolist(), len(w)]
+        out.append([w[x:y] for x, y in zip(edges, edges[1:])])
+    return out
 
 
 class Lattice:

@@ -265,32 +265,93 @@ def test_sampling_round_trip_and_awkward(spark):
     assert sp_sampling.sample_encode(edge.empty(spark)).count() == 0
 
 
+def words_of(text):
+    """Pre-tokens, written down anew: a space begins one, a newline is one."""
+    return re.findall("\n|▁[^▁\n]*|[^▁\n]+", "▁" + text.replace("▁", unigram.HELD).replace(" ", "▁")) if text else []
+
+
+def known_pieces(vocab):
+    return {vocab.bytes[i].decode("utf-8", "replace").replace(" ", unigram.SPACE): vocab.logp[i] for i in vocab.ids}
+
+
+def edges(word, i, known, vocab):
+    """(begin, log-probability, tokens) of the pieces that end at place i of a whole pre-token."""
+    for j in range(max(0, i - 40), i):
+        piece = word[j:i]
+        if piece in known:
+            yield j, known[piece], 1
+        elif len(piece) == 1:
+            size = len(piece.replace(unigram.HELD, unigram.SPACE).encode())
+            yield j, size * vocab.byte_logp, size
+
+
+def long_words():
+    """Pre-tokens of 65 to 5,000 code points: addresses, encoded bytes, repeats, text without spaces."""
+    rng = random.Random(64)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    out = ["international" * 8, "a" * 65, "the" * 700, "日本語テキスト" * 150, "x" * 63 + "é😀" * 40]
+    out += ["https://example.org/" + "".join(rng.choice(mixed) for _ in range(n)) for n in (45, 46, 200, 5000)]
+    return out + ["internationalisation" * 60 + " " + "-" * 300 + "\n" + "=" * 129]
+
+
 def test_token_counts(spark, vocab):
-    known = {vocab.bytes[i].decode("utf-8", "replace").replace(" ", unigram.SPACE): vocab.logp[i] for i in vocab.ids}
+    known = known_pieces(vocab)
 
     def best(word):
         table = [(0.0, 0)]
         for i in range(1, len(word) + 1):
-            options = []
-            for j in range(i):
-                piece = word[j:i]
-                if piece in known:
-                    options.append((table[j][0] + known[piece], -table[j][1] - 1))
-                elif len(piece) == 1:
-                    size = len(piece.replace(unigram.HELD, unigram.SPACE).encode())
-                    options.append((table[j][0] + size * vocab.byte_logp, -table[j][1] - size))
-            score, n = max(options)
-            table.append((score, -n))
-        return table[-1][1]
-
-    texts = [None, "", " ", "  two  spaces ", "a" * 150, "▁ ▁x", "日本語😀 foo\n\n bar\t", "The quick brown fox"]
-    n, _ = token_counts.count_texts(texts, vocab)
-    assert n.tolist() == [sum(map(best, unigram.cut_long(unigram.pretokens(t)))) for t in texts]
+            score, n = max((table[j][0] + lp, table[j][1] - k) for j, lp, k in edges(word, i, known, vocab))
+            table.append((score, n))
+        return -table[-1][1]
+
+    texts = [None, "", " ", "  two  spaces ", "a" * 150, "▁ ▁x", "日本語😀 foo\n\n bar\t", "The quick brown fox", *long_words()]
+    n, k = token_counts.count_texts(texts, vocab)
+    assert n.tolist() == [sum(map(best, words_of(t))) for t in texts]
+    assert k.tolist() == [len(words_of(t)) for t in texts]
+    assert [x.tolist() for x in token_counts.count_texts(texts, vocab, most=100)] == [n.tolist(), k.tolist()]
     out = token_counts.token_counts(edge.table(spark)).collect()
     assert len(out) == len(edge.ROWS) and {(r.doc_id, r.n_tokens) for r in out} >= {(1, 0), (2, 0)}
     assert token_counts.token_counts(edge.empty(spark)).count() == 0
 
 
+def test_sampling_long_words(vocab):
+    """Whole pre-tokens: distinct decodable samples, whose probabilities are over the sum of all segmentations."""
+    known, texts = known_pieces(vocab), long_words()
+
+    def total(word):
+        table = [0.0]
+        for i in range(1, len(word) + 1):
+            x = [table[j] + lp for j, lp, _ in edges(word, i, known, vocab)]
+            table.append(max(x) + math.log(sum(math.exp(v - max(x)) for v in x)))
+        return table[-1]
+
+    def logp(i):
+        return vocab.logp[i] if i not in set(vocab.byte_ids.tolist()) else vocab.byte_logp
+
+    found, likely = collections.defaultdict(list), collections.Counter()
+    for r, _, ids, lp, _, _ in sp_sampling.sample_texts(texts, sp_sampling.row_keys(range(len(texts)), 3), vocab, 3, at_once=2000):
+        assert vocab.decode(ids.tolist()) == texts[r]
+        assert lp == pytest.approx(sum(map(logp, ids.tolist())) - sum(map(total, words_of(texts[r]))), abs=1e-6)
+        found[r].append(tuple(ids.tolist()))
+    assert all(len(set(x)) == len(x) for x in found.values()) and len(found) == len(texts)
+    n = 3000  # a piece across the 64th code point occurs as often as its probability says
+    word = "▁" + "international" * 6
+    back = [0.0]
+    for i in range(1, len(word) + 1):
+        x = [back[j] + lp for j, lp, _ in edges(word, i, known, vocab)]
+        back.append(max(x) + math.log(sum(math.exp(v - max(x)) for v in x)))
+    ahead = {len(word): 0.0}
+    for j in range(len(word) - 1, -1, -1):
+        x = [ahead[i] + lp for i in range(j + 1, min(len(word), j + 40) + 1) for b, lp, _ in edges(word, i, known, vocab) if b == j]
+        ahead[j] = max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    across = sum(math.exp(back[j] + known[word[j:i]] + ahead[i] - back[-1]) for j in range(40, 64) for i in range(65, len(word) + 1) if word[j:i] in known)
+    assert 0.01 < across < 0.9999
+    for _, _, ids, *_ in sp_sampling.sample_texts([word[1:]] * n, sp_sampling.row_keys(range(n), 5), vocab, 1):
+        ends = np.cumsum([len(vocab.bytes[i]) for i in ids.tolist()])
+        likely[bool(64 not in ends)] += 1
+    assert abs(likely[True] / n - across) < 5 * math.sqrt(across * (1 - across) / n) + 1e-3
+
+
 def test_kneser_ney_probabilities(spark):
     counts = collections.Counter()
     text = "aababbabaaabbabababbbaabcabbaacbb"
