@@ -104,3 +104,39 @@ def test_chat_awkward(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     assert {r.conv_id: r.n_turns for r in chat_format(df).collect()} == {None: 2, 2: 2}
     assert chat_format(df.limit(0)).count() == 0
+
+
+def test_top_k_large_components(spark):
+    """Every finite component takes part; products are exact, and what no long holds is the largest or smallest one."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0**46, 0.0]), (2, [2.0**46 + 1, -3.0]), (3, [-(2.0**60), 1.0]), (4, [2.0**70, 1.0]), (5, [1e300, 5.0]), (6, [0.5, -0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = df.select("vec_id", quantised(F.col("embedding")).alias("x"))
+    whole = {i: [int(np.floor(256 * v)) for v in vs] for i, vs in rows}
+    want = sorted(
+        (q, r + 1, i, s)
+        for q in whole
+        for r, (s, i) in enumerate(sorted(((min(max(sum(a * b for a, b in zip(whole[q], whole[i])), -(2**63)), 2**63 - 1), i) for i in whole if i != q), key=lambda t: (-t[0], t[1]))[:5])
+    )
+    got = sorted(map(tuple, top_k(x, x, 5).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == want and (0, 3, 2, 256 * 256 * (2**46 + 1)) in got
+
+
+def test_top_k_other_columns_and_ids(spark):
+    """Extra columns with the operator's own names, one vec_id with two vectors, and a hot vec_id."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(-9, 9) for _ in range(3)]) for i in range(40)] + [(0, [5, 5, 5]), (7, [9, 9, 9])] + [(3, [1, 2, 3])] * 30
+    df = spark.createDataFrame([(*r, 1, 2, "z") for r in rows], "vec_id long, x array<bigint>, block int, dim int, copies string")
+    got = top_k(df, df.where("vec_id % 10 = 0"), 5).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(
+        (q, r + 1, i, -s)
+        for q in (0, 10, 20, 30)
+        for r, (s, i) in enumerate(sorted((-int(np.dot(x, y)), i) for p, x in rows if p == q for i, y in rows if i != q)[:5])
+    )
+
+
+def test_floor_leaves_blocks_unread():
+    x = np.arange(300).reshape(100, 3)
+    lists = Lists(np.arange(100), x, 5)
+    best = int(lists.search(np.array([1, 1, 1]), -1, 5)[1][-1])
+    assert lists.search(np.array([1, 1, 1]), -1, 5, 10**6)[2] == 0
+    assert lists.search(np.array([1, 1, 1]), -1, 5, best)[0].tolist() == [99, 98, 97, 96, 95]
