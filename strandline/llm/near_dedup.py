@@ -8,11 +8,14 @@ similarity, and what may reach the threshold is confirmed on the full sets.
 With 32 bands of 4 minima a pair at similarity 0.8 shares no band with a probability of 5e-8, and the estimate is
 refused only 6 standard deviations below the threshold.
 
-Only components are wanted, so no stage makes the pairs of a group. A task takes a band's members (in pairs of blocks,
-where they are many), walks the graph of estimates breadth first and returns a spanning forest. The components of the
-forests are clusters that hold every pair that may be linked. In the same way a task takes a cluster's texts, walks the
-graph of confirmed links, and returns a spanning forest; the components of these are the result. Each pair that shares
-a band meets in some task, unless a walk has already joined its two ends.
+Only components are wanted, so no stage makes the pairs of a group. The members of a band are dealt into blocks; a task
+walks a block's graph of estimates breadth first and returns a spanning forest. The components of all forests join most
+of what belongs together, as the blocks of different bands cut a group differently. In a band of several blocks every
+pair of two components is then still open, so the members outside the band's largest component, and only these, are
+compared with all members of the band. The components after that are clusters that hold every pair that may be linked.
+A cluster's texts are linked in the same way, by confirmed links, in a few blockings of the cluster and then between
+what these leave apart. So each pair that shares a band meets in some task, unless its ends are already joined, and a
+group of near copies is read a few times, whatever its size.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import cut, encode_all, mix64, window_hashes, window_starts, word_hashes
 from strandline.llm.token_counts import batches
 from strandline.operators.graph import components
+from strandline.operators.ordering import broadcast_if_small
 
 MINIMA, BANDS, BITS = 128, 32, 4
 ROWS = MINIMA // BANDS
@@ -35,6 +39,7 @@ _B = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:,
 MARGIN = 0.25  # the estimate may be this far below the threshold
 BLOCK = 2048  # members of a band in a block
 TEXT_BLOCK, SHINGLE_BLOCK = 256, 1_000_000  # texts of a cluster in a block, and about the shingles in these
+BLOCKINGS = 3  # ways of dealing a cluster's texts into blocks before what is left apart is compared
 SIGNED = "doc_id long, n long, k1 long, k2 long, sig array<long>, bands array<long>"
 
 
@@ -130,29 +135,64 @@ def _forest(n: int, linked) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return a_out, b_out
 
 
-def _walks(pdf: pd.DataFrame, keys: list[str], graph) -> pd.DataFrame:
-    """The forests of all groups of a frame. graph(start, end) gives the neighbour function of sorted rows."""
-    a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if len(pdf):
-        node = pdf["node"].to_numpy(np.int64)
-        change = np.zeros(len(pdf) - 1, bool)
-        for k in keys:
-            v = pdf[k].to_numpy(np.int64)
-            change |= v[1:] != v[:-1]
-        cuts = np.flatnonzero(np.r_[True, change])
-        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)]):
+def _groups(pdf: pd.DataFrame, keys: list[str]):
+    """The frame in order of the keys, and where each group begins and ends."""
+    pdf = pdf.sort_values([*keys, "node"]).reset_index(drop=True)
+    if not len(pdf):
+        return pdf, []
+    change = np.zeros(len(pdf) - 1, bool)
+    for k in keys:
+        v = pdf[k].to_numpy(np.int64)
+        change |= v[1:] != v[:-1]
+    cuts = np.flatnonzero(np.r_[True, change]).tolist()
+    return pdf, list(zip(cuts, [*cuts[1:], len(pdf)]))
+
+
+def _edges(a_out: list, b_out: list) -> pd.DataFrame:
+    none = np.empty(0, np.int64)
+    return pd.DataFrame({"a": np.concatenate([none, *a_out]), "b": np.concatenate([none, *b_out])})
+
+
+def _walks(prepare, keys: list[str]):
+    """Spanning forests of the blocks of a frame. prepare(frame) gives graph(start, end), and that linked(x, rest)."""
+
+    def run(pdf):
+        pdf, groups = _groups(pdf, keys)
+        node, graph, a_out, b_out = pdf["node"].to_numpy(np.int64), prepare(pdf), [], []
+        for s, e in groups:
             a, b = _forest(e - s, graph(s, e))
             a_out += [node[s + x] for x in a]
             b_out += [node[s + x] for x in b]
-    return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+        return _edges(a_out, b_out)
+
+    return run
 
 
-def _estimated(least: int):
-    """Spanning forests of the graphs of estimates of a frame's bands."""
+def _meetings(prepare, keys: list[str]):
+    """Links of the rows of a frame that are `open` with rows of other components: one for each of these that it finds."""
 
     def run(pdf):
-        keys = ["band", "low", "high"]
-        pdf = pdf.sort_values([*keys, "node"]).reset_index(drop=True)
+        pdf, groups = _groups(pdf, keys)
+        node, graph, a_out, b_out = pdf["node"].to_numpy(np.int64), prepare(pdf), [], []
+        comp, is_open = pdf["comp"].to_numpy(np.int64), pdf["open"].to_numpy(bool)
+        for s, e in groups:
+            linked, place = graph(s, e), np.arange(e - s)
+            for x in np.flatnonzero(is_open[s:e]).tolist():
+                rest = place[comp[s:e] != comp[s + x]]
+                found = rest[linked(x, rest)] if len(rest) else rest
+                if len(found):
+                    _, first = np.unique(comp[s + found], return_index=True)
+                    a_out.append(np.full(len(first), node[s + x]))
+                    b_out.append(node[s + found[first]])
+        return _edges(a_out, b_out)
+
+    return run
+
+
+def _estimates(least: int):
+    """The graph of estimates of the rows' signatures."""
+
+    def prepare(pdf):
         sig = np.stack(pdf["sig"].to_list()).astype(np.int64).view(np.uint64) if len(pdf) else None
 
         def graph(s, e):
@@ -164,19 +204,17 @@ def _estimated(least: int):
 
             return linked
 
-        return _walks(pdf, keys, graph)
+        return graph
 
-    return run
+    return prepare
 
 
-def _confirmed(percent: int, words: int):
-    """Spanning forests of the graphs of confirmed links of a frame's clusters."""
+def _confirmations(percent: int, words: int):
+    """The graph of confirmed links of the rows' texts."""
 
-    def run(pdf):
+    def prepare(pdf):
         import zstandard
 
-        keys = ["cluster", "low", "high"]
-        pdf = pdf.sort_values([*keys, "node"]).reset_index(drop=True)
         unpack, sets = zstandard.ZstdDecompressor().decompress, []
         for s in range(0, len(pdf), 256):
             sets += shingle_sets([unpack(t) for t in pdf["t"].iloc[s : s + 256]], words)
@@ -197,20 +235,43 @@ def _confirmed(percent: int, words: int):
 
             return linked
 
-        return _walks(pdf, keys, graph)
+        return graph
 
-    return run
+    return prepare
 
 
-def _block_pairs(rows: DataFrame, key: str, most: int, weight: int) -> DataFrame:
-    """Rows of each key, dealt into blocks of about `most` rows and a sum of n of about `weight`, once for each pair
-    of blocks (low, high) that a block belongs to. A key with one block has the pair (0, 0)."""
+def _joined(rows: DataFrame, key: str, most: int, weight: int, blockings: int, prepare, groups) -> DataFrame:
+    """components() of the graphs on the rows (node, n, and what `prepare` reads) of each key, in blocks of about `most`
+    rows and a sum of n of about `weight`. `groups`: into how many tasks to deal the blocks."""
     sizes = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / weight)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.where((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    return rows.drop("own", "other", "blocks")
+    large = cut(sizes.where("blocks > 1"))
+    rows = rows.join(broadcast_if_small(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+    def block_of(way, blocks):
+        return F.pmod(F.xxhash64("node", key, way), blocks).cast("int")
+
+    way = F.explode(F.sequence(F.lit(1), F.when(F.col("blocks") > 1, blockings).otherwise(1)))
+    blocks = rows.withColumn("way", way).withColumn("block", block_of(F.col("way"), F.col("blocks")))
+    blocks = blocks.withColumn("grp", F.pmod(F.xxhash64(key, "way", "block"), groups))
+    keys = [key, "way", "block"]
+    forests = components(blocks.groupBy("grp").applyInPandas(_walks(prepare, keys), "a long, b long"))
+
+    if large.isEmpty():
+        return forests
+    # Between the components that a key's blocks have left apart.
+    comp = rows.where("blocks > 1").join(forests, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    shares = comp.groupBy(key, "comp").agg(F.count("*").alias("k"))
+    major = shares.groupBy(key).agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
+    major = major.select(key, F.col("m.comp").alias("major"), (F.col("all") - F.col("m.k")).alias("n_open"))
+    apart = comp.join(major, key).withColumn("open", F.col("comp") != F.col("major"))
+    open_blocks = F.ceil(F.col("n_open") * F.col("blocks") / (F.col("n_open") + F.lit(most))).cast("int")
+    apart = apart.withColumn("open_blocks", F.greatest(F.lit(1), F.least(open_blocks, F.col("blocks"))))
+    # Each open row meets each block of the band's rows once: blocks of open rows by blocks of all rows.
+    rest = apart.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1))).withColumn("block", block_of(F.lit(0), F.col("blocks"))).withColumn("open", F.lit(False))
+    opened = apart.where("open").withColumn("way", block_of(F.lit(-1), F.col("open_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rest.unionByName(opened).withColumn("grp", F.pmod(F.xxhash64(key, "way", "block"), groups))
+    found = met.groupBy("grp").applyInPandas(_meetings(prepare, keys), "a long, b long")
+    return components(found.unionByName(forests.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -234,18 +295,15 @@ def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     members = classes.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
     members = members.join(shared, "band").join(classes.select("node", "sig"), "node").withColumn("n", F.lit(0))
-    members = _block_pairs(members, "band", BLOCK, 1).withColumn("grp", F.pmod(F.xxhash64("band", "low", "high"), groups))
-    clusters = components(members.groupBy("grp").applyInPandas(_estimated(least), "a long, b long"))
+    clusters = _joined(members, "band", BLOCK, 1, 1, _estimates(least), groups)
     heads = clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()
     clusters = clusters.withColumnRenamed("component", "cluster").unionByName(heads)
 
     # The links among a cluster's texts.
     texts = clusters.join(source.withColumnRenamed("doc_id", "node"), "node")
-    texts = texts.mapInPandas(_pack_text, "node long, cluster long, n long, t binary")
-    texts = cut(texts)
-    blocks = _block_pairs(texts, "cluster", TEXT_BLOCK, SHINGLE_BLOCK)
-    blocks = blocks.withColumn("grp", F.pmod(F.xxhash64("cluster", "low", "high"), groups))
-    confirmed = blocks.groupBy("grp").applyInPandas(_confirmed(percent, words), "a long, b long")
+    texts = cut(texts.mapInPandas(_pack_text, "node long, cluster long, n long, t binary"))
+    confirmed = _joined(texts, "cluster", TEXT_BLOCK, SHINGLE_BLOCK, BLOCKINGS, _confirmations(percent, words), groups)
+    confirmed = confirmed.select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = signed.where("n > 0").select("doc_id", *key).join(classes.select(*key, "node"), key)
     twice = links.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("doc_id")
     same_id = links.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")

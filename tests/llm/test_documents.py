@@ -136,6 +136,30 @@ def test_near_components(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_near(texts, 4, 80)
 
 
+def test_near_components_of_large_groups(spark, monkeypatch):
+    """Groups over many blocks: copies of several bases, chains across bases, and rows that only an edge row links."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 3)
+    texts = [t for seed in (3, 4) for t in family(seed, 50, 40, 5)]
+    base = [f"c{i}" for i in range(60)]
+    for k in range(25):  # each is linked with its neighbours only
+        texts.append(" ".join(base[: 60 - 2 * k] + [f"d{i}" for i in range(2 * k)]))
+    random.Random(7).shuffle(texts)
+    got = near_dedup.near_components(docs(spark, texts), 80, 4).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_near(texts, 4, 80)
+
+
+def test_open_rows_meet_all_blocks(spark, monkeypatch):
+    """Even if a block's walk finds nothing, what is left apart is compared across all blocks of a key."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**62, (40, 8))
+    sig[20:] = sig[:20]  # row i is linked with row i + 20 only
+    rows = spark.createDataFrame([(i, 1, 0, s.tolist()) for i, s in enumerate(sig)], "node long, band long, n int, sig array<long>")
+    out = near_dedup._joined(rows, "band", 5, 1, 1, near_dedup._estimates(100), F.lit(16)).collect()
+    assert sorted(map(tuple, out)) == [(i + 20, i) for i in range(20)]
+
+
 def test_near_awkward(spark):
     got = near_dedup.near_components(edge.table(spark)).collect()
     assert len(got) == len(edge.ROWS)
