@@ -2,9 +2,10 @@
 
 Lines are reduced to hashes of their keys. The hashes are range-partitioned together with a salt taken from the
 document and sorted by key, document and position, so each partition streams the occurrences of a key in order: it
-counts the documents and marks the first occurrence. A line that a third of all documents hold is spread over the
-salts; the sums over the salts decide. What comes back for each document is a bitmap of lines to drop, 62 lines a
-word, with empty words left out; the text itself is joined with it once.
+counts the documents and marks the first occurrence. The number of salts grows with the number of rows, so that a line
+that a third of all documents hold is spread over tasks of bounded size; the sums over the salts decide. What comes
+back for each document is a bitmap of lines to drop, 62 lines a word, with empty words left out; the text itself is
+joined with it once.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import WHITE, parts
+from strandline.llm.common import WHITE, cut, parts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 32
+SALTS, ROWS_A_SALT = 32, 1 << 20  # at least so many salts, and one for so many rows
 BITS = 62
 
 
@@ -31,28 +32,26 @@ def _lines(text):
 
 def _marks(rows: DataFrame, min_docs: int, min_chars: int, keep_first: bool) -> DataFrame:
     """(row, word, bits): bitmap words of lines to drop. `rows` has row (a document's key) and text."""
+    salts = max(SALTS, -(-rows.count() // ROWS_A_SALT))
     keyed = rows.select("row", F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
     keyed = keyed.where(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"),
         F.xxhash64(F.lit(7), F.length("key"), F.reverse("key")).alias("h2"),
-        F.pmod(F.xxhash64("row.id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("row.id"), F.lit(salts)).cast("int").alias("salt"),
         "row",
         "pos",
     )
-    keyed = keyed.repartitionByRange(parts(rows.sparkSession), "h1", "h2", "salt")
+    # Read three times (range bounds, stream, bitmaps): the texts are cut into lines once.
+    keyed = cut(keyed)
+    ranged = keyed.repartitionByRange(parts(rows.sparkSession), "h1", "h2", "salt")
     here = Window.partitionBy("h1", "h2", "salt").orderBy("row", "pos")
     # Rows of one id are neighbours, as the salt is the id's and the order begins with it.
     before = F.lag("row").over(here)
-    streamed = keyed.withColumn("new_doc", (before.isNull() | ~before["id"].eqNullSafe(F.col("row.id"))).cast("int"))
-    found = (
-        streamed.groupBy("h1", "h2", "salt")
-        .agg(F.sum("new_doc").alias("docs"), F.min(F.struct("row", "pos")).alias("first"))
-        .groupBy("h1", "h2")
-        .agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
-        .where(F.col("docs") >= min_docs)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    hit = keyed.join(found, ["h1", "h2", "salt"])
+    streamed = ranged.withColumn("new_doc", (before.isNull() | ~before["id"].eqNullSafe(F.col("row.id"))).cast("int"))
+    salted = streamed.groupBy("h1", "h2", "salt").agg(F.sum("new_doc").alias("docs"), F.min(F.struct("row", "pos")).alias("first"))
+    key = Window.partitionBy("h1", "h2")  # one row for each salt of the key
+    found = salted.withColumns({"docs": F.sum("docs").over(key), "first": F.min("first").over(key)}).where(F.col("docs") >= min_docs)
+    hit = keyed.join(found.drop("docs"), ["h1", "h2", "salt"])
     if keep_first:
         hit = hit.where(F.struct("row", "pos") != F.col("first"))
     return hit.groupBy("row", F.floor(F.col("pos") / BITS).cast("int").alias("word")).agg(
