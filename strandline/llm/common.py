@@ -6,10 +6,13 @@ a multi-byte character, so words `[^\\x20\\x09-\\x0D]+` can be cut on bytes.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import checkpoint_folder
 from strandline.operators.graph import checkpointed as cut  # noqa: F401
 
 WHITE = " \t\n\x0b\f\r"
@@ -25,6 +28,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a compressed table in the checkpoint folder: for frames that are large and read column-wise."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_col(text):
     """Native array of the words of a text; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(WHITE))

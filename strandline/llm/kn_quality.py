@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, encode_all, parts
+from strandline.llm.common import cut, encode_all, written
 from strandline.llm.token_counts import batches
 
 BEGIN, END = "\x02", "\x03"
@@ -83,7 +83,8 @@ def _group_count(pdf, labels):
         for s, c in zip(_strings(chars), found.tolist()):
             counts[s] = counts.get(s, 0) + c
     grp = int(pdf["grp"].iat[0]) if len(pdf) else 0
-    return pd.DataFrame({"grp": grp, "gram": pd.Series(list(counts), dtype=object), "c": pd.Series(list(counts.values()), dtype="int64")})
+    grams = sorted(counts)  # so that the table of them is written small
+    return pd.DataFrame({"grp": grp, "gram": pd.Series(grams, dtype=object), "c": pd.Series(map(counts.get, grams), dtype="int64")})
 
 
 def _texts(pdf) -> list[str]:
@@ -138,10 +139,14 @@ def _order(wanted: DataFrame, counts: DataFrame, n: int, lower: DataFrame | None
     """(gram, p) of each wanted n-gram. counts: (gram, c), lower: (gram, p) of all wanted n-grams' last n - 1 characters."""
     d = _discounts(counts)
     seen = counts.where("c > 0")
-    context = F.substring("gram", 1, n - 1) if n > 1 else F.lit("")
-    contexts = seen.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("taken"))
-    df = wanted.join(seen, "gram", "left").withColumn("ctx", context)
-    df = df.join(contexts, "ctx", "left")
+    sums = F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("taken")
+    df = wanted.join(seen, "gram", "left")
+    if n > 1:
+        context = F.substring("gram", 1, n - 1)
+        df = df.withColumn("ctx", context).join(seen.groupBy(context.alias("ctx")).agg(*sums), "ctx", "left")
+    else:  # one context, the empty one: two numbers
+        one = seen.agg(*sums).first()
+        df = df.withColumns({k: F.lit(one[k]).cast("double") for k in ("total", "taken")})
     if lower is not None:
         below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
         df = df.withColumn("suffix", F.substring("gram", 2, n - 1)).join(below, "suffix")
@@ -196,8 +201,7 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold:
     trusted = trusted.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1")
     trusted = trusted.select(grp(F.col("doc_id")), "doc_id")
     by_group, trusted_by_group = packed.groupBy("grp"), trusted.groupBy("grp")
-    asked = by_group.cogroup(trusted_by_group).applyInPandas(_group_count, GRAMS)
-    asked = asked.repartition(parts(docs.sparkSession), "gram")
+    asked = written(by_group.cogroup(trusted_by_group).applyInPandas(_group_count, GRAMS))
     scored = probabilities(cut(asked.groupBy("gram").agg(F.sum("c").alias("c"))))
     told = asked.join(scored, "gram").select("grp", "gram", "logp")
     out = by_group.cogroup(told.groupBy("grp")).applyInPandas(_group_score, SCORES)

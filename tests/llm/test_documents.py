@@ -418,6 +418,79 @@ def test_kneser_ney_probabilities(spark):
         assert x == pytest.approx(p(g), rel=1e-9)
 
 
+def kn_tables(train, every):
+    """Character n-gram probabilities, written down anew: p(gram) for the n-grams of `every` by the counts in `train`."""
+    pad = lambda t: "\x02\x02\x02" + t + "\x03"
+    by_order = {4: collections.Counter(g for t in train for g in map("".join, zip(*(pad(t)[k:] for k in range(4)))))}
+    for n in (3, 2, 1):
+        by_order[n] = collections.Counter(g[1:] for g in by_order[n + 1])
+    chars = {pad(t)[k] for t in every for k in range(3, len(t) + 4)}
+    d, sums = {}, {}
+    for n, c in by_order.items():
+        m = collections.Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.0
+        d[n] = [0.0] + [min(max(k - (k + 1) * y * m[k + 1] / m[k] if m[k] and y else 0.5, 0.05), float(k)) for k in (1, 2, 3)]
+        sums[n] = collections.defaultdict(lambda: [0, 0.0])
+        for g, v in c.items():
+            sums[n][g[:-1]][0] += v
+            sums[n][g[:-1]][1] += d[n][min(v, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(chars) + 1)
+        n = len(g)
+        if g[:-1] not in sums[n]:
+            return p(g[1:])
+        total, taken = sums[n][g[:-1]]
+        v = by_order[n][g]
+        return max(v - d[n][min(v, 3)], 0) / total + taken / total * p(g[1:])
+
+    return lambda t: [p(pad(t)[k : k + 4]) for k in range(len(t) + 1)]
+
+
+def test_kn_quality_against_brute_force(spark):
+    """Perplexity, shrinkage, thresholds and verdicts of whole documents, with ties, repeats and clashing columns."""
+    rng = random.Random(8)
+    common = ["the cat sat on the mat", "a dog ran in the park", "die katze sitzt da", "der hund lief weg"]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(rng.randint(1, 6))), ["en", "de", None][i % 3]) for i in range(120)]
+    rows += [(200 + i, "".join(rng.choice("xqzjk#") for _ in range(30)), "en") for i in range(12)]
+    rows += [(300 + i, "the cat sat on the mat", "en") for i in range(10)] + [(400, None, "en"), (401, "", "de"), (0, rows[0][1], "en"), (None, "a dog", "fr")]
+    good = [(i, 1) for i, *_ in rows if i is not None and (i < 120 and i % 2 == 0 or 300 <= i < 310)]
+    labels = [*good, (1, 0), (2, 0), (200, 0), (None, 1), (400, 1)]
+    df = spark.createDataFrame([(*r, "x", True, 1) for r in rows], "doc_id long, text string, lang string, grp string, held boolean, z int")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(5)) == 0
+    held = {r.doc_id: r.h for r in df.select("doc_id", fold.alias("h")).collect()}
+    trusted = {i for i, q in labels if q == 1} - {i for i, q in labels if q != 1} - {None}
+    train = [t for i, t, _ in rows if i in trusted and not held[i] and t]
+    logs = kn_tables(train, [t or "" for _, t, _ in rows])
+    loss = [(-sum(map(math.log, logs(t))) / (len(t) + 1), len(t) + 1) if t else None for _, t, _ in rows]
+    own = [k for k, (i, t, _) in enumerate(rows) if i in trusted and held[i] and t]
+    mean = sum(loss[k][0] * loss[k][1] for k in own) / sum(loss[k][1] for k in own)
+    score = [x and (x[0] * x[1] + mean * kn_quality.PRIOR) / (x[1] + kn_quality.PRIOR) for x in loss]
+    by = collections.defaultdict(list)
+    for k in own:
+        by[rows[k][2]].append(score[k])
+
+    def at(x):
+        return sorted(x)[math.ceil(0.99 * len(x)) - 1]
+
+    overall = at([v for x in by.values() for v in x])
+    limit = {g: (at(x) * len(x) + overall * kn_quality.PRIOR_HELD) / (len(x) + kn_quality.PRIOR_HELD) for g, x in by.items()}
+    assert len(by) == 3 and own
+    want = []
+    for (i, _, g), x, s in zip(rows, loss, score):
+        edge_of = limit.get(g, overall)
+        want.append((str(i), x and math.exp(x[0]), s and math.exp(s), math.exp(edge_of), bool(x) and s <= edge_of + 1e-12))
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = kn_quality.kn_quality(df, labelled).select("doc_id", "perplexity", "shrunk_perplexity", "threshold", "kept").collect()
+    key = lambda r: (r[0], round(r[1] or 0, 6))
+    want, got = sorted(want, key=key), sorted(((str(r[0]), *r[1:]) for r in got), key=key)
+    assert len(got) == len(want) and any(not r[4] for r in want) and any(r[4] for r in want)
+    for g, w in zip(got, want):
+        assert g[0] == w[0] and g[4] == w[4] and g[3] == pytest.approx(w[3], rel=1e-6), (g, w)
+        assert (g[1] is None) == (w[1] is None) and (w[1] is None or (g[1], g[2]) == pytest.approx((w[1], w[2]), rel=1e-6))
+
+
 def test_kn_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
