@@ -212,6 +212,65 @@ def test_targets_stop_and_reshare(spark):
     assert got == pytest.approx({"sa": 30.0, "sb": 970.0, "sc": 15.0})
 
 
+def test_targets_against_brute_force(spark):
+    """Sources by code point, null last; filled sources are set aside one by one."""
+    rng = random.Random(2)
+    for n in (1, 4, 23):
+        rows = [(f"s{chr(65 + i % 26)}{i}" if i else "n", rng.choice([0, 1, 7, 100, 10**6])) for i in range(n)]
+        open_, want = {k: (5, 2, 1)[i % 3] for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[0] == "n", r[0])))}, {}
+        left = sum(v for _, v in rows)
+        while open_:
+            share = left / sum(open_.values())
+            full = [k for k in open_ if 3 * dict(rows)[k] < share * open_[k] - 1e-9]
+            for k in full or list(open_):
+                want[k] = 3.0 * dict(rows)[k] if full else share * open_[k]
+                left -= want[k] if full else 0
+                del open_[k]
+        got = {r.source_key: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source_key string, size long")).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_inclusion_probabilities_hold():
+    """Over many seeds each document is taken as often as its probability says, and words come near their expectation."""
+    size, turns = np.array([0, 3, 10, 40, 45, 80, 90, 100, 120, 150, 180, 200, 220, 260, 300, 380, 400, 500, 900.0] * 4), 1500
+    size.sort()
+    p, taken, off = np.linspace(0.15, 0.85, len(size)), np.zeros(len(size)), []
+    for k in range(turns):
+        rng = np.random.default_rng([k, 11])
+        flown = mixing.flight(p, size, rng, hold=True)
+        assert ((flown > 0) & (flown < 1)).sum() <= mixing.OPEN + 2
+        assert abs(flown @ size - p @ size) < 1e-6 and abs(flown.sum() - p.sum()) < 1e-6
+        q = mixing.landing(flown, size, rng, float(p @ size))
+        taken += q
+        off.append(abs(q @ size - p @ size) / (p @ size))
+    assert np.abs(taken / turns - p).max() < 4.5 * math.sqrt(0.25 / turns) and np.mean(off) < 0.003
+
+
+def test_small_sources_fly():
+    size, p = np.array([3, 10, 40, 80, 100, 200, 400, 900.0]), np.full(8, 0.4)
+    settled = [8 - ((f > 0) & (f < 1)).sum() for f in (mixing.flight(p, size, np.random.default_rng(k), hold=True) for k in range(20))]
+    assert min(settled) >= 1
+
+
+def test_landing_law_keeps_probabilities():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 9, 14):
+        p, size = rng.random(n) * 0.98 + 0.01, rng.integers(0, 500, n).astype(float)
+        subsets, law = mixing.landing_law(p, size, 1.0, 1e9)
+        assert law.sum() == pytest.approx(1) and law @ subsets == pytest.approx(p, abs=1e-9) and (law >= 0).all()
+    near, law = mixing.landing_law(np.full(3, 0.5), np.array([10.0, 10, 20]), 20.0)
+    assert law @ np.abs(near @ [10, 10, 20] - 20) == pytest.approx(0) and law @ near == pytest.approx(np.full(3, 0.5))
+
+
+def test_mixing_documents_rerun(spark):
+    """Rows equal in id, source and text are told apart by their other columns, so reruns agree; null and tied ids too."""
+    rows = [(i % 3 or None, "w " * (5 + i % 4), "ab"[i % 2], str(i), i) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, copies int")
+    once, again = (sorted(map(str, mixing.mix_documents(x).collect())) for x in (df, df.repartition(6, "lang")))
+    assert once == again
+    assert len(once) == sum(r.copies for r in mixing.mix_sources(df).collect())
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(1)
     p, size = rng.random(500), rng.integers(1, 1000, 500).astype(float)
