@@ -23,7 +23,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return substring_dedup(docs, window=20, want_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(docs, window=20, want_text=False).drop("kept_text", "repeats")
 
 
 OP1_SQL = r"""
@@ -33,15 +33,24 @@ WITH w AS (
   SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') AS k
   FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20)
 ), late AS (
-  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1
+  SELECT doc_id, s, d0, s0 FROM (
+    SELECT doc_id, s, first_value(doc_id) OVER w AS d0, first_value(s) OVER w AS s0, row_number() OVER w AS r
+    FROM win WINDOW w AS (PARTITION BY k ORDER BY doc_id, s)) WHERE r > 1
+), runs AS (
+  SELECT doc_id, count(*) + 19 AS n FROM (
+    SELECT doc_id, d0, s0 - s AS shift, s - row_number() OVER (PARTITION BY doc_id, d0, s0 - s ORDER BY s) AS island FROM late)
+  GROUP BY doc_id, d0, shift, island
+), found AS (
+  SELECT doc_id, count(*) AS n_repeats, max(n) AS longest_repeat FROM runs GROUP BY doc_id
 ), gone AS (
   SELECT doc_id, list(DISTINCT p) AS ps
   FROM (SELECT doc_id, unnest(generate_series(s, s + 19)) AS p FROM late) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws
-    ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
-FROM w LEFT JOIN gone USING (doc_id)
+    ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256,
+  CAST(coalesce(n_repeats, 0) AS BIGINT) AS n_repeats, CAST(coalesce(longest_repeat, 0) AS BIGINT) AS longest_repeat
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 

@@ -2,8 +2,12 @@
 
 Every document is cut into non-overlapping blocks of `window // 2` words, the anchors. A window of `window` words
 always holds a whole block, so two equal windows share a block that starts at an anchor in one of them. All rolling
-windows of block length probe the anchor index; hits are extended to the windows of full length around them, and these
-are compared exactly by their whole word sequence. A run of such windows is a maximal exact repeat.
+windows of block length probe the anchor index; hits are extended to the windows of full length around them, and each
+of these finds the earliest place of its word sequence. Windows that follow each other and whose earliest places do too
+are joined into a maximal exact repeat, with its length and its source.
+
+Word sequences are compared by 96 bits of two hashes of the whole sequence: among 1e13 windows, six pairs in ten
+thousand such corpora would be taken for equal wrongly.
 
 Data move in packed form: a group of about a thousand documents sends one row to each hash bucket, with each distinct
 hash of the group once. So a passage that a third of all documents hold is one entry for each group, not one for each
@@ -20,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import doc_groups, encode_all, planes, unplanes, window_hashes, window_starts, word_hashes, words_col
+from strandline.llm.common import doc_groups, encode_all, mix64, planes, unplanes, window_hashes, window_starts, word_hashes, words_col
 
 PACKED = "bucket int, grp int, docs binary, ords binary, counts binary, pos binary, hashes binary, tops binary"
 TOLD = "grp int, docs binary, ords binary, counts binary, pos binary"
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<start:int,length:int>>"
+SOURCES = TOLD + ", from_docs binary, from_pos binary"
+REPEATS = "array<struct<start:int,length:int,source:bigint,source_start:int>>"
+KEPT = f"doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long, longest_repeat long, kept_text string, repeats {REPEATS}"
+SECOND = np.uint64(0x8E9D5AFC1D3B7A61)
 
 
 def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -37,11 +44,18 @@ def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return ids, (np.arange(len(ids)) - first).astype(np.int32), [raw[i] for i in by]
 
 
-def _pack(grp, buckets, ids, ords, doc, pos, h) -> pd.DataFrame:
+def _second(h: np.ndarray, n: int) -> np.ndarray:
+    """Other hashes of the windows, 32 bits."""
+    return (window_hashes(mix64(h ^ SECOND), n) >> np.uint64(32)).astype(np.uint32)
+
+
+def _pack(grp, buckets, ids, ords, doc, pos, h, second=None) -> pd.DataFrame:
     """One row for each bucket: its documents, how many windows each has, and delta-coded positions and hashes."""
     bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     by = np.lexsort((pos, doc, bucket))
     bucket, doc, pos, h = bucket[by], doc[by], pos[by].astype(np.int64), h[by]
+    tops = (h >> np.uint64(32)).astype(np.uint32)
+    tops = tops if second is None else np.c_[tops, second[by]]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(by) else np.empty(0, np.int64)
     rows = []
     for s, e in zip(cuts, np.r_[cuts[1:], len(by)]):
@@ -58,7 +72,7 @@ def _pack(grp, buckets, ids, ords, doc, pos, h) -> pd.DataFrame:
                 planes(np.diff(np.r_[head, e - s]).astype(np.uint32)),
                 planes(delta.astype(np.uint32)),
                 (h[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                (h[s:e] >> np.uint64(32)).astype(np.uint32).tobytes(),
+                tops[s:e].tobytes(),
             )
         )
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
@@ -73,9 +87,10 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ids, n), np.repeat(ords, n), total - np.repeat(base, n)
 
 
-def _tell(grp_of_row, ids, ords, pos) -> pd.DataFrame:
-    """One row for each group of documents with the windows it is told of."""
+def _tell(grp_of_row, ids, ords, pos, *sources) -> pd.DataFrame:
+    """One row for each group of documents with the windows it is told of, and their sources if given."""
     by = np.lexsort((pos, ords, ids, grp_of_row))
+    sources = [x[by] for x in sources]
     g, ids, ords, pos = grp_of_row[by], ids[by], ords[by], pos[by]
     cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(by) else np.empty(0, np.int64)
     rows = []
@@ -85,8 +100,9 @@ def _tell(grp_of_row, ids, ords, pos) -> pd.DataFrame:
         delta = np.diff(p, prepend=0)
         delta[head] = p[head]
         counts = np.diff(np.r_[head, e - s]).astype(np.uint32)
-        rows.append((int(g[s]), planes(d[head]), planes(o[head]), planes(counts), planes(delta.astype(np.uint32))))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in TOLD.split(", ")])
+        own = planes(d[head]), planes(o[head]), planes(counts), planes(delta.astype(np.uint32))
+        rows.append((int(g[s]), *own, *(planes(x[s:e]) for x in sources)))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in (SOURCES if sources else TOLD).split(", ")])
 
 
 def _firsts(h: np.ndarray, prefer: np.ndarray | None = None) -> np.ndarray:
@@ -96,6 +112,18 @@ def _firsts(h: np.ndarray, prefer: np.ndarray | None = None) -> np.ndarray:
     return by[np.r_[True, s[1:] != s[:-1]]] if len(by) else by
 
 
+def _first_of(h: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each entry the index of the first one that equals it."""
+    by = np.argsort(h, kind="stable")
+    new = np.r_[True, h[by][1:] != h[by][:-1]][: len(by)]
+    out = np.empty(len(h), np.int64)
+    out[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    odd = np.flatnonzero(second[out] != second)  # equal in 64 bits, yet different
+    for i in odd.tolist():
+        out[i] = next(j for j in odd.tolist() if h[j] == h[i] and second[j] == second[i])
+    return out
+
+
 def _repeated(h: np.ndarray) -> np.ndarray:
     """True where the hash occurs more than once."""
     _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -172,26 +200,54 @@ def extend(window: int, block: int, buckets: int):
         flat, doc, pos = window_starts(counts, window)
         near = seen[flat + window - block + 1] > seen[flat]
         flat, doc, pos = flat[near], doc[near], pos[near]
-        wh = window_hashes(h, window)[flat] if len(flat) else np.empty(0, np.uint64)
-        one = _firsts(wh)
-        return _pack(key[0], buckets, ids, ords, doc[one], pos[one], wh[one])
+        if not len(flat):
+            return _pack(key[0], buckets, ids, ords, doc, pos, np.empty(0, np.uint64))
+        wh, second = window_hashes(h, window)[flat], _second(h, window)[flat]
+        one = np.flatnonzero(_first_of(wh, second) == np.arange(len(wh)))
+        return _pack(key[0], buckets, ids, ords, doc[one], pos[one], wh[one], second[one])
 
     return run
 
 
 def later_ones(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: every entry but the earliest of its hash."""
+    """Of a bucket: every entry but the earliest of its word sequence, with that one's place."""
     if not len(pdf):
-        return pd.DataFrame({c.split()[0]: [] for c in TOLD.split(", ")})
+        return pd.DataFrame({c.split()[0]: [] for c in SOURCES.split(", ")})
     got = [_unpack(r) for r in pdf.itertuples()]
     ids, ords, pos = (np.concatenate([g[k] for g in got]) for k in range(3))
     grp = np.repeat(pdf["grp"].to_numpy(), [len(g[0]) for g in got])
     h = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["hashes"]]).astype(np.uint64)
-    h |= np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["tops"]]).astype(np.uint64) << np.uint64(32)
-    by = np.lexsort((pos, ords, ids, h))
-    s = h[by]
-    late = by[~np.r_[True, s[1:] != s[:-1]]]
-    return _tell(grp[late], ids[late], ords[late], pos[late])
+    tops = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["tops"]]).reshape(-1, 2)
+    h |= tops[:, 0].astype(np.uint64) << np.uint64(32)
+    second = tops[:, 1]
+    by = np.lexsort((pos, ords, ids, second, h))
+    s, t = h[by], second[by]
+    new = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]
+    first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    late, first = by[~new], first[~new]
+    return _tell(grp[late], ids[late], ords[late], pos[late], ids[first], pos[first].astype(np.uint32))
+
+
+def _sources(told: pd.DataFrame, ids: np.ndarray, offset: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each flat word position: the number of the told window that starts there or -1; and all told sources."""
+    at, docs, pos, n = np.full(total, -1, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.uint32)], 0
+    for r in told.itertuples():
+        d, o, p = _unpack(r)
+        at[offset[np.searchsorted(ids, d) + o] + p] = n + np.arange(len(d))
+        docs.append(unplanes(r.from_docs, np.int64))
+        pos.append(unplanes(r.from_pos, np.uint32))
+        n += len(d)
+    return at, np.concatenate(docs), np.concatenate(pos).astype(np.int64)
+
+
+def _maximal(flat, doc, pos, from_doc, from_pos, late, window: int) -> tuple[np.ndarray, ...]:
+    """The late windows joined into repeats: number of the row, start, length, source and its start."""
+    w = np.flatnonzero(late)
+    f, d, a, b = flat[w], doc[w], from_doc[w], from_pos[w]
+    on = (f[1:] == f[:-1] + 1) & (d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1] + 1)
+    begin = np.flatnonzero(np.r_[True, ~on])[: len(w)]
+    length = np.diff(np.r_[begin, len(w)])[: len(begin)] + window - 1
+    return d[begin], pos[w][begin], length, a[begin], b[begin]
 
 
 def remove(window: int, want_text: bool):
@@ -199,30 +255,38 @@ def remove(window: int, want_text: bool):
         ids, ords, texts = _ordered(pdf)
         h, counts = word_hashes(texts)
         offset = np.cumsum(counts) - counts
-        dup = _marks(told, ids, ords, offset, len(h), False)[: len(h)]
-        flat, _, _ = window_starts(counts, window)
+        flat, doc, pos = window_starts(counts, window)
+        owner = start = length = source = source_start = np.empty(0, np.int64)
+        gone = np.zeros(len(h), bool)
         if len(flat):
-            wh = window_hashes(h, window)[flat]
-            late = np.ones(len(flat), dtype=bool)
-            late[_firsts(wh)] = False
-            dup[flat[late]] = True
-        begin = np.flatnonzero(dup)
-        change = np.zeros(len(h) + 1, dtype=np.int32)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + window, -1)
-        gone = np.cumsum(change)[: len(h)] > 0
+            at, told_doc, told_pos = _sources(told, ids, offset, len(h))
+            first = _first_of(window_hashes(h, window)[flat], _second(h, window)[flat])
+            which = at[flat[first]]  # the window's sequence is known elsewhere before this group, or not
+            late = (first != np.arange(len(first))) | (which >= 0)
+            from_doc, from_pos = ids[doc[first]], pos[first]
+            known = which >= 0
+            from_doc[known], from_pos[known] = told_doc[which[known]], told_pos[which[known]]
+            owner, start, length, source, source_start = _maximal(flat, doc, pos, from_doc, from_pos, late, window)
+            change = np.zeros(len(h) + 1, dtype=np.int32)
+            np.add.at(change, offset[owner] + start, 1)
+            np.add.at(change, offset[owner] + start + length, -1)
+            gone = np.cumsum(change)[: len(h)] > 0
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         rows = []
         for i, t in enumerate(texts):
             g = gone[offset[i] : offset[i] + counts[i]]
             words = t.split()
-            n = int(g.sum())
+            n, a, b = int(g.sum()), cuts[i], cuts[i + 1]
             kept = b" ".join(compress(words, ~g) if n else words)
-            edges = np.flatnonzero(np.diff(np.r_[False, g, False])).tolist() if want_text and n else []
-            runs = [{"start": a, "length": b - a} for a, b in zip(edges[::2], edges[1::2])]
             digest = hashlib.sha256(kept).hexdigest()
-            text = kept.decode("utf-8", "surrogatepass") if want_text else None
-            rows.append((int(ids[i]), len(words), n, digest, text, runs))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "repeats"])
+            text, runs = None, None
+            if want_text:
+                text = kept.decode("utf-8", "surrogatepass")
+                every = (x[a:b].tolist() for x in (start, length, source, source_start))
+                runs = [dict(zip(("start", "length", "source", "source_start"), r)) for r in zip(*every)]
+            rows.append((int(ids[i]), len(words), n, digest, int(b - a), int(length[a:b].max(initial=0)), text, runs))
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats", "longest_repeat", "kept_text", "repeats"]
+        return pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -230,8 +294,11 @@ def remove(window: int, want_text: bool):
 def substring_dedup(docs: DataFrame, window: int = 20, want_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of `window` words whose sequence also starts earlier.
 
-    Returns doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space; null unless
-    `want_text`) and repeats (word ranges removed). Earlier: smaller doc_id, or an earlier start in the same document.
+    Returns doc_id, n_words, n_removed, kept_sha256, n_repeats and longest_repeat (of the maximal exact repeats, in words),
+    kept_text (kept words joined by one space) and repeats: start, length, and the document and place where the same
+    words start first; the last two are null unless `want_text`. Earlier: smaller doc_id, or an earlier start in the same
+    document. A repeat goes on as long as its windows' earliest places follow each other, so repeats of different sources
+    may overlap.
 
     Null and empty texts have no words, none removed, and the digest of the empty string. Rows that share a doc_id
     count as separate documents, ordered by text. A row without doc_id has no place in the order: it removes nothing
@@ -243,7 +310,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, want_text: bool = True) -
     sent = grouped.groupBy("grp").applyInPandas(probes(block, buckets), ", ".join(PACKED.split(", ")[:-1]))
     told = sent.groupBy("bucket").applyInPandas(match_anchors(block), TOLD)
     full = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInPandas(extend(window, block, buckets), PACKED)
-    late = full.groupBy("bucket").applyInPandas(later_ones, TOLD)
+    late = full.groupBy("bucket").applyInPandas(later_ones, SOURCES)
     out = grouped.groupBy("grp").cogroup(late.groupBy("grp")).applyInPandas(remove(window, want_text), KEPT)
     lone = docs.where(F.col("doc_id").isNull()).select(F.lit(0).alias("grp"), "doc_id", F.col("text").cast("string").alias("text"))
     return out.unionByName(_untouched(lone, want_text))
@@ -257,6 +324,8 @@ def _untouched(docs: DataFrame, want_text: bool) -> DataFrame:
         F.size(words).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_removed"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
+        F.lit(0).cast("long").alias("n_repeats"),
+        F.lit(0).cast("long").alias("longest_repeat"),
         (kept if want_text else F.lit(None).cast("string")).alias("kept_text"),
-        F.array().cast("array<struct<start:int,length:int>>").alias("repeats"),
+        (F.array().cast(REPEATS) if want_text else F.lit(None).cast(REPEATS)).alias("repeats"),
     )

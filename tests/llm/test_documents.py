@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import kn_quality, mixing, near_dedup, sp_sampling, token_counts, unigram
+from strandline.llm import substring_dedup as substring
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.quality_rules import quality_filter, quality_rules
 from strandline.llm.substring_dedup import substring_dedup
@@ -50,6 +51,43 @@ def test_substring_dedup(spark, window):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("window", [2, 5])
+def test_substring_repeats(spark, window):
+    """Each repeat is the same words at its source, begins earlier, and can be continued at neither end."""
+    texts = make_texts(window + 20, 30, words=5)
+    words = {i: WORD.findall(t) for i, t in enumerate(texts)}
+    first = {}
+    for i, w in words.items():
+        for s in range(len(w) - window + 1):
+            first.setdefault(tuple(w[s : s + window]), (i, s))
+    for r in substring_dedup(docs(spark, texts), window).collect():
+        w, covered = words[r.doc_id], set()
+        for x in r.repeats:
+            own, there = range(x.start, x.start + x.length), words[x.source]
+            assert [w[k] for k in own] == there[x.source_start : x.source_start + x.length] and (x.source, x.source_start) < (r.doc_id, x.start)
+            places = {s: first[tuple(w[s : s + window])] for s in range(len(w) - window + 1)}
+            diagonal = lambda s: places.get(s) == (x.source, x.source_start + s - x.start)
+            assert all(map(diagonal, range(x.start, x.start + x.length - window + 1)))
+            assert not diagonal(x.start - 1) and not diagonal(x.start + x.length - window + 1)
+            covered |= set(own)
+        assert len(covered) == r.n_removed and r.n_repeats == len(r.repeats)
+        assert r.longest_repeat == max([x.length for x in r.repeats], default=0)
+
+
+def test_equal_hashes_of_different_windows_stay_apart():
+    h, second = np.array([7, 7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 2, 1], np.uint32)
+    assert substring._first_of(h, second).tolist() == [0, 1, 0, 1, 4]
+
+
+def test_substring_shared_ids_and_clashing_names(spark):
+    """Rows of one doc_id with different texts are documents in order of text; extra columns change nothing."""
+    rows = [(1, "b a b c d e", 5, "x", b"z"), (1, "a b c d e f", 5, "x", b"z"), (0, "q r s t", 5, "x", b"z"), (2, "c d e f", 5, "x", b"z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grp int, bucket string, docs binary")
+    got = sorted(tuple(r) for r in substring_dedup(df, 3).select("doc_id", "n_words", "n_removed", "kept_text", "n_repeats").collect())
+    assert got == [(0, 4, 0, "q r s t", 0), (1, 6, 0, "a b c d e f", 0), (1, 6, 5, "b", 1), (2, 4, 4, "", 1)]
+    assert substring_dedup(df.withColumn("doc_id", F.col("doc_id").cast("string")), 3).count() == 4
+
+
 def test_substring_dedup_awkward(spark):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(edge.table(spark), 5).collect()}
     assert (1, 0, 0) in got and (2, 0, 0) in got and (6, 0, 0) in got and (None, 3, 0) in got
