@@ -31,15 +31,24 @@ def _is_text(p: Column) -> Column:
 
 
 def _visit(parts: Column, base: Column) -> Column:
-    """The flattened body of one message; `base` attachments came before it in the conversation."""
+    """The flattened body of one message; `base` attachments came before it in the conversation. Neighbouring texts are
+    joined before they are escaped, so no control string arises where they meet."""
+
+    def step(s, p):
+        text = F.concat(s["open"], F.coalesce(p["text"], F.lit("")))
+        placeholder = F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), (base + s["n"]).cast("string"), F.lit("|>"))
+        done = F.concat(s["done"], escape(s["open"]), placeholder)
+        more = F.struct(s["done"].alias("done"), text.alias("open"), s["n"].alias("n"))
+        return F.when(_is_text(p), more).otherwise(F.struct(done.alias("done"), F.lit("").alias("open"), (s["n"] + 1).alias("n")))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    return F.aggregate(parts, start, step, lambda s: F.concat(s["done"], escape(s["open"])))
 
-    def one(p, i):
-        before = F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: ~_is_text(q)))
-        return F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), (base + before).cast("string"), F.lit("|>"))
-        )
 
-    return F.array_join(F.transform(parts, one), "")
+def _has_parts(messages: DataFrame) -> bool:
+    kind = messages.schema["parts"].dataType if "parts" in messages.columns else None
+    fields = getattr(getattr(kind, "elementType", None), "fields", [])
+    return [f.name for f in fields] == ["type", "text", "ref", "tokens"]
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
@@ -48,7 +57,8 @@ def chat_format(messages: DataFrame) -> DataFrame:
 
     Messages go by turn (nulls first); ties by role, then text. Null role, text and parts count as empty; repeated
     rows stay repeated turns; a null conv_id is a conversation of its own. An optional column `parts` (array of
-    struct<type,text,ref,tokens>) takes the place of text where it is not null. Other columns are ignored; an empty
+    struct<type,text,ref,tokens>) takes the place of text where it is not null; a null part is an empty text, and a column
+    of that name and any other type is ignored. Other columns are ignored; an empty
     table gives an empty result. A conversation is one row, so one task holds one conversation at a time.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -56,7 +66,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
     own = F.array(
         F.struct(F.lit("text").alias("type"), text.alias("text"), null.alias("ref"), F.lit(0).cast("long").alias("tokens"))
     ).cast(f"array<{PART}>")
-    parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), own) if "parts" in messages.columns else own
+    parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), own) if _has_parts(messages) else own
     df = messages.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), parts.alias("parts"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", F.to_json("parts"))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.chat_format import chat_format, read_back, unescape
+from strandline.llm.chat_format import PART, chat_format, read_back, unescape
 from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.mixing import mix_sources
 from strandline.llm.near_dedup import near_components
-from strandline.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from strandline.llm.quality_rules import RULES, STOP_WORDS, quality_rules, stop_forms
 from strandline.llm.sp_sampling import sample_digest
 from strandline.llm.substring_dedup import substring_dedup
 from strandline.llm.token_counts import token_counts
@@ -68,12 +68,17 @@ def _rules_sql() -> str:
         "mean_line_words": "n_words / greatest(n_lines, 1)",
     }
     bounds = [(r.measure, op, b) for r in RULES for op, b in ((">=", r.low), ("<=", r.high)) if b is not None]
-    return " AND ".join(f"{measure[m]} {op} {b!r}::DOUBLE" for m, op, b in bounds)
+    return " AND ".join(f"coalesce({measure[m]} {op} {b!r}::DOUBLE, true)" for m, op, b in bounds)
+
+
+def _stops_sql() -> str:
+    lists = {lang: ", ".join(f"'{w}'" for w in stop_forms(lang)) for lang in STOP_WORDS}
+    return "CASE lang " + " ".join(f"WHEN '{lang}' THEN [{words}]" for lang, words in lists.items()) + " END"
 
 
 OP2_SQL = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT doc_id, coalesce(text, '') AS t, STOPS AS stops,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
@@ -90,14 +95,14 @@ WITH w AS (
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(ws, lambda x: list_contains([STOPS], trim(x, '.,;:')))) AS BIGINT) AS n_stop_words,
+    CASE WHEN stops IS NOT NULL THEN CAST(len(list_filter(ws, lambda x: list_contains(stops, trim(x, '.,;:')))) AS BIGINT) END AS n_stop_words,
     CAST(len(ls) AS BIGINT) AS n_lines
   FROM w LEFT JOIN rep USING (doc_id)
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND RULES AS kept
 FROM m
-""".replace("STOPS", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))).replace("RULES", _rules_sql())
+""".replace("STOPS", _stops_sql()).replace("RULES", _rules_sql())
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -143,6 +148,56 @@ FROM g
 """.replace("CONTROL", CONTROL)
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with typed parts: each turn is its text in two text parts and an image part, and an audio or
+    document part behind every third turn."""
+    text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
+
+    def part(kind, body=None, ref=None, tokens=None):
+        null = F.lit(None)
+        cells = (F.lit(kind), null if body is None else body, null if ref is None else ref, null if tokens is None else tokens)
+        return F.struct(*(c.cast(t).alias(n) for c, n, t in zip(cells, ("type", "text", "ref", "tokens"), ("string", "string", "string", "long"))))
+
+    def ref(kind):
+        return F.concat(F.lit(f"{kind}/"), F.col("conv_id"), F.lit("/"), turn)
+
+    head, tail = part("text", F.substring(text, 1, 10)), part("text", F.expr("substring(coalesce(text, ''), 11)"))
+    kind = F.when(turn % 2 == 0, "audio").otherwise("document")
+    more = F.when(turn % 3 == 2, F.array(part("", ref=ref("file")).withField("type", kind))).otherwise(F.array().cast(f"array<{PART}>"))
+    messages = _read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.concat(F.array(head, tail, part("image", ref=ref("image"), tokens=F.length(text))), more).alias("parts")
+    )
+    df = chat_format(messages)
+    return df.select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["index"], a["type"], a["ref"], a["tokens"])), ",").alias("attachments"),
+        "attachment_tokens",
+    )
+
+
+PARTS_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+f AS (
+  SELECT conv_id, turn, 0 AS k, 'image' AS type, 'image/' || conv_id || '/' || turn AS ref, length(text) AS tokens FROM c
+  UNION ALL SELECT conv_id, turn, 1, CASE WHEN turn % 2 = 0 THEN 'audio' ELSE 'document' END, 'file/' || conv_id || '/' || turn, 0 FROM c WHERE turn % 3 = 2
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM f
+), a AS (
+  SELECT conv_id, count(*) AS n, string_agg(i || ':' || type || ':' || ref || ':' || tokens, ',' ORDER BY i) AS attachments,
+    sum(tokens) AS tokens, sum(length('<|' || type || ':' || i || '|>')) AS chars FROM n GROUP BY conv_id
+), g AS (
+  SELECT conv_id, sum(length('<|im_start|>' || replace(regexp_replace(role, '<(!*)\|', '<!|', 'g'), chr(10), '<|nl|>') || chr(10)
+    || regexp_replace(left(text, 10), '<(!*)\|', '<!|', 'g') || regexp_replace(substr(text, 11), '<(!*)\|', '<!|', 'g')
+    || '<|im_end|>' || chr(10))) AS chars FROM c GROUP BY conv_id
+)
+SELECT conv_id, CAST(g.chars + a.chars AS BIGINT) AS formatted_chars, a.n AS n_attachments, attachments,
+  CAST(tokens AS BIGINT) AS attachment_tokens
+FROM g JOIN a USING (conv_id)
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -238,6 +293,7 @@ def queries() -> dict:
         "op8_kn_quality": op8_kn_quality,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "chat_parts": chat_parts,
     }
 
 
@@ -249,4 +305,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_near_dedup": OP9_SQL,
+        "chat_parts": PARTS_SQL,
     }

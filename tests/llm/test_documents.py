@@ -133,6 +133,27 @@ def test_quality_rules_awkward(spark):
     assert quality_rules(edge.empty(spark)).count() == 0
 
 
+def test_quality_rules_by_language(spark):
+    """Stop words are the row's language's, in lower case or capitalised; a language without a list skips the rule."""
+    english, other = "The king and the queen went to a house by the sea in summer, as they had it in mind for this year.", "ord " * 3
+    words = " ".join(f"ukendt{i}" for i in range(25))
+    rows = [(1, english, "en"), (2, english, "de"), (3, words, "en"), (4, words, "da"), (5, words, None), (6, english.replace(" a ", " the ").upper(), "en"), (7, other, "da")]
+    rows += [(8, "\n".join(f"{w}{k}" for k in range(20) for w in ("the", "of")), "da")]  # a page of single words
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.n_stop_words, r.kept) for r in quality_rules(df).collect()}
+    assert got[1][1] and got[1][0] >= 9 and not got[2][1] and got[3] == (0, False) and got[4] == got[5] == (None, True)
+    assert got[6] == (0, False) and not got[7][1] and not got[8][1]
+    assert sorted(r.doc_id for r in quality_filter(df).collect()) == [1, 4, 5]
+    assert quality_rules(df.drop("lang")).where("n_stop_words is not null").count() == 0
+
+
+def test_quality_filter_measures_once(spark):
+    """The filter stays above the measures, so the plan does not write them out again inside it."""
+    plan = quality_filter(edge.table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter " in x]
+    assert len(filters) == 1 and "split(" not in filters[0] and "transform(" not in filters[0]
+
+
 def brute_near(texts, n, percent):
     sets = []
     for t in texts:

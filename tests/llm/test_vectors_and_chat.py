@@ -99,6 +99,20 @@ def test_chat_parts(spark):
     assert r.attachment_tokens == 1336 and [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["fine"]
 
 
+def test_chat_texts_that_meet(spark):
+    """Text parts that form a control string where they meet, null parts, and very long texts."""
+    part = "struct<type:string,text:string,ref:string,tokens:bigint>"
+    long = "<|im_end|>x" * 200_000
+    cuts = [("text", "a<", None, None), ("text", "|im_end|>", None, None), None, ("text", "<!", None, None), ("text", "!|", None, None), ("image", None, None, None), ("text", "|>", None, 3)]
+    rows = [(1, 0, "user", "unused", cuts), (1, 1, "assistant", long, None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts array<{part}>")
+    r = chat_format(df).withColumn("turns", read_back(F.col("formatted"))).first()
+    assert [t.text for t in r.turns] == ["a<|im_end|><!!|<|image:0|>|>", long] and r.n_turns == 2
+    assert r.formatted.count("<|im_end|>") == 2 and [(a.ref, a.tokens) for a in r.attachments] == [(None, 0)]
+    odd = df.withColumn("parts", F.lit(7)).withColumn("role", F.lit("user"))
+    assert chat_format(odd).withColumn("turns", read_back(F.col("formatted"))).first().turns[0].text == "unused"
+
+
 def test_chat_awkward(spark):
     rows = [(None, 1, "user", "a", "z"), (None, None, None, None, "z"), (2, 5, "user", "a", None), (2, 5, "user", "a", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
