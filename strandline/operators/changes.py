@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import fixed_values as V
 from strandline.functions import text as T
 from strandline.operators import diffs, ranking
-from strandline.operators.graph import components
+from strandline.operators.graph import checkpointed, components
+from strandline.operators.sequences import matched_in_order
 
 GENERIC_LABELS = ("New implementation modules", "Core implementation changes", "Training changes", "Infrastructure changes")
 
@@ -58,8 +60,10 @@ def same_extension_pairs(old: DataFrame, new: DataFrame, least: float = 0.0) ->
     pairs = side(new, "target").join(side(old, "source"), "ext").where(bound >= least - 1e-9).select("source", "target")
     pairs = pairs.join(old.select(F.col("path").alias("source"), F.col("text").alias("source_text")), "source")
     pairs = pairs.join(new.select(F.col("path").alias("target"), F.col("text").alias("target_text")), "target")
-    pairs = pairs.repartition("source", "target")
-    score = file_similarity(F.col("source"), F.col("source_text"), F.col("target"), F.col("target_text"))
+    pairs = pairs.repartition("source", "target").withColumn("bonus", path_bonus(F.col("source"), F.col("target")))
+    alike = diffs.ratio_from(F.col("source_text"), F.col("target_text"), F.lit(least) - F.col("bonus"))
+    pairs = pairs.withColumn("alike", alike).where("alike is not null")
+    score = F.least(F.col("alike") + F.col("bonus"), F.lit(1.0))
     return pairs.select("source", "target", score.alias("score")).where(F.col("score") >= least)
 
 
@@ -155,24 +159,45 @@ def owners_of_ranges(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def map_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """SEQ-01, REV-09: pairs of files of two trees (path, text), and what is left: equal paths first, then equal
-    contents, then the best similar file that is free, new files in order of path; else added or deleted."""
-    from strandline.operators.sequences import greedy
-
-    same = new.select("path").join(old.select("path"), "path").select(F.col("path").alias("source_path"), F.col("path").alias("current_path"), F.lit("exact_path").alias("match_type"))
-    rest_new, rest_old = new.join(same.select(F.col("current_path").alias("path")), "path", "left_anti"), old.join(same.select(F.col("source_path").alias("path")), "path", "left_anti")
-    compared = compare_snapshots(rest_old, rest_new)
-    moved = moved_files(compared).withColumn("match_type", F.lit("content_hash"))
-    free_new = rest_new.join(moved.select(F.col("current_path").alias("path")), "path", "left_anti")
-    free_old = rest_old.join(moved.select(F.col("source_path").alias("path")), "path", "left_anti")
-
-    scored = same_extension_pairs(free_old, free_new, 0.40).select(F.lit(0).alias("grp"), "target", "source", "score")
-    fuzzy = greedy(scored, "grp").select(F.col("source").alias("source_path"), F.col("target").alias("current_path"), F.when(F.col("score") >= 0.55, "moved").otherwise("low_confidence").alias("match_type"))
-    paired = same.unionByName(moved.select(*same.columns)).unionByName(fuzzy)
-    none = F.lit(None).cast("string")
-    added = new.select(F.col("path").alias("current_path")).join(paired, "current_path", "left_anti").select(none.alias("source_path"), "current_path", F.lit("added").alias("match_type"))
-    deleted = old.select(F.col("path").alias("source_path")).join(paired, "source_path", "left_anti").select("source_path", none.alias("current_path"), F.lit("deleted").alias("match_type"))
-    return paired.unionByName(added).unionByName(deleted)
+    """SEQ-01, REV-09: how the files of two trees (path, text) belong together: source_path, current_path, diff_type,
+    match_type, similarity, language. Files equal in path and content are left out.
+
+    New files go in order of path. One whose path the old tree has is modified (exact_path). Any other takes an old file
+    of equal content, else the best similar one of its extension, among those that no file before it took: an old file
+    whose path the new tree has is free until that path's turn. What matches too faintly, or two files alike, is added."""
+    a = old.select(F.col("path").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    b = new.select(F.col("path").alias("target"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    same_path = b.join(a.withColumnRenamed("source", "target").withColumnRenamed("h", "old_h"), "target")
+    same_path = checkpointed(same_path.select("target", F.col("h").eqNullSafe(F.col("old_h")).alias("equal")))
+    rest = b.join(same_path, "target", "left_anti")
+    later = same_path.select(F.col("target").alias("source"), F.lit(True).alias("later"))
+
+    def free(pairs):
+        pairs = pairs.join(later, "source", "left")
+        return pairs.where(F.col("later").isNull() | (F.col("source") > F.col("target"))).drop("later")
+
+    equal = rest.where("h is not null").join(a, "h").select("target", "source", F.lit(1.0).alias("score"), F.lit(True).alias("same"))
+    without = rest.select(F.col("target").alias("path"))
+    alike = same_extension_pairs(old, new.join(without, "path", "left_semi"), V.LOW_FLOOR)
+    alike = alike.select("target", "source", "score", F.lit(False).alias("same")).join(equal.select("target", "source"), ["target", "source"], "left_anti")
+    found = matched_in_order(free(equal.unionByName(alike)), V.MOVED_FLOOR, V.LOW_FLOOR, V.AMBIGUOUS_MARGIN)
+
+    none, zero = F.lit(None).cast("string"), F.lit(0.0)
+    columns = ["source_path", "current_path", "diff_type", "match_type", "similarity"]
+
+    def row(df, *values):
+        return df.select(*(v.alias(c) for v, c in zip(values, columns)))
+
+    source, kind = F.col("source"), F.col("match_type")
+    exact = row(same_path.where("not equal"), F.col("target"), F.col("target"), F.lit("modified"), F.lit("exact_path"), F.lit(1.0))
+    matched = row(
+        found, F.when(kind != "ambiguous", source), F.col("target"), F.when(kind == "content_moved", "modified").otherwise("added"), kind, F.col("score")
+    )
+    added = row(rest.join(found, "target", "left_anti"), none, F.col("target"), F.lit("added"), F.lit("added"), zero)
+    used = same_path.select(F.col("target").alias("source")).unionByName(found.where("match_type = 'content_moved'").select("source"))
+    deleted = row(a.join(used, "source", "left_anti"), source, none, F.lit("deleted"), F.lit("deleted"), zero)
+    out = exact.unionByName(matched).unionByName(added).unionByName(deleted)
+    return out.withColumn("language", T.language(F.coalesce("current_path", "source_path")))
 
 
 def file_payloads(hunks: DataFrame) -> DataFrame:

@@ -20,6 +20,21 @@ def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def ratio_from(old: pd.Series, new: pd.Series, least: pd.Series) -> pd.Series:
+    """As `ratio`, but null below `least`: bounds by length and by letters are tried first, the matching after them."""
+    def one(a, b, low):
+        if a is None or b is None:
+            return None
+        m = difflib.SequenceMatcher(None, a, b)
+        if m.real_quick_ratio() < low - 1e-12 or m.quick_ratio() < low - 1e-12:
+            return None
+        value = m.ratio()
+        return value if value >= low - 1e-12 else None
+
+    return pd.Series([one(*r) for r in zip(old, new, least)], dtype="float64")
+
+
 @F.pandas_udf(StringType())
 def unified(old: pd.Series, new: pd.Series) -> pd.Series:
     """A unified diff with three lines of context; a null side is an empty file."""

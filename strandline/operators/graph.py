@@ -6,6 +6,7 @@ and its join can be split. The number of rounds grows with the logarithm of the
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Only a local session, whose tasks share the driver's disk, may do
+    without one; a cluster's would lose its checkpoints with a host."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
 

@@ -2,25 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from strandline.operators.graph import checkpointed
 
-def greedy(candidates: DataFrame, group: str) -> DataFrame:
-    """Of (group, target, source, score): targets in order take their best source that none before them took. The
-    caller limits the candidates of a target; a group is one assignment problem and fits a task."""
-    def run(pdf):
-        used, rows = set(), []
-        pdf = pdf.sort_values(["target", "score", "source"], ascending=[True, False, True])
-        done = None
-        for r in pdf.itertuples(index=False):
-            if r.target != done and r.source not in used:
-                used.add(r.source)
-                done = r.target
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return candidates.groupBy(group).applyInPandas(run, candidates.schema)
+
+def greedy(candidates: DataFrame) -> DataFrame:
+    """Of (target, source, score): targets in order take their best source that none before them took; of equal ones
+    the smaller. Returns target, source, score.
+
+    All sources rank the targets alike, so the rounds of deferred acceptance end there: each target asks its best source
+    that has not refused it, and a source keeps the first in order of those that ask. A round is two grouped minima; no
+    task holds more than the rows of one target or one source, combined before the shuffle."""
+    asked = Window.partitionBy("target").orderBy(F.desc("score"), "source")
+    ranked = checkpointed(candidates.select("target", "source", "score", F.row_number().over(asked).alias("place")))
+    place = checkpointed(ranked.select("target").distinct().withColumn("place", F.lit(1)))
+    while True:
+        asking = ranked.join(place, ["target", "place"])
+        kept = asking.groupBy("source").agg(F.min("target").alias("target"))
+        refused = checkpointed(asking.join(kept, ["source", "target"], "left_anti").select("target", F.lit(1).alias("more")))
+        if refused.isEmpty():
+            return asking.select("target", "source", "score")
+        place = checkpointed(place.join(refused, "target", "left").select("target", (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+
+
+def matched_in_order(candidates: DataFrame, moved: float, low: float, margin: float) -> DataFrame:
+    """Of (target, source, score, same): targets in order look at the sources that none before them took. With one of the
+    same content they take it, the smallest; else the best by score, then by greater name, decides: from `moved` on they
+    take it, unless a second one from `moved` on is nearer than `margin` (ambiguous: none is taken); from `low` on it is
+    named and not taken. Returns target, source, score, match_type of the targets that have any of these.
+
+    A target is decided in a round if it comes first of those that may take its best or its second source; the first
+    target left always is, and targets without common sources do not wait for each other."""
+    x = F.col("score")
+    able = F.col("same") | (x >= moved)
+    left, out = checkpointed(candidates.select("target", "source", "score", "same", able.alias("able"))), []
+    order = Window.partitionBy("target").orderBy(F.desc("same"), F.when(F.col("same"), F.col("source")), F.desc("score"), F.desc("source"))
+    while not left.isEmpty():
+        first = left.where("able").groupBy("source").agg(F.min("target").alias("first"))
+        top = left.join(first, "source", "left").withColumn("place", F.row_number().over(order)).where("place <= 2")
+        blocked = F.coalesce(F.col("first") < F.col("target"), F.lit(False))
+        waits = blocked & ((F.col("place") == 1) | F.col("able"))  # a second one below `moved` changes nothing
+        row = F.struct("place", "source", "score", "same")
+        both = top.groupBy("target").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.max(waits).alias("waits"))
+        best, second = F.col("a.score"), F.when(F.col("b.place") == 2, F.col("b.score")).otherwise(0.0)
+        close = (best >= moved) & (second >= moved) & (best - second < margin)
+        kind = F.when(F.col("a.same"), "content_moved").when(close, "ambiguous").when(best >= moved, "content_moved").when(best >= low, "low_confidence")
+        done = checkpointed(both.where("not waits").select("target", F.col("a.source").alias("source"), F.when(F.col("a.same"), 1.0).otherwise(best).alias("score"), kind.alias("match_type")))
+        out.append(done)
+        taken = done.where("match_type = 'content_moved'").select("source")
+        left = checkpointed(left.join(done.select("target"), "target", "left_anti").join(taken, "source", "left_anti"))
+    return reduce(DataFrame.unionByName, out).where("match_type is not null") if out else candidates.select("target", "source", "score", F.lit("").alias("match_type"))
 
 
 def leaders(items: DataFrame, group: str, least: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.operators import folds, ranking
+from strandline.operators.changes import link_reasons
 from strandline.operators.graph import components
 from strandline.plans.registry import Tables, query
 
@@ -35,15 +36,19 @@ def left_coalesce(t: Tables):
 
 @query(
     "theta_self_join",
-    """SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_type = b.p_type THEN 'type' ELSE '' END || CASE WHEN a.p_size = b.p_size THEN ',size' ELSE '' END AS reasons
-    FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND (a.p_type = b.p_type AND a.p_size = b.p_size)""",
+    """WITH c AS (SELECT p_partkey AS id, p_brand || p_size AS change_type, string_split(p_name, ' ') AS tags, ['P' || p_partkey % 97] AS imports, p_type AS label, 'd' || CAST(floor(p_retailprice / 50) AS BIGINT) AS dir FROM part),
+    r AS (SELECT id, change_type, unnest(list_distinct(list_concat(list_concat(list_transform(tags, lambda x: 'tag:' || x), list_transform(imports, lambda x: 'import:' || x)), ['label:' || label, 'dir:' || dir]))) AS reason FROM c)
+    SELECT a.id AS a, b.id AS b, string_agg(DISTINCT a.reason, ',' ORDER BY a.reason) AS reasons FROM r a JOIN r b ON a.change_type = b.change_type AND a.reason = b.reason AND a.id < b.id GROUP BY a.id, b.id""",
 )
 def theta_self_join(t: Tables):
-    """JON-07: pairs of parts of one brand with all link reasons; the equal columns are join keys."""
-    p = t.part.select("p_partkey", "p_brand", "p_type", "p_size")
-    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
-    df = a.join(b, ["p_brand", "p_type", "p_size"]).where("a < b")
-    return df.select("a", "b", F.lit("type,size").alias("reasons"))
+    """JON-07: pairs of parts of one brand and size with all the reasons that link them: a shared tag or import, an equal
+    label or folder."""
+    folder = F.concat(F.lit("d"), F.floor(F.col("p_retailprice") / 50))
+    changed = t.part.select(
+        F.col("p_partkey").alias("id"), F.concat("p_brand", "p_size").alias("change_type"), F.split("p_name", " ").alias("tags"),
+        F.array(F.concat(F.lit("P"), F.col("p_partkey") % 97)).alias("imports"), F.col("p_type").alias("label"), folder.alias("dir"),
+    )
+    return link_reasons(changed).select("a", "b", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
-from strandline.operators import diffs, ranking, sequences
+from strandline.operators import changes, diffs, ranking, sequences
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_tokens
 
@@ -161,10 +161,33 @@ def greedy_assignment(t: Tables):
 
     most = t.benchmark.count()
 
-    scored = claim_scores(t).select(F.lit(0).alias("grp"), F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
+    scored = claim_scores(t, most).select(F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
     w = Window.partitionBy("target").orderBy(F.desc("score"), "source")
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
-    return sequences.greedy(top, "grp").select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
+    return sequences.greedy(top).select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+EXTENSIONS = ("py", "md", "toml", "yaml", "sh", "cpp", "js", "txt")  # of the trees made of the benchmark's items
+
+
+def item_trees(t: Tables):
+    """Two trees of files made of all benchmark items: by item number some keep their path, and some move to a path
+    without a common word, change, or go."""
+    item, k = F.col("item_id"), F.pmod("item_id", F.lit(7))
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), F.pmod(F.floor(item / 7), F.lit(len(EXTENSIONS))).cast("int") + 1)
+    path = F.concat(F.lit("src/item"), item, F.lit("."), ext)
+    old = t.benchmark.where(k != 6).select(path.alias("path"), "text")
+    moved = F.concat(F.lit("lib/x"), F.md5(item.cast("string").cast("binary")), F.lit("."), ext)
+    half = F.substring("text", F.lit(1), (F.length("text") / 2).cast("int"))
+    body = F.when(k.isin(1, 4), F.concat("text", F.lit("\nmore"))).when(k == 5, half).otherwise(F.col("text"))
+    new = t.benchmark.where(k != 2).select(F.when(k.isin(0, 1, 6), path).otherwise(moved).alias("path"), body.alias("text"))
+    return old, new
+
+
+@query("file_mapping")
+def file_mapping(t: Tables):
+    """REV-09, SEQ-01, JON-05, MTH-13, WIN-06: how the files of two trees made of the benchmark's items belong together."""
+    return changes.map_files(*item_trees(t))
 
 
 @query("leader_clustering")

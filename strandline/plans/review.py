@@ -14,21 +14,80 @@ from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_any, sql_tokens
 
 
-def claim_scores(t: Tables):
-    """(item_id, doc_id, score) of all pairs that share a token: shared tokens over the claim's tokens.
+MARKER = r"(?i)\b(eq|fig|sec|tab)\b"
+TAGS = [name for name, _ in V.SEMANTIC_TAGS]
+
+
+def _parts(df, *keep):
+    """Adds the lower-cased text's tokens (ts), semantic tags as bits, and whether it has a marker."""
+    df = df.select(*keep, "text", F.lower("text").alias("low"))
+    bits = F.aggregate(T.semantic_tags(F.col("low")), F.lit(0).cast("long"), lambda s, x: s + F.expr("1L") * F.pow(F.lit(2), F.array_position(F.array(*map(F.lit, TAGS)), x) - 1).cast("long"))
+    return df.select(*keep, T.tokens(F.col("text")).alias("ts"), bits.alias("tags"), F.col("text").rlike(MARKER).cast("long").alias("marker"))
+
+
+def _part_score(path, symbol, semantic, hint, ident, marker):
+    return F.round(0.20 * path + 0.20 * symbol + 0.20 * semantic + 0.15 * hint + 0.20 * ident + 0.05 * marker, 9)
+
+
+def claim_scores(t: Tables, keep: int = 5):
+    """(item_id, doc_id, score): the six-part score of each claim and document that share a token. Of pairs that share
+    none, the score depends only on tags and marker, so of the documents that agree in these the `keep` first and last
+    by doc_id stand for all: no other one can be among a claim's best `keep`. Pairs of score 0 have no row.
+
+    Tokens are cut where the texts lie, and only (doc_id, item_id, counts) are shuffled; the claims' tokens are broadcast
+    while they are few."""
+    claims = _parts(t.benchmark, "item_id").withColumn("n", F.size("ts"))
+    wanted = broadcast_if_small(claims.select("item_id", F.explode("ts").alias("token")))
+    about = broadcast_if_small(claims.select("item_id", F.col("n").alias("c_n"), F.col("tags").alias("c_tags"), F.col("marker").alias("c_marker")))
+    docs = _parts(t.documents, "doc_id", "source", "lang")
+
+    def cell(token, in_text, in_path, new):
+        return F.struct(token.alias("token"), in_text.alias("h"), in_path.alias("p"), new.alias("u"))
 
-    Documents are dealt by doc_id before they are exploded, so the pairs of a document are counted where they arise.
-    The claims' tokens are broadcast while they are few."""
-    claims = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    claims = broadcast_if_small(claims)
-    docs = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("token"))
-    shared = docs.join(claims, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    return shared.select("item_id", "doc_id", (F.col("k") / F.col("n")).alias("score"))
+    one, zero = F.lit(1), F.lit(0)
+    path = F.transform(F.array_distinct(F.array_compact(F.array("source", "lang"))), lambda x: cell(x, zero, one, F.when(F.array_contains("ts", x), 0).otherwise(1)))
+    cells = F.concat(F.transform("ts", lambda x: cell(x, one, zero, one)), path)
+    rows = docs.select("doc_id", "tags", "marker", F.size("ts").alias("n"), F.explode_outer(cells).alias("c"))
+    shared = rows.select("doc_id", "tags", "marker", "n", "c.*").join(wanted, "token").groupBy("doc_id", "item_id").agg(
+        F.sum("h").alias("h"), F.sum("p").alias("p"), F.sum("u").alias("u"), F.first("n").alias("n"), F.first("tags").alias("tags"), F.first("marker").alias("marker")
+    )
+
+    def semantic():
+        return S.ratio(F.bit_count(F.col("tags").bitwiseAND(F.col("c_tags"))), F.bit_count("c_tags"))
+
+    marker = F.col("marker") * F.col("c_marker")
+    share = [S.ratio(F.col(k), F.col("c_n")) for k in ("p", "h", "u")]
+    score = _part_score(share[0], share[1], semantic(), share[2], S.ratio(F.col("h"), F.col("n")), marker)
+    sharing = shared.join(about, "item_id").select("item_id", "doc_id", score.alias("score"))
+
+    alike = _parts(t.documents, "doc_id").select("doc_id", "tags", "marker")
+    by = Window.partitionBy("tags", "marker")
+    ends = alike.withColumn("a", F.row_number().over(by.orderBy("doc_id"))).where(F.col("a") <= keep)
+    ends = ends.drop("a").unionByName(alike.withColumn("a", F.row_number().over(by.orderBy(F.desc("doc_id")))).where(F.col("a") <= keep).drop("a"))
+
+    def keys(tags, marker_):  # what must be shared for a score over 0
+        found = [F.when(F.expr(f"{tags} & {1 << k}L") != 0, F.lit(k)) for k in range(len(TAGS))]
+        return F.explode(F.array_compact(F.array(*found, F.when(F.col(marker_) == 1, F.lit(len(TAGS)))))).alias("key")
 
+    pairs = ends.select("*", keys("tags", "marker")).join(broadcast_if_small(about.select("*", keys("c_tags", "c_marker"))), "key").drop("key").distinct()
+    none = F.lit(0.0)
+    rest = pairs.select("item_id", "doc_id", _part_score(none, none, semantic(), none, none, marker).alias("score"))
+    return sharing.unionByName(rest.join(sharing.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")).where("score > 0")
+
+
+def _sql_recall(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE len(list_intersect({a}, {b})) / len({b}) END"
 
-SCORES = f"""SELECT c.item_id, d.doc_id, count(*) / any_value(c.n) AS score FROM
-  (SELECT item_id, len(ts) AS n, unnest(ts) AS token FROM (SELECT item_id, {sql_tokens("text")} AS ts FROM benchmark)) c
-  JOIN (SELECT doc_id, unnest({sql_tokens("text")}) AS token FROM documents) d USING (token) GROUP BY ALL"""
+
+def _sql_tags(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_any(x, ms)} THEN '{v}' END" for v, ms in V.SEMANTIC_TAGS) + "], lambda q: q IS NOT NULL)"
+
+
+_SQL_MARKED = "regexp_matches({}, '(?i)\\b(eq|fig|sec|tab)\\b')"
+SCORES = f"""SELECT * FROM (SELECT item_id, doc_id, round(0.20e0 * {_sql_recall("path", "c")} + 0.20e0 * {_sql_recall("h", "c")} + 0.20e0 * {_sql_recall("dg", "cg")}
+    + 0.15e0 * {_sql_recall("list_distinct(list_concat(h, path))", "c")} + 0.20e0 * {_sql_recall("c", "h")} + 0.05e0 * CASE WHEN cm AND dm THEN 1e0 ELSE 0e0 END, 9) AS score
+  FROM (SELECT item_id, {sql_tokens("text")} AS c, {_sql_tags("lower(text)")} AS cg, {_SQL_MARKED.format("text")} AS cm FROM benchmark)
+  CROSS JOIN (SELECT doc_id, {sql_tokens("text")} AS h, {_sql_tags("lower(text)")} AS dg, {_SQL_MARKED.format("text")} AS dm, list_distinct([source, lang]) AS path FROM documents)) WHERE score > 0"""
 TOP = f"""SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM ({SCORES})) WHERE rank <= 5"""
 LINKS = f"SELECT item_id, doc_id, score FROM ({TOP}) WHERE score >= greatest(0.08e0, 0.6e0 * best)"
 
@@ -43,7 +102,7 @@ def _links(t: Tables):
 
 @query("claim_hunk_topk", f"SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({TOP})")
 def claim_hunk_topk(t: Tables):
-    """JON-08, MTH-02, WIN-03: the five best passages of each claim."""
+    """JON-08, MTH-02, WIN-03: the five best passages of each claim by the six-part score."""
     return _top(t).select("item_id", "doc_id", "score", "rank")
 
 
@@ -53,39 +112,10 @@ def link_acceptance(t: Tables):
     return _links(t)
 
 
-MARKER = r"(?i)\b(eq|fig|sec|tab)\b"
-
-
-def _sql_recall(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE len(list_intersect({a}, {b})) / len({b}) END"
-
-
-def _sql_tags(x: str) -> str:
-    from strandline.functions.fixed_values import SEMANTIC_TAGS
-
-    return "list_filter([" + ", ".join(f"CASE WHEN {sql_any(x, ms)} THEN '{v}' END" for v, ms in SEMANTIC_TAGS) + "], lambda q: q IS NOT NULL)"
-
-
-@query(
-    "claim_score_full",
-    f"""WITH p AS (SELECT t.item_id, t.doc_id, b.text AS ct, d.text AS dt, {sql_tokens("b.text")} AS c, {sql_tokens("d.text")} AS h, [d.source, d.lang] AS path FROM ({TOP}) t
-      JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
-    s AS (SELECT item_id, doc_id, {_sql_recall("path", "c")} AS path, {_sql_recall("h", "c")} AS symbol, {_sql_recall(_sql_tags("lower(dt)"), _sql_tags("lower(ct)"))} AS semantic,
-      {_sql_recall("list_distinct(list_concat(h, path))", "c")} AS hint, {_sql_recall("c", "h")} AS ident,
-      CASE WHEN regexp_matches(ct, '(?i)\\b(eq|fig|sec|tab)\\b') AND regexp_matches(dt, '(?i)\\b(eq|fig|sec|tab)\\b') THEN 1e0 ELSE 0e0 END AS marker FROM p)
-    SELECT item_id, doc_id, round(0.20e0 * path + 0.20e0 * symbol + 0.20e0 * semantic + 0.15e0 * hint + 0.20e0 * ident + 0.05e0 * marker, 9) AS score FROM s""",
-)
+@query("claim_score_full", f"SELECT item_id, doc_id, score, score >= greatest(0.08e0, 0.6e0 * best) AS accepted FROM ({TOP})")
 def claim_score_full(t: Tables):
-    """MTH-12, STR-53: the weighted six-part score of each claim's candidates."""
-    top = _top(t).select("item_id", "doc_id")
-    claims = t.benchmark.select("item_id", F.col("text").alias("ct"), T.tokens(F.col("text")).alias("c"))
-    docs = t.documents.select("doc_id", F.col("text").alias("dt"), T.tokens(F.col("text")).alias("h"), F.array("source", "lang").alias("path"))
-    df = top.join(claims, "item_id").join(docs, "doc_id")
-    c, h, path = F.col("c"), F.col("h"), F.col("path")
-    semantic = S.recall(T.semantic_tags(F.lower("dt")), T.semantic_tags(F.lower("ct")))
-    marker = (F.col("ct").rlike(MARKER) & F.col("dt").rlike(MARKER)).cast("double")
-    score = 0.20 * S.recall(path, c) + 0.20 * S.recall(h, c) + 0.20 * semantic + 0.15 * S.recall(F.array_union(h, path), c) + 0.20 * S.recall(c, h) + 0.05 * marker
-    return df.select("item_id", "doc_id", F.round(score, 9).alias("score"))
+    """MTH-12, STR-53, JON-08, REV-04: each claim's five best by the six-part score, and which are accepted."""
+    return _top(t).select("item_id", "doc_id", "score", "accepted")
 
 
 @query(

@@ -86,7 +86,7 @@ def test_map_files(spark):
     new = spark.createDataFrame([("a.py", "2"), ("c.py", "same"), ("lib/model.py", "class A: pass\n" * 6 + "x = 1"), ("fresh.rs", "z")], "path string, text string")
     got = {(r.source_path, r.current_path, r.match_type) for r in changes.map_files(old, new).collect()}
     assert got == {
-        ("a.py", "a.py", "exact_path"), ("b.py", "c.py", "content_hash"), ("src/model.py", "lib/model.py", "moved"), ("gone.py", None, "deleted"), (None, "fresh.rs", "added"),
+        ("a.py", "a.py", "exact_path"), ("b.py", "c.py", "content_moved"), ("src/model.py", "lib/model.py", "content_moved"), ("gone.py", None, "deleted"), (None, "fresh.rs", "added"),
     }
 
 
@@ -118,15 +118,115 @@ def test_renames_without_shared_words(spark):
     for path, best in ranked.items():
         assert found[path].old_path == best[0][1] and found[path].best == pytest.approx(-best[0][0])
         assert found[path].second == pytest.approx(-best[1][0] if len(best) > 1 else 0.0)
-    used, want = set(), set()
-    for path in sorted(ranked):
-        free = [(-s, a) for s, a in ranked[path] if a not in used and -s >= 0.40]
+    got = {(r.source_path, r.current_path, r.match_type) for r in changes.map_files(*frame).collect()}
+    assert got == {r[:2] + r[3:4] for r in brute_map(dict(old), dict(new))} and ("main.py", "train.py", "content_moved") in got
+
+
+def brute_map(old, new):
+    """Files in order of path, one after the other: (source, current, diff_type, match_type, similarity)."""
+    import difflib
+    import re
+
+    def words(p):
+        return set(re.findall("[a-z0-9]+", p.lower()))
+
+    def parts(p):
+        name = p.rsplit("/", 1)[-1]
+        return (name.rsplit(".", 1)[0], "." + name.rsplit(".", 1)[1].lower()) if "." in name else (name, "")
+
+    used, out = set(), []
+    for c in sorted(new):
+        if c in old:
+            used.add(c)
+            if old[c] != new[c]:
+                out.append((c, c, "modified", "exact_path", 1.0))
+            continue
+        same = next((s for s in sorted(old) if old[s] == new[c] and s not in used), None)
+        if same:
+            used.add(same)
+            out.append((same, c, "modified", "content_moved", 1.0))
+            continue
+        found = []
+        for s in old:
+            if s not in used and parts(s)[1] == parts(c)[1]:
+                x = difflib.SequenceMatcher(None, old[s], new[c]).ratio() + min(0.05 * len(words(s) & words(c)), 0.2)
+                found.append((min(1.0, x + (0.12 if parts(s)[0] == parts(c)[0] else 0.0)), s))
+        found.sort(reverse=True)
+        best, second = [*found, (0.0, None), (0.0, None)][:2]
+        if best[0] >= 0.55 and second[0] >= 0.55 and best[0] - second[0] < 0.08:
+            out.append((None, c, "added", "ambiguous", best[0]))
+        elif best[0] >= 0.55:
+            used.add(best[1])
+            out.append((best[1], c, "modified", "content_moved", best[0]))
+        elif best[0] >= 0.40:
+            out.append((best[1], c, "added", "low_confidence", best[0]))
+        else:
+            out.append((None, c, "added", "added", 0.0))
+    return out + [(s, None, "deleted", "deleted", 0.0) for s in sorted(set(old) - used)]
+
+
+def map_rows(spark, old, new):
+    frames = [spark.createDataFrame(list(x.items()), "path string, text string") for x in (old, new)]
+    got = changes.map_files(*frames).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    return sorted(((r.source_path, r.current_path, r.diff_type, r.match_type, r.similarity) for r in got), key=key), sorted(brute_map(old, new), key=key)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_map_files_against_brute_force(spark, seed):
+    """Copies, ties, ambiguous and faint matches, paths that are taken before their turn, chains of wishes."""
+    import random
+
+    rng = random.Random(seed)
+    lines = [f"value_{i} = compute({i})" for i in range(12)]
+
+    def body():
+        return "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))
+
+    texts = [body() for _ in range(7)]
+    names = [f"{rng.choice(['src', 'lib', 'a', 'b'])}/{rng.choice(['model', 'data', 'run', 'x', 'y', 'zed'])}{i % 5}.{rng.choice(['py', 'py', 'md'])}" for i in range(40)]
+    old = {n: rng.choice([rng.choice(texts), body()]) for n in names[:26]}
+    new = {n: rng.choice([rng.choice(texts), body(), old.get(n, "q")]) for n in names[14:]}
+    got, want = map_rows(spark, old, new)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want])
+
+
+def test_map_files_verdicts(spark):
+    """An ambiguous file takes nothing; a faint match is named, and its old file counts as deleted; equal files are left out."""
+    a, b = "alpha beta gamma delta epsilon", "alpha beta gamma delta epsilom"
+    got, want = map_rows(spark, {"src/a.py": a, "src/b.py": b, "k.py": "same"}, {"new.py": a[:-1] + "x", "k.py": "same"})
+    assert got == want and ("deleted", "deleted") in {r[2:4] for r in got} and got[0][:4] == (None, "new.py", "added", "ambiguous")
+    got, want = map_rows(spark, {"src/a.py": "abcdefghij"}, {"new_file.py": "abcd123456"})
+    assert got == want and {r[3] for r in got} == {"low_confidence", "deleted"} and got[0][0] == "src/a.py"
+
+
+def test_file_mapping_query(spark):
+    from strandline import catalog
+    from strandline.plans.lineage import item_trees
+    from strandline.plans.registry import Tables
+    from tests.conftest import SF
+
+    old, new = ({r.path: r.text for r in x.collect()} for x in item_trees(Tables(spark, SF)))
+    got = {(r.source_path, r.current_path, r.diff_type, r.match_type) for r in catalog.queries()["file_mapping"](spark, SF).collect()}
+    assert got == {r[:4] for r in brute_map(old, new)} and len({r[3] for r in got}) >= 4
+
+
+def test_greedy_against_brute_force(spark):
+    import random
+
+    from strandline.operators import sequences
+
+    rng = random.Random(3)
+    rows = [(t, s, rng.randint(1, 4) / 4) for t in range(30) for s in rng.sample(range(25), 12)]
+    used, want = set(), []
+    for t in range(30):
+        free = sorted((-x, s) for a, s, x in rows if a == t and s not in used)
         if free:
             used.add(free[0][1])
-        want.add((free[0][1], path, "moved" if free[0][0] >= 0.55 else "low_confidence") if free else (None, path, "added"))
-    want |= {(a[0], None, "deleted") for a in old if a[0] not in used}
-    got = {(r.source_path, r.current_path, r.match_type) for r in changes.map_files(*frame).collect()}
-    assert got == want and ("main.py", "train.py", "moved") in got
+            want.append((t, free[0][1], -free[0][0]))
+    got = sequences.greedy(spark.createDataFrame(rows, "target long, source long, score double")).collect()
+    assert sorted(map(tuple, got)) == want
 
 
 def test_payloads_and_views(spark):

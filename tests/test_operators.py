@@ -72,8 +72,8 @@ def test_change_points_and_margin(spark):
 
 
 def test_sequences(spark):
-    df = spark.createDataFrame([(0, 1, 10, 0.9), (0, 1, 11, 0.8), (0, 2, 10, 0.95), (0, 2, 11, 0.2)], "g long, target long, source long, score double")
-    assert sorted((r.target, r.source) for r in sequences.greedy(df, "g").collect()) == [(1, 10), (2, 11)]
+    df = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.95), (2, 11, 0.2)], "target long, source long, score double")
+    assert sorted((r.target, r.source) for r in sequences.greedy(df).collect()) == [(1, 10), (2, 11)]
     items = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["b", "c", "a"]), (1, 3, ["x", "y"])], "g long, ord long, tokens array<string>")
     assert sorted((r.cluster, r.size) for r in sequences.leaders(items, "g", 2).collect()) == [(0, 2), (1, 1)]
 
