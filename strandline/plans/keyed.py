@@ -130,14 +130,15 @@ def coverage_histogram(t: Tables):
 
 @query(
     "title_merge",
-    """SELECT key, min(conv_id) AS first_conv, count(*) AS n, string_agg(DISTINCT CAST(conv_id AS VARCHAR), ',' ORDER BY CAST(conv_id AS VARCHAR)) AS convs
-    FROM (SELECT conv_id, lower(text) AS key FROM conversations WHERE turn = 0) GROUP BY key""",
+    """SELECT key, min(conv_id) AS first_conv, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE r <= 6) AS convs
+    FROM (SELECT conv_id, lower(text) AS key, row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id) AS r FROM conversations WHERE turn = 0) GROUP BY key""",
 )
 def title_merge(t: Tables):
-    """SEQ-06: conversations with one first text, merged under the first."""
+    """SEQ-06: conversations with one first text, merged under the first, with the first six of them."""
     df = t.conversations.where("turn = 0").select("conv_id", F.lower("text").alias("key"))
-    ids = F.array_join(F.array_sort(F.collect_set(F.col("conv_id").cast("string"))), ",")
-    return df.groupBy("key").agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"), ids.alias("convs"))
+    w = Window.partitionBy("key").orderBy("conv_id")
+    top = df.withColumn("r", F.row_number().over(w)).where("r <= 6").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda x: x.cast("string")), ",").alias("convs"))
+    return df.groupBy("key").agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n")).join(top, "key").select("key", "first_conv", "n", "convs")
 
 
 @query(
@@ -164,20 +165,15 @@ def bucket_counts(t: Tables):
 
 @query(
     "connected_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o.o_custkey AS c, l_suppkey AS s FROM orders o JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_linenumber = 1),
-    l AS (SELECT DISTINCT a.c AS a, b.c AS b FROM e a JOIN e b ON a.s = b.s AND a.c <> b.c),
-    r(node, low) AS (SELECT a, a FROM l UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node)
-    SELECT node, min(low) AS component FROM r GROUP BY node""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey), m AS (SELECT s FROM e GROUP BY s HAVING count(*) > 1),
+    g AS (SELECT c * 2 AS a, s * 2 + 1 AS b FROM e UNION ALL SELECT s * 2 + 1, c * 2 FROM e),
+    cc(id, low) USING KEY (id) AS (SELECT DISTINCT a, a FROM g UNION (SELECT g.b, min(cc.low) FROM cc JOIN g ON g.a = cc.id JOIN recurring.cc AS old ON old.id = g.b WHERE cc.low < old.low GROUP BY g.b)),
+    t AS (SELECT low, min(id) FILTER (WHERE id % 2 = 0) // 2 AS component FROM cc GROUP BY low)
+    SELECT node, component FROM (SELECT DISTINCT c AS node FROM e SEMI JOIN m USING (s)) JOIN cc ON id = node * 2 JOIN t USING (low)""",
 )
 def connected_components(t: Tables):
-    """GRF-01, GRF-02: customers linked through a supplier of large first lines. The graph is the bipartite one, so a
-    supplier with many customers makes one edge for each, not one for each pair."""
-    return _linked_customers(t, t.lineitem.where("l_quantity >= 50 and l_linenumber = 1"))
-
-
-@query("connected_components_full")
-def connected_components_full(t: Tables):
-    """GRF-01, GRF-02: customers linked through a supplier of any line item; tested by brute force."""
+    """GRF-01, GRF-02: customers linked through a supplier of any line item. The graph is the bipartite one, so a supplier
+    with many customers makes one edge for each, not one for each pair."""
     return _linked_customers(t, t.lineitem)
 
 
@@ -205,20 +201,6 @@ def sessionise_sections(t: Tables):
 
 @query(
     "running_budget",
-    """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(left(text, 500)) AS n FROM conversations),
-    r(conv_id, k, used, taken, stop) AS (
-      SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM (SELECT DISTINCT conv_id FROM s)
-      UNION ALL SELECT s.conv_id, s.k, used + least(n, 1500 - used), taken + 1, NOT (taken + 1 < 8 AND 1500 - (used + least(n, 1500 - used)) >= 100)
-      FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1 WHERE NOT stop)
-    SELECT conv_id, max(taken) AS sections, max(used) AS chars FROM r GROUP BY conv_id""",
-)
-def running_budget(t: Tables):
-    """WIN-07: turns taken in order until eight are taken or fewer than 100 of 1,500 characters are left."""
-    return folds.running_budget(t.conversations, "conv_id", "turn", "text", sections=8, section_chars=500, total=1500, least=100)
-
-
-@query(
-    "running_budget_full",
     f"""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(left(text, {V.PARSE_SECTION_CHARS})) AS n FROM conversations),
     r(conv_id, k, used, taken, stop) AS (
       SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM (SELECT DISTINCT conv_id FROM s)
@@ -227,7 +209,7 @@ def running_budget(t: Tables):
       FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1 WHERE NOT stop)
     SELECT conv_id, max(taken) AS sections, max(used) AS chars FROM r GROUP BY conv_id""",
 )
-def running_budget_full(t: Tables):
+def running_budget(t: Tables):
     """WIN-07: turns taken in order within the reference's limits."""
     return folds.running_budget(t.conversations, "conv_id", "turn", "text", V.PARSE_SECTIONS, V.PARSE_SECTION_CHARS, V.PARSE_TOTAL_CHARS, V.PARSE_LEAST)
 

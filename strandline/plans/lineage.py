@@ -9,6 +9,7 @@ from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
 from strandline.operators import changes, diffs, ranking, sequences
+from strandline.operators.graph import checkpointed
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_tokens
 
@@ -34,8 +35,17 @@ def _source_tokens(t: Tables):
 SOURCE_TOKENS = f"SELECT DISTINCT source, unnest({sql_tokens('text')}) AS token FROM documents"
 
 
+def _both_ways(pairs):
+    """Each pair in both directions, from one row."""
+    def way(a, b, na, nb):
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(na).alias("na"), F.col(nb).alias("nb"), "shared")
+
+    return pairs.select(F.explode(F.array(way("a", "b", "na", "nb"), way("b", "a", "nb", "na"))).alias("p")).select("p.*")
+
+
 def _pair_overlap(df, key: str, item: str):
-    """MTH-01 for all pairs of keys that share an item: the item is the join key."""
+    """MTH-01 for all pairs of keys that share an item: the item is the join key. The distinct rows are made once."""
+    df = checkpointed(df)
     sizes = df.groupBy(key).agg(F.count("*").alias("n"))
     a, b = (df.select(F.col(key).alias(k), item) for k in "ab")
     both = a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
@@ -63,8 +73,7 @@ def overlap_coefficient(t: Tables):
 )
 def fingerprint_rank(t: Tables):
     """MTH-03, WIN-01, CND-13: the three most alike sources of each, with weighted overlaps and a floor."""
-    one = _pair_overlap(_source_tokens(t), "source", "token")
-    both = one.select("a", "b", "na", "nb", "shared").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "shared"))
+    both = _both_ways(_pair_overlap(_source_tokens(t), "source", "token"))
     score = 0.35 * (F.col("shared") / F.least("na", "nb")) + 0.65 * (F.col("shared") / F.col("nb"))
     df = both.withColumn("score", score).where(F.col("score") >= V.FINGERPRINT_FLOOR)
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
@@ -100,8 +109,7 @@ def shape_similarity(t: Tables):
 )
 def best_second_margin(t: Tables):
     """WIN-06: how sure the best match of each source is."""
-    one = _pair_overlap(_source_tokens(t), "source", "token")
-    both = one.select("a", "b", "shared", "nb").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", F.col("na").alias("nb")))
+    both = _both_ways(_pair_overlap(_source_tokens(t), "source", "token"))
     df = both.withColumn("score", F.col("shared") / F.col("nb"))
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     df = df.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("a").agg(

@@ -27,7 +27,7 @@ def _from_marker_sql(x: str, markers, limit: int) -> str:
     return SQL_STRIP.format(f"CASE {cases} END")
 
 
-PHRASE = "'We use blocks ' || CASE item_id % 4 WHEN 0 THEN 'for speed' WHEN 1 THEN 'instead of rows to save space' WHEN 2 THEN 'without copies, while text is ' || left(text, 200) ELSE 'only' END"
+PHRASE = "'We use blocks ' || CASE item_id % 4 WHEN 0 THEN 'for speed' WHEN 1 THEN 'instead of rows to save space' WHEN 2 THEN 'without copies, while text is ' || text ELSE 'only' END"
 
 
 @query("marker_phrases", f"""SELECT item_id, {_from_marker_sql("x", V.PROBLEM_MARKERS, 160)} AS problem, {_from_marker_sql("x", V.DIFFERENCE_MARKERS, 180)} AS difference
@@ -35,7 +35,7 @@ PHRASE = "'We use blocks ' || CASE item_id % 4 WHEN 0 THEN 'for speed' WHEN 1 TH
 def marker_phrases(t: Tables):
     """STR-21, STR-22: phrases from the first marker of a list on."""
     k = F.col("item_id") % 4
-    tail = F.when(k == 0, "for speed").when(k == 1, "instead of rows to save space").when(k == 2, F.concat(F.lit("without copies, while text is "), F.left("text", F.lit(200)))).otherwise("only")
+    tail = F.when(k == 0, "for speed").when(k == 1, "instead of rows to save space").when(k == 2, F.concat(F.lit("without copies, while text is "), "text")).otherwise("only")
     x = F.concat(F.lit("We use blocks "), tail)
     df = t.benchmark.select("item_id", x.alias("x"))
     return df.select("item_id", T.from_marker(F.col("x"), V.PROBLEM_MARKERS, 160).alias("problem"), T.from_marker(F.col("x"), V.DIFFERENCE_MARKERS, 180).alias("difference"))
@@ -90,7 +90,8 @@ def reusable_job(t: Tables):
 @query("formula_concepts", "SELECT doc_id, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in ms) + f" THEN '{c}' END" for c, ms in V.PAPER_CONCEPTS) + "], lambda x: x IS NOT NULL), ',') AS concepts FROM documents")
 def formula_concepts(t: Tables):
     """CTR-10: formula concepts of each text."""
-    return t.documents.select("doc_id", F.array_join(contributions.concepts(F.lower("text"), V.PAPER_CONCEPTS), ",").alias("concepts"))
+    low = t.documents.select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.array_join(contributions.concepts(F.col("low"), V.PAPER_CONCEPTS), ",").alias("concepts"))
 
 
 @query("search_hit_count", """SELECT user_id, event_type AS repo, count(*) AS hits, count(DISTINCT CAST(floor(value) AS BIGINT)) AS queries, CASE WHEN count(*) > 5 THEN 'strong' ELSE 'weak' END AS kind FROM events GROUP BY ALL""")

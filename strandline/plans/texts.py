@@ -209,7 +209,8 @@ def classify_change(t: Tables):
 )
 def semantic_tags(t: Tables):
     """STR-42: tags of each document."""
-    return t.documents.select("doc_id", F.array_join(T.semantic_tags(F.lower("text")), ",").alias("tags"))
+    low = t.documents.select("doc_id", F.lower("text").alias("low"))  # once, not for each marker
+    return low.select("doc_id", F.array_join(T.semantic_tags(F.col("low")), ",").alias("tags"))
 
 
 @query("trim_text", f"""SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE regexp_replace(left(s, 77), '[ \\t\\n\\x0B\\f\\r]+$', '') || '...' END AS short
@@ -272,22 +273,10 @@ def file_filter(t: Tables):
 
 @query(
     "snapshot_scan",
-    """SELECT source, doc_id, n AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n
-    FROM documents WHERE strlen(text) <= 20000) WHERE n <= 40""",
-)
-def snapshot_scan(t: Tables):
-    """SRC-02, SRT-13: the first 40 documents of each source, of at most 20,000 bytes."""
-    first = Window.partitionBy("source").orderBy("doc_id")
-    df = t.documents.where(F.octet_length("text") <= 20_000).select("source", "doc_id", F.row_number().over(first).cast("long").alias("place"))
-    return df.where("place <= 40")
-
-
-@query(
-    "snapshot_scan_full",
     f"""SELECT source, doc_id, n AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n
     FROM documents WHERE strlen(text) <= {V.MAX_FILE_BYTES}) WHERE n <= {V.MAX_FILES}""",
 )
-def snapshot_scan_full(t: Tables):
+def snapshot_scan(t: Tables):
     """SRC-02, SRT-13: the documents of each source within the reference's limits, size before place as there."""
     first = Window.partitionBy("source").orderBy("doc_id")
     df = t.documents.where(F.octet_length("text") <= V.MAX_FILE_BYTES).select("source", "doc_id", F.row_number().over(first).cast("long").alias("place"))
@@ -311,13 +300,16 @@ def path_rollup(t: Tables):
     return df.groupBy("prefix").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"))
 
 
-@query("owner_groups", """SELECT owner, count(*) AS n, min(page_id) AS first_page, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages
-    FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS owner FROM pages) GROUP BY owner""")
+@query("owner_groups", """SELECT owner, page_id, row_number() OVER (PARTITION BY owner ORDER BY page_id) AS place, count(*) OVER (PARTITION BY owner) AS n
+    FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS owner FROM pages)""")
 def owner_groups(t: Tables):
-    """AGG-13, AGG-08: pages by host, ids in order."""
-    df = t.pages.select("page_id", F.lower(T.url_host(F.col("url"))).alias("owner"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",")
-    return df.groupBy("owner").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"), ids.alias("pages"))
+    """AGG-13, AGG-08: pages by host, in order. The list of a host is rows with places, not one row that grows: all rows
+    are numbered in one range-partitioned order, and a host's places count from its first."""
+    from strandline.operators.ordering import numbered
+
+    df = numbered(t.pages.select("page_id", F.lower(T.url_host(F.col("url"))).alias("owner")), [F.col("owner"), F.col("page_id")], "g")
+    first = df.groupBy("owner").agg(F.min("g").alias("first"), F.count("*").alias("n"))
+    return df.join(first, "owner").select("owner", "page_id", (F.col("g") - F.col("first") + 1).cast("long").alias("place"), "n")
 
 
 @query("freq_topk", f"""WITH e AS (SELECT source, unnest({sql_tokens("text")}) AS token FROM documents), c AS (SELECT source, token, count(*) AS n FROM e GROUP BY ALL)
@@ -329,17 +321,9 @@ def freq_topk(t: Tables):
     return df.withColumn("r", F.row_number().over(best)).where("r <= 6").drop("r")
 
 
-@query("large_file_mode", """SELECT doc_id, CASE WHEN lines > 100 OR bytes > 20000 THEN 'raw_diff_only' ELSE 'inline' END AS mode, lines, bytes
+@query("large_file_mode", f"""SELECT doc_id, CASE WHEN lines > {V.LARGE_LINES} OR bytes > {V.LARGE_BYTES} THEN 'raw_diff_only' ELSE 'inline' END AS mode, lines, bytes
     FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)""")
 def large_file_mode(t: Tables):
-    """REV-14: display mode by lines and bytes; thresholds fitted to the tables' sizes."""
-    df = t.documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("bytes"))
-    return df.select("doc_id", F.when((F.col("lines") > 100) | (F.col("bytes") > 20_000), "raw_diff_only").otherwise("inline").alias("mode"), "lines", "bytes")
-
-
-@query("large_file_mode_full", f"""SELECT doc_id, CASE WHEN lines > {V.LARGE_LINES} OR bytes > {V.LARGE_BYTES} THEN 'raw_diff_only' ELSE 'inline' END AS mode, lines, bytes
-    FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)""")
-def large_file_mode_full(t: Tables):
     """REV-14: display mode by lines and bytes, with the reference's thresholds."""
     df = t.documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("bytes"))
     large = (F.col("lines") > V.LARGE_LINES) | (F.col("bytes") > V.LARGE_BYTES)
@@ -349,14 +333,15 @@ def large_file_mode_full(t: Tables):
 @query("significance_queue", """SELECT doc_id, significance, lines, CAST(row_number() OVER (ORDER BY linked DESC, rank DESC, lines DESC, doc_id) AS BIGINT) AS place FROM (
     SELECT doc_id, lines, linked, CASE WHEN linked > 0 OR lines >= 50 THEN 'high' WHEN lines >= 10 THEN 'medium' ELSE 'low' END AS significance,
       CASE WHEN linked > 0 OR lines >= 50 THEN 3 WHEN lines >= 10 THEN 2 ELSE 1 END AS rank
-    FROM (SELECT d.doc_id, len(string_split(text, chr(10))) AS lines, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS linked FROM documents d JOIN labels l USING (doc_id)))""")
+    FROM (SELECT d.doc_id, len(string_split(text, chr(10))) AS lines, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS linked FROM documents d LEFT JOIN labels l USING (doc_id)))""")
 def significance_queue(t: Tables):
-    """MTH-16, SRT-03: the review queue of labelled documents, with its places. A total order is asked for: the rows
+    """MTH-16, SRT-03: the review queue of all documents, with its places. A total order is asked for: the rows
     are range-partitioned by the sort keys, and places are counted from the partitions' sizes."""
     from strandline.operators.ordering import numbered
 
     labels = t.labels.select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("linked"))
-    df = t.documents.join(labels, "doc_id").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), "linked")
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    df = t.documents.select("doc_id", lines.alias("lines")).join(labels, "doc_id", "left").select("doc_id", "lines", F.coalesce("linked", F.lit(0)).alias("linked"))
     df = df.withColumn("significance", S.significance(F.col("lines"), F.col("linked")))
     df = df.withColumn("rank", S.significance_rank(F.col("significance")))
     order = [F.desc("linked"), F.desc("rank"), F.desc("lines"), F.asc("doc_id")]

@@ -31,17 +31,17 @@ def rows(spark, folder, name):
 
 
 def test_snapshot_scan(spark, folder):
-    got = rows(spark, folder, "snapshot_scan_full")
+    got = rows(spark, folder, "snapshot_scan")
     assert [r for r in got if r[0] == "a"] == [("a", i, i + 1) for i in range(200)] and ("b", 300, 1) in got and ("c", 302, 2) not in got
 
 
 def test_large_file_mode(spark, folder):
-    got = {r[0]: r[1] for r in rows(spark, folder, "large_file_mode_full")}
+    got = {r[0]: r[1] for r in rows(spark, folder, "large_file_mode")}
     assert {k for k, v in got.items() if v == "raw_diff_only"} == {301, 302}
 
 
 def test_running_budget(spark, folder):
-    assert rows(spark, folder, "running_budget_full") == [(1, 4, 14_000), (2, 8, 80), (3, 4, 13_801)]
+    assert rows(spark, folder, "running_budget") == [(1, 4, 14_000), (2, 8, 80), (3, 4, 13_801)]
 
 
 def test_batch_pack(spark, folder):
@@ -58,7 +58,7 @@ def test_snapshot_places(spark):
 
 
 def test_connected_components_over_all_lines(spark, tmp_path):
-    """Against union-find; no line is a first one of 50 or more."""
+    """Against union-find."""
     import random
 
     rng = random.Random(3)
@@ -75,4 +75,4 @@ def test_connected_components_over_all_lines(spark, tmp_path):
         for c in whole:
             groups[c] = whole
     want = sorted((c, min(groups[c])) for c in {c for cs in customers.values() if len(cs) > 1 for c in cs})
-    assert sorted(map(tuple, catalog.queries()["connected_components_full"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, catalog.queries()["connected_components"](spark, str(tmp_path)).collect())) == want
