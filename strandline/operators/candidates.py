@@ -207,7 +207,7 @@ def ranked(strategies: list[DataFrame], jobs: DataFrame) -> DataFrame:
     every = every.unionByName(fallback(jobs, every))
     table = F.create_map(*(x for n, p in V.STRATEGY_PRIORITY for x in (F.lit(n), F.lit(p))))
     every = every.withColumn("priority", F.coalesce(F.try_element_at(table, F.col("strategy")), F.lit(0)))
-    order = [F.desc("priority"), F.desc("confidence"), F.desc("repo_url"), F.desc("evidence")]
+    order = [F.desc("priority"), F.desc("confidence"), F.desc("repo_url"), F.desc("evidence"), F.desc("strategy")]
     best = ranking.first_per_key(every, ["job", "repo_url"], order)
     return best.withColumn("place", F.row_number().over(Window.partitionBy("job").orderBy(*order)))
 

@@ -206,8 +206,8 @@ TRACE_SQL = f"""WITH jobs AS (SELECT DISTINCT user_id AS job, 'https://GitHub.co
   e AS (SELECT c.* FROM ({RAW_SQL}) c JOIN jobs USING (job) WHERE lower(repo_url) <> lower(own_url)),
   a AS (SELECT * FROM e UNION ALL SELECT job, own_url, 'fallback', 0.35e0, 'no other candidate' FROM jobs ANTI JOIN e USING (job)),
   p AS (SELECT *, CASE strategy {" ".join(f"WHEN '{n}' THEN {p}" for n, p in V.STRATEGY_PRIORITY)} ELSE 0 END AS priority FROM a),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job, repo_url ORDER BY priority DESC, confidence DESC, evidence DESC) AS r FROM p) WHERE r = 1),
-  trace AS (SELECT job, repo_url, strategy, confidence, evidence, priority, CAST(row_number() OVER (PARTITION BY job ORDER BY priority DESC, confidence DESC, repo_url DESC, evidence DESC) AS INTEGER) AS place FROM b)"""
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job, repo_url ORDER BY priority DESC, confidence DESC, evidence DESC, strategy DESC) AS r FROM p) WHERE r = 1),
+  trace AS (SELECT job, repo_url, strategy, confidence, evidence, priority, CAST(row_number() OVER (PARTITION BY job ORDER BY priority DESC, confidence DESC, repo_url DESC, evidence DESC, strategy DESC) AS INTEGER) AS place FROM b)"""
 
 
 def _raw(t: Tables):
