@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import ancestry, events, keyed, lineage, more, papers, review, state, texts  # noqa: F401
+from strandline.plans import ancestry, events, keyed, lineage, more, papers, review, state, store, texts  # noqa: F401
 from strandline.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "review_manifest"

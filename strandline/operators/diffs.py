@@ -45,6 +45,18 @@ def unified(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
 
 
+def html(diff: Column) -> Column:
+    """SNK-08: a diff as an HTML table, a row for each line with a class by its kind and the text escaped."""
+    def row(line):
+        text = line
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(char), F.lit(entity))
+        kind = F.when(F.startswith(line, F.lit("@@")), "hunk").when(F.startswith(line, F.lit("+")), "add").when(F.startswith(line, F.lit("-")), "del").otherwise("same")
+        return F.concat(F.lit('<tr class="'), kind, F.lit('"><td>'), text, F.lit("</td></tr>"))
+
+    return F.concat(F.lit("<table>"), F.array_join(F.transform(F.split(diff, "\n", -1), row), ""), F.lit("</table>"))
+
+
 OPCODES = "pair_id long, ord int, kind string, old_start int, old_end int, new_start int, new_end int, snippet string"
 
 

@@ -110,7 +110,7 @@ def primary_tex(members: DataFrame) -> DataFrame:
     """SRC-11: the member of each archive with the highest score: length, and bonuses for the parts of a document."""
     text = F.col("text")
     score = F.length(text) + 100_000 * F.contains(text, F.lit("\\documentclass")).cast("int") + 50_000 * F.contains(text, F.lit("\\begin{document}")).cast("int")
-    best = F.max_by(F.struct("name", "text"), F.struct(score, F.col("name"))).alias("m")
+    best = F.max_by(F.struct("name", "text"), F.struct(score, F.col("name"), text)).alias("m")
     return members.groupBy("source").agg(best).select("source", "m.name", "m.text")
 
 

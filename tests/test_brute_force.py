@@ -87,10 +87,81 @@ def test_greedy_assignment(spark):
     assert got == want and len(want) > 10
 
 
-def test_leader_clustering(spark):
-    def tokens(s):
-        return {w for w in re.findall(V.TOKEN, s.lower()) if w not in V.STOPWORDS and not w.isdigit()}
+def tokens(s):
+    return {w for w in re.findall(V.TOKEN, s.lower()) if w not in V.STOPWORDS and not w.isdigit()}
+
+
+def test_folded_sets(spark):
+    items, want = {}, []
+    for conv, turn, text in sorted(table("conversations", "conv_id, turn, text")):
+        items.setdefault(conv, []).extend((turn * 100_000 + k, s[:40], tokens(s)) for k, s in enumerate(sentences(text)))
+    for conv, rows in items.items():
+        kept = []
+        for place, title, mine in rows:
+            hit = next((k for k in kept if len(k[1] & mine) >= 2), None)
+            if hit is None:
+                kept.append((place, mine, [title]))
+            elif len(hit[2]) < 4 and title not in hit[2]:
+                hit[2].append(title)
+        want += [(conv, place, titles) for place, _, titles in kept]
+    assert sorted((r.conv_id, r.first, list(r.titles)) for r in Q["folded_sets"](spark, SF).collect()) == sorted(want)
+
+
+def test_synthesised_contributions(spark):
+    """Clusters in order of the findings; ranked by summed scores and kinds, led by the best finding."""
+    items, want = {}, []
+    for conv, turn, text in sorted(table("conversations", "conv_id, turn, text")):
+        kind = ("contributions", "method", "abstract")[turn % 3]
+        items.setdefault(conv, []).extend((4 + len(s) % 5, kind, s, tokens(s)) for s in sentences(text))
+    for conv, rows in items.items():
+        clusters = []
+        for row in rows:
+            best = max(clusters, key=lambda c: len(c[0] & row[3]), default=None)
+            if best is None or len(best[0] & row[3]) < 2:
+                clusters.append(best := (set(), []))
+            best[0].update(row[3])
+            best[1].append(row)
+        ranked = sorted(clusters, key=lambda c: (-sum(r[0] for r in c[1]) - len({r[1] for r in c[1]}), -len(c[1])))
+        for k, (words, own) in enumerate(ranked[:5]):
+            lead = max(own, key=lambda r: (r[0], r[1] == "contributions", r[1] == "method", len(r[2])))
+            if len(words) >= 2:
+                want.append((str(conv), k, sum(r[0] for r in own), len(own), lead[2], " ".join(sorted(words)[:6])))
+    assert sorted(map(tuple, Q["synthesised_contributions"](spark, SF).collect())) == sorted(want) and want
+
+
+def test_assigned_clusters(spark):
+    scores, want = {}, []
+    for order, supp, part, quantity in table("lineitem", "l_orderkey, l_suppkey, l_partkey, l_quantity"):
+        row = scores.setdefault(order % 500, {}).setdefault(f"{supp % 12:02d}", {})
+        row[f"C{part % 7}"] = max(row.get(f"C{part % 7}", 0), int(quantity % 4))
+    for job, clusters in scores.items():
+        used = set()
+        for cluster in sorted(clusters):
+            able = [(s, c not in used, c) for c, s in clusters[cluster].items() if s > 0]
+            if able:
+                s, _, c = max(able)
+                used.add(c)
+                want.append((str(job), cluster, c, s))
+    assert sorted(map(tuple, Q["assigned_clusters"](spark, SF).collect())) == sorted(want) and len(want) > 100
+
+
+def test_build_lock(spark, tmp_path):
+    """One holder at a time; a lock is given back, an expired one is taken over, and its late owner leaves the new one."""
+    from strandline.sources.locks import build_lock
+
+    folder = str(tmp_path / "locks")
+    with build_lock(spark, folder, "k") as first, build_lock(spark, folder, "k") as second, build_lock(spark, folder, "other") as third:
+        assert (first, second, third) == (True, False, True)
+    with build_lock(spark, folder, "k") as again:
+        assert again
+        with build_lock(spark, folder, "k", lifetime=-5) as taker:
+            assert taker
+            with build_lock(spark, folder, "k") as late:
+                assert not late
+        assert not (tmp_path / "locks" / "k.lock").exists()
 
+
+def test_leader_clustering(spark):
     turns, want = {}, []
     for conv, turn, text in sorted(table("conversations", "conv_id, turn, text")):
         turns.setdefault(conv, []).extend((turn * 100_000 + k, tokens(s)) for k, s in enumerate(sentences(text)))
