@@ -50,6 +50,12 @@ def bounded_distinct(a: Column, b: Column, n: int) -> Column:
     return F.slice(F.array_distinct(F.concat(a, b)), 1, n)
 
 
+def symmetric_match(a: Column, stem_a: Column, b: Column, stem_b: Column) -> Column:
+    """SET-05: what two sets share, and what each shares with the other's stem, sorted."""
+    own = F.array_union(F.array_intersect(a, F.array(stem_b)), F.array_intersect(F.array(stem_a), b))
+    return F.array_sort(F.array_union(F.array_intersect(a, b), own))
+
+
 def first_match(items: Column, test) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 

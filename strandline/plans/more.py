@@ -124,7 +124,7 @@ def event_intervals(t: Tables):
 @query("stream_change_detect", """SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE r = 1 OR before IS DISTINCT FROM event_type""")
 def stream_change_detect(t: Tables):
-    """STM-01, STM-02: the change detection as a stream with state, run over what is there."""
+    """STM-01, STM-02, STM-03: the change detection as a stream with state, run over what is there."""
     from strandline.operators.graph import checkpoint_folder
     from strandline.streaming import progress
 

@@ -159,7 +159,7 @@ def group_projection(t: Tables):
     FROM d LEFT JOIN l USING (doc_id) LEFT JOIN labels q USING (doc_id)""",
 )
 def review_manifest(t: Tables):
-    """REV-01 to REV-08: one entry for each document, with bucket, significance and links."""
+    """REV-01 to REV-08, API-08: one entry for each document, with bucket, significance and links."""
     links = _links(t).groupBy("doc_id").agg(F.count("*").alias("linked"), F.max("score").alias("best"))
     docs = t.documents.select("doc_id", "source", "lang", F.size(F.split("text", "\n", -1)).cast("long").alias("changed_lines"), F.octet_length("text").alias("bytes"))
     df = docs.join(links, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")

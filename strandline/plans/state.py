@@ -232,14 +232,15 @@ def base_file_match(t: Tables):
 @query(
     "submitted_jobs",
     """WITH r AS (SELECT trim(CASE WHEN page_id % 3 = 0 THEN ' arxiv: 2401.0' || (page_id % 9000 + 1000) || ' ' ELSE url END) AS paper_source, CASE WHEN page_id % 2 = 0 THEN 'https://github.com/a/b' END AS repo_url FROM pages)
-    SELECT left(sha256('{"paper_source":"' || paper_source || '","repo_url":"' || coalesce(repo_url, '') || '"}'), 24) AS job, paper_source, CASE WHEN starts_with(paper_source, 'arxiv') THEN 'arxiv' WHEN regexp_matches(lower(paper_source), '^https?://.*\\.pdf') THEN 'pdf_url' ELSE 'text_reference' END AS kind, 'queued' AS status, 0e0 AS progress FROM r""",
+    SELECT left(sha256('{"paper_source":"' || paper_source || '","repo_url":"' || coalesce(repo_url, '') || '"}'), 24) AS job, paper_source, CASE WHEN starts_with(paper_source, 'arxiv') THEN 'arxiv' WHEN regexp_matches(lower(paper_source), '^https?://.*\\.pdf') THEN 'pdf_url' ELSE 'text_reference' END AS kind, 'queued' AS status, 0e0 AS progress, true AS stamped FROM r""",
 )
 def submitted_jobs(t: Tables):
-    """API-01, SNK-01, HSH-02: requests as rows with a stable id and a queued state."""
+    """API-01, SNK-01, HSH-02, DAT-04: requests as rows with a stable id, a queued state and a stamp of now."""
     n = F.col("page_id")
     source = F.when(n % 3 == 0, F.concat(F.lit(" arxiv: 2401.0"), n % 9000 + 1000, F.lit(" "))).otherwise(F.col("url"))
     df = reviews.submit(t.pages.select(source.alias("paper_source"), F.when(n % 2 == 0, "https://github.com/a/b").alias("repo_url")))
-    return df.select("job", "paper_source", "kind", "status", "progress")
+    stamped = (F.col("created_at") <= F.current_timestamp()) & (F.col("created_at") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR"))
+    return df.select("job", "paper_source", "kind", "status", "progress", stamped.alias("stamped"))
 
 
 @query(

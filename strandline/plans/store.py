@@ -304,3 +304,104 @@ def assigned_clusters(t: Tables):
     )
     best = scores.groupBy("job", "cluster_id", "contribution_id").agg(F.max("score").alias("score"))
     return contributions.assign(best)
+
+
+@query("fixture_rows", """SELECT n_nationkey, n_name, 'n_nationkey=' || n_nationkey || '/' AS folder, n_name || chr(10) AS content FROM nation""")
+def fixture_rows(t: Tables):
+    """SRC-01, SRC-13, SRC-17, SRC-21: JSON fixtures, and a tree of files with their contents, written and read back."""
+    fixtures, tree = _place(t, "fixtures"), _place(t, "tree")
+    rows = t.nation.select("n_nationkey", "n_name")
+    rows.groupBy("n_nationkey").agg(F.first("n_name").alias("n_name")).select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name"), {"pretty": "true"}).alias("value")).repartition(
+        64, "n_nationkey"
+    ).write.partitionBy("n_nationkey").text(fixtures)
+    rows.write.partitionBy("n_nationkey").text(tree)
+    read = readers.fixture(t.spark, fixtures, "n_nationkey int, n_name string").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    files = readers.file_tree(t.spark, tree).where(F.contains("path", F.lit("part-")))
+    files = files.select(F.regexp_replace("path", "part-.*$", "").alias("folder"), F.col("content").cast("string").alias("content"))
+    return read.join(files, F.concat(F.lit("n_nationkey="), "n_nationkey", F.lit("/")) == F.col("folder"))
+
+
+@query(
+    "landed_pages",
+    """SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN length(html) END AS n_chars FROM pages""",
+)
+def landed_pages(t: Tables):
+    """SRC-19: the landed page of each wanted address; every fifth was not fetched."""
+    n = F.col("page_id")
+    # Addresses may repeat; the number makes them differ.
+    own = F.concat(F.regexp_replace("url", r"#.*$", ""), F.lit("?id="), n)
+    wanted = t.pages.select("page_id", F.concat(own, F.lit("#top")).alias("url"))
+    df = readers.landed_pages(wanted, t.pages.where(n % 5 != 4).select(own.alias("url"), "html"))
+    return df.select("page_id", F.length("html").alias("n_chars"))
+
+
+PDF_HEAD = "%PDF-1.4\n1 0 obj<</Type /Catalog /Pages 2 0 R>>endobj\n2 0 obj<</Type /Pages /Kids [3 0 R 4 0 R] /Count 2>>endobj\n3 0 obj<</Type /Page /Contents 5 0 R>>endobj\n4 0 obj<</Type /Page /Contents [6 0 R]>>endobj\n"
+
+
+@query(
+    "pdf_pages",
+    """SELECT item_id, CAST(k AS INTEGER) AS page, 'Paper (' || item_id || ')' AS title, CASE k WHEN 0 THEN 'Heading ' || item_id || chr(10) || 'first (a) line' ELSE 'AB c' END AS text FROM benchmark, (SELECT unnest([0, 1]) AS k) WHERE item_id % 3 > 0""",
+)
+def pdf_pages(t: Tables):
+    """SRC-12, SRC-23: pages of PDF files; every third file is none."""
+    n = F.col("item_id")
+    one = F.concat(F.lit("BT /F1 12 Tf 72 700 Td (Heading "), n, F.lit(") Tj 0 -14 Td [(fir) -20 (st) -300 (\\(a\\) line)] TJ ET"))
+    body = F.concat(
+        F.lit(PDF_HEAD), F.lit("5 0 obj<</Length 9>>stream\n"), one, F.lit("\nendstream endobj\n6 0 obj<<>>stream\nBT <4142> Tj ( c) Tj ET\nendstream endobj\n7 0 obj<</Title (Paper \\("), n, F.lit("\\))>>endobj\n"),
+    )
+    files = t.benchmark.select(n.cast("string").alias("path"), F.when(n % 3 > 0, body).otherwise("no paper").cast("binary").alias("content"))
+    return readers.pdf_pages(files).select(F.col("path").cast("long").alias("item_id"), "page", "title", "text")
+
+
+@query(
+    "symmetric_matches",
+    """WITH p AS (SELECT p_partkey AS k, lag(p_partkey) OVER (ORDER BY p_partkey) AS j, string_split(p_name, ' ') AS a, lag(string_split(p_name, ' ')) OVER (ORDER BY p_partkey) AS b FROM part)
+    SELECT k AS p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_intersect(a, b), list_concat(list_intersect(a, [b[1]]), list_intersect([a[2]], b))))), ',') AS shared FROM p WHERE j IS NOT NULL""",
+)
+def symmetric_matches(t: Tables):
+    """SET-05, MTH-01: words that neighbouring names share, or share with the other's stem."""
+    a = t.part.select("p_partkey", F.split("p_name", " ").alias("a"))
+    b = t.part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.split("p_name", " ").alias("b"))  # keys are dense
+    shared = S.symmetric_match(F.col("a"), F.get("a", F.lit(1)), F.col("b"), F.get("b", F.lit(0)))
+    return a.join(b, "p_partkey").select("p_partkey", F.array_join(shared, ",").alias("shared"))
+
+
+@query(
+    "cluster_records",
+    """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_brand || '-' || p_size AS change_type, p_type AS label, string_split(p_name, ' ') AS tags, 'f' || p_partkey AS path FROM part),
+    r AS (SELECT id, change_type || '|' || unnest(list_concat(list_transform(tags, lambda x: 't:' || x), ['l:' || label])) AS r FROM c),
+    cc(id, low) USING KEY (id) AS (SELECT id, id FROM c UNION (SELECT y.id, min(cc.low) FROM cc JOIN r x ON x.id = cc.id JOIN r y ON y.r = x.r JOIN recurring.cc AS old ON old.id = y.id WHERE cc.low < old.low GROUP BY y.id)),
+    n AS (SELECT low, label, count(*) AS n FROM cc JOIN c USING (id) GROUP BY ALL),
+    b AS (SELECT low, label FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY n DESC, label DESC) AS k FROM n) WHERE k = 1)
+    SELECT low AS cluster, b.label, b.label || ': ' || count(*) || ' file(s) changed as ' || arg_min(change_type, id) || ' (shared words).' AS summary, string_agg(path, ',' ORDER BY path) AS files FROM cc JOIN (SELECT id, change_type, path FROM c) c USING (id) JOIN b USING (low) GROUP BY low, b.label""",
+)
+def cluster_records(t: Tables):
+    """GRF-01, GRF-02, AGG-06, SRT-12, STR-52: clusters of linked parts with their label, files and summary."""
+    from strandline.functions import text as T
+
+    changed = t.part.select(
+        F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("-"), "p_size").alias("change_type"), F.split("p_name", " ").alias("tags"), F.array().cast("array<string>").alias("imports"),
+        F.col("p_type").alias("label"), F.concat(F.lit("f"), "p_partkey").alias("dir"), F.concat(F.lit("f"), "p_partkey").alias("path"),
+    )
+    df = changes.clusters(changed)
+    return df.select("cluster", "label", T.cluster_summary(F.col("label"), F.col("files"), F.col("change_type"), F.lit("shared words")).alias("summary"), F.array_join("files", ",").alias("files"))
+
+
+@query(
+    "merged_details",
+    """WITH c AS (SELECT item_id AS job, p AS place, CASE p WHEN 1 THEN 'Alpha beta ' || (item_id % 3) ELSE 'Gamma delta words' END AS title, CASE p WHEN 1 THEN ['alpha', 'beta'] ELSE ['gamma', 'delta', 'words'] END AS ks FROM benchmark, (SELECT unnest([1, 2]) AS p)),
+    d AS (SELECT item_id AS job, o AS ord, CASE o WHEN 0 THEN 'the alpha and the beta' WHEN 1 THEN 'words of gamma, delta' WHEN 2 THEN 'only alpha here' ELSE 'alpha beta gamma delta words' END AS snippet, 'Eq. ' || o AS ref FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS o) WHERE item_id % 4 <> o),
+    m AS (SELECT job, ord, snippet, ref, CASE WHEN ord = 0 THEN 1 WHEN ord = 1 THEN 2 WHEN ord = 3 THEN 2 END AS place FROM d WHERE ord <> 2)
+    SELECT c.job, c.place, coalesce(string_agg(snippet, '|' ORDER BY ord), '') AS hints, array_to_string(list_concat(['Table 1'], coalesce(list(ref ORDER BY ord) FILTER (WHERE ref IS NOT NULL), [])), '|') AS refs, CAST(CASE WHEN count(m.ord) > 0 THEN 4 ELSE 3 END AS INTEGER) AS complexity
+    FROM c LEFT JOIN m ON m.job = c.job AND m.place = c.place GROUP BY c.job, c.place""",
+)
+def merged_details(t: Tables):
+    """SEQ-05: detail findings go to the contribution that shares most words with them, two at least."""
+    n, p, o = F.col("item_id"), F.col("place"), F.col("ord")
+    own = t.benchmark.select(n.alias("job"), n, F.explode(F.array(F.lit(1), F.lit(2))).alias("place"))
+    words = F.when(p == 1, F.array(F.lit("alpha"), F.lit("beta"))).otherwise(F.array(*map(F.lit, ("gamma", "delta", "words"))))
+    own = own.select("job", "place", F.when(p == 1, F.concat(F.lit("Alpha beta "), n % 3)).otherwise("Gamma delta words").alias("title"), words.alias("keywords"), F.array(F.lit("Table 1")).alias("evidence_refs"), F.lit(3).alias("complexity"))
+    snippet = F.when(o == 0, "the alpha and the beta").when(o == 1, "words of gamma, delta").when(o == 2, "only alpha here").otherwise("alpha beta gamma delta words")
+    details = t.benchmark.select(n.alias("job"), F.explode(F.array(*map(F.lit, range(4)))).alias("ord")).where(F.col("job") % 4 != o)
+    df = contributions.merge_details(own, details.select("job", "ord", snippet.alias("snippet"), F.array(F.concat(F.lit("Eq. "), o)).alias("refs")))
+    return df.select("job", "place", F.array_join("hints", "|").alias("hints"), F.array_join("evidence_refs", "|").alias("refs"), F.col("complexity").cast("int").alias("complexity"))

@@ -140,6 +140,30 @@ def fixture(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(folder)
 
 
+def landed_pages(wanted: DataFrame, pages: DataFrame, most: int = 200_000) -> DataFrame:
+    """SRC-19: the first `most` characters of the landed page (url, html) of each wanted address (url), its text, and null
+    where none was fetched; an address is looked up without its fragment."""
+    bare = F.regexp_replace("url", r"#.*$", "")
+    found = pages.select(bare.alias("_key"), "html").groupBy("_key").agg(F.left(F.max("html"), F.lit(most)).alias("html"))
+    return wanted.withColumn("_key", bare).join(found, "_key", "left").drop("_key").withColumn("text", T.strip_html(F.col("html")))
+
+
+def pdf_pages(files: DataFrame, most: int = 12) -> DataFrame:
+    """SRC-12: (path, page, title, text) of the first `most` pages of PDF files (path, content); what is no readable PDF
+    has no rows. See sources.pdf for what the decoder knows."""
+    from strandline.sources import pdf
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for path, raw in zip(frame["path"], frame["content"]):
+                title, texts = pdf.read(bytes(raw)) if raw is not None else ("", [])
+                rows += [(path, k, title, text) for k, text in enumerate(texts[:most])]
+            yield pd.DataFrame(rows, columns=["path", "page", "title", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, title string, text string")
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str, warning: str) -> DataFrame:
     """SRC-15: the primary row where there is one, else the fallback's with a warning put first."""
     value = [c for c in primary.columns if c not in (key, "warnings")]
