@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import cut, encode_all, written
 from strandline.llm.token_counts import batches
+from strandline.session import ship
 
 BEGIN, END = "\x02", "\x03"
 GRAMS = "grp int, gram string, c long"
@@ -183,6 +184,7 @@ def kn_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold:
     rows give repeated results; rows with a null doc_id are scored and never trusted. Other columns are ignored; an
     empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     groups = max(12, -(-docs.count() // per_group))
     id_text = F.col("doc_id").cast("string")
 

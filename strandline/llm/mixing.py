@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from strandline.llm.common import cut, n_words_col
 from strandline.operators.ordering import numbered
+from strandline.session import ship
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -202,6 +203,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     source is a source, last in order; a null doc_id is an ordinary value. Repeated rows are separate documents. An
     empty table gives an empty result. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     base = docs.select(
         F.col("doc_id"),
         source_key(F.col("source")).alias("source_key"),

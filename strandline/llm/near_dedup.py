@@ -30,6 +30,7 @@ from strandline.llm.common import cut, encode_all, mix64, window_hashes, window_
 from strandline.llm.token_counts import batches
 from strandline.operators.graph import components
 from strandline.operators.ordering import broadcast_if_small
+from strandline.session import ship
 
 MINIMA, BANDS, BITS = 128, 32, 4
 ROWS = MINIMA // BANDS
@@ -283,6 +284,7 @@ def near_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     without doc_id is linked with nothing: its component_id is null and it is kept. Other columns are ignored; an
     empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     least = _least_matches(percent / 100)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(source.mapInArrow(_sign(words), SIGNED))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import mix64
 from strandline.llm.token_counts import PIECES, batches, distinct_bound, split_batch
 from strandline.llm.unigram import HELD, SPACE, Lattice, Vocabulary
+from strandline.session import ship
 
 SAMPLES = "doc_id string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 CHECKED = "doc_id string, sample int, n_pieces long, log_prob double, inclusion double, ids_sha256 string, decoded boolean"
@@ -274,6 +275,7 @@ def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary:
     ids. Repeated rows give repeated results; a null doc_id is a key like any other. Other columns are ignored. No
     shuffle; a task holds one batch of about `batch_chars` characters, or one longer text.
     """
+    ship(docs.sparkSession)
     vocab = Vocabulary.from_file(vocabulary)
 
     def run(frames):
@@ -292,6 +294,7 @@ def sample_encode(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary:
 
 def sample_digest(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary: str = PIECES, batch_chars: int = 2_000_000) -> DataFrame:
     """As `sample_encode`, with a digest of the ids (as little-endian 32-bit numbers) and whether they decode to the text."""
+    ship(docs.sparkSession)
     vocab = Vocabulary.from_file(vocabulary)
 
     def run(frames):
@@ -308,6 +311,7 @@ def sample_digest(docs: DataFrame, samples: int = 2, seed: int = 17, vocabulary:
 
 def decode(encoded: DataFrame, vocabulary: str = PIECES, ids: str = "ids") -> DataFrame:
     """Adds decoded_text to the rows; null ids give null."""
+    ship(encoded.sparkSession)
     vocab = Vocabulary.from_file(vocabulary)
 
     @F.pandas_udf("string")

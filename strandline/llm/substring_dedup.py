@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import doc_groups, encode_all, mix64, planes, unplanes, window_hashes, window_starts, word_hashes, words_col
+from strandline.session import ship
 
 PACKED = "bucket int, grp int, docs binary, ords binary, counts binary, pos binary, hashes binary, tops binary"
 TOLD = "grp int, docs binary, ords binary, counts binary, pos binary"
@@ -304,6 +305,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, want_text: bool = True) -
     count as separate documents, ordered by text. A row without doc_id has no place in the order: it removes nothing
     and keeps all its words. Further columns are ignored. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     block = max(1, window // 2)
     grouped, n = doc_groups(docs)
     buckets = max(32, -(-n // 2048))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.unigram import LONG, SPACE, Lattice, Vocabulary, pretokens, seam_parts, spaced
+from strandline.session import ship
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -106,6 +107,7 @@ def token_counts(docs: DataFrame, vocabulary: str = PIECES, batch_chars: int = 4
     Null and empty texts have 0 tokens. Each input row gives one row, repeated rows and null doc_ids included; other
     columns are ignored. No shuffle: a task holds one batch of about `batch_chars` characters, or one longer text.
     """
+    ship(docs.sparkSession)
     vocab = Vocabulary.from_file(vocabulary)
 
     def run(frames):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.llm.common import cut
+from strandline.session import ship
 
 BLOCK, QUERY_BLOCK = 4096, 8192
 LISTS = "dim int, block long, n int, width int, ids binary, x binary, places binary"
@@ -187,6 +188,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     with a rank each, and rows of `queries` that share a vec_id put all their scores into one ranking, as in the SQL.
     Equal rows are counted before they are dealt out. Other columns are ignored; an empty table gives an empty result.
     """
+    ship(vectors.sparkSession)
     long = all("bigint" in f.schema["x"].dataType.simpleString() for f in (vectors, queries))
     kind, sql = (np.int64, "array<bigint>") if long else (np.float64, "array<double>")
 
