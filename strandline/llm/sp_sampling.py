@@ -79,10 +79,10 @@ def _walk(lattice, key, text, token, node, step, sample):
 
 def sample_texts(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, samples: int, at_once: int = 500_000):
     """Yields (text number, sample number, ids, log-probability, perturbed score, inclusion), texts without pieces too.
-    One lattice serves all texts, or halves of them where their distinct pre-tokens are over `at_once` characters; about
-    `at_once` characters are searched together."""
+    One lattice serves all texts, or halves of them where their distinct pre-tokens are over twice `at_once` characters;
+    about `at_once` characters are searched together."""
     words, flat, sizes, _ = split_batch(texts, vocab)
-    if distinct_bound(texts, words, at_once):
+    if distinct_bound(texts, words, 2 * at_once):
         half = len(texts) // 2
         for a, b in ((0, half), (half, len(texts))):
             for r, *rest in sample_texts(texts[a:b], keys[a:b], vocab, samples, at_once):

@@ -90,7 +90,7 @@ def distinct_bound(texts: list[str | None], words: list[str], most: int) -> bool
     return len(texts) > 1 and sum(map(len, words)) > most
 
 
-def count_texts(texts: list[str | None], vocab: Vocabulary, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def count_texts(texts: list[str | None], vocab: Vocabulary, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and pre-tokens of each text. A trie holds about `most` characters, or one longer text."""
     words, flat, sizes, whole = split_batch(texts, vocab)
     if distinct_bound(texts, words, most):
