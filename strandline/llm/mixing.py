@@ -5,7 +5,7 @@ it is; the fraction is an inclusion probability. The flight phase moves probabil
 balance constraints (words and documents) until one is 0 or 1, so both totals stay exact. The largest documents are
 decided first, each against all others that are undecided, as no two or three could make up for them; the others go
 three at a time. The flight runs over chunks of a source, then over what the chunks leave undecided, then over what
-those leave; each chunk keeps a few documents open, never more than half. The landing decides the last ones of a source together: a linear
+those leave; each chunk keeps a few documents open. The landing decides the last ones of a source together: a linear
 program gives the distribution over their subsets that has their inclusion probabilities and the least expected error
 in words, then in documents, and one subset is drawn from it. (Where a source has so few documents that its words cannot
 come near their target so, the program weighs the one against the other.)
@@ -29,7 +29,7 @@ MOST = 3
 CHUNK, FAN_IN = 8192, 1024
 LARGE = 256  # documents of a chunk that fly against all others
 OPEN = 12  # documents that a chunk leaves open, spread over the smaller ones: their subsets have sums of many sizes
-STRAY = 0.03  # share of a source's target that the landing misses rather than stray from an inclusion probability by 1
+STRAY = 0.01  # share of a source's target that the landing misses rather than stray from an inclusion probability by 1
 SALTS = 32
 
 
@@ -129,11 +129,15 @@ def _by_three(p: np.ndarray, size: np.ndarray, live: np.ndarray, rng: np.random.
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: bool = False) -> np.ndarray:
     """Move probabilities to 0 or 1 with the sums of p and p * size unchanged, until two or fewer are between. Documents
-    are given in order of size. With `hold`, OPEN of the smaller ones stay as they are."""
+    are given in order of size. With `hold`, OPEN of the smaller ones stay as they are, but for the three smallest."""
     p, size = p.astype(float).copy(), size.astype(float)
     live = np.flatnonzero((p > 0) & (p < 1))
-    first = max(len(live) // 2, min(len(live) - 3, OPEN))  # of the smaller half, or all but three of a few
-    held = np.unique(np.linspace(0, first - 1, OPEN).round().astype(int)) if hold and first > 0 else []
+    if hold and len(live) <= OPEN + 2:  # a small landing problem as it is
+        return p
+    # From the fourth smallest on: of the smaller half, or all the others where there are few.
+    last = max(len(live) // 2 + 2, min(len(live) - 1, OPEN + 2))
+    held = np.unique(np.linspace(3, last, OPEN).round().astype(int)) if hold else np.empty(0, int)
+    held = held[held < len(live)]
     live = np.delete(live, held)[::-1]
     _against_all(p, size, live, rng)
     _by_three(p, size, live[(p[live] > 0) & (p[live] < 1)], rng)

@@ -305,10 +305,13 @@ def test_inclusion_probabilities_hold():
     assert np.abs(taken / turns - p).max() < 4.5 * math.sqrt(0.25 / turns) and np.mean(off) < 0.003
 
 
-def test_small_sources_fly():
-    size, p = np.array([3, 10, 40, 80, 100, 200, 400, 900.0]), np.full(8, 0.4)
-    settled = [8 - ((f > 0) & (f < 1)).sum() for f in (mixing.flight(p, size, np.random.default_rng(k), hold=True) for k in range(20))]
-    assert min(settled) >= 1
+def test_few_documents_are_a_landing_problem():
+    """No flight for what the landing decides together; one document more, and some fly."""
+    rng = np.random.default_rng(1)
+    for n in (1, 8, mixing.OPEN + 2, mixing.OPEN + 3, 40):
+        p = mixing.flight(np.full(n, 0.4), np.arange(n) * 7.0, rng, hold=True)
+        settled = n - ((p > 0) & (p < 1)).sum()
+        assert settled == 0 if n <= mixing.OPEN + 2 else settled >= 1
 
 
 def test_landing_law_keeps_probabilities():
