@@ -158,3 +158,18 @@ def doc_groups(docs: DataFrame, per_group: int = 1024) -> tuple[DataFrame, int]:
         F.col("text").cast("string").alias("text"),
     )
     return out, n
+
+
+def text_chunks(batches, chars: int):
+    """(doc_ids, texts) of about `chars` characters, or of one longer text, from Arrow batches of (doc_id, text)."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(t)
+            size += len(t or "") + 1
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.alignment import align_tokens
 from strandline.llm.chat_format import PART, chat_format, read_back, unescape
 from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
@@ -281,6 +282,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-tokenizer alignment of every document; see `align_tokens`."""
+    df = align_tokens(_read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return df.select(F.col("doc_id").cast("long"), *df.columns[1:-1], digest.alias("groups_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -293,6 +301,7 @@ def queries() -> dict:
         "op8_kn_quality": op8_kn_quality,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op13_alignment": op13_alignment,
         "chat_parts": chat_parts,
     }
 
