@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.alignment import align_tokens
 from strandline.llm.chat_format import PART, chat_format, read_back, unescape
+from strandline.llm.html_extract import extract_pages
 from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.mixing import mix_sources
@@ -282,6 +283,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see `extract_pages`."""
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+# For pages that mark their article; tests hold other pages against expected texts.
+OP12_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h[1-6]|ul|ol|li|div|section|blockquote)( [^>]*)?>'), lambda x:
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '<br */?>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&amp(;?)', '&amp;', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-tokenizer alignment of every document; see `align_tokens`."""
     df = align_tokens(_read(spark, sf_dir, "documents"))
@@ -301,6 +322,7 @@ def queries() -> dict:
         "op8_kn_quality": op8_kn_quality,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op12_html_extract": op12_html_extract,
         "op13_alignment": op13_alignment,
         "chat_parts": chat_parts,
     }
@@ -314,5 +336,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_near_dedup": OP9_SQL,
+        "op12_html_extract": OP12_SQL,
         "chat_parts": PARTS_SQL,
     }
