@@ -80,7 +80,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[int, str, bool]] = [(-1, "", False)]
         self.lines: list[tuple[int, str, int]] = []
-        self._open, self._text, self._tags, self._dropping = [0], [], 0, 0
+        self._open, self._text, self._tags = [0], [], 0
+        self._dropping, self._muted = 0, 0  # open elements outside the article; those of them that are inline
 
     def _line(self) -> None:
         if text := " ".join("".join(self._text).split()):
@@ -89,9 +90,11 @@ class Lines(HTMLParser):
         self._text = []
 
     def _pop(self, depth: int) -> None:
-        self._line()
-        for node in self._open[depth:]:
-            self._dropping -= self.nodes[node][2]
+        closed = [self.nodes[node] for node in self._open[depth:]]
+        if any(tag in BLOCKS for _, tag, _ in closed):
+            self._line()
+        self._dropping -= sum(out for _, _, out in closed)
+        self._muted -= sum(out and tag not in BLOCKS for _, tag, out in closed)
         del self._open[depth:]
 
     def _find(self, tags, until=()) -> int:
@@ -116,27 +119,23 @@ class Lines(HTMLParser):
             return
         out = outside(tag, attrs)
         if block or out or self._dropping:
-            if out:
-                self._line()
             self.nodes.append((self._open[-1], tag, out))
             self._open.append(len(self.nodes) - 1)
             self._dropping += out
+            self._muted += out and not block
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
         if tag in VOID:
             return
         if depth := self._find({tag}):
-            node = self._open[depth]
-            if tag in BLOCKS or self.nodes[node][2]:
-                self._pop(depth)
-            else:  # an inline element below one that is outside
-                del self._open[depth:]
+            self._pop(depth)
         elif tag in BLOCKS:
             self._line()
 
     def handle_data(self, data: str) -> None:
-        self._text.append(data)
+        if not self._muted:
+            self._text.append(data)
 
     def close(self) -> None:
         super().close()
@@ -156,7 +155,7 @@ def smoothed(ratios: list[float], sigma: float) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The middle between the means of two clusters of values; all values, if equal, are above it."""
+    """The middle between the means of two clusters of values, or the least value if the means are not twice apart."""
     low, high = min(values), max(values)
     for _ in range(32):
         middle = (low + high) / 2
@@ -165,7 +164,7 @@ def threshold(values: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if 2 * low <= high else min(values)
 
 
 def main_lines(nodes: list[tuple[int, str, bool]], lines: list[tuple[int, str, int]], sigma: float, share: float) -> list[str]:
