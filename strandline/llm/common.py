@@ -160,16 +160,30 @@ def doc_groups(docs: DataFrame, per_group: int = 1024) -> tuple[DataFrame, int]:
     return out, n
 
 
-def text_chunks(batches, chars: int):
-    """(doc_ids, texts) of about `chars` characters, or of one longer text, from Arrow batches of (doc_id, text)."""
-    ids, texts, size = [], [], 0
+def text_chunks(batches, size: int):
+    """(keys, texts) of about `size` bytes, or of one longer text, from Arrow batches of a key and a text's bytes."""
+    keys, texts, held = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys.append(k)
             texts.append(t)
-            size += len(t or "") + 1
-            if size >= chars:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            held += len(t or b"") + 1
+            if held >= size:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def one_row(schema, values: dict):
+    """An Arrow batch of one row; list cells take an array of their values."""
+    import pyarrow as pa
+
+    def cell(field):
+        v = values[field.name]
+        if not pa.types.is_list(field.type):
+            return pa.array([v], field.type)
+        inner = v if isinstance(v, pa.Array) else pa.array(v, field.type.value_type)
+        return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
+
+    return pa.RecordBatch.from_arrays([cell(f) for f in schema], schema=schema)
