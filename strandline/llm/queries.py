@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.alignment import align_tokens
 from strandline.llm.chat_format import PART, chat_format, read_back, unescape
+from strandline.llm.collocations import collocations
 from strandline.llm.html_extract import extract_pages
 from strandline.llm.kn_quality import kn_quality
 from strandline.llm.line_dedup import line_dedup
@@ -283,6 +284,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase collocations of every language; see `collocations`."""
+    return collocations(_read(spark, sf_dir, "documents"), shortest=2, longest=3, min_count=10, cover=50, top=2000)
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS id, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), w AS (
+  SELECT lang, id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS s FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k)
+), f AS (
+  SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM g GROUP BY lang, phrase, k
+), n AS (
+  SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT c.*, h.f AS l, t.f AS r, cut, 1000000 * a * a // (h.f * t.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) AS c
+  JOIN f AS h ON h.lang = c.lang AND h.phrase = array_to_string(ws[:cut], ' ')
+  JOIN f AS t ON t.lang = c.lang AND t.phrase = array_to_string(ws[cut + 1:], ' ')
+), s AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), o AS (
+  SELECT lang, sub, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(ws[2:], ' '), array_to_string(ws[:k - 1], ' ')]) AS sub FROM c WHERE k > 2) GROUP BY lang, sub
+), r AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM s LEFT JOIN o ON o.lang = s.lang AND o.sub = s.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page; see `extract_pages`."""
     return extract_pages(_read(spark, sf_dir, "pages"))
@@ -322,6 +363,7 @@ def queries() -> dict:
         "op8_kn_quality": op8_kn_quality,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_collocations": op11_collocations,
         "op12_html_extract": op12_html_extract,
         "op13_alignment": op13_alignment,
         "chat_parts": chat_parts,
@@ -336,6 +378,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_near_dedup": OP9_SQL,
+        "op11_collocations": OP11_SQL,
         "op12_html_extract": OP12_SQL,
         "chat_parts": PARTS_SQL,
     }
