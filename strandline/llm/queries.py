@@ -291,14 +291,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH p AS (
-  SELECT lang, row_number() OVER () AS id, piece FROM (
-    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), w AS (
-  SELECT lang, id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
 ), g AS (
-  SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase
-  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS s FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k)
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda s: array_to_string(list_slice(ws, s, s + k - 1), ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k
 ), f AS (
   SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM g GROUP BY lang, phrase, k
 ), n AS (
