@@ -277,7 +277,7 @@ def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(cells, schema=_SCORED)
 
 
-def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 6_000_000) -> DataFrame:
+def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 3_000_000) -> DataFrame:
     """For each row of (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups.
 
     A encodes a space and the text by the byte-level BPE, B the text by the SentencePiece model, both whole and without

@@ -161,16 +161,24 @@ def doc_groups(docs: DataFrame, per_group: int = 1024) -> tuple[DataFrame, int]:
 
 
 def text_chunks(batches, size: int):
-    """(keys, texts) of about `size` bytes, or of one longer text, from Arrow batches of a key and a text's bytes."""
+    """(keys, texts) of about `size` bytes, or of one longer text, from Arrow batches of a key and a text's bytes. Only
+    the rows of a chunk are Python objects."""
+    import pyarrow.compute as pc
+
     keys, texts, held = [], [], 0
     for batch in batches:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys.append(k)
-            texts.append(t)
-            held += len(t or b"") + 1
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + size - held)) + 1, batch.num_rows)
+            keys += batch.column(0).slice(at, stop - at).to_pylist()
+            texts += batch.column(1).slice(at, stop - at).to_pylist()
+            held += int(ends[stop - 1]) - before
             if held >= size:
                 yield keys, texts
                 keys, texts, held = [], [], 0
+            at = stop
     if keys:
         yield keys, texts
 
