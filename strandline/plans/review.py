@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
-from strandline.operators import ranking
-from strandline.operators.ordering import broadcast_if_small
+from strandline.operators import impact, ranking
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_any, sql_tokens
 
@@ -22,57 +20,19 @@ def _parts(df, *keep):
     """Adds the lower-cased text's tokens (ts), semantic tags as bits, and whether it has a marker."""
     df = df.select(*keep, "text", F.lower("text").alias("low"))
     bits = F.aggregate(T.semantic_tags(F.col("low")), F.lit(0).cast("long"), lambda s, x: s + F.expr("1L") * F.pow(F.lit(2), F.array_position(F.array(*map(F.lit, TAGS)), x) - 1).cast("long"))
-    return df.select(*keep, T.tokens(F.col("text")).alias("ts"), bits.alias("tags"), F.col("text").rlike(MARKER).cast("long").alias("marker"))
+    kept = [k if isinstance(k, str) else "path" for k in keep]
+    return df.select(*kept, T.tokens(F.col("text")).alias("ts"), bits.alias("tags"), F.col("text").rlike(MARKER).cast("long").alias("marker"))
 
 
-def _part_score(path, symbol, semantic, hint, ident, marker):
-    return F.round(0.20 * path + 0.20 * symbol + 0.20 * semantic + 0.15 * hint + 0.20 * ident + 0.05 * marker, 9)
+def claim_parts(t: Tables):
+    """The claims and passages as `impact.best_matches` takes them; the path of a passage is its source and language."""
+    path = F.array_distinct(F.array_compact(F.array("source", "lang"))).alias("path")
+    return _parts(t.benchmark, "item_id"), _parts(t.documents, "doc_id", path)
 
 
 def claim_scores(t: Tables, keep: int = 5):
-    """(item_id, doc_id, score): the six-part score of each claim and document that share a token. Of pairs that share
-    none, the score depends only on tags and marker, so of the documents that agree in these the `keep` first and last
-    by doc_id stand for all: no other one can be among a claim's best `keep`. Pairs of score 0 have no row.
-
-    Tokens are cut where the texts lie, and only (doc_id, item_id, counts) are shuffled; the claims' tokens are broadcast
-    while they are few."""
-    claims = _parts(t.benchmark, "item_id").withColumn("n", F.size("ts"))
-    wanted = broadcast_if_small(claims.select("item_id", F.explode("ts").alias("token")))
-    about = broadcast_if_small(claims.select("item_id", F.col("n").alias("c_n"), F.col("tags").alias("c_tags"), F.col("marker").alias("c_marker")))
-    docs = _parts(t.documents, "doc_id", "source", "lang")
-
-    def cell(token, in_text, in_path, new):
-        return F.struct(token.alias("token"), in_text.alias("h"), in_path.alias("p"), new.alias("u"))
-
-    one, zero = F.lit(1), F.lit(0)
-    path = F.transform(F.array_distinct(F.array_compact(F.array("source", "lang"))), lambda x: cell(x, zero, one, F.when(F.array_contains("ts", x), 0).otherwise(1)))
-    cells = F.concat(F.transform("ts", lambda x: cell(x, one, zero, one)), path)
-    rows = docs.select("doc_id", "tags", "marker", F.size("ts").alias("n"), F.explode_outer(cells).alias("c"))
-    shared = rows.select("doc_id", "tags", "marker", "n", "c.*").join(wanted, "token").groupBy("doc_id", "item_id").agg(
-        F.sum("h").alias("h"), F.sum("p").alias("p"), F.sum("u").alias("u"), F.first("n").alias("n"), F.first("tags").alias("tags"), F.first("marker").alias("marker")
-    )
-
-    def semantic():
-        return S.ratio(F.bit_count(F.col("tags").bitwiseAND(F.col("c_tags"))), F.bit_count("c_tags"))
-
-    marker = F.col("marker") * F.col("c_marker")
-    share = [S.ratio(F.col(k), F.col("c_n")) for k in ("p", "h", "u")]
-    score = _part_score(share[0], share[1], semantic(), share[2], S.ratio(F.col("h"), F.col("n")), marker)
-    sharing = shared.join(about, "item_id").select("item_id", "doc_id", score.alias("score"))
-
-    alike = _parts(t.documents, "doc_id").select("doc_id", "tags", "marker")
-    by = Window.partitionBy("tags", "marker")
-    ends = alike.withColumn("a", F.row_number().over(by.orderBy("doc_id"))).where(F.col("a") <= keep)
-    ends = ends.drop("a").unionByName(alike.withColumn("a", F.row_number().over(by.orderBy(F.desc("doc_id")))).where(F.col("a") <= keep).drop("a"))
-
-    def keys(tags, marker_):  # what must be shared for a score over 0
-        found = [F.when(F.expr(f"{tags} & {1 << k}L") != 0, F.lit(k)) for k in range(len(TAGS))]
-        return F.explode(F.array_compact(F.array(*found, F.when(F.col(marker_) == 1, F.lit(len(TAGS)))))).alias("key")
-
-    pairs = ends.select("*", keys("tags", "marker")).join(broadcast_if_small(about.select("*", keys("c_tags", "c_marker"))), "key").drop("key").distinct()
-    none = F.lit(0.0)
-    rest = pairs.select("item_id", "doc_id", _part_score(none, none, semantic(), none, none, marker).alias("score"))
-    return sharing.unionByName(rest.join(sharing.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")).where("score > 0")
+    """(item_id, doc_id, score): the six-part scores of each claim's `keep` best documents at least, none of score 0."""
+    return impact.best_matches(*claim_parts(t), keep)
 
 
 def _sql_recall(a: str, b: str) -> str:
@@ -205,7 +165,7 @@ def bucket_view(t: Tables):
 def best_anchor(t: Tables):
     """CLI-07, SRT-07: each claim's best passage, the first of equals, as a maximum combined before the shuffle."""
     best = F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m")
-    return claim_scores(t).groupBy("item_id").agg(best).select("item_id", (-F.col("m.d")).alias("doc_id"))
+    return claim_scores(t, 1).groupBy("item_id").agg(best).select("item_id", (-F.col("m.d")).alias("doc_id"))
 
 
 @query("weak_mapping", """SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN false WHEN doc_id % 2 = 0 AND quality <= 0 AND toxic <= 0 THEN true WHEN n_chars % 10 / 10e0 >= 0.25 THEN false WHEN quality >= 0.2 OR toxic >= 0.2 THEN false WHEN doc_id % 2 > 0 THEN false ELSE true END AS weak FROM documents JOIN labels USING (doc_id)""")
