@@ -142,9 +142,12 @@ def related(clustered: DataFrame) -> DataFrame:
 
 
 def anchors(pairs: DataFrame) -> DataFrame:
-    """DIF-01, WIN-10, FLT-07, AGG-17: code anchors of file pairs (pair_id, old, new), comparable ones marked."""
-    found = diffs.line_opcodes(pairs)
-    return found.withColumn("comparable", (F.col("kind") == "replace") & (T.strip(F.col("snippet")) != ""))
+    """DIF-01, WIN-10, FLT-07, AGG-17, CTR-12: code anchors of file pairs (pair_id, path, base_path, old, new), those that
+    can be compared marked: both windows say something, and not the same."""
+    from strandline.functions.scores import comparable_anchor
+
+    found = diffs.code_anchors(pairs)
+    return found.withColumn("comparable", F.coalesce(comparable_anchor(F.col("original_snippet"), F.col("snippet")), F.lit(False)))
 
 
 def owners_of_ranges(hunks: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -57,24 +57,82 @@ def html(diff: Column) -> Column:
     return F.concat(F.lit("<table>"), F.array_join(F.transform(F.split(diff, "\n", -1), row), ""), F.lit("</table>"))
 
 
-OPCODES = "pair_id long, ord int, kind string, old_start int, old_end int, new_start int, new_end int, snippet string"
+#: Fixed value: where a line ends, as Python's splitlines() has it.
+_LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
-def line_opcodes(pairs: DataFrame, context: int = 3, most_lines: int = 24, most: int = 3) -> DataFrame:
-    """Of (pair_id, old, new): the first `most` insert and replace blocks of lines, with the lines around the new side."""
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                a, b = (r.old or "").split("\n"), (r.new or "").split("\n")
-                changes = [o for o in difflib.SequenceMatcher(None, a, b).get_opcodes() if o[0] in ("insert", "replace")]
-                for k, (kind, i1, i2, j1, j2) in enumerate(changes[:most]):
-                    start = max(j1 - context, 0)
-                    snippet = "\n".join(b[start : min(j2 + context, start + most_lines)])
-                    rows.append((r.pair_id, k, kind, i1 + 1, i2, j1 + 1, j2, snippet))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OPCODES.split(", ")])
+_BLOCK = StructType([StructField("kind", StringType()), *(StructField(c, IntegerType()) for c in ("i1", "i2", "j1", "j2"))])
 
-    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "old", "new").mapInPandas(run, OPCODES)
+
+def lines(x: Column) -> Column:
+    """The lines of a text; an end of line at the end begins no other, and an empty or null text has none."""
+    cut = F.split(F.coalesce(x, F.lit("")), _LINE_END, -1)
+    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+
+
+@F.pandas_udf(ArrayType(_BLOCK))
+def changed_blocks(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Blocks of lines that the new side inserts or replaces, in order, as half-open ranges of both sides."""
+    def one(a, b):
+        found = difflib.SequenceMatcher(None, list(a), list(b)).get_opcodes()
+        return [dict(zip(("kind", "i1", "i2", "j1", "j2"), o)) for o in found if o[0] in ("insert", "replace")]
+
+    return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def code_anchors(pairs: DataFrame, most: int = 3, context: int = 3, most_lines: int = 24, head: int = 8) -> DataFrame:
+    """Places of a file where it differs from its base. pairs: pair_id, path, base_path, old, new; the result: pair_id,
+    place, patch_id, path, base_path, anchor_kind, start_line, end_line, original_start_line, original_end_line, snippet,
+    original_snippet.
+
+    Each inserted or replaced block shows the lines around it on both sides, `most_lines` at most. Blocks whose window is
+    blank, or the same on both sides, do not count towards the first `most`. A file without any shows its first `head`
+    lines as context; an empty file shows nothing. Line numbers begin at 1; those of the original are null where its
+    window is blank."""
+    from strandline.functions.scores import patch_id
+    from strandline.functions.text import strip
+
+    def window(side, start, end):
+        first = F.greatest(start - context, F.lit(0))
+        last = F.least(end + context, F.size(side))
+        return first, F.slice(side, first + 1, F.least(last - first, F.lit(most_lines)))
+
+    def filled(x):
+        return F.nullif(strip(F.array_join(x, "\n")), F.lit(""))
+
+    df = pairs.select("pair_id", "path", "base_path", lines(F.col("old")).alias("a"), lines(F.col("new")).alias("b"))
+    df = df.withColumn("blocks", changed_blocks("a", "b"))
+    block = df.select("*", F.posexplode("blocks").alias("n", "o"))
+    at, now = window(F.col("b"), F.col("o.j1"), F.col("o.j2"))
+    from_, was = window(F.col("a"), F.col("o.i1"), F.col("o.i2"))
+    block = block.withColumns({"at": at, "now": now, "from": from_, "was": was})
+    block = block.withColumns({"snippet": strip(F.array_join("now", "\n")), "original_snippet": filled(F.col("was"))})
+    block = block.where((F.col("snippet") != "") & ~F.col("snippet").eqNullSafe(F.col("original_snippet")))
+    order = Window.partitionBy("pair_id").orderBy("n")
+    block = block.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    has = F.col("original_snippet").isNotNull()
+    block = block.select(
+        "pair_id", "path", "base_path", "place", F.col("o.kind").alias("kind"), "snippet", "original_snippet",
+        (F.col("at") + 1).alias("start_line"), (F.col("at") + F.size("now")).alias("end_line"),
+        F.when(has, F.col("from") + 1).alias("original_start_line"), F.when(has, F.col("from") + F.size("was")).alias("original_end_line"),
+    )
+    top, under = F.slice("b", 1, head), F.slice("a", 1, head)
+    old_lines = F.size("a") > 0
+    plain = df.join(block.select("pair_id").distinct(), "pair_id", "left_anti").where(F.size("b") > 0).select(
+        "pair_id", "path", "base_path", F.lit(1).alias("place"), F.lit("context").alias("kind"), F.array_join(top, "\n").alias("snippet"), filled(under).alias("original_snippet"),
+        F.lit(1).alias("start_line"), F.size(top).alias("end_line"), F.when(old_lines, 1).alias("original_start_line"),
+        F.when(old_lines, F.least(F.size("a"), F.size(top))).alias("original_end_line"),
+    )
+    out = block.unionByName(plain)
+    numbers = [F.coalesce(c, F.lit(0)).cast("string") for c in ("start_line", "end_line", "original_start_line", "original_end_line")]
+    blank = F.lit("")
+    ident = patch_id(F.col("path"), F.coalesce("base_path", blank), *numbers, F.col("snippet"), F.coalesce("original_snippet", blank), F.col("kind"))
+    kind = F.when(F.col("kind") == "insert", "addition").when(F.col("kind") == "replace", "modification").otherwise(F.col("kind"))
+    base = F.when(F.col("original_start_line").isNotNull(), F.coalesce("base_path", "path"))
+    return out.select(
+        "pair_id", "place", ident.alias("patch_id"), "path", base.alias("base_path"), kind.alias("anchor_kind"), "start_line", "end_line",
+        "original_start_line", "original_end_line", "snippet", "original_snippet",
+    )
 
 
 def hunks(diffs: DataFrame, key: str, diff: str) -> DataFrame:

@@ -134,9 +134,46 @@ def char_ratio(t: Tables):
 
 @query("line_opcodes")
 def line_opcodes(t: Tables):
-    """DIF-01: insert and replace blocks of lines between neighbouring documents."""
-    pairs = _near_pairs(t).select(F.col("doc_id").alias("pair_id"), F.col("old_text").alias("old"), F.col("text").alias("new"))
-    return diffs.line_opcodes(pairs)
+    """DIF-01, AGG-17, FLT-07: the code anchors between neighbouring documents."""
+    path = F.concat(F.lit("d/"), "doc_id"), F.concat(F.lit("d/"), "old_id")
+    pairs = _near_pairs(t).select(F.col("doc_id").alias("pair_id"), path[0].alias("path"), path[1].alias("base_path"), F.col("old_text").alias("old"), F.col("text").alias("new"))
+    return changes.anchors(pairs)
+
+
+@query(
+    "code_anchors",
+    """WITH d AS (SELECT doc_id, doc_id % 5 AS kind, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
+    a AS (SELECT doc_id, kind, list_transform(ws, lambda w, i: i || ' ' || w) AS old, CAST(len(ws) // 3 AS INTEGER) AS k FROM d WHERE len(ws) > 0),
+    n AS (SELECT *, CASE kind WHEN 0 THEN old[:k] || ['changed ' || doc_id] || old[k + 2:] WHEN 1 THEN old[:k] || ['added ' || doc_id] || old[k + 1:] WHEN 2 THEN old[:k] || old[k + 2:] WHEN 3 THEN old ELSE old[:k] || ['  '] || old[k + 1:] END AS new FROM a),
+    w AS (SELECT *, greatest(k - 3, 0) AS s, k + CASE WHEN kind = 0 THEN 1 ELSE 0 END AS i2 FROM n WHERE kind IN (0, 1, 4)),
+    b AS (SELECT doc_id, CASE kind WHEN 0 THEN 'replace' ELSE 'insert' END AS op, s + 1 AS a, least(k + 4, len(new)) AS e, least(i2 + 3, len(old)) AS oe, trim(array_to_string(new[s + 1:least(k + 4, len(new))], chr(10)), ' ' || chr(10)) AS snippet, trim(array_to_string(old[s + 1:least(i2 + 3, len(old))], chr(10)), ' ' || chr(10)) AS original FROM w),
+    c AS (SELECT doc_id, 'context' AS op, 1 AS a, len(new[:8]) AS e, least(len(old), len(new[:8])) AS oe, array_to_string(new[:8], chr(10)) AS snippet, array_to_string(old[:8], chr(10)) AS original FROM n WHERE (kind IN (2, 3) OR doc_id NOT IN (SELECT doc_id FROM b WHERE snippet <> '' AND snippet <> original)) AND len(new) > 0),
+    r AS (SELECT * FROM b WHERE snippet <> '' AND snippet <> original UNION ALL SELECT * FROM c)
+    SELECT doc_id, CASE op WHEN 'replace' THEN 'modification' WHEN 'insert' THEN 'addition' ELSE op END AS anchor_kind, a AS start_line, CAST(e AS INTEGER) AS end_line, CASE WHEN op = 'context' OR original <> '' THEN a END AS original_start_line, CAST(CASE WHEN op = 'context' OR original <> '' THEN oe END AS INTEGER) AS original_end_line, md5(snippet) AS snippet, md5(nullif(original, '')) AS original_snippet,
+      left(sha1('new/' || doc_id || '|old/' || doc_id || '|' || a || '|' || e || '|' || CASE WHEN op = 'context' OR original <> '' THEN a ELSE 0 END || '|' || CASE WHEN op = 'context' OR original <> '' THEN oe ELSE 0 END || '|' || snippet || '|' || original || '|' || op), 12) AS patch_id,
+      trim(original, ' ' || chr(10)) <> '' AND trim(snippet, ' ' || chr(10)) <> trim(original, ' ' || chr(10)) AS comparable FROM r""".replace("\\\\", "\\"),
+)
+def code_anchors(t: Tables):
+    """DIF-01, FLT-07, AGG-17, CTR-12, HSH-01: anchors of files whose lines are the numbered words of a document, against
+    the same with one line replaced, added, dropped, kept or added blank."""
+    n = F.col("doc_id")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    old = F.transform(words, lambda w, i: F.concat_ws(" ", (i + 1).cast("string"), w))
+    df = t.documents.select("doc_id", old.alias("ls")).where(F.size("ls") > 0).withColumn("k", F.floor(F.size("ls") / 3).cast("int"))
+    before, kind = F.slice("ls", 1, F.col("k")), n % 5
+    rest, after = F.slice("ls", F.col("k") + 1, F.size("ls")), F.slice("ls", F.col("k") + 2, F.size("ls"))
+
+    def one(x):
+        return F.array(x)
+
+    new = (
+        F.when(kind == 0, F.concat(before, one(F.concat(F.lit("changed "), n)), after)).when(kind == 1, F.concat(before, one(F.concat(F.lit("added "), n)), rest))
+        .when(kind == 2, F.concat(before, after)).when(kind == 3, F.col("ls")).otherwise(F.concat(before, one(F.lit("  ")), rest))
+    )
+    pairs = df.select(n.alias("pair_id"), F.concat(F.lit("new/"), n).alias("path"), F.concat(F.lit("old/"), n).alias("base_path"), F.array_join("ls", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
+    found = changes.anchors(pairs)
+    whole = [F.md5(F.col(c).cast("binary")).alias(c) for c in ("snippet", "original_snippet")]
+    return found.select(F.col("pair_id").alias("doc_id"), "anchor_kind", "start_line", "end_line", "original_start_line", "original_end_line", *whole, "patch_id", "comparable")
 
 
 @query("unified_diff")
