@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
-from strandline.operators import impact, ranking
+from strandline.operators import changes, impact, manifest, ranking
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_any, sql_tokens
 
@@ -108,34 +108,95 @@ def group_projection(t: Tables):
     )
 
 
+_TREES = """WITH d AS (SELECT doc_id, doc_id % 7 AS k, source, lang, text, text || chr(10) || '# ' || doc_id AS body, rtrim(replace(left(text, 200), chr(10), ' ')) AS more FROM documents),
+    f AS (SELECT *, CASE WHEN k IN (0, 1, 5) THEN 'src/' || source || '/f' || doc_id || '.py' WHEN k = 2 THEN 'old/m.x' || doc_id WHEN k = 4 THEN 'src/d' || doc_id || '.rs' WHEN k = 6 THEN 'docs/' || doc_id || '.md' END AS source_path,
+      CASE WHEN k IN (0, 1, 5) THEN 'src/' || source || '/f' || doc_id || '.py' WHEN k = 2 THEN 'new/m.x' || doc_id WHEN k = 3 THEN 'src/a' || doc_id || '.pyi' WHEN k = 6 THEN 'docs/' || doc_id || '.md' END AS current_path,
+      CASE k WHEN 3 THEN 'added' WHEN 4 THEN 'deleted' ELSE 'modified' END AS diff_type, CASE k WHEN 2 THEN 'content_moved' WHEN 3 THEN 'added' WHEN 4 THEN 'deleted' ELSE 'exact_path' END AS match_type,
+      CASE WHEN k = 2 THEN 'x' || doc_id WHEN k = 4 THEN 'rust' WHEN k = 6 THEN 'text' ELSE 'python' END AS language, CAST(len(string_split(body, chr(10))) AS BIGINT) AS n FROM d WHERE k <> 5),
+    g AS (SELECT *, CASE WHEN k IN (0, 1, 6) THEN 1 WHEN k = 3 THEN n ELSE 0 END AS added, CASE WHEN k = 4 THEN n ELSE 0 END AS removed, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_hunks,
+      CASE WHEN k = 3 THEN 1 ELSE greatest(n - 3, 0) + 1 END AS new_start, CASE WHEN k = 3 THEN n ELSE least(n, 3) + 1 END AS new_count,
+      CASE WHEN k = 3 THEN regexp_replace(body, '[ \t]+(\n|$)', '\1', 'g') ELSE more END AS said FROM f)"""
+
+_HUNKS = _TREES + r""", h AS (SELECT *, list_filter(list_distinct(string_split(trim(regexp_replace(lower(said), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')), lambda x: x <> '') AS ws,
+      list_filter(list_distinct(list_transform(list_concat(string_split(current_path, '/'), [regexp_replace(string_split(current_path, '/')[-1], '\.[^.]*$', '')]), lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')))), lambda x: x <> '') AS path,
+      doc_id % 3 = 0 AND CASE WHEN doc_id % 2 = 0 THEN new_start <= n + 1 AND n <= new_start + new_count - 1 ELSE new_start <= 1 END AS anchored FROM g WHERE k IN (0, 1, 3)),
+    c AS (SELECT *, CASE WHEN anchored THEN 'lang:' || lang WHEN doc_id % 2 = 0 THEN source END AS cluster, CASE WHEN anchored THEN LANG_TAG WHEN doc_id % 2 = 0 THEN 'TAG4' END AS tag FROM h)""".replace(
+    "LANG_TAG", "CASE lang " + " ".join(f"WHEN '{lang}' THEN '{V.SEMANTIC_TAGS[i][0]}'" for i, lang in enumerate(("en", "de", "fr", "es"))) + " END"
+).replace("TAG4", V.SEMANTIC_TAGS[4][0])
+
+_MANIFEST = _HUNKS + f""", b AS (SELECT item_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda x: x <> '') AS c, {_sql_tags("lower(text)")} AS cg, {_SQL_MARKED.format("text")} AS cm FROM benchmark),
+    p AS (SELECT item_id, doc_id, current_path, round(0.20e0 * {_sql_recall("path", "c")} + 0.20e0 * {_sql_recall("ws", "c")} + 0.20e0 * {_sql_recall("list_filter([tag], lambda q: q IS NOT NULL)", "cg")}
+      + 0.15e0 * {_sql_recall("list_distinct(list_concat(ws, path))", "c")} + 0.20e0 * {_sql_recall("c", "ws")} + 0.05e0 * CASE WHEN cm AND {_SQL_MARKED.format("said")} THEN 1e0 ELSE 0e0 END, 9) AS score FROM b CROSS JOIN c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, current_path DESC) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM p WHERE score > 0),
+    l AS (SELECT * FROM r WHERE rank <= 5 AND score >= greatest(0.08e0, 0.6e0 * best))"""
+
+
+def manifest_trees(t: Tables):
+    """Two trees made of all documents: by number some files are changed, moved, added, deleted, kept or not code; with
+    clusters by source and language, and anchors at the end or the start of some."""
+    n, k = F.col("doc_id"), F.col("doc_id") % 7
+    body = F.concat("text", F.lit("\n# "), n)
+
+    def at(*parts):
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    kept = at("src/", F.col("source"), "/f", n, ".py")
+    old_path = F.when(k.isin(0, 1, 5), kept).when(k == 2, at("old/m.x", n)).when(k == 4, at("src/d", n, ".rs")).when(k == 6, at("docs/", n, ".md"))
+    new_path = F.when(k.isin(0, 1, 5), kept).when(k == 2, at("new/m.x", n)).when(k == 3, at("src/a", n, ".pyi")).when(k == 6, at("docs/", n, ".md"))
+    more = F.rtrim(F.replace(F.left("text", F.lit(200)), F.lit("\n"), F.lit(" ")))
+    new_text = F.when(k.isin(0, 1, 6), at(body, "\n", more)).otherwise(body)
+    old = t.documents.where(k != 3).select(old_path.alias("path"), body.alias("text"))
+    new = t.documents.where(k != 4).select(new_path.alias("path"), new_text.alias("text"))
+    lines = F.size(F.split(body, "\n", -1))
+    own = t.documents.where(k.isin(0, 1, 3))
+    start, end = F.when(n % 2 == 0, lines).otherwise(1), F.when(n % 2 == 0, lines + 1).otherwise(1)
+    anchors = own.where(n % 3 == 0).select(new_path.alias("path"), at("lang:", F.col("lang")).alias("cluster"), start.alias("start_line"), end.alias("end_line"))
+    members = own.where(n % 2 == 0).select(new_path.alias("path"), F.col("source").alias("cluster"))
+    by_lang = F.when(F.col("lang") == "en", TAGS[0]).when(F.col("lang") == "de", TAGS[1]).when(F.col("lang") == "fr", TAGS[2]).when(F.col("lang") == "es", TAGS[3])
+    tags = t.documents.select(at("lang:", F.col("lang")).alias("cluster"), by_lang.alias("tag")).unionByName(t.documents.select(F.col("source").alias("cluster"), F.lit(TAGS[4]).alias("tag"))).distinct()
+    return old, new, t.benchmark.select("item_id", "text"), anchors, members, tags
+
+
+@query(
+    "hunk_candidates",
+    _HUNKS + """ SELECT doc_id, CAST(new_start AS INTEGER) AS new_start, CAST(new_count AS INTEGER) AS new_count, coalesce(cluster, '') AS clusters, coalesce(tag, '') AS tag_words, array_to_string(list_sort(path), '|') AS path_names, md5(array_to_string(list_sort(ws), ' ')) AS words, md5(said) AS changed_text FROM c""",
+)
+def hunk_candidates(t: Tables):
+    """REV-03, JON-09, STR-14, STR-35, FLT-11: the hunks between two trees that claims can be linked to, with the clusters
+    whose anchors they overlap, or else the file's."""
+    old, new, _, anchors, members, tags = manifest_trees(t)
+    files = manifest.file_diffs(changes.map_files(old, new), old, new, "")
+    found = changes.hunk_candidates(files, anchors, members, tags)
+    doc = F.regexp_extract("path", r"(\d+)\.pyi?$", 1).cast("long")
+    return found.select(
+        doc.alias("doc_id"), "new_start", "new_count", F.array_join("clusters", ",").alias("clusters"), F.array_join("tag_words", ",").alias("tag_words"), F.array_join(F.array_sort("path_names"), "|").alias("path_names"),
+        F.md5(F.array_join(F.array_sort("words"), " ").cast("binary")).alias("words"), F.md5(F.col("changed_text").cast("binary")).alias("changed_text"),
+    )
+
+
 @query(
     "review_manifest",
-    f"""WITH l AS (SELECT doc_id, count(*) AS linked, max(score) AS best FROM ({LINKS}) GROUP BY doc_id),
-    d AS (SELECT doc_id, source, lang, len(string_split(text, chr(10))) AS lines, strlen(text) AS bytes FROM documents)
-    SELECT d.doc_id, left(sha256('{{"doc_id":' || d.doc_id || ',"source":"' || source || '"}}'), 24) AS file_id,
-      CASE WHEN bytes > 60000 THEN 'large_fallback' WHEN lang <> 'en' THEN 'other_language' WHEN q.quality = 0 THEN 'low_confidence' WHEN coalesce(linked, 0) > 0 THEN 'core' ELSE 'supporting' END AS bucket,
-      CASE WHEN coalesce(linked, 0) > 0 OR lines >= 50 THEN 'high' WHEN lines >= 10 THEN 'medium' ELSE 'low' END AS significance,
-      CAST(lines AS BIGINT) AS changed_lines, coalesce(linked, 0) AS linked_claims, round(coalesce(best, 0), 9) AS best_score
-    FROM d LEFT JOIN l USING (doc_id) LEFT JOIN labels q USING (doc_id)""",
+    _MANIFEST + """, k AS (SELECT doc_id, count(DISTINCT item_id) AS linked FROM l GROUP BY doc_id),
+    e AS (SELECT source_path, current_path, diff_type, match_type, language, added, removed, n_hunks, coalesce(linked, 0) AS linked_claims, CASE k WHEN 3 THEN 'new_file' WHEN 4 THEN 'deleted_file' ELSE CASE WHEN language <> 'python' THEN 'unsupported_language' ELSE 'fallback_text' END END AS semantic_status,
+      CASE WHEN k = 3 THEN 'added' WHEN k = 4 THEN 'deleted' WHEN language <> 'python' THEN 'other_languages' ELSE 'primary' END AS bucket, CASE WHEN coalesce(linked, 0) > 0 OR added + removed >= 50 THEN 'high' WHEN added + removed >= 10 THEN 'medium' ELSE 'low' END AS significance,
+      left(sha256('{"cache_key":"","current_rel_path":"' || coalesce(current_path, '/dev/null') || '","diff_type":"' || diff_type || '","source_rel_path":"' || coalesce(source_path, '/dev/null') || '"}'), 24) AS file_id FROM g LEFT JOIN k USING (doc_id))
+    SELECT file_id, source_path, current_path, diff_type, match_type, semantic_status, language, bucket, significance, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, CAST(n_hunks AS BIGINT) AS n_hunks, linked_claims,
+      CAST(row_number() OVER (PARTITION BY bucket ORDER BY linked_claims > 0 DESC, CASE significance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, added + removed DESC, coalesce(current_path, source_path)) AS INTEGER) AS place FROM e""",
 )
 def review_manifest(t: Tables):
-    """REV-01 to REV-08, API-08: one entry for each document, with bucket, significance and links."""
-    links = _links(t).groupBy("doc_id").agg(F.count("*").alias("linked"), F.max("score").alias("best"))
-    docs = t.documents.select("doc_id", "source", "lang", F.size(F.split("text", "\n", -1)).cast("long").alias("changed_lines"), F.octet_length("text").alias("bytes"))
-    df = docs.join(links, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    linked = F.coalesce("linked", F.lit(0).cast("long"))
-    bucket = (
-        F.when(F.col("bytes") > 60_000, "large_fallback")
-        .when(F.col("lang") != "en", "other_language")
-        .when(F.col("quality") == 0, "low_confidence")
-        .when(linked > 0, "core")
-        .otherwise("supporting")
-    )
-    return df.select(
-        "doc_id", S.stable_digest(24, doc_id=F.col("doc_id"), source=F.col("source")).alias("file_id"), bucket.alias("bucket"),
-        S.significance(F.col("changed_lines"), linked).alias("significance"), "changed_lines", linked.alias("linked_claims"),
-        F.round(F.coalesce("best", F.lit(0.0)), 9).alias("best_score"),
-    )
+    """REV-01, REV-03, REV-04, REV-07, REV-08, API-08: the manifest of the differences between two trees: files mapped and
+    diffed, hunks linked to claims, and an entry for each changed file in the order of review."""
+    return manifest.build(*manifest_trees(t))["entries"]
+
+
+@query(
+    "build_phases",
+    _MANIFEST + """ SELECT * FROM (VALUES (1, 'file_mapping'), (2, 'claim_extraction'), (3, 'diff_generation'), (4, 'deterministic_linking'), (5, 'fallback_render'), (6, 'persisting')) AS v(place, phase),
+    LATERAL (SELECT CASE place WHEN 2 THEN (SELECT count(*) FROM b) WHEN 3 THEN (SELECT count(*) FROM c) WHEN 4 THEN (SELECT count(*) FROM l) WHEN 5 THEN 0 ELSE (SELECT count(*) FROM g) END AS done)""",
+)
+def build_phases(t: Tables):
+    """REV-01, REV-15: the phases of a build with the rows that each has done."""
+    return manifest.build(*manifest_trees(t))["phases"]
 
 
 @query("claim_index", f"""SELECT item_id, left(sha256('{{"claim":' || item_id || ',"text":"' || s || '"}}'), 20) AS claim_id, s AS claim_text, CAST(k AS INTEGER) AS k FROM (
@@ -152,10 +213,10 @@ def claim_index(t: Tables):
 
 
 @query("bucket_view", f"""WITH k AS (SELECT unnest({[*V.BUCKETS]!r}) AS bucket, unnest(generate_series(1, {len(V.BUCKETS)})) AS place)
-    SELECT k.bucket, CAST(k.place AS INTEGER) AS place, count(d.doc_id) AS n FROM k LEFT JOIN (SELECT doc_id, CASE WHEN lang <> 'en' THEN 'other_language' WHEN n_chars > 5000 THEN 'large_fallback' ELSE 'core' END AS bucket FROM documents) d USING (bucket) GROUP BY ALL""")
+    SELECT k.bucket, CAST(k.place AS INTEGER) AS place, count(d.doc_id) AS n FROM k LEFT JOIN (SELECT doc_id, CASE WHEN lang <> 'en' THEN 'other_languages' WHEN n_chars > 5000 THEN 'large_files' ELSE 'primary' END AS bucket FROM documents) d USING (bucket) GROUP BY ALL""")
 def bucket_view(t: Tables):
     """CLI-01, AGG-11: all buckets in order, the empty ones too."""
-    b = F.when(F.col("lang") != "en", "other_language").when(F.col("n_chars") > 5000, "large_fallback").otherwise("core")
+    b = F.when(F.col("lang") != "en", "other_languages").when(F.col("n_chars") > 5000, "large_files").otherwise("primary")
     counts = t.documents.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
     keys = t.spark.createDataFrame([(name, k + 1) for k, name in enumerate(V.BUCKETS)], "bucket string, place int")
     return keys.join(counts, "bucket", "left").select("bucket", "place", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

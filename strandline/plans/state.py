@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
-from strandline.operators import changes, contributions, reviews
+from strandline.operators import basefiles, contributions, reviews
 from strandline.plans.papers import PY_PATH, PY_SQL, code_files
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import SQL_STRIP, sql_list, sql_tokens
@@ -216,17 +216,47 @@ def step_trace(t: Tables):
     )
 
 
+_BASE_SQL = """SELECT s_suppkey AS k, 'j' || s_suppkey % 5 AS job, CASE s_suppkey % 6 WHEN 0 THEN 'lib/m' || s_suppkey % 9 || '/' || CASE WHEN s_suppkey % 4 = 0 THEN '__init__' ELSE 'n' || s_suppkey END || '.py' WHEN 1 THEN 'core/layers_' || s_suppkey || '.py' WHEN 2 THEN 'src/loss/Part' || s_suppkey || '.cu' WHEN 3 THEN 'src/part' || s_suppkey || '.py' WHEN 4 THEN 'src/adapter/other' || s_suppkey || '.rs' ELSE 'docs/part' || s_suppkey || '.md' END AS path,
+  CASE WHEN s_suppkey % 4 = 1 THEN 'class Layer' || s_suppkey % 7 || ': pass' || chr(10) ELSE '' END || 'def compute_' || s_suppkey % 11 || '(x): pass  # ' || CASE s_suppkey % 3 WHEN 0 THEN 'LoRA adapter' WHEN 1 THEN 'the loss, train' ELSE 'os lib' END || ' ' || lower(s_name) AS text FROM supplier"""
+
+
 @query(
     "base_file_match",
-    f"""SELECT p_partkey, CASE WHEN p_size % 9 = 3 THEN 'lib/m3/__init__.py' WHEN p_size % 7 = 5 THEN 'core/layers.py' WHEN p_name = 'small ring' THEN 'src/small_ring/x.py' END AS base_path FROM part""",
+    rf"""WITH b AS (SELECT *, lower(text) AS low, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS sfx, lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^./]+$', '')) AS stem FROM ({_BASE_SQL})),
+    p AS (SELECT p_partkey, 'j' || p_partkey % 5 AS job, {PY_PATH} AS path, {PY_SQL} AS x, CASE p_size % 3 WHEN 0 THEN ['adapter', 'loss'] WHEN 1 THEN ['Loss'] ELSE [] END AS tags FROM part),
+    f AS (SELECT *, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS sfx, lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^./]+$', '')) AS stem,
+      ['os', 'path', 'lib', 'm' || regexp_extract(x, 'lib\.m(\d)', 1), 'x'] AS imp, list_transform(tags, lambda q: lower(q)) AS tgs,
+      list_distinct(list_transform(regexp_extract_all(x, '\b(?:class|def)\s+([A-Za-z_][A-Za-z0-9_]*)', 1), lambda q: lower(q))) AS syms FROM p),
+    g AS (SELECT *, list_distinct(list_concat(list_filter(string_split(lower(path), '/'), lambda q: length(q) >= 3), list_filter([stem], lambda q: length(q) >= 3), list_filter([sfx], lambda q: length(q) > 1))) AS sig FROM f),
+    h AS (SELECT *, list_distinct(list_concat(list_filter(string_split(lower(path), '/'), lambda q: length(q) >= 3), list_filter([stem], lambda q: length(q) >= 3), list_filter([sfx], lambda q: length(q) > 1))) AS sig FROM b),
+    i AS (SELECT p_partkey, arg_min(h.path, CASE WHEN ends_with(h.path, '.py') AND NOT ends_with(h.path, '__init__.py') THEN 0 ELSE 1 END) AS path FROM g JOIN h ON g.job = h.job AND h.path IN ('lib/m' || regexp_extract(x, 'lib\.m(\d)', 1) || '.py', 'lib/m' || regexp_extract(x, 'lib\.m(\d)', 1) || '/__init__.py') GROUP BY p_partkey),
+    d AS (SELECT job, symbol, min(path) AS path FROM (SELECT job, path, unnest(regexp_extract_all(text, '\b(?:class|def)\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS symbol FROM b) GROUP BY ALL HAVING count(*) = 1),
+    c AS (SELECT p_partkey, d.path FROM g JOIN d ON d.job = g.job AND d.symbol = 'Layer' || regexp_extract(x, 'Layer(\d)', 1)),
+    s AS (SELECT p_partkey, h.path, CASE WHEN g.stem = h.stem THEN 6 ELSE 0 END + 2 * len(list_intersect(list_distinct(list_concat(g.sig, tgs, imp)), h.sig)) + 3 * len(list_filter(tgs, lambda q: contains(low, q))) + 2 * len(list_filter(imp, lambda q: contains(low, q))) + len(list_filter(syms, lambda q: contains(low, q))) AS score
+      FROM g JOIN h ON g.job = h.job AND (g.sfx = '' OR g.sfx = h.sfx)),
+    m AS (SELECT p_partkey, path FROM s WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, path) = 1)
+    SELECT p_partkey, coalesce(h.path, i.path, c.path, m.path) AS base_path FROM g LEFT JOIN h ON h.job = g.job AND h.path = g.path LEFT JOIN i USING (p_partkey) LEFT JOIN c USING (p_partkey) LEFT JOIN m USING (p_partkey)""",
 )
 def base_file_match(t: Tables):
-    """JON-06, MTH-14: the base file of each new file: one that it imports, one that alone defines a base class, or the
-    best by shared words."""
-    files = code_files(t)
-    base = [("lib/m3/__init__.py", "x = 1"), ("core/layers.py", "class Layer5: pass"), ("src/small_ring/x.py", "x = 1")]
-    found = changes.base_matches(files.select("path", "text"), t.spark.createDataFrame(base, "path string, text string"))
-    return files.join(found, files["path"] == found["new_path"]).select("p_partkey", "base_path")
+    """JON-06, MTH-14, STR-32, STR-33, STR-34: the base file of each new file, among files made of the suppliers."""
+    n, z = F.col("p_partkey"), F.col("p_size")
+    tags = F.when(z % 3 == 0, F.array(F.lit("adapter"), F.lit("loss"))).when(z % 3 == 1, F.array(F.lit("Loss"))).otherwise(F.array().cast("array<string>"))
+    files = code_files(t).join(t.part.select("p_partkey", tags.alias("tags")), "p_partkey").withColumn("job", F.concat(F.lit("j"), n % 5))
+    k = F.col("s_suppkey")
+
+    def at(*parts):
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+    first = F.when(k % 4 == 0, "__init__").otherwise(at("n", k))
+    path = (
+        F.when(k % 6 == 0, F.concat(at("lib/m", k % 9, "/"), first, F.lit(".py"))).when(k % 6 == 1, at("core/layers_", k, ".py")).when(k % 6 == 2, at("src/loss/Part", k, ".cu"))
+        .when(k % 6 == 3, at("src/part", k, ".py")).when(k % 6 == 4, at("src/adapter/other", k, ".rs")).otherwise(at("docs/part", k, ".md"))
+    )
+    note = F.when(k % 3 == 0, "LoRA adapter").when(k % 3 == 1, "the loss, train").otherwise("os lib")
+    text = F.concat(F.when(k % 4 == 1, at("class Layer", k % 7, ": pass\n")).otherwise(""), at("def compute_", k % 11, "(x): pass  # "), note, F.lit(" "), F.lower("s_name"))
+    base = t.supplier.select(at("j", k % 5).alias("job"), path.alias("path"), text.alias("text"))
+    found = basefiles.base_matches(files.select("job", "path", "text", "tags"), base).withColumnRenamed("new_path", "path")
+    return files.join(found, ["job", "path"]).select("p_partkey", "base_path")
 
 
 @query(

@@ -270,18 +270,23 @@ def merged_suggestions(t: Tables):
     return contributions.with_suggestions(own, suggested).select("job", "title", F.array_join("keywords", ",").alias("keywords"))
 
 
-def _ranked_words(t: Tables):
-    """Items of each conversation in order: its sentences with their tokens."""
-    from strandline.functions import text as T
-
-    df = t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    return df.select("conv_id", (F.col("turn") * 100_000 + F.col("pos")).alias("ord"), F.left("s", F.lit(40)).alias("title"), T.tokens(F.col("s")).alias("tokens"))
-
-
 @query("folded_sets")
 def folded_sets(t: Tables):
-    """SEQ-04: sentences of a conversation, each absorbed by the first kept one that shares two tokens with it."""
-    return sequences.fold_merge(_ranked_words(t), "conv_id", 2, 4)
+    """SEQ-04, SEQ-06: the sentences of each conversation's users, which take up those of its assistants."""
+    from strandline.functions import text as T
+
+    n = F.col("conv_id")
+    df = t.conversations.select(n, "role", "turn", F.posexplode(T.sentences(F.col("text"))).alias("pos", "title"))
+    words = T.tokens(F.col("title"))
+    long = F.length("title") > 60
+    df = df.select(
+        n, "role", (F.col("turn") * 100_000 + F.col("pos")).alias("ord"), F.concat_ws("-", n, "turn", "pos").alias("id"), "title", words.alias("words"),
+        F.when(F.col("pos") == 0, "Abstract").otherwise(F.concat(F.lit("Section "), "pos")).alias("section"), F.slice(words, 1, 3).alias("keywords"),
+        F.slice(words, 3, 4).alias("impl_hints"), F.when(long, F.col("title")).alias("problem_solved"), F.when(~long, F.col("title")).alias("baseline_difference"),
+        F.array(F.concat(F.lit("turn "), "turn"), F.concat(F.lit("place "), "pos")).alias("evidence_refs"), (F.length("title") % 5).cast("int").alias("complexity"),
+    )
+    user = F.col("role") == "user"
+    return sequences.merge_sets(df.where(user).drop("role"), df.where(~user).drop("role"), "conv_id")
 
 
 @query("synthesised_contributions")
