@@ -130,10 +130,9 @@ class Aligner:
             a[i] = b[i] = []
         return a, b, good
 
-    def align(self, a: list[list[int]], b: list[list[int]]) -> dict:
-        """For each unit the numbers of A and B tokens, groups and links and its groups' text, and all links in order
-        as pair keys (A id in the upper half)."""
-        (a_ids, n_a), (b_ids, n_b) = _flat(a), _flat(b)
+    def align(self, a_ids: np.ndarray, n_a: np.ndarray, b_ids: np.ndarray, n_b: np.ndarray, named: bool = False) -> dict:
+        """Of the units' A and B ids in order, and how many each unit has: for each unit the numbers of groups and links,
+        all links in order as pair keys (A id in the upper half), and if `named` the groups' text."""
         a_end, b_end = np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids])
         a_start, b_start = a_end - self.a_len[a_ids], b_end - self.b_len[b_ids]
         first = np.searchsorted(b_end, a_start, "right")
@@ -141,24 +140,20 @@ class Aligner:
         links = np.repeat(a_ids, n) << 32 | b_ids[_ranges(first, n)]
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         a_group, b_group = np.searchsorted(cuts, a_end, "left"), np.searchsorted(cuts, b_end, "left")
-        a_unit = np.repeat(np.arange(len(a)), n_a)
+        a_unit = np.repeat(np.arange(len(n_a)), n_a)
         last_a, last_b = np.isin(a_end, cuts, assume_unique=True), np.isin(b_end, cuts, assume_unique=True)
-        at = self.named_at
-        name = np.r_[a_ids + np.where(last_a, at[1], at[0]), b_ids + np.where(last_b, at[3], at[2])]
-        order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
-        names = list(map(self.named.__getitem__, name[order].tolist()))
-        ends = np.cumsum(n_a + n_b).tolist()
-        return {
-            "n_a": n_a,
-            "n_b": n_b,
-            "n_groups": np.bincount(a_unit[last_a], minlength=len(a)),
-            "n_links": np.bincount(a_unit, n, len(a)).astype(np.int64),
-            "links": links,
-            "groups": [b"".join(names[i:j]) for i, j in zip([0, *ends], ends)],
-        }
-
-    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict]:
-        """The units of each text, as numbers in order and how many; and the alignment of the distinct units. Texts
+        out = {"links": links, "n_groups": np.bincount(a_unit[last_a], minlength=len(n_a)), "n_links": np.bincount(a_unit, n, len(n_a)).astype(np.int64)}
+        if named:
+            at = self.named_at
+            name = np.r_[a_ids + np.where(last_a, at[1], at[0]), b_ids + np.where(last_b, at[3], at[2])]
+            order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
+            names = list(map(self.named.__getitem__, name[order].tolist()))
+            ends = np.cumsum(n_a + n_b).tolist()
+            out["groups"] = [b"".join(names[i:j]) for i, j in zip([0, *ends], ends)]
+        return out
+
+    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[int]]]:
+        """The units of each text, as numbers in order and how many; and the A and B ids of the distinct units. Texts
         that a tokenizer does not spell have none."""
         whole = [b" " + t if t else b"" for t in texts]
         joined = b"".join(whole)
@@ -184,20 +179,23 @@ class Aligner:
             counts[odd[fine]] = 1
             place = np.cumsum(counts) - counts
             codes = np.insert(codes, place[odd[fine]] - np.arange(int(fine.sum())), new[odd[fine]])
-        return codes, counts, self.align(a, b)
+        return codes, counts, a, b
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return planes(x.astype(np.uint32))
+    """Numbers from 0 in two or four bytes each, behind that width."""
+    kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32
+    return bytes([kind().itemsize]) + planes(x.astype(kind))
 
 
-PACKED = (
-    "shard long, doc_id array<string>, units array<int>, codes binary, n_a binary, n_b binary, n_groups binary, "
-    "n_links binary, links binary, names binary, name_sizes binary, pairs array<long>, pair_docs array<int>"
-)
+def _wide(b: bytes) -> np.ndarray:
+    return unplanes(b[1:], np.uint16 if b[0] == 2 else np.uint32).astype(np.int64)
+
+
+PACKED = "shard long, doc_id array<string>, units array<int>, codes binary, a binary, n_a binary, b binary, n_b binary, pairs array<long>, pair_docs array<int>"
 _PACKED = pa.schema(
     [("shard", pa.int64()), ("doc_id", pa.list_(pa.string())), ("units", pa.list_(pa.int32()))]
-    + [(k, pa.binary()) for k in ("codes", "n_a", "n_b", "n_groups", "n_links", "links", "names", "name_sizes")]
+    + [(k, pa.binary()) for k in ("codes", "a", "n_a", "b", "n_b")]
     + [("pairs", pa.list_(pa.int64())), ("pair_docs", pa.list_(pa.int32()))]
 )
 
@@ -218,21 +216,13 @@ def encode_batches(a, b, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part = _loaded(a.value, b.value), TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(text_chunks(batches, size)):
-            codes, counts, x = aligner.batch([t or b"" for t in texts])
+            codes, counts, a_lists, b_lists = aligner.batch([t or b"" for t in texts])
+            (a_ids, n_a), (b_ids, n_b) = _flat(a_lists), _flat(b_lists)
+            x = aligner.align(a_ids, n_a, b_ids, n_b)
             pairs, link_pair = np.unique(x["links"], return_inverse=True)
             docs = _pair_docs(codes, counts, x["n_links"], link_pair, len(pairs)) if len(pairs) else pairs
-            row = {
-                "shard": part << 32 | k,
-                "doc_id": ids,
-                "units": counts.astype(np.int32),
-                "codes": _narrow(codes),
-                "links": _narrow(link_pair),
-                "names": b"".join(x["groups"]),
-                "name_sizes": _narrow(np.fromiter(map(len, x["groups"]), np.int64, len(x["groups"]))),
-                "pairs": pairs,
-                "pair_docs": docs.astype(np.int32),
-            } | {c: _narrow(x[c]) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            yield one_row(_PACKED, row)
+            packed = {k: _narrow(v) for k, v in (("codes", codes), ("a", a_ids), ("n_a", n_a), ("b", b_ids), ("n_b", n_b))}
+            yield one_row(_PACKED, packed | {"shard": part << 32 | k, "doc_id": ids, "units": counts.astype(np.int32), "pairs": pairs, "pair_docs": docs.astype(np.int32)})
 
     return run
 
@@ -242,42 +232,46 @@ _SCORED = pa.schema(
 )
 
 
-def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score_batches(a, b):
     """Packed rows with their pairs' sums to one row for each text."""
-    for packed in chain.from_iterable((b.slice(i, 1) for i in range(b.num_rows)) for b in batches):
-        row = {c: packed.column(c)[0] for c in packed.schema.names}
-        units = row["units"].values.to_numpy().astype(np.int64)
-        unit = {c: unplanes(row[c].as_py(), np.uint32).astype(np.int64) for c in ("codes", "n_a", "n_b", "n_groups", "n_links", "links", "name_sizes")}
-        codes, n_pairs = unit["codes"], len(row["pairs"].values or [])
-        count, best = np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64)
-        if n_pairs:
-            told = row["told"].values
-            at = told.field("i").to_numpy()
-            count[at], best[at] = told.field("docs").to_numpy(), told.field("best").to_numpy(zero_copy_only=False)
-        stops = np.cumsum(unit["n_links"])
-
-        def total(x):
-            sums = np.r_[0, np.cumsum(x[unit["links"]])]
-            return sums[stops] - sums[stops - unit["n_links"]]
-
-        per_unit = {c: unit[c] for c in ("n_a", "n_b", "n_groups", "n_links")} | {"n_best": total(best), "count_sum": total(count)}
-        ends = np.cumsum(units)
-        cols = []
-        for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"):
-            sums = np.r_[0, np.cumsum(per_unit[c][codes])]
-            cols.append(pa.array(sums[ends] - sums[ends - units], pa.int64()))
-        stop = np.cumsum(unit["name_sizes"]).tolist()
-        names = row["names"].as_py()
-        name = [names[i:j] for i, j in zip([0, *stop], stop)]
-        listed = codes.tolist()
-        for lo in range(0, len(units), 256):  # a few texts' groups at a time
-            hi = min(lo + 256, len(units))
-            groups = [b"".join(map(name.__getitem__, listed[e - n : e]))[:-1].decode() for n, e in zip(units[lo:hi].tolist(), ends[lo:hi].tolist())]
-            cells = [row["doc_id"].values.slice(lo, hi - lo), *(c.slice(lo, hi - lo) for c in cols), pa.array(groups, pa.string())]
-            yield pa.RecordBatch.from_arrays(cells, schema=_SCORED)
-
-
-def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 3_000_000) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _loaded(a.value, b.value)
+        for packed in chain.from_iterable((batch.slice(i, 1) for i in range(batch.num_rows)) for batch in batches):
+            row = {c: packed.column(c)[0] for c in packed.schema.names}
+            sizes = row["units"].values.to_numpy().astype(np.int64)
+            codes, a_ids, n_a, b_ids, n_b = (_wide(row[c].as_py()) for c in ("codes", "a", "n_a", "b", "n_b"))
+            x = aligner.align(a_ids, n_a, b_ids, n_b, named=True)
+            pairs = row["pairs"].values.to_numpy()
+            count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+            if len(pairs):
+                at = row["told"].values.field("i").to_numpy()
+                count[at] = row["told"].values.field("docs").to_numpy()
+                best[at] = row["told"].values.field("best").to_numpy(zero_copy_only=False)
+            pair = np.searchsorted(pairs, x["links"])
+            stops = np.cumsum(x["n_links"])
+
+            def total(of_pair):
+                sums = np.r_[0, np.cumsum(of_pair[pair])]
+                return sums[stops] - sums[stops - x["n_links"]]
+
+            unit = {"n_a": n_a, "n_b": n_b, "n_groups": x["n_groups"], "n_links": x["n_links"], "n_best": total(best), "count_sum": total(count)}
+            ends, listed = np.cumsum(sizes), codes.tolist()
+            cols = []
+            for c in _SCORED.names[1:-1]:
+                sums = np.r_[0, np.cumsum(unit[c][codes])]
+                cols.append(pa.array(sums[ends] - sums[ends - sizes], pa.int64()))
+            for lo in range(0, len(sizes), 256):  # a few texts' groups at a time
+                hi = min(lo + 256, len(sizes))
+                span = zip(sizes[lo:hi].tolist(), ends[lo:hi].tolist())
+                groups = [b"".join(map(x["groups"].__getitem__, listed[e - n : e]))[:-1].decode() for n, e in span]
+                cells = [row["doc_id"].values.slice(lo, hi - lo), *(c.slice(lo, hi - lo) for c in cols), pa.array(groups, pa.string())]
+                yield pa.RecordBatch.from_arrays(cells, schema=_SCORED)
+
+    return run
+
+
+def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 2_000_000) -> DataFrame:
     """For each row of (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups.
 
     A encodes a space and the text by the byte-level BPE, B the text by the SentencePiece model, both whole and without
@@ -303,6 +297,6 @@ def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, bat
     sums = docs_of.join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
     told = held.join(sums, "pair").groupBy("shard").agg(F.collect_list(F.struct("i", "docs", "best")).alias("told"))
     out = packed.drop("pair_docs").join(told, "shard", "left").mapInArrow(
-        score_batches, "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+        score_batches(*models), "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
