@@ -100,10 +100,16 @@ class SuffixAutomaton:
             nodes = level["source"][nodes]
         return pc.binary_join_element_wise(*out[::-1], " ")
 
-SHARD = "shard long, lang string, n_words long, words array<string>, counts array<long>, codes binary"
-_SHARD = pa.schema(
-    [("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())]
-)
+SHARD = "shard long, lang string, n_words long, words binary, codes binary"
+_SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.binary()), ("codes", pa.binary())])
+
+
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
 
 
 def make_shards(size: int):
@@ -117,13 +123,15 @@ def make_shards(size: int):
                 by_lang.setdefault(lang, []).append(text)
             for lang, mine in by_lang.items():
                 words, codes, first = coded_words([t or b"" for t in mine])
+                order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small numbers for frequent words
+                place = np.empty(len(words), np.int64)
+                place[order] = np.arange(len(words))
                 row = {
                     "shard": number,
                     "lang": lang,
                     "n_words": len(codes),
-                    "words": words.cast(pa.string()),
-                    "counts": np.bincount(codes, minlength=len(words)),
-                    "codes": planes((codes * 2 + first).astype(np.uint32)),
+                    "words": _packed(b" ".join(words.take(pa.array(order)).cast(pa.large_binary()).to_pylist())),
+                    "codes": _packed(planes((place[codes] * 2 + first).astype(np.uint32))),
                 }
                 number += 1
                 yield one_row(_SHARD, row)
@@ -131,26 +139,47 @@ def make_shards(size: int):
     return run
 
 
-def _automaton(shard: pa.RecordBatch, depth: int) -> tuple[SuffixAutomaton, pa.Array, tuple, list]:
+def _words_and_codes(shard: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+    return _unpacked(shard.column("words")[0].as_py()), unplanes(_unpacked(shard.column("codes")[0].as_py()), np.uint32).astype(np.int64)
+
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards to (lang, phrase, n) of their words."""
+    for shard in _each(batches):
+        words, codes = _words_and_codes(shard)
+        if not len(codes):
+            continue
+        words, n = pa.array(words.decode().split(" ")), np.bincount(codes >> 1)
+        for i in range(0, len(words), 100_000):
+            part = words[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.repeat(shard.column("lang")[0], len(part)), part, pa.array(n[i : i + 100_000])], names=["lang", "phrase", "n"])
+
+
+def _automaton(shard: pa.RecordBatch, depth: int) -> tuple[SuffixAutomaton, bytes, tuple, list]:
     """The automaton of a shard to a depth, its words, their two hashes, and for each level but the last the corpus
-    counts of the nodes that this shard spells (0 for others). Those levels are pruned to the nodes that the row's
-    `alive` names."""
-    words = shard.column("words")[0].values
-    packed = unplanes(shard.column("codes")[0].as_py(), np.uint32).astype(np.int64)
-    tree = SuffixAutomaton(packed >> 1, (packed & 1).astype(bool), max(len(words), 1))
-    hashes = _word_hashes(b" ".join(words.cast(pa.binary()).to_pylist()), shard.column("lang")[0].as_py())
-    spelt, alive = [], (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    if "alive" in shard.schema.names and shard.column("alive")[0].is_valid:
-        told = shard.column("alive")[0].values
-        h, c, f = (told.field(k).to_numpy() for k in ("h", "c", "f"))
-        order = np.argsort(h.view(np.uint64))
-        alive = h.view(np.uint64)[order], c[order].astype(np.int64), f[order]
+    counts of the nodes that this shard spells (0 for others). Those levels are pruned to the nodes that the row names:
+    those it spells in `mine`, others in `alive` by the upper half of their hash, which lets a few in a million more
+    through."""
+    words, packed = _words_and_codes(shard)
+    tree = SuffixAutomaton(packed >> 1, (packed & 1).astype(bool), max(words.count(b" ") + 1, 1))
+    hashes = _word_hashes(words, shard.column("lang")[0].as_py())
+    spelt, alive, mine = [], np.empty(0, np.uint32), (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    if "mine" in shard.schema.names:
+        if shard.column("alive")[0].is_valid:
+            alive = np.unique(shard.column("alive")[0].values.to_numpy().view(np.uint32))
+        if shard.column("mine")[0].is_valid:
+            told = shard.column("mine")[0].values
+            h, c, f = (told.field(k).to_numpy() for k in ("h", "c", "f"))
+            order = np.argsort(h.view(np.uint64))
+            mine = h.view(np.uint64)[order], c[order].astype(np.int64), f[order]
     for d in range(2, depth + 1):
         tree.deepen()
         if d < depth:
-            at = _places(tree.hashes(hashes[0]), _check(tree.hashes(hashes[1])), *alive[:2])
-            tree.prune(at >= 0)
-            spelt.append(np.where(at >= 0, np.append(alive[2], 0)[at], 0))
+            h = tree.hashes(hashes[0])
+            at = _places(h, _check(tree.hashes(hashes[1])), *mine[:2])
+            upper = (h >> np.uint64(32)).astype(np.uint32)
+            tree.prune((at >= 0) | (np.append(alive, np.uint32(0))[np.searchsorted(alive, upper)] == upper) & (np.searchsorted(alive, upper) < len(alive)))
+            spelt.append(np.where(at >= 0, np.append(mine[2], 0)[at], 0))
     return tree, words, hashes, spelt
 
 
@@ -175,7 +204,7 @@ def _places(h: np.ndarray, c: np.ndarray, known_h: np.ndarray, known_c: np.ndarr
 
 
 def _check(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.int64) - (1 << 15)
+    return (h >> np.uint64(48)).astype(np.int64)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +214,16 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def node_hashes(depth: int):
-    """Shards to (shard, h, c, n): their nodes of a level, by hash and check, and how often each ends."""
+    """Shards to (shard, h, m): their nodes of a level by hash, and in m how often each ends and 16 more bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _each(batches):
             tree, _, hashes, _ = _automaton(shard, depth)
-            h, c = tree.hashes(hashes[0]).view(np.int64), _check(tree.hashes(hashes[1])).astype(np.int16)
-            n = tree.end_counts()[-1].astype(np.int64)
+            h, c = tree.hashes(hashes[0]).view(np.int64), _check(tree.hashes(hashes[1]))
+            m = tree.end_counts()[-1].astype(np.int64) << 16 | c
             number = np.full(len(h), shard.column("shard")[0].as_py())
             for i in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (number, h, c, n)], names=["shard", "h", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (number, h, m)], names=["shard", "h", "m"])
 
     return run
 
@@ -205,14 +234,15 @@ def spelt_phrases(shortest: int, depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _each(batches):
-            tree, words, _, spelt = _automaton(shard, depth)
+            tree, joined, _, spelt = _automaton(shard, depth)
+            words = pa.array(joined.decode().split(" "))
             lang = shard.column("lang")[0].as_py()
             for size, n in enumerate([*spelt, tree.end_counts()[-1]], 2):
                 nodes = np.flatnonzero(n) if size >= shortest else []
                 for i in range(0, len(nodes), 100_000):
                     part = nodes[i : i + 100_000]
                     phrase = tree.phrases(words, size, part)
-                    cells = [pa.repeat(pa.scalar(lang), len(part)), phrase, pa.repeat(pa.scalar(size, pa.int32()), len(part)), pa.array(n[part].astype(np.int64))]
+                    cells = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), phrase, pa.repeat(pa.scalar(size, pa.int32()), len(part)), pa.array(n[part].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cells, names=["lang", "phrase", "size", "n"])
 
     return run
@@ -229,20 +259,24 @@ def phrase_counts(docs: DataFrame, shortest: int, longest: int, min_count: int,
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     shards = written(source.mapInArrow(make_shards(batch_bytes), SHARD))
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    word = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    words = word.groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= min_count)
+    word = shards.select("lang", "words", "codes").mapInArrow(word_counts, "lang string, phrase string, n long")
+    words = word.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
     rows, alive = shards.select("shard", "lang", "words", "codes"), None
     with_alive = rows
     for depth in range(2, longest):
-        nodes = with_alive.mapInArrow(node_hashes(depth), "shard long, h long, c short, n long").repartition(parts(spark), "h")
+        nodes = with_alive.mapInArrow(node_hashes(depth), "shard long, h long, m long").repartition(parts(spark), "h")
+        nodes = nodes.select("shard", "h", F.col("m").bitwiseAND(0xFFFF).cast("int").alias("c"), F.shiftright("m", 16).alias("n"))
         whole = Window.partitionBy("h", "c")
         often = nodes.withColumns({"f": F.sum("n").over(whole), "first": F.min("shard").over(whole)}).where(F.col("f") >= min_count)
-        often = often.select("shard", F.struct("h", "c", F.when(F.col("shard") == F.col("first"), F.col("f")).otherwise(0).alias("f")).alias("x"))
+        own = F.col("shard") == F.col("first")
+        upper = F.when(~own, F.shiftright("h", 32).cast("int"))
+        often = often.select("shard", upper.alias("upper"), F.when(own, F.struct("h", "c", "f")).alias("own"))
         if longest > 3:  # read again for each further level
             often = cut(often)
         alive = often if alive is None else alive.unionByName(often)
-        with_alive = rows.join(alive.groupBy("shard").agg(F.collect_list("x").alias("alive")), "shard", "left")
+        told = alive.groupBy("shard").agg(F.collect_list("upper").alias("alive"), F.collect_list("own").alias("mine"))
+        with_alive = rows.join(told, "shard", "left")
     found = with_alive.mapInArrow(spelt_phrases(shortest, longest), "lang string, phrase string, size int, n long")
     phrases = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     return totals, words, cut(phrases)
