@@ -84,7 +84,8 @@ FINGERPRINT_FLOOR, SHAPE_FLOOR = 0.12, 0.2
 AMBIGUOUS_MARGIN, MOVED_FLOOR, LOW_FLOOR = 0.08, 0.55, 0.40
 LARGE_LINES, LARGE_BYTES = 5000, 524_288
 PARSE_SECTIONS, PARSE_SECTION_CHARS, PARSE_TOTAL_CHARS, PARSE_BATCHES, PARSE_LEAST = 8, 3500, 14_000, 3, 200
-BUCKETS = ("core", "supporting", "low_confidence", "large_fallback", "other_language", "added", "deleted")
+BUCKETS = ("primary", "added", "deleted", "ambiguous", "low_confidence", "other_languages", "large_files")
+PRIMARY_LANGUAGES = ("python",)
 
 # Known upstream repositories.
 UPSTREAM_ALIASES = (

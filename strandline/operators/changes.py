@@ -78,32 +78,6 @@ def fuzzy_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.select("new_path", F.col("a.old_path").alias("old_path"), F.col("a.sim").alias("best"), "second", ranking.match_type(F.col("a.sim"), F.col("second"), 0.55, 0.40, 0.08).alias("match_type"))
 
 
-def base_matches(changed: DataFrame, base: DataFrame, least: int = 5) -> DataFrame:
-    """JON-06, MTH-14: the base file of each new one: a file that an import names, else the only one that defines a base
-    class, else the best by score (stem 6, shared path words 2 each, shared symbols 1 each) of at least `least`."""
-    imports = changed.select(F.col("path").alias("new_path"), F.posexplode(T.import_paths(T.imports(F.col("text")))).alias("pos", "path"))
-    by_import = imports.join(base.select("path"), "path").groupBy("new_path").agg(F.min_by("path", "pos").alias("by_import"))
-    symbols = base.select("path", F.explode(T.symbols(F.col("text"))).alias("symbol"))
-    single = symbols.groupBy("symbol").agg(F.count("*").alias("n"), F.first("path").alias("path")).where("n = 1")
-    bases = F.regexp_extract_all("text", F.lit(r"class\s+[A-Za-z_][A-Za-z0-9_]*\(([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
-    wanted = changed.select(F.col("path").alias("new_path"), F.explode(bases).alias("symbol")).withColumn("symbol", F.element_at(F.split("symbol", r"\."), -1))
-    by_symbol = wanted.join(single, "symbol").groupBy("new_path").agg(F.min("path").alias("by_symbol"))
-
-    def words(df, name):
-        return df.select(F.col("path").alias(name), F.explode(F.array_union(T.identifier_words(F.regexp_replace("path", r"\.[^./]*$", "")), T.symbols(F.col("text")))).alias("w"))
-
-    shared = words(changed, "new_path").join(words(base, "path"), "w").groupBy("new_path", "path").agg(F.count("*").alias("k"))
-    def stem(c):
-        return F.lower(F.regexp_replace(F.regexp_extract(c, "([^/]+)$", 1), r"\.[^.]*$", ""))
-
-    scored = shared.withColumn("score", 2 * F.col("k") + 6 * (stem(F.col("new_path")) == stem(F.col("path"))).cast("int")).where(F.col("score") >= least)
-    by_score = scored.groupBy("new_path").agg(F.max(F.struct("score", "path")).alias("m")).select("new_path", F.col("m.path").alias("by_score"))
-    df = changed.select(F.col("path").alias("new_path"))
-    for part in (by_import, by_symbol, by_score):
-        df = df.join(part, "new_path", "left")
-    return df.select("new_path", F.coalesce("by_import", "by_symbol", "by_score").alias("base_path"))
-
-
 def link_reasons(changed: DataFrame) -> DataFrame:
     """JON-07: pairs of changed files (id, change_type, tags, imports, label, dir) of one change type with the reasons
     that link them; each reason is a join key."""
@@ -150,15 +124,47 @@ def anchors(pairs: DataFrame) -> DataFrame:
     return found.withColumn("comparable", F.coalesce(comparable_anchor(F.col("original_snippet"), F.col("snippet")), F.lit(False)))
 
 
-def owners_of_ranges(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """JON-09: clusters of each hunk (path, hunk_id, start, length): those with an anchor range (path, cluster, a, b) that
-    overlaps it, or else all of the file's."""
+def path_names(path: Column) -> Column:
+    """STR-35: each part of a path, and its stem, in normal form."""
+    def plain(x):
+        return F.btrim(F.regexp_replace(F.lower(x), r"(?U)[\W_]+", " "))
+
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]+)/*$", 1), r"(?<=.)\.[^./]+$", "")
+    return F.filter(F.array_distinct(F.transform(F.concat(F.split(path, "/"), F.array(stem)), plain)), lambda x: x != "")
+
+
+def owners_of_ranges(hunks: DataFrame, anchors: DataFrame, members: DataFrame, bin_lines: int = 64) -> DataFrame:
+    """JON-09: (hunk_id, cluster) of hunks (path, hunk_id, start, length): the clusters with an anchor (path, cluster,
+    start_line, end_line) that overlaps the hunk, or else those that the file is a member (path, cluster) of.
+
+    An interval join: both ranges are cut into bins of `bin_lines` lines, which are the join's key with the path, and the
+    exact test follows. Lines begin at 1; a range that begins before never overlaps."""
     from strandline.functions.scores import ranges_overlap
 
+    def bins(start, end):
+        return F.explode(F.sequence(F.floor(start / bin_lines), F.floor(end / bin_lines))).alias("bin")
+
+    a = anchors.where("start_line > 0 AND end_line >= start_line").select("path", "cluster", "start_line", "end_line", bins(F.col("start_line"), F.col("end_line")))
     end = F.col("start") + F.greatest(F.col("length") - 1, F.lit(0))
-    df = hunks.join(ranges, "path").withColumn("hit", ranges_overlap(F.col("start"), end, F.col("a"), F.col("b")))
-    anchored, every = F.collect_set(F.when(F.col("hit"), F.col("cluster"))), F.collect_set("cluster")
-    return df.groupBy("path", "hunk_id").agg(F.array_sort(F.when(F.size(anchored) > 0, anchored).otherwise(every)).alias("clusters"))
+    h = hunks.where("start > 0").select("path", "hunk_id", "start", end.alias("end"), bins(F.col("start"), end))
+    hit = ranges_overlap(F.col("start"), F.col("end"), F.col("start_line"), F.col("end_line"))
+    anchored = h.join(a, ["path", "bin"]).where(hit).select("hunk_id", "cluster").distinct()
+    rest = hunks.select("hunk_id", "path").join(anchored, "hunk_id", "left_anti")
+    return anchored.unionByName(rest.join(members.select("path", "cluster").distinct(), "path").select("hunk_id", "cluster"))
+
+
+def hunk_candidates(files: DataFrame, anchors: DataFrame, members: DataFrame, tags: DataFrame, primary=V.PRIMARY_LANGUAGES) -> DataFrame:
+    """REV-03: what a claim can be linked to: the hunks of the files (file_id, path, diff) in a primary language, with
+    path names, changed words, clusters and the words of the clusters' tags (cluster, tag)."""
+    files = files.where(T.language(F.col("path")).isin(*primary))
+    found = diffs.changed_hunks(files.select("file_id", "diff")).join(files.select("file_id", "path"), "file_id")
+    places = found.select("path", "hunk_id", F.col("new_start").alias("start"), F.col("new_count").alias("length"))
+    owned = owners_of_ranges(places, anchors, members)
+    clusters = owned.groupBy("hunk_id").agg(F.array_sort(F.collect_set("cluster")).alias("clusters"))
+    said = owned.join(tags.select("cluster", F.explode(T.identifier_words(F.col("tag"))).alias("word")), "cluster").groupBy("hunk_id").agg(F.array_sort(F.collect_set("word")).alias("tag_words"))
+    none = F.array().cast("array<string>")
+    out = found.join(clusters, "hunk_id", "left").join(said, "hunk_id", "left").withColumn("path_names", path_names(F.col("path")))
+    return out.withColumns({"clusters": F.coalesce("clusters", none), "tag_words": F.coalesce("tag_words", none)})
 
 
 def map_files(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -153,3 +153,32 @@ def hunks(diffs: DataFrame, key: str, diff: str) -> DataFrame:
         F.count_if(F.startswith("line", F.lit("+"))).alias("added"),
         F.count_if(F.startswith("line", F.lit("-"))).alias("removed"),
     )
+
+
+def changed_hunks(files: DataFrame) -> DataFrame:
+    """DIF-04, HSH-09, STR-14, AGG-02: the hunks of each file (file_id, diff) with what they change: file_id, hunk,
+    old_start, old_count, new_start, new_count, added, removed, changed_text (the added and removed lines in normal form),
+    words (its distinct words) and hunk_id, a digest of place and content. Texts without a head have no hunks."""
+    from strandline.functions import unicode as U
+    from strandline.functions.scores import stable_digest, text_digest
+
+    cut = files.select("file_id", F.posexplode(F.split("diff", "\n", -1)).alias("pos", "line"))
+    head, sign = F.startswith("line", F.lit("@@")), F.substring("line", 1, 1)
+    w = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("hunk", F.sum(head.cast("long")).over(w)).where("hunk > 0")
+    changed = cut.where(~head & sign.isin("+", "-")).withColumn("line", U.normalize_line(F.substring("line", F.lit(2), F.length("line"))))
+    row = F.struct("pos", "line")
+    said = changed.groupBy("file_id", "hunk").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]).alias("changed"))
+    ranges = hunks(files, "file_id", "diff").join(said, ["file_id", "hunk"], "left").withColumn("changed", F.coalesce("changed", F.array().cast("array<string>")))
+    place = {"file_id": F.col("file_id").cast("string"), "old_start": F.col("old_start"), "old_len": F.col("old_count"), "new_start": F.col("new_start"), "new_len": F.col("new_count")}
+    ident = stable_digest(24, **place, content_hash=text_digest(F.to_json("changed"), 24))
+    out = ranges.withColumns({"hunk_id": ident, "changed_text": F.array_join("changed", "\n")}).drop("changed")
+    words = F.filter(F.array_distinct(F.split(U.normalize_identifier("changed_text"), " ")), lambda x: x != "")
+    return out.withColumn("words", words)
+
+
+def whole_file(text: Column, sign: str) -> Column:
+    """The diff of a file that is added (+) or deleted (-) as a whole; one hunk."""
+    rows = lines(text)
+    head = F.format_string("@@ -0,0 +1,%d @@" if sign == "+" else "@@ -1,%d +0,0 @@", F.size(rows))
+    return F.concat_ws("\n", head, F.array_join(F.transform(rows, lambda x: F.concat(F.lit(sign), x)), "\n"))

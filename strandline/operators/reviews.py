@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
 from strandline.operators import ranking
@@ -16,16 +17,20 @@ VERDICTS = ("supports", "partially_supports", "contradicts")
 RINGS = (("github_fork", 0), ("readme_base_declaration", 0), ("readme_declaration", 1), ("framework_signature", 1), ("metadata_url", 1), ("paper_mention", 2))
 
 
-def semantic_status(diff_type: Column, match_type: Column, language: Column, primary=("python",)) -> Column:
-    """REV-07: the first rule that applies."""
-    return F.when(~language.isin(*primary), "unsupported_language").when(diff_type == "deleted", "not_applicable").when(match_type == "ambiguous", "ambiguous").otherwise("ready")
+def semantic_status(diff_type: Column, match_type: Column, language: Column, large: Column) -> Column:
+    """REV-07: what can be said of a pair of files: the first rule that applies."""
+    faint = match_type.isin("low_confidence", "ambiguous")
+    return (
+        F.when(large, "large_file").when((diff_type == "added") & ~faint, "new_file").when(diff_type == "deleted", "deleted_file")
+        .when((diff_type != "added") & (language != "python"), "unsupported_language").otherwise("fallback_text")
+    )
 
 
-def bucket(diff_type: Column, match_type: Column, status: Column, large: Column, linked: Column) -> Column:
-    """REV-08: buckets in order of priority."""
+def bucket(diff_type: Column, match_type: Column, status: Column, language: Column, primary=V.PRIMARY_LANGUAGES) -> Column:
+    """REV-08: the bucket of a pair of files, by order of priority."""
     return (
-        F.when(diff_type == "added", "added").when(diff_type == "deleted", "deleted").when(large, "large_fallback").when(status == "unsupported_language", "other_language")
-        .when(match_type.isin("low_confidence", "ambiguous"), "low_confidence").when(linked > 0, "core").otherwise("supporting")
+        F.when(status == "large_file", "large_files").when(match_type == "ambiguous", "ambiguous").when(match_type == "low_confidence", "low_confidence").when(diff_type == "added", "added")
+        .when(diff_type == "deleted", "deleted").when(~language.isin(*primary), "other_languages").otherwise("primary")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from functools import reduce
 
 import pandas as pd
@@ -79,19 +80,97 @@ def leaders(items: DataFrame, group: str, least: int) -> DataFrame:
     return items.groupBy(group).applyInPandas(run, f"{group} long, cluster long, size long, first long")
 
 
-def fold_merge(items: DataFrame, group: str, least: int, caps: int) -> DataFrame:
-    """Of (group, ord, title, tokens): each item is absorbed by the first kept one that shares `least` tokens; a kept
-    item gathers at most `caps` titles."""
-    def run(pdf):
-        kept: list[list] = []
-        for r in pdf.sort_values("ord").itertuples(index=False):
-            mine = set(r.tokens)
-            hit = next((k for k in kept if len(mine & k[1]) >= least), None)
-            if hit is None:
-                kept.append([r.ord, mine, [r.title]])
-            elif len(hit[2]) < caps and r.title not in hit[2]:
-                hit[2].append(r.title)
-        key = pdf[group].iat[0] if len(pdf) else None
-        return pd.DataFrame([(key, o, titles) for o, _, titles in kept], columns=[group, "first", "titles"])
-
-    return items.groupBy(group).applyInPandas(run, f"{group} long, first long, titles array<string>")
+# How many keywords, hints and references a contribution gathers, and how many hints when titles coincide.
+KEYWORDS, HINTS, REFERENCES, TITLE_HINTS = 6, 5, 4, 4
+MERGED = (
+    "place int, id string, title string, section string, keywords array<string>, impl_hints array<string>, problem_solved string, "
+    "baseline_difference string, evidence_refs array<string>, complexity int"
+)
+
+
+class _Kept:
+    """Kept items in order, with the items that hold each keyword and each word of a title. Items grow, titles stay."""
+
+    def __init__(self):
+        self.items: list[dict] = []
+        self._by_keyword: dict[str, set[int]] = defaultdict(set)
+        self._by_word: dict[str, set[int]] = defaultdict(set)
+
+    def add(self, item: dict) -> None:
+        place = len(self.items)
+        self.items.append(item)
+        for w in item["keywords"]:
+            self._by_keyword[w].add(place)
+        for w in item["words"]:
+            self._by_word[w].add(place)
+
+    def first_like(self, item: dict, least: int) -> int | None:
+        shared = Counter(k for w in set(item["keywords"]) for k in self._by_keyword.get(w, ()))
+        shared.update(k for w in set(item["words"]) for k in self._by_word.get(w, ()))
+        return min((k for k, n in shared.items() if n >= least), default=None)
+
+    def absorb(self, place: int, item: dict) -> None:
+        old = self.items[place]
+        keywords = _united(old["keywords"], item["keywords"], KEYWORDS)
+        for w in set(old["keywords"]) - set(keywords):
+            self._by_keyword[w].discard(place)
+        for w in keywords:
+            self._by_keyword[w].add(place)
+        self.items[place] = old | {
+            "keywords": keywords,
+            "impl_hints": _united(old["impl_hints"], item["impl_hints"], HINTS),
+            "evidence_refs": _united(old["evidence_refs"], item["evidence_refs"], REFERENCES),
+            "problem_solved": old["problem_solved"] or item["problem_solved"],
+            "baseline_difference": old["baseline_difference"] or item["baseline_difference"],
+            "complexity": max(old["complexity"] or 1, item["complexity"] or 1),
+        }
+
+
+def _united(a: list, b: list, most: int) -> list:
+    return list(dict.fromkeys([*a, *b]))[:most]
+
+
+def _by_title(items: list[dict]) -> list[dict]:
+    """Items of one title, whatever its case, become one, which keeps only what all contributions have."""
+    out: dict[str, dict] = {}
+    for item in items:
+        key = item["title"].lower()
+        if key in out:
+            old = out[key]
+            out[key] = {"id": old["id"], "title": old["title"]} | {
+                "section": old["section"] if old["section"] != "Abstract" else item["section"],
+                "keywords": _united(old["keywords"], item["keywords"], KEYWORDS),
+                "impl_hints": _united(old["impl_hints"], item["impl_hints"], TITLE_HINTS),
+                "evidence_refs": [],
+            }
+        else:
+            out[key] = item
+    return list(out.values())
+
+
+def merge_sets(primary: DataFrame, secondary: DataFrame, group: str, least: int = 2) -> DataFrame:
+    """SEQ-04, SEQ-06: the contributions of each group. Rows: group (long), ord, id, title, words (the title's tokens),
+    section, keywords, impl_hints, problem_solved, baseline_difference, evidence_refs, complexity; null lists are empty.
+
+    Primary ones are kept in order of `ord`. Each secondary one is taken up by the first kept one with which it shares
+    `least` keywords and title words, or is kept itself; a kept one gathers keywords, hints and references up to their
+    limits, and the next are compared with what it has become. At the end equal titles become one. A group is a job, whose
+    contributions are few; all of them meet in one task."""
+    def rows(pdf):
+        lists = ("words", "keywords", "impl_hints", "evidence_refs")
+        items = pdf.sort_values(["ord", "id"]).to_dict("records")
+        return [{k: (list(v) if k in lists and v is not None else [] if k in lists else None if v is None or v != v else v) for k, v in x.items()} for x in items]
+
+    def run(key, first, second):
+        kept = _Kept()
+        for item in rows(first):
+            kept.add(item)
+        for item in rows(second):
+            place = kept.first_like(item, least)
+            kept.add(item) if place is None else kept.absorb(place, item)
+        names = [c.split()[0] for c in MERGED.split(", ")[1:]]
+        out = [(key[0], n, *(x.get(c) for c in names)) for n, x in enumerate(_by_title(kept.items), 1)]
+        df = pd.DataFrame(out, columns=[group, "place", *names])
+        return df.astype({"complexity": "Int32"})
+
+    return primary.groupBy(group).cogroup(secondary.groupBy(group)).applyInPandas(run, f"{group} long, {MERGED}")

@@ -44,17 +44,6 @@ def test_char_ratio(spark, near):
     assert got == pytest.approx({(d, o): difflib.SequenceMatcher(None, a, b).ratio() for d, o, a, b in near}, abs=1e-6)
 
 
-def test_line_opcodes(spark, near):
-    want = []
-    for doc, _, old, new in near:
-        a, b = old.split("\n"), new.split("\n")
-        blocks = [o for o in difflib.SequenceMatcher(None, a, b).get_opcodes() if o[0] in ("insert", "replace")][:3]
-        for k, (kind, i1, i2, j1, j2) in enumerate(blocks):
-            begin = max(j1 - 3, 0)
-            want.append((doc, k, kind, i1 + 1, i2, j1 + 1, j2, "\n".join(b[begin : min(j2 + 3, begin + 24)])))
-    assert sorted(map(tuple, Q["line_opcodes"](spark, SF).collect())) == sorted(want)
-
-
 def test_unified_diff(spark, near):
     """Hunks whose added and removed lines turn the old text into the new one, with the ranges of their heads."""
     want = []
@@ -91,22 +80,6 @@ def tokens(s):
     return {w for w in re.findall(V.TOKEN, s.lower()) if w not in V.STOPWORDS and not w.isdigit()}
 
 
-def test_folded_sets(spark):
-    items, want = {}, []
-    for conv, turn, text in sorted(table("conversations", "conv_id, turn, text")):
-        items.setdefault(conv, []).extend((turn * 100_000 + k, s[:40], tokens(s)) for k, s in enumerate(sentences(text)))
-    for conv, rows in items.items():
-        kept = []
-        for place, title, mine in rows:
-            hit = next((k for k in kept if len(k[1] & mine) >= 2), None)
-            if hit is None:
-                kept.append((place, mine, [title]))
-            elif len(hit[2]) < 4 and title not in hit[2]:
-                hit[2].append(title)
-        want += [(conv, place, titles) for place, _, titles in kept]
-    assert sorted((r.conv_id, r.first, list(r.titles)) for r in Q["folded_sets"](spark, SF).collect()) == sorted(want)
-
-
 def test_synthesised_contributions(spark):
     """Clusters in order of the findings; ranked by summed scores and kinds, led by the best finding."""
     items, want = {}, []
