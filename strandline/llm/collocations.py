@@ -69,7 +69,8 @@ class SuffixAutomaton:
     def prune(self, keep: np.ndarray) -> None:
         """Take nodes of the deepest level off all places, unless `keep` has them."""
         at = self.levels[-1]["at"]
-        at[(at >= 0) & ~keep[at]] = -1
+        held = np.flatnonzero(at >= 0)
+        at[held[~keep[at[held]]]] = -1
 
     def end_counts(self) -> list[np.ndarray]:
         """End positions of the nodes of each level: places where a node is the deepest, and those of the nodes that

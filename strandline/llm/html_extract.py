@@ -51,6 +51,7 @@ ENDS = {
     "th": ({"td", "th"}, {"table", "tr"}),
 }
 _NAME = re.compile(r"[a-z0-9]+")
+_CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*")
 
 
 def outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -212,12 +213,21 @@ def main_lines(nodes: list[tuple[int, str, bool]], lines: list[tuple[int, str, i
     return [lines[i][1] for i in kept]
 
 
+def _complete(html: str) -> str:
+    """The page without a comment or tag that it ends in."""
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0:
+        html = html[:comment]
+    tag = html.rfind("<")
+    return html[:tag] if tag >= 0 and _CUT_TAG.fullmatch(html, tag) else html
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """The article's blocks, joined by newlines; empty if there are none."""
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    page.feed(_complete(html))
     page.close()
     out = main_lines(page.nodes, page.lines, sigma, share)
     if not out:  # an element outside the article that was never closed may hold it
