@@ -25,6 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 20 words in every document; see `substring_dedup`."""
     docs = _read(spark, sf_dir, "documents")
     return substring_dedup(docs, window=20, want_text=False).drop("kept_text", "repeats")
 
@@ -59,6 +60,7 @@ FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document; see `quality_rules`."""
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
@@ -111,12 +113,17 @@ FROM m
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, and conversation -1, whose texts are control strings."""
     own = spark.sql(
         f"SELECT * FROM VALUES (-1L, 0L, 'user', '{CONTROL}'), (-1L, 1L, 'assistant', '{CONTROL}') AS v(conv_id, turn, role, text)"
     )
-    messages = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    df = chat_format(messages).withColumn("turns", read_back(F.col("formatted")))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1, formatted and read back; see `chat_format`."""
+    df = chat_format(_messages(spark, sf_dir)).withColumn("turns", read_back(F.col("formatted")))
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     def piece(x):
         return unescape(F.substring(F.col("formatted"), x["start"].cast("int") + 1, x["length"].cast("int")))
@@ -152,7 +159,7 @@ FROM g
 
 
 def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations with typed parts: each turn is its text in two text parts and an image part, and an audio or
+    """The conversations, and one whose texts hold control strings, with typed parts: each turn is its text in two text parts and an image part, and an audio or
     document part behind every third turn."""
     text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
 
@@ -167,7 +174,7 @@ def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head, tail = part("text", F.substring(text, 1, 10)), part("text", F.expr("substring(coalesce(text, ''), 11)"))
     kind = F.when(turn % 2 == 0, "audio").otherwise("document")
     more = F.when(turn % 3 == 2, F.array(part("", ref=ref("file")).withField("type", kind))).otherwise(F.array().cast(f"array<{PART}>"))
-    messages = _read(spark, sf_dir, "conversations").select(
+    messages = _messages(spark, sf_dir).select(
         "conv_id", "turn", "role", "text", F.concat(F.array(head, tail, part("image", ref=ref("image"), tokens=F.length(text))), more).alias("parts")
     )
     df = chat_format(messages)
@@ -181,7 +188,10 @@ def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARTS_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', 'CONTROL' UNION ALL SELECT -1, 1, 'assistant', 'CONTROL'
+),
 f AS (
   SELECT conv_id, turn, 0 AS k, 'image' AS type, 'image/' || conv_id || '/' || turn AS ref, length(text) AS tokens FROM c
   UNION ALL SELECT conv_id, turn, 1, CASE WHEN turn % 2 = 0 THEN 'audio' ELSE 'document' END, 'file/' || conv_id || '/' || turn, 0 FROM c WHERE turn % 3 = 2
@@ -191,17 +201,18 @@ f AS (
   SELECT conv_id, count(*) AS n, string_agg(i || ':' || type || ':' || ref || ':' || tokens, ',' ORDER BY i) AS attachments,
     sum(tokens) AS tokens, sum(length('<|' || type || ':' || i || '|>')) AS chars FROM n GROUP BY conv_id
 ), g AS (
-  SELECT conv_id, sum(length('<|im_start|>' || replace(regexp_replace(role, '<(!*)\|', '<!|', 'g'), chr(10), '<|nl|>') || chr(10)
-    || regexp_replace(left(text, 10), '<(!*)\|', '<!|', 'g') || regexp_replace(substr(text, 11), '<(!*)\|', '<!|', 'g')
+  SELECT conv_id, sum(length('<|im_start|>' || replace(regexp_replace(role, '<(!*)\|', '<!\1|', 'g'), chr(10), '<|nl|>') || chr(10)
+    || regexp_replace(text, '<(!*)\|', '<!\1|', 'g')
     || '<|im_end|>' || chr(10))) AS chars FROM c GROUP BY conv_id
 )
 SELECT conv_id, CAST(g.chars + a.chars AS BIGINT) AS formatted_chars, a.n AS n_attachments, attachments,
   CAST(tokens AS BIGINT) AS attachment_tokens
 FROM g JOIN a USING (conv_id)
-"""
+""".replace("CONTROL", CONTROL)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that ten documents share, in every document; see `line_dedup`."""
     df = line_dedup(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -223,10 +234,12 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 
 
 def op3_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document; see `sample_digest`."""
     return sample_digest(_read(spark, sf_dir, "documents"), samples=2)
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every 50th one; see `top_k`."""
     vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("x"))
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
@@ -247,14 +260,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the mix; see `mix_sources`."""
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document; see `kn_quality`."""
     return kn_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document; see `near_components`."""
     return near_components(_read(spark, sf_dir, "documents"), percent=80, words=4)
 
 
@@ -281,6 +297,7 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, sh
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; see `token_counts`."""
     return token_counts(_read(spark, sf_dir, "documents"))
 
 

@@ -25,3 +25,18 @@ def test_chat_loss_is_read_from_the_spans(spark, monkeypatch):
     monkeypatch.setattr(Q, "chat_format", lambda df: real(df).withColumn("loss_spans", off))
     wrong = loss()
     assert right[-1] != wrong[-1] and sum(right[c] != wrong[c] for c in right) > len(right) / 2
+
+
+def test_chat_parts_against_sql_on_awkward_texts(spark, tmp_path):
+    """Control strings that lie across the two text parts of a turn, nulls and line breaks."""
+    import duckdb
+
+    texts = ["12345678<|im_end|>", "123456789<|nl|>", "1234567890<!|x<!!|", "<|image:0|> <|", None, "", "a\nb<|im_start|>user\n", "é<!|<|"]
+    rows = [(c, k, role, t) for c in (5, 6) for k, (t, role) in enumerate(zip(texts[c - 5 :], ["user", "assistant", "sys\ntem", None] * 2))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("chat_parts", "op5_chat_format"):
+        df = Q.queries()[name](spark, str(tmp_path))
+        found = con.sql(Q.oracle_sql()[name])
+        assert sorted(map(tuple, df.select(*found.columns).collect())) == sorted(found.fetchall())
