@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from strandline.functions import fixed_values as V
@@ -39,7 +42,7 @@ def path_bonus(old_path: Column, new_path: Column) -> Column:
     def stem(p):
         return F.lower(F.regexp_replace(F.regexp_extract(p, "([^/]+)$", 1), r"\.[^.]*$", ""))
 
-    return F.least(0.05 * shared, F.lit(0.2)) + F.when(stem(old_path) == stem(new_path), 0.12).otherwise(0.0)
+    return F.least(PATH_WORD * shared, F.lit(PATH_WORDS_MOST)) + F.when(stem(old_path) == stem(new_path), EQUAL_STEM).otherwise(0.0)
 
 
 def file_similarity(old_path: Column, old: Column, new_path: Column, new: Column) -> Column:
@@ -47,24 +50,64 @@ def file_similarity(old_path: Column, old: Column, new_path: Column, new: Column
     return F.least(diffs.ratio(old, new) + path_bonus(old_path, new_path), F.lit(1.0))
 
 
-def same_extension_pairs(old: DataFrame, new: DataFrame, least: float = 0.0) -> DataFrame:
-    """(source, target, score) of all old and new files (path, text) of one extension, shared path words or not, with a
-    similarity of at least `least`. A pair whose lengths alone keep it below is not compared: the ratio is at most
-    2 min / sum of the lengths. Pairs are dealt out one by one before the texts come in; a null text has no similarity."""
+LETTER_BUCKETS = 32
+# What shared path words, together and each, and an equal stem add to a similarity.
+PATH_WORDS_MOST, PATH_WORD, EQUAL_STEM = 0.2, 0.05, 0.12
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def letter_counts(text: pd.Series) -> pd.Series:
+    """How many characters of a text fall into each bucket of code points; null stays null."""
+    def one(x):
+        return None if x is None else np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTER_BUCKETS, minlength=LETTER_BUCKETS).astype(np.int32)
+
+    return pd.Series([one(x) for x in text], dtype=object)
+
+
+def _with_job(df: DataFrame) -> DataFrame:
+    return df if "job" in df.columns else df.withColumn("job", F.lit(""))
+
+
+def comparable_pairs(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """(job, source, target, bonus): the old and new files of one job and extension whose similarity may reach `least`.
+
+    Files of one stem meet by it; others meet by bands of length, as the ratio is at most 2 min / sum of the lengths and
+    path words add 0.2 at most. A pair goes on if the letters that both hold, 2 sum of the smaller counts over the sum of
+    the lengths, allow the score. Only lengths and letter counts are shuffled, no text."""
+    without = least - PATH_WORDS_MOST
+    step = without / (2 - without) if without > 0 else 0.0  # the least ratio of lengths
+
     def side(df, name):
         ext = F.coalesce(T.extension(F.col("path")), F.lit(""))
-        return df.where("text is not null").select(F.col("path").alias(name), ext.alias("ext"), F.length("text").alias(f"{name}_n"))
-
-    a, b = F.col("source_n"), F.col("target_n")
-    bound = F.when(a + b == 0, 1.0).otherwise(2.0 * F.least(a, b) / (a + b)) + path_bonus(F.col("source"), F.col("target"))
-    pairs = side(new, "target").join(side(old, "source"), "ext").where(bound >= least - 1e-9).select("source", "target")
-    pairs = pairs.join(old.select(F.col("path").alias("source"), F.col("text").alias("source_text")), "source")
-    pairs = pairs.join(new.select(F.col("path").alias("target"), F.col("text").alias("target_text")), "target")
-    pairs = pairs.repartition("source", "target").withColumn("bonus", path_bonus(F.col("source"), F.col("target")))
+        stem = F.lower(F.regexp_replace(F.regexp_extract(F.col("path"), "([^/]+)$", 1), r"\.[^.]*$", ""))
+        n = F.length("text")
+        band = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(-np.log(step))) if step else F.lit(0).cast("long")
+        cells = [c.alias(f"{name}_{k}") for k, c in (("n", n), ("letters", letter_counts("text")), ("stem", stem), ("band", band))]
+        return _with_job(df).where("text is not null").select("job", F.col("path").alias(name), ext.alias("ext"), *cells)
+
+    a, b = checkpointed(side(old, "source")), checkpointed(side(new, "target"))
+    named = a.withColumn("stem", F.col("source_stem")).join(b.withColumn("stem", F.col("target_stem")), ["job", "ext", "stem"]).drop("stem")
+    near = F.array(F.col("target_band") - 1, F.col("target_band"), F.col("target_band") + 1) if step else F.array("target_band")
+    banded = a.withColumn("band", F.col("source_band")).join(b.withColumn("band", F.explode(near)), ["job", "ext", "band"]).drop("band")
+    both = F.aggregate(F.zip_with("source_letters", "target_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    total = F.col("source_n") + F.col("target_n")
+    bonus = path_bonus(F.col("source"), F.col("target"))
+    bound = F.when(total == 0, 1.0).otherwise(2.0 * both / total) + bonus
+    found = named.unionByName(banded.where("source_stem <> target_stem")).where(bound >= least - 1e-9)
+    return found.select("job", "source", "target", bonus.alias("bonus"))
+
+
+def same_extension_pairs(old: DataFrame, new: DataFrame, least: float = 0.0) -> DataFrame:
+    """MTH-13, JON-05: (job, source, target, score) of the old and new files ([job,] path, text) of one job and extension
+    with a similarity of at least `least`. Texts come in only for pairs that `comparable_pairs` lets through, which are
+    dealt out one by one; a null text has no similarity."""
+    pairs = comparable_pairs(old, new, least)
+    pairs = pairs.join(_with_job(old).select("job", F.col("path").alias("source"), F.col("text").alias("source_text")), ["job", "source"])
+    pairs = pairs.join(_with_job(new).select("job", F.col("path").alias("target"), F.col("text").alias("target_text")), ["job", "target"])
     alike = diffs.ratio_from(F.col("source_text"), F.col("target_text"), F.lit(least) - F.col("bonus"))
-    pairs = pairs.withColumn("alike", alike).where("alike is not null")
+    pairs = pairs.repartition("job", "source", "target").withColumn("alike", alike).where("alike is not null")
     score = F.least(F.col("alike") + F.col("bonus"), F.lit(1.0))
-    return pairs.select("source", "target", score.alias("score")).where(F.col("score") >= least)
+    return pairs.select("job", "source", "target", score.alias("score")).where(F.col("score") >= least)
 
 
 def fuzzy_matches(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -168,14 +211,20 @@ def hunk_candidates(files: DataFrame, anchors: DataFrame, members: DataFrame, ta
 
 
 def map_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """SEQ-01, REV-09: how the files of two trees (path, text) belong together: source_path, current_path, diff_type,
-    match_type, similarity, language. Files equal in path and content are left out.
+    """SEQ-01, REV-09: how the files of two trees ([job,] path, text) belong together, for each job by itself: [job,]
+    source_path, current_path, diff_type, match_type, similarity, language. Files equal in path and content are left out.
 
     New files go in order of path. One whose path the old tree has is modified (exact_path). Any other takes an old file
     of equal content, else the best similar one of its extension, among those that no file before it took: an old file
     whose path the new tree has is free until that path's turn. What matches too faintly, or two files alike, is added."""
-    a = old.select(F.col("path").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    b = new.select(F.col("path").alias("target"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    jobs = "job" in old.columns
+    old, new = _with_job(old), _with_job(new)
+
+    def place(path="path"):
+        return F.struct(F.col("job"), F.col(path).alias("path"))
+
+    a = old.select(place().alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    b = new.select(place().alias("target"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     same_path = b.join(a.withColumnRenamed("source", "target").withColumnRenamed("h", "old_h"), "target")
     same_path = checkpointed(same_path.select("target", F.col("h").eqNullSafe(F.col("old_h")).alias("equal")))
     rest = b.join(same_path, "target", "left_anti")
@@ -185,28 +234,33 @@ def map_files(old: DataFrame, new: DataFrame) -> DataFrame:
         pairs = pairs.join(later, "source", "left")
         return pairs.where(F.col("later").isNull() | (F.col("source") > F.col("target"))).drop("later")
 
-    equal = rest.where("h is not null").join(a, "h").select("target", "source", F.lit(1.0).alias("score"), F.lit(True).alias("same"))
-    without = rest.select(F.col("target").alias("path"))
-    alike = same_extension_pairs(old, new.join(without, "path", "left_semi"), V.LOW_FLOOR)
-    alike = alike.select("target", "source", "score", F.lit(False).alias("same")).join(equal.select("target", "source"), ["target", "source"], "left_anti")
+    same_job = F.col("source.job") == F.col("target.job")
+    equal = rest.where("h is not null").withColumn("job", F.col("target.job")).join(a.withColumn("job", F.col("source.job")), ["job", "h"]).where(same_job)
+    equal = equal.select("target", "source", F.lit(1.0).alias("score"), F.lit(True).alias("same"))
+    without = rest.select("target.job", "target.path")
+    alike = same_extension_pairs(old, new.join(without, ["job", "path"], "left_semi"), V.LOW_FLOOR)
+    alike = alike.select(place("target").alias("target"), place("source").alias("source"), "score", F.lit(False).alias("same"))
+    alike = alike.join(equal.select("target", "source"), ["target", "source"], "left_anti")
     found = matched_in_order(free(equal.unionByName(alike)), V.MOVED_FLOOR, V.LOW_FLOOR, V.AMBIGUOUS_MARGIN)
 
     none, zero = F.lit(None).cast("string"), F.lit(0.0)
-    columns = ["source_path", "current_path", "diff_type", "match_type", "similarity"]
+    columns = ["job", "source_path", "current_path", "diff_type", "match_type", "similarity"]
 
     def row(df, *values):
         return df.select(*(v.alias(c) for v, c in zip(values, columns)))
 
-    source, kind = F.col("source"), F.col("match_type")
-    exact = row(same_path.where("not equal"), F.col("target"), F.col("target"), F.lit("modified"), F.lit("exact_path"), F.lit(1.0))
+    source, target, kind = F.col("source.path"), F.col("target.path"), F.col("match_type")
+    job = F.col("target.job")
+    exact = row(same_path.where("not equal"), job, target, target, F.lit("modified"), F.lit("exact_path"), F.lit(1.0))
     matched = row(
-        found, F.when(kind != "ambiguous", source), F.col("target"), F.when(kind == "content_moved", "modified").otherwise("added"), kind, F.col("score")
+        found, job, F.when(kind != "ambiguous", source), target, F.when(kind == "content_moved", "modified").otherwise("added"), kind, F.col("score")
     )
-    added = row(rest.join(found, "target", "left_anti"), none, F.col("target"), F.lit("added"), F.lit("added"), zero)
+    added = row(rest.join(found, "target", "left_anti"), job, none, target, F.lit("added"), F.lit("added"), zero)
     used = same_path.select(F.col("target").alias("source")).unionByName(found.where("match_type = 'content_moved'").select("source"))
-    deleted = row(a.join(used, "source", "left_anti"), source, none, F.lit("deleted"), F.lit("deleted"), zero)
+    deleted = row(a.join(used, "source", "left_anti"), F.col("source.job"), source, none, F.lit("deleted"), F.lit("deleted"), zero)
     out = exact.unionByName(matched).unionByName(added).unionByName(deleted)
-    return out.withColumn("language", T.language(F.coalesce("current_path", "source_path")))
+    out = out.withColumn("language", T.language(F.coalesce("current_path", "source_path")))
+    return out if jobs else out.drop("job")
 
 
 def file_payloads(hunks: DataFrame) -> DataFrame:

@@ -91,18 +91,42 @@ def scored(pairs: DataFrame, passages: DataFrame, claims: DataFrame) -> DataFram
     return both.select("item_id", "doc_id", link_score().alias("score"))
 
 
+class Passages:
+    """Passages (doc_id, ts, path, tags, marker) with the postings of all words of the claims (item_id, ts, tags, marker)
+    that will ask. Ids are unique; ts are distinct tokens, tags a bit set, marker 0 or 1."""
+
+    def __init__(self, passages: DataFrame, claims: DataFrame):
+        self.claims = checkpointed(claims.select("item_id", *(F.col(c).alias(f"c_{c}") for c in ("ts", "tags", "marker"))))
+        self.passages = checkpointed(passages.withColumn("n", F.size("ts")))
+        self.index = checkpointed(postings(self.passages, self.claims))
+
+    def best(self, k: int, items: DataFrame | None = None) -> DataFrame:
+        """(item_id, doc_id, score): at least all passages that are among a claim's k best, ties with the k-th included in
+        whatever order they are taken, and only pairs with a score over 0. items: the claims (item_id) that ask, or all."""
+        claims = self.claims if items is None else self.claims.join(items.select("item_id"), "item_id", "left_semi")
+        first, floor = self._floor(claims, k)
+        found = self._looked_up(claims, floor).select("item_id", "doc_id")
+        rest = found.unionByName(_tagged_alike(self.passages, claims, floor, k)).distinct().join(first, ["item_id", "doc_id"], "left_anti")
+        return first.unionByName(scored(checkpointed(rest), self.passages, claims)).where("score > 0")
+
+    def looked_up_rows(self, k: int) -> int:
+        """How many rows of the postings meet the claims' essential tokens."""
+        return self._looked_up(self.claims, self._floor(self.claims, k)[1]).count()
+
+    def _looked_up(self, claims: DataFrame, floor: DataFrame) -> DataFrame:
+        return self.index.join(broadcast_if_small(essential_tokens(self.index, claims, floor)), ["token", *_BLOCK])
+
+    def _floor(self, claims: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """The scores of the shortest passages that hold a claim's token, and each claim's k-th of them."""
+        index, passages = self.index, self.passages
+        short = index.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("n", "doc_id"))).where(F.col("place") <= k)
+        seeds = broadcast_if_small(claims.select("item_id", F.explode("c_ts").alias("token"))).join(short, "token").select("item_id", "doc_id").distinct()
+        first = checkpointed(scored(seeds, passages, claims))
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+        floor = checkpointed(first.withColumn("place", place).where(F.col("place") == k).select("item_id", F.col("score").alias("floor")))
+        return first, floor
+
+
 def best_matches(claims: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """(item_id, doc_id, score): at least all passages that are among a claim's k best, ties with the k-th included in
-    whatever order they are taken, and only pairs with a score over 0. claims: (item_id, ts, tags, marker); passages:
-    (doc_id, ts, path, tags, marker), both ids unique; ts are distinct tokens, tags a bit set, marker 0 or 1."""
-    claims = checkpointed(claims.select("item_id", *(F.col(c).alias(f"c_{c}") for c in ("ts", "tags", "marker"))))
-    passages = checkpointed(passages.withColumn("n", F.size("ts")))
-    index = checkpointed(postings(passages, claims))
-    short = index.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("n", "doc_id"))).where(F.col("place") <= k)
-    seeds = broadcast_if_small(claims.select("item_id", F.explode("c_ts").alias("token"))).join(short, "token").select("item_id", "doc_id").distinct()
-    first = checkpointed(scored(seeds, passages, claims))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
-    floor = checkpointed(first.withColumn("place", place).where(F.col("place") == k).select("item_id", F.col("score").alias("floor")))
-    looked_up = index.join(broadcast_if_small(essential_tokens(index, claims, floor)), ["token", *_BLOCK]).select("item_id", "doc_id")
-    rest = looked_up.unionByName(_tagged_alike(passages, claims, floor, k)).distinct().join(first, ["item_id", "doc_id"], "left_anti")
-    return first.unionByName(scored(checkpointed(rest), passages, claims)).where("score > 0")
+    """`Passages.best` of all claims, asked once."""
+    return Passages(passages, claims).best(k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -13,23 +14,57 @@ from pyspark.sql.window import Window
 from strandline.operators.graph import checkpointed
 
 
+def _listed(candidates: DataFrame) -> DataFrame:
+    order = Window.partitionBy("target").orderBy(F.desc("score"), "source")
+    return candidates.select("target", "source", "score", F.row_number().over(order).alias("place"))
+
+
+def _settled(lists: DataFrame, place: DataFrame) -> DataFrame:
+    """Rounds of deferred acceptance over lists (target, source, score, place), from the places where the targets ask:
+    those that hold a source in the end, with what they hold. A source keeps the first in order of the targets that ask; a
+    refused one goes on to its next source that no earlier target holds, as those never come free for it; without one it
+    has no place any more."""
+    while True:
+        asking = lists.join(place, ["target", "place"])
+        kept = asking.groupBy("source").agg(F.min("target").alias("holder"))
+        refused = checkpointed(asking.join(kept, "source").where(F.col("holder") != F.col("target")).select("target"))
+        if refused.isEmpty():
+            return asking
+        open_ = lists.join(refused, "target").join(kept, "source", "left").where(F.col("holder").isNull() | (F.col("holder") > F.col("target")))
+        moved = place.join(refused, "target", "left_anti").unionByName(open_.select("target", "place"))
+        place = checkpointed(moved.groupBy("target").agg(F.min("place").alias("place")))
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
     """Of (target, source, score): targets in order take their best source that none before them took; of equal ones
     the smaller. Returns target, source, score.
 
-    All sources rank the targets alike, so the rounds of deferred acceptance end there: each target asks its best source
-    that has not refused it, and a source keeps the first in order of those that ask. A round is two grouped minima; no
-    task holds more than the rows of one target or one source, combined before the shuffle."""
-    asked = Window.partitionBy("target").orderBy(F.desc("score"), "source")
-    ranked = checkpointed(candidates.select("target", "source", "score", F.row_number().over(asked).alias("place")))
-    place = checkpointed(ranked.select("target").distinct().withColumn("place", F.lit(1)))
+    All sources rank the targets alike, so deferred acceptance ends there. A round is grouped minima and joins by target
+    and source; no task holds more than the rows of one of them, combined before the shuffle."""
+    lists = checkpointed(_listed(candidates))
+    return _settled(lists, lists.select("target", "place").where("place = 1")).select("target", "source", "score")
+
+
+def greedy_widened(best: Callable[[int, DataFrame | None], DataFrame], first: int = 4) -> DataFrame:
+    """`greedy` over lists that grow as they are needed. best(k, targets) gives the k best sources, of equals the smaller,
+    of some targets (target), or of all: target, source, score, the same ones first whatever k is. Only targets that a
+    whole list of k has refused ask for 2k, and go on from there, as a refusal is never taken back; so candidates grow
+    with the refusals and not with the square of the targets."""
+    lists = checkpointed(_listed(best(first, None)))
+    place = lists.select("target", "place").where("place = 1")
+    limits = checkpointed(place.select("target", F.lit(first).alias("k")))
     while True:
-        asking = ranked.join(place, ["target", "place"])
-        kept = asking.groupBy("source").agg(F.min("target").alias("target"))
-        refused = checkpointed(asking.join(kept, ["source", "target"], "left_anti").select("target", F.lit(1).alias("more")))
-        if refused.isEmpty():
-            return asking.select("target", "source", "score")
-        place = checkpointed(place.join(refused, "target", "left").select("target", (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+        held = checkpointed(_settled(lists, place))
+        waiting = checkpointed(limits.join(held, "target", "left_anti"))
+        k = waiting.agg(F.min("k")).first()[0]  # those with the shortest lists ask first; null if none waits
+        if k is None:
+            return held.select("target", "source", "score")
+        wider = waiting.where(F.col("k") == k).select("target")
+        more = checkpointed(_listed(best(2 * k, wider)).where(F.col("place") > k))
+        lists = checkpointed(lists.unionByName(more))
+        known = more.where(F.col("place") == k + 1).select("target")  # others have no more sources
+        limits = checkpointed(limits.join(wider, "target", "left_anti").unionByName(known.select("target", F.lit(2 * k).alias("k"))))
+        place = held.select("target", "place").unionByName(known.select("target", F.lit(k + 1).alias("place")))
 
 
 def matched_in_order(candidates: DataFrame, moved: float, low: float, margin: float) -> DataFrame:

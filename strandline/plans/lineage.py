@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
-from strandline.operators import changes, diffs, ranking, sequences
+from strandline.operators import changes, diffs, impact, ranking, sequences
 from strandline.operators.graph import checkpointed
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_tokens
@@ -198,18 +198,26 @@ def unified_diff_parse(t: Tables):
     return df.select("doc_id", "hunk", "new_start", "added", "removed")
 
 
-@query("greedy_assignment")
-def greedy_assignment(t: Tables):
-    """SEQ-01, SEQ-02, JON-05: each benchmark item takes its best document that no earlier item took. Of n items no
-    one needs more than n candidates, as the others take n - 1 at most."""
-    from strandline.plans.review import claim_scores
+def claim_lists(t: Tables):
+    """best(k, targets) of `greedy_widened`: the k best documents of each benchmark item, of equals the first."""
+    from strandline.plans.review import claim_parts
+
+    claims, passages = claim_parts(t)
+    index = impact.Passages(passages, claims)
+
+    def best(k, targets):
+        found = index.best(k, None if targets is None else targets.withColumnRenamed("target", "item_id"))
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+        return found.withColumn("place", place).where(F.col("place") <= k).select(F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
 
-    most = t.benchmark.count()
+    return best
 
-    scored = claim_scores(t, most).select(F.col("item_id").alias("target"), F.col("doc_id").alias("source"), "score")
-    w = Window.partitionBy("target").orderBy(F.desc("score"), "source")
-    top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
-    return sequences.greedy(top).select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
+
+@query("greedy_assignment")
+def greedy_assignment(t: Tables):
+    """SEQ-01, SEQ-02, JON-05: each benchmark item takes its best document that no earlier item took."""
+    found = sequences.greedy_widened(claim_lists(t))
+    return found.select(F.col("target").alias("item_id"), F.col("source").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 EXTENSIONS = ("py", "md", "toml", "yaml", "sh", "cpp", "js", "txt")  # of the trees made of the benchmark's items

@@ -6,6 +6,8 @@ import random
 import re
 from pathlib import PurePosixPath as P
 
+import pytest
+
 from strandline import catalog
 from strandline.functions import fixed_values as V
 from strandline.operators import basefiles, changes, sequences
@@ -192,3 +194,87 @@ def test_folded_sets(spark):
             sides.setdefault(conv, ([], []))[role != "user"].append(x)
     assert merged_rows(catalog.queries()["folded_sets"](spark, SF)) == {c: plain_merge(*x) for c, x in sides.items()}
     assert any(len(plain_merge(*x)) < len(x[0]) + len(x[1]) for x in sides.values())
+
+
+def test_similar_files_by_job(spark):
+    """Pairs of several jobs at once against all pairs, and fewer of them than there are."""
+    rng = random.Random(21)
+    words = ["alpha", "beta", "gamma", "delta", "x = 1", "\n", "Ω"]
+
+    def tree(job, n):
+        out = {}
+        for k in range(n):
+            name = rng.choice(["src/", "lib/core/", ""]) + rng.choice([f"m{k}", "model", "Util"]) + rng.choice([".py", ".py", ".md", ""])
+            out[name] = None if rng.random() < 0.05 else " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 10, 60, 300])))
+        return [(job, p, t) for p, t in out.items()]
+
+    old = [r for j in "abc" for r in tree(j, 14)]
+    new = [r for j in "abcd" for r in tree(j, 12)] + [("a", "kept/copy.py", old[0][2])]
+    schema = "job string, path string, text string"
+    a, b = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+
+    def words_of(p):
+        return set(re.sub("[^a-z0-9]+", " ", p.lower()).split())
+
+    want, every = {}, 0
+    for job, p, t in new:
+        for other, q, u in old:
+            if job == other and P(p).suffix == P(q).suffix and t is not None and u is not None:
+                every += 1
+                bonus = min(0.05 * len(words_of(p) & words_of(q)), 0.2) + 0.12 * (P(p).stem.lower() == P(q).stem.lower())
+                score = min(difflib.SequenceMatcher(None, u, t).ratio() + bonus, 1.0)
+                if score >= 0.4 - 1e-12:
+                    want[job, q, p] = score
+    got = {(r.job, r.source, r.target): r.score for r in changes.same_extension_pairs(a, b, 0.4).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(want) > 10
+    assert changes.comparable_pairs(a, b, 0.4).count() < 0.7 * every
+    one = changes.map_files(a.where("job = 'b'").drop("job"), b.where("job = 'b'").drop("job"))
+    jobs = changes.map_files(a, b).where("job = 'b'").drop("job")
+    assert sorted(map(str, one.collect())) == sorted(map(str, jobs.collect()))
+
+
+def test_lists_widen_as_needed(spark):
+    """Targets that all want the same few sources, and many that do not: the plain choice, from few candidates."""
+    rng, n, m = random.Random(2), 60, 150
+    scores = {(i, j): rng.random() for i in range(n) for j in range(m)}
+    for i in range(12):  # the same sources are best for the first targets
+        scores |= {(i, j): 2.0 + (j % 4) / 10 for j in range(20)}
+    ranked = {i: sorted(range(m), key=lambda j: (-scores[i, j], j)) for i in range(n)}
+    free, want = set(range(m)), {}
+    for i in range(n):
+        want[i] = next(j for j in ranked[i] if j in free)
+        free.discard(want[i])
+    asked = []
+
+    def best(k, targets):
+        ids = range(n) if targets is None else sorted(r.target for r in targets.collect())
+        asked.append(k * len(ids))
+        return spark.createDataFrame([(i, j, scores[i, j]) for i in ids for j in ranked[i][:k]], "target long, source long, score double")
+
+    got = {r.target: r.source for r in sequences.greedy_widened(best).collect()}
+    assert got == want and sum(asked) < 12 * n < n * m / 5
+    assert sequences.greedy_widened(lambda k, t: spark.createDataFrame([], "target long, source long, score double")).count() == 0
+
+
+def test_bounded_links_meet_few_postings(spark):
+    """Each claim's best documents by full scoring, from far fewer rows of the postings than share a token."""
+    from strandline.operators import impact
+    from strandline.plans.registry import Tables
+    from strandline.plans.review import claim_parts
+
+    claims, passages = claim_parts(Tables(spark, SF.replace("0.001", "0.01")))
+    index = impact.Passages(passages, claims)
+    best = {}
+    for r in index.best(5).collect():
+        best.setdefault(r.item_id, []).append((-r.score, -r.doc_id))
+    every = index.claims.selectExpr("item_id", "c_ts", "c_tags", "c_marker", "explode(c_ts) AS token").join(index.index.select("token", "doc_id"), "token")
+    pairs = every.select("item_id", "doc_id").distinct()
+    want = {}
+    for r in impact.scored(pairs, index.passages, index.claims).collect():
+        want.setdefault(r.item_id, []).append((-r.score, -r.doc_id))
+    for item, rows in want.items():
+        top = sorted(rows)[:5]
+        assert sorted(best[item])[:5] <= top and [s for s, _ in sorted(best[item])[:5]] == [min(a, b) for (a, _), (b, _) in zip(sorted(best[item])[:5], top)]
+    made, shared = index.looked_up_rows(5), every.count()
+    print("rows of the postings joined", made, "of", shared)
+    assert made * 3 < shared
