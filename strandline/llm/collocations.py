@@ -287,7 +287,7 @@ def _best(df: DataFrame, top: int) -> DataFrame:
     """The first `top` rows of each language with their rank. Rows are ranked in salted parts, of which eight at a time
     meet again, so no task ranks all rows of a language."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salts = -(-df.count() // 50_000)
+    salts = -(-df.count() // 10_000)
     df = df.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(max(salts, 1))))
     while True:
         place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
