@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.functions import text as T
+from strandline.functions import unicode as U
 from strandline.operators import changes, impact, manifest, ranking
 from strandline.plans.registry import Tables, query
 from strandline.plans.texts import sql_any, sql_tokens
@@ -199,14 +200,15 @@ def build_phases(t: Tables):
     return manifest.build(*manifest_trees(t))["phases"]
 
 
-@query("claim_index", f"""SELECT item_id, left(sha256('{{"claim":' || item_id || ',"text":"' || s || '"}}'), 20) AS claim_id, s AS claim_text, CAST(k AS INTEGER) AS k FROM (
+@query("claim_index", r"""SELECT item_id, left(sha256('{"claim":' || item_id || ',"text":"' || s || '"}'), 20) AS claim_id, s AS claim_text, CAST(k AS INTEGER) AS k FROM (
     SELECT item_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s, k, row_number() OVER (PARTITION BY item_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) ORDER BY k) AS r FROM (
-      SELECT item_id, unnest(ss) AS s, unnest(generate_series(0, len(ss) - 1)) AS k FROM (SELECT item_id, list_filter(string_split(text, '.'), lambda x: trim(x) <> '') AS ss FROM benchmark)))
+      SELECT item_id, unnest(ss) AS s, unnest(generate_series(0, len(ss) - 1)) AS k FROM (SELECT item_id, list_concat(['As in Fig. 3, e.g. item ' || item_id || '.'], list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1|', 'g'), '|'), lambda x: trim(x) <> '')) AS ss FROM benchmark)))
     WHERE r = 1 AND length(s) >= 12""")
 def claim_index(t: Tables):
-    """REV-02, FLT-10, HSH-09, WIN-09: claims of each item, normalised, long enough and not seen before in it."""
-    parts = F.filter(F.split("text", r"\."), lambda x: F.btrim(x) != "")
-    df = t.benchmark.select("item_id", F.posexplode(parts).alias("k", "s"))
+    """REV-02, FLT-10, HSH-09, WIN-09, STR-44: claims of each item, split where no abbreviation ends, normalised, long enough
+    and not seen before in it."""
+    text = F.concat(F.lit("As in Fig. 3, e.g. item "), "item_id", F.lit(". "), "text")
+    df = t.benchmark.select("item_id", text.alias("text")).select("item_id", F.posexplode(U.split_claims("text")).alias("k", "s"))
     df = df.withColumn("s", F.btrim(F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " ")))
     df = ranking.first_per_key(df, ["item_id", "s"], ["k"]).where(F.length("s") >= 12)
     return df.select("item_id", S.stable_digest(20, claim=F.col("item_id"), text=F.col("s")).alias("claim_id"), F.col("s").alias("claim_text"), "k")

@@ -227,13 +227,17 @@ def comparable_anchors(t: Tables):
     """WITH d AS (SELECT doc_id, string_split('@@ -1,2 +1,3 @@' || chr(10) || '+' || replace(text, chr(10), chr(10) || '-') || chr(10) || '@@ -9 +9 @@' || chr(10) || ' same' || chr(10) || '+tail', chr(10)) AS ls FROM documents),
     l AS (SELECT doc_id, unnest(ls) AS line FROM d)
     SELECT doc_id AS file_id, count(*) FILTER (WHERE starts_with(line, '+')) AS added, count(*) FILTER (WHERE starts_with(line, '-')) AS removed, count(*) FILTER (WHERE starts_with(line, '+') OR starts_with(line, '-')) AS changed, CAST(2 AS BIGINT) AS n_hunks,
-      left(sha256('{"file_id":"' || doc_id || '","new_start":1,"old_start":1}'), 24) AS first_hunk FROM l GROUP BY doc_id""",
+      left(sha256('{"file_id":"' || doc_id || '","new_start":1,"old_start":1}'), 24) || ' 1,2 1,3|' || left(sha256('{"file_id":"' || doc_id || '","new_start":9,"old_start":9}'), 24) || ' 9,1 9,1' AS hunks FROM l GROUP BY doc_id""",
 )
 def file_payloads(t: Tables):
     """DIF-05, ARR-07, AGG-02: the payload of each file: sums over its hunks, and the hunks in order with their ids."""
     text = F.concat(F.lit("@@ -1,2 +1,3 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n-")), F.lit("\n@@ -9 +9 @@\n same\n+tail"))
     df = changes.file_payloads(diffs.hunks(t.documents.select(F.col("doc_id").alias("file_id"), text.alias("diff")), "file_id", "diff"))
-    return df.select("file_id", "added", "removed", "changed", "n_hunks", F.col("hunks")[0]["hunk_id"].alias("first_hunk"))
+
+    def hunk(h):
+        return F.concat(h["hunk_id"], F.lit(" "), F.concat_ws(",", h["old_start"], h["old_count"]), F.lit(" "), F.concat_ws(",", h["new_start"], h["new_count"]))
+
+    return df.select("file_id", "added", "removed", "changed", "n_hunks", F.array_join(F.transform("hunks", hunk), "|").alias("hunks"))
 
 
 @query(

@@ -1,5 +1,5 @@
-"""Readers: file trees, archives, feeds, search payloads and fixtures as DataFrames. Fetching over a network, git and
-PDF decoding happen before loading; what they land is read here."""
+"""Readers: file trees, archives, feeds, search payloads and fixtures as DataFrames. Fetching over a network and
+git happen before loading; what they land is read here."""
 
 from __future__ import annotations
 

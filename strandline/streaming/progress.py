@@ -65,10 +65,11 @@ def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "appe
     q.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_upserts(df: DataFrame, spark_table_path: str, checkpoint: str, key: str) -> None:
-    """SNK-02: keyed merge of updates into a Parquet table, a micro-batch at a time."""
+def run_upserts(df: DataFrame, spark_table_path: str, checkpoint: str, key: str, order: str = "ts") -> None:
+    """SNK-02: keyed merge of updates into a Parquet table, a micro-batch at a time; of several updates of a key in one
+    batch the newest by `order` wins."""
     from strandline.sources.sinks import upsert
 
     q = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    q = q.foreachBatch(lambda batch, _: upsert(batch, spark_table_path, [key]))
+    q = q.foreachBatch(lambda batch, _: upsert(batch, spark_table_path, [key], order))
     q.trigger(availableNow=True).start().awaitTermination()
