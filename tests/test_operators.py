@@ -178,7 +178,7 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.user_id, r.event_id) for r in ranking.change_points(ordered, "user_id", ["ts", "event_id"], ["event_type"]).collect()}
     assert n and got == want
     table = str(tmp_path / "latest")
-    progress.run_upserts(progress.latest(stream).select("user_id", "event_type"), table, str(tmp_path / "cp2"), "user_id")
+    progress.run_upserts(progress.latest(stream).select("user_id", "event_type", "ts"), table, str(tmp_path / "cp2"), "user_id", "ts")
     best = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("e"))
     assert {(r.user_id, r.event_type) for r in sinks.read(spark, table).collect()} == {(r.user_id, r.e) for r in best.collect()}
     assert os.path.isdir(table)
