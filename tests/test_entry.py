@@ -9,7 +9,7 @@ ROOT = pathlib.Path(entry.__file__).parent
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.count() > 0 and df.columns[0] == "doc_id"
+    assert df.count() > 0 and df.columns[0] == "file_id"
 
 
 def test_registry():

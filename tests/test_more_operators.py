@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +57,20 @@ def test_clusters(spark):
 
 
 def test_ranges(spark):
-    hunks = spark.createDataFrame([("p", "h1", 5, 3), ("p", "h2", 50, 1)], "path string, hunk_id string, start int, length int")
-    ranges = spark.createDataFrame([("p", "D1", 7, 9), ("p", "D2", 20, 30)], "path string, cluster string, a int, b int")
-    assert {r.hunk_id: r.clusters for r in changes.owners_of_ranges(hunks, ranges).collect()} == {"h1": ["D1"], "h2": ["D1", "D2"]}
+    """Clusters of hunks: those of overlapping anchors, over bins of several sizes, or else the file's."""
+    rng = random.Random(6)
+    hunks = [(rng.choice("pqr"), f"h{k}", rng.choice([0, -1, rng.randint(1, 300)]), rng.choice([0, 1, 5, 90])) for k in range(60)]
+    anchors = [(rng.choice("pq"), rng.choice("ABC"), a, a + rng.choice([0, 3, 150, -2])) for a in (rng.randint(0, 350) for _ in range(14))]
+    members = [("p", "A"), ("p", "D"), ("q", "B"), ("s", "C"), ("p", "D")]
+    want = set()
+    for path, hunk, start, length in hunks:
+        end = start + max(length - 1, 0)
+        hit = {c for p, c, a, b in anchors if p == path and start > 0 and a > 0 and start <= b and a <= end and a <= b}
+        want |= {(hunk, c) for c in hit or {c for p, c in members if p == path}}
+    rows = [spark.createDataFrame(*x) for x in ((hunks, "path string, hunk_id string, start int, length int"), (anchors, "path string, cluster string, start_line int, end_line int"), (members, "path string, cluster string"))]
+    for lines in (1, 7, 64):
+        assert {(r.hunk_id, r.cluster) for r in changes.owners_of_ranges(*rows, bin_lines=lines).collect()} == want
+    assert len(want) > 30
 
 
 def test_reviews(spark):
