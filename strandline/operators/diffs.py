@@ -91,6 +91,7 @@ def code_anchors(pairs: DataFrame, most: int = 3, context: int = 3, most_lines:
     window is blank."""
     from strandline.functions.scores import patch_id
     from strandline.functions.text import strip
+    from strandline.operators.graph import checkpointed
 
     def window(side, start, end):
         first = F.greatest(start - context, F.lit(0))
@@ -101,7 +102,7 @@ def code_anchors(pairs: DataFrame, most: int = 3, context: int = 3, most_lines:
         return F.nullif(strip(F.array_join(x, "\n")), F.lit(""))
 
     df = pairs.select("pair_id", "path", "base_path", lines(F.col("old")).alias("a"), lines(F.col("new")).alias("b"))
-    df = df.withColumn("blocks", changed_blocks("a", "b"))
+    df = checkpointed(df.withColumn("blocks", changed_blocks("a", "b")))  # read twice; the matching is the costly part
     block = df.select("*", F.posexplode("blocks").alias("n", "o"))
     at, now = window(F.col("b"), F.col("o.j1"), F.col("o.j2"))
     from_, was = window(F.col("a"), F.col("o.i1"), F.col("o.i2"))
