@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import one_row, planes, text_chunks, unplanes, written
+from strandline.llm.common import one_row, parts, planes, text_chunks, unplanes, written
 from strandline.session import ship
 
 BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -152,6 +152,16 @@ class Aligner:
             out["groups"] = [b"".join(names[i:j]) for i, j in zip([0, *ends], ends)]
         return out
 
+    def align_slices(self, a_ids: np.ndarray, n_a: np.ndarray, b_ids: np.ndarray, n_b: np.ndarray, named: bool = False, size: int = 100_000) -> Iterator[dict]:
+        """`align` for some units after the other, of about `size` tokens or one longer unit, so that what it needs for a
+        moment does not grow with the batch."""
+        ends, a_end, b_end = np.cumsum(n_a + n_b), np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        i = 0
+        while i < len(n_a):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+            yield self.align(a_ids[a_end[i] : a_end[j]], n_a[i:j], b_ids[b_end[i] : b_end[j]], n_b[i:j], named)
+            i = j
+
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[int]]]:
         """The units of each text, as numbers in order and how many; and the A and B ids of the distinct units. Texts
         that a tokenizer does not spell have none."""
@@ -192,6 +202,9 @@ def _wide(b: bytes) -> np.ndarray:
     return unplanes(b[1:], np.uint16 if b[0] == 2 else np.uint32).astype(np.int64)
 
 
+#: Packed rows, of about 2 MB each, that a partition gets on average when they are scored.
+SHARDS_TOGETHER = 4
+
 PACKED = "shard long, doc_id array<string>, units array<int>, codes binary, a binary, n_a binary, b binary, n_b binary, pairs array<long>, pair_docs array<int>"
 _PACKED = pa.schema(
     [("shard", pa.int64()), ("doc_id", pa.list_(pa.string())), ("units", pa.list_(pa.int32()))]
@@ -218,9 +231,10 @@ def encode_batches(a, b, size: int):
         for k, (ids, texts) in enumerate(text_chunks(batches, size)):
             codes, counts, a_lists, b_lists = aligner.batch([t or b"" for t in texts])
             (a_ids, n_a), (b_ids, n_b) = _flat(a_lists), _flat(b_lists)
-            x = aligner.align(a_ids, n_a, b_ids, n_b)
-            pairs, link_pair = np.unique(x["links"], return_inverse=True)
-            docs = _pair_docs(codes, counts, x["n_links"], link_pair, len(pairs)) if len(pairs) else pairs
+            found = [(x["links"], x["n_links"]) for x in aligner.align_slices(a_ids, n_a, b_ids, n_b)] or [(a_ids, n_a)]
+            links, n_links = map(np.concatenate, zip(*found))
+            pairs, link_pair = np.unique(links, return_inverse=True)
+            docs = _pair_docs(codes, counts, n_links, link_pair, len(pairs)) if len(pairs) else pairs
             packed = {k: _narrow(v) for k, v in (("codes", codes), ("a", a_ids), ("n_a", n_a), ("b", b_ids), ("n_b", n_b))}
             yield one_row(_PACKED, packed | {"shard": part << 32 | k, "doc_id": ids, "units": counts.astype(np.int32), "pairs": pairs, "pair_docs": docs.astype(np.int32)})
 
@@ -241,21 +255,22 @@ def score_batches(a, b):
             row = {c: packed.column(c)[0] for c in packed.schema.names}
             sizes = row["units"].values.to_numpy().astype(np.int64)
             codes, a_ids, n_a, b_ids, n_b = (_wide(row[c].as_py()) for c in ("codes", "a", "n_a", "b", "n_b"))
-            x = aligner.align(a_ids, n_a, b_ids, n_b, named=True)
             pairs = row["pairs"].values.to_numpy()
             count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
             if len(pairs):
                 at = row["told"].values.field("i").to_numpy()
                 count[at] = row["told"].values.field("docs").to_numpy()
                 best[at] = row["told"].values.field("best").to_numpy(zero_copy_only=False)
-            pair = np.searchsorted(pairs, x["links"])
-            stops = np.cumsum(x["n_links"])
-
-            def total(of_pair):
-                sums = np.r_[0, np.cumsum(of_pair[pair])]
-                return sums[stops] - sums[stops - x["n_links"]]
-
-            unit = {"n_a": n_a, "n_b": n_b, "n_groups": x["n_groups"], "n_links": x["n_links"], "n_best": total(best), "count_sum": total(count)}
+            unit, names = {c: [] for c in ("n_groups", "n_links", "n_best", "count_sum")}, []
+            for x in aligner.align_slices(a_ids, n_a, b_ids, n_b, named=True):
+                pair, stops = np.searchsorted(pairs, x["links"]), np.cumsum(x["n_links"])
+                for c, of_pair in (("n_best", best), ("count_sum", count)):
+                    sums = np.r_[0, np.cumsum(of_pair[pair])]
+                    unit[c].append(sums[stops] - sums[stops - x["n_links"]])
+                unit["n_groups"].append(x["n_groups"])
+                unit["n_links"].append(x["n_links"])
+                names += x["groups"]
+            unit = {"n_a": n_a, "n_b": n_b} | {c: np.concatenate(v) if v else n_a for c, v in unit.items()}
             ends, listed = np.cumsum(sizes), codes.tolist()
             cols = []
             for c in _SCORED.names[1:-1]:
@@ -264,14 +279,14 @@ def score_batches(a, b):
             for lo in range(0, len(sizes), 256):  # a few texts' groups at a time
                 hi = min(lo + 256, len(sizes))
                 span = zip(sizes[lo:hi].tolist(), ends[lo:hi].tolist())
-                groups = [b"".join(map(x["groups"].__getitem__, listed[e - n : e]))[:-1].decode() for n, e in span]
+                groups = [b"".join(map(names.__getitem__, listed[e - n : e]))[:-1].decode() for n, e in span]
                 cells = [row["doc_id"].values.slice(lo, hi - lo), *(c.slice(lo, hi - lo) for c in cols), pa.array(groups, pa.string())]
                 yield pa.RecordBatch.from_arrays(cells, schema=_SCORED)
 
     return run
 
 
-def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 2_000_000) -> DataFrame:
+def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, batch_bytes: int = 1_500_000) -> DataFrame:
     """For each row of (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups.
 
     A encodes a space and the text by the byte-level BPE, B the text by the SentencePiece model, both whole and without
@@ -296,7 +311,9 @@ def align_tokens(docs: DataFrame, a_model: str = BPE, b_model: str = PIECES, bat
     most = docs_of.groupBy("a").agg(F.max("docs").alias("most"))
     sums = docs_of.join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
     told = held.join(sums, "pair").groupBy("shard").agg(F.collect_list(F.struct("i", "docs", "best")).alias("told"))
-    out = packed.drop("pair_docs").join(told, "shard", "left").mapInArrow(
+    # Spark hands Python up to 64 MB of a partition at once, so a partition holds few packed rows, however many there are.
+    n = max(parts(spark), -(-packed.count() // SHARDS_TOGETHER))
+    out = packed.drop("pair_docs").repartition(n, "shard").join(told.repartition(n, "shard"), "shard", "left").mapInArrow(
         score_batches(*models), "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

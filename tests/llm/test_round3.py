@@ -243,6 +243,24 @@ def test_alignment(spark, aligner, size):
     assert collections.Counter(map(tuple, got.collect())) == plain_alignment(aligner, rows)
 
 
+def test_alignment_scores_few_shards_at_once(spark, aligner):
+    rows = [(k, f"{k} antidisestablishment of it's " * 3) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = alignment.align_tokens(df, batch_bytes=60)
+    assert collections.Counter(map(tuple, got.collect())) == plain_alignment(aligner, rows)
+    assert got.rdd.getNumPartitions() >= 120 // alignment.SHARDS_TOGETHER
+
+
+def test_alignment_of_unit_slices(aligner):
+    texts = [" the antidisestablishment".encode(), " naïveté".encode(), "".encode(), " of 日本 it's".encode()]
+    (a_ids, n_a), (b_ids, n_b) = map(alignment._flat, aligner.encode(texts)[:2])
+    whole = aligner.align(a_ids, n_a, b_ids, n_b, named=True)
+    slices = list(aligner.align_slices(a_ids, n_a, b_ids, n_b, named=True, size=3))
+    assert len(slices) > 1 and [g for x in slices for g in x["groups"]] == whole["groups"]
+    for c in ("links", "n_groups", "n_links"):
+        assert [v for x in slices for v in x[c].tolist()] == whole[c].tolist()
+
+
 def test_alignment_edges(spark, aligner):
     got = alignment.align_tokens(edge.table(spark)).collect()
     short = [(r[0], r[1]) for r in edge.ROWS if r[0] != 5]
