@@ -130,6 +130,26 @@ def test_base_matches(spark):
     assert len(set(want.values())) > 10 and None in want.values()
 
 
+@pytest.mark.parametrize("rare", [0, 2, 16])
+def test_base_matches_by_classes_and_look_up(spark, rare):
+    rng, words = random.Random(rare), ["model", "loss", "train", "io"]
+    base = {f"{rng.choice(words)}/{rng.choice(words)}{k}.py": f"# {rng.choice(words)} {rng.choice(words)} net{k % 9}" for k in range(60)}
+    changed = [(f"{rng.choice(words)}/{rng.choice(words)}{k}.py", f"def net{k % 12}(): pass", rng.sample(words, 2)) for k in range(100, 200)]
+    changed += [(f"x/{P(p).name}", "def f(): pass", ["io"]) for p in list(base)[:20]]
+    want = {p: plain_base(p, text, tags, base) for p, text, tags in changed}
+    new = spark.createDataFrame([("j", *r) for r in changed], "job string, path string, text string, tags array<string>")
+    old = spark.createDataFrame([("j", *r) for r in base.items()], "job string, path string, text string")
+    assert {r.new_path: r.base_path for r in basefiles.base_matches(new, old, rare=rare).collect()} == want and len(set(want.values())) > 10
+
+
+def test_base_matches_of_equal_paths(spark):
+    """Two texts of one path are two files: their points don't add up, and their path is a file's own once."""
+    old = [("j", "a/m.py", f"# loss {k}") for k in range(5)] + [("j", "b/n.py", "# loss adapter")]
+    new = [("j", "c/new.py", "", ["loss", "adapter"]), ("j", "a/m.py", "", [])]
+    got = basefiles.base_matches(spark.createDataFrame(new, "job string, path string, text string, tags array<string>"), spark.createDataFrame(old, "job string, path string, text string"))
+    assert sorted((r.new_path, r.base_path) for r in got.collect()) == [("a/m.py", "a/m.py"), ("c/new.py", "b/n.py")]
+
+
 def test_contained_words_in_parts(spark):
     texts = spark.createDataFrame([("a", "p", "one two three"), ("b", "q", "one"), ("b", "r", None)], "job string, path string, text string")
     words = spark.createDataFrame([("a", w) for w in ("one", "wo t", "four", "three", "e", "")] + [("b", "two"), ("b", "one")], "job string, word string")
