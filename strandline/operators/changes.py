@@ -125,12 +125,16 @@ def link_reasons(changed: DataFrame) -> DataFrame:
     """JON-07: pairs of changed files (id, change_type, tags, imports, label, dir) of one change type with the reasons
     that link them; each reason is a join key."""
     def keys(kind, col):
-        return changed.select("id", "change_type", F.explode(col).alias("v")).select("id", "change_type", F.concat(F.lit(f"{kind}:"), "v").alias("reason"))
+        return F.transform(F.filter(col, lambda v: v.isNotNull()), lambda v: F.concat(F.lit(f"{kind}:"), v))
 
-    every = keys("tag", F.col("tags")).unionByName(keys("import", F.col("imports"))).unionByName(keys("label", F.array("label"))).unionByName(keys("dir", F.array("dir")))
-    a, b = every.withColumnRenamed("id", "a"), every.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["change_type", "reason"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    none = F.array().cast("array<string>")
+    kinds = ("tag", F.coalesce("tags", none)), ("import", F.coalesce("imports", none)), ("label", F.array("label")), ("dir", F.array("dir"))
+    every = changed.select("id", "change_type", F.array_sort(F.array_distinct(F.concat(*(keys(*k) for k in kinds)))).alias("reasons"))
+    side = every.select("id", "change_type", "reasons", F.explode("reasons").alias("reason"))
+    a, b = (side.select(F.col("id").alias(x), F.col("reasons").alias(f"of_{x}"), "change_type", "reason") for x in "ab")
+    pairs = a.join(b, ["change_type", "reason"]).where("a < b").withColumn("reasons", F.array_intersect("of_a", "of_b"))
+    # A pair is listed once, at the first reason that both have, so no pair moves or waits for another.
+    return pairs.where(F.col("reason") == F.element_at("reasons", 1)).select("a", "b", "reasons")
 
 
 def clusters(changed: DataFrame) -> DataFrame:

@@ -285,3 +285,8 @@ def test_artifacts(spark, tmp_path):
     assert [(r.cache_key, r.file_id, r.n) for r in got] == [("k1", "f1", 3)]
     paths = spark.createDataFrame([("a.py",), ("b.rs",)], "path string")
     assert [r.path for r in readers.primary_language(paths).collect()] == ["a.py"]
+
+
+def test_pairs_are_listed_without_a_shuffle_of_pairs(spark):
+    plan = catalog.queries()["theta_self_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and "hashpartitioning(change_type#" in plan
