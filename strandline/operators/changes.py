@@ -137,6 +137,27 @@ def link_reasons(changed: DataFrame) -> DataFrame:
     return pairs.where(F.col("reason") == F.element_at("reasons", 1)).select("a", "b", "reasons")
 
 
+def sharing_pairs(tagged: DataFrame, block: int = 1024) -> DataFrame:
+    """JON-14: (a, b, shared): the pairs a < b of rows (id, tags) that share a tag, and how many tags they share.
+
+    Rows with the same tags are a class; classes meet by tags, and the pairs of two classes are listed from blocks of up to
+    `block` ids, so a task holds two blocks and no pair is shuffled."""
+    sets = tagged.select("id", F.explode("tags").alias("tag")).where("tag is not null").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    sizes = sets.groupBy("tags").agg(F.count("*").alias("n"))
+    dealt = sets.join(sizes, "tags").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
+    blocks = checkpointed(dealt.groupBy("tags", "block").agg(F.collect_list("id").alias("ids")))
+    met = blocks.select("tags").distinct()
+    met = met.select("tags", F.explode("tags").alias("tag"))
+    classes = met.withColumnRenamed("tags", "a_tags").join(met.withColumnRenamed("tags", "b_tags"), "tag")
+    classes = classes.where("a_tags <= b_tags").groupBy("a_tags", "b_tags").agg(F.count("*").alias("shared"))
+    a, b = (blocks.select(F.col("tags").alias(f"{x}_tags"), F.col("block").alias(f"{x}_block"), F.col("ids").alias(f"{x}_ids")) for x in "ab")
+    places = a.drop("a_ids").join(classes, "a_tags").join(b.drop("b_ids"), "b_tags").where("a_tags < b_tags OR a_block <= b_block")
+    places = places.join(a, ["a_tags", "a_block"]).join(b, ["b_tags", "b_block"])
+    places = places.repartition("a_tags", "a_block", "b_tags", "b_block").withColumn("one", (F.col("a_tags") == F.col("b_tags")) & (F.col("a_block") == F.col("b_block")))
+    pairs = places.select("one", "shared", "b_ids", F.explode("a_ids").alias("x")).select("one", "shared", "x", F.explode("b_ids").alias("y"))
+    return pairs.where("x < y OR NOT one").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
 def clusters(changed: DataFrame) -> DataFrame:
     """GRF-01, GRF-02, AGG-06: clusters of linked files. Files are linked through nodes that stand for a reason, so a
     reason that many files share makes one edge for each."""

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strandline.functions import fixed_values as V
 from strandline.functions import scores as S
 from strandline.operators import folds, ranking
-from strandline.operators.changes import link_reasons
+from strandline.operators.changes import link_reasons, sharing_pairs
 from strandline.operators.graph import components
 from strandline.plans.registry import Tables, query
 
@@ -147,11 +147,9 @@ def title_merge(t: Tables):
     SELECT a.id AS a, b.id AS b, count(*) AS shared FROM t a JOIN t b ON a.tag = b.tag AND a.id < b.id GROUP BY a.id, b.id""",
 )
 def related_clusters(t: Tables):
-    """JON-14, GRF-03: suppliers that share a tag, by the tag as join key."""
+    """JON-14, GRF-03: suppliers that share a tag, and how many they share."""
     tags = F.array(F.concat(F.lit("n"), F.col("s_nationkey")), F.concat(F.lit("b"), F.col("s_suppkey") % 11))
-    tagged = t.supplier.select(F.col("s_suppkey").alias("id"), F.explode(tags).alias("tag")).distinct()
-    a, b = tagged.withColumnRenamed("id", "a"), tagged.withColumnRenamed("id", "b")
-    return a.join(b, "tag").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return sharing_pairs(t.supplier.select(F.col("s_suppkey").alias("id"), tags.alias("tags")))
 
 
 @query("bucket_counts", """SELECT lang, count(*) FILTER (WHERE n_chars < 500) AS short, count(*) FILTER (WHERE n_chars BETWEEN 500 AND 3000) AS medium, count(*) FILTER (WHERE n_chars > 3000) AS long, CAST(sum(n_chars) AS BIGINT) // 1024 AS kb FROM documents GROUP BY lang""")

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.functions import unicode as U
 from strandline.operators import changes, papers, reviews
+from tests.conftest import SF
 
 
 def test_unicode(spark):
@@ -290,3 +292,15 @@ def test_artifacts(spark, tmp_path):
 def test_pairs_are_listed_without_a_shuffle_of_pairs(spark):
     plan = catalog.queries()["theta_self_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" not in plan and "hashpartitioning(change_type#" in plan
+
+
+def test_sharing_pairs(spark):
+    rows = [(k, [f"n{k % 3}", f"b{k % 4}", *(["n0"] if k % 5 else [None])]) for k in range(60)] + [(99, []), (98, None)]
+    sets = {k: {x for x in tags or [] if x} for k, tags in rows}
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    df = spark.createDataFrame(rows, "id long, tags array<string>")
+    for block in (2, 1024):
+        got = [tuple(r) for r in changes.sharing_pairs(df, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = catalog.queries()["related_clusters"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan
