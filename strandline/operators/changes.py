@@ -121,20 +121,50 @@ def fuzzy_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.select("new_path", F.col("a.old_path").alias("old_path"), F.col("a.sim").alias("best"), "second", ranking.match_type(F.col("a.sim"), F.col("second"), 0.55, 0.40, 0.08).alias("match_type"))
 
 
-def link_reasons(changed: DataFrame) -> DataFrame:
+def link_reasons(changed: DataFrame, block: int = 1024) -> DataFrame:
     """JON-07: pairs of changed files (id, change_type, tags, imports, label, dir) of one change type with the reasons
-    that link them; each reason is a join key."""
+    that link them; each reason is a join key. Rows of one id are one file.
+
+    The files that share a type and a reason are dealt into blocks of about `block`, and pairs of blocks meet, so a task
+    holds one block of a key at a time. A pair is listed once, at the first type and reason that both files have, so no
+    pair moves or waits for another. The joins are never broadcast: the size of the input says little about the reasons'."""
     def keys(kind, col):
         return F.transform(F.filter(col, lambda v: v.isNotNull()), lambda v: F.concat(F.lit(f"{kind}:"), v))
 
     none = F.array().cast("array<string>")
     kinds = ("tag", F.coalesce("tags", none)), ("import", F.coalesce("imports", none)), ("label", F.array("label")), ("dir", F.array("dir"))
-    every = changed.select("id", "change_type", F.array_sort(F.array_distinct(F.concat(*(keys(*k) for k in kinds)))).alias("reasons"))
-    side = every.select("id", "change_type", "reasons", F.explode("reasons").alias("reason"))
-    a, b = (side.select(F.col("id").alias(x), F.col("reasons").alias(f"of_{x}"), "change_type", "reason") for x in "ab")
-    pairs = a.join(b, ["change_type", "reason"]).where("a < b").withColumn("reasons", F.array_intersect("of_a", "of_b"))
-    # A pair is listed once, at the first reason that both have, so no pair moves or waits for another.
-    return pairs.where(F.col("reason") == F.element_at("reasons", 1)).select("a", "b", "reasons")
+    every = changed.where("id is not null AND change_type is not null").select("id", "change_type", F.concat(*(keys(*k) for k in kinds)).alias("reasons"))
+    # Only ids of several types need all their types with them (links), to find the first one that two files share.
+    of_type = F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons")
+    every = every.repartition("id").groupBy("id", "change_type").agg(of_type)
+    typed = F.transform("reasons", lambda r: F.struct("change_type", r.alias("reason")))
+    of_id = Window.partitionBy("id")
+    links = F.when(F.count("*").over(of_id) > 1, F.array_sort(F.flatten(F.collect_list(typed).over(of_id))))
+    side = every.withColumn("links", links).select("id", "change_type", "reasons", "links", F.posexplode("reasons").alias("n", "reason"))
+    earlier, later = F.slice("reasons", 1, F.col("n")), F.slice("reasons", F.col("n") + 2, F.size("reasons"))
+    side = side.select("id", "change_type", "reason", "links", earlier.alias("earlier"), later.alias("later"))
+
+    def bits(col):
+        return F.aggregate(col, F.lit(0).cast("long"), lambda x, r: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(r), F.lit(64)))))
+
+    # Lists without a common bit have no common reason; only the others are compared.
+    side = side.withColumn("earlier_bits", bits("earlier")).withColumn("later_bits", bits("later"))
+    key = ["change_type", "reason"]
+    blocks = side.groupBy(key).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    side = side.join(blocks.hint("merge"), key).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+
+    def dealt(x, own, other):
+        cells = [F.col(c).alias(f"{c}_{x}") for c in ("links", "earlier", "later", "earlier_bits", "later_bits")]
+        return side.select(*key, F.col("id").alias(x), *cells, F.col("own").alias(own), every_block.alias(other))
+
+    pairs = dealt("a", "block_a", "block_b").join(dealt("b", "block_b", "block_a").hint("merge"), [*key, "block_a", "block_b"]).where("a < b")
+    several = F.col("links_a").isNotNull() & F.col("links_b").isNotNull()
+    shared = F.array_intersect("links_a", "links_b")
+    apart, alone = (F.col(f"{x}_bits_a").bitwiseAND(F.col(f"{x}_bits_b")) == 0 for x in ("earlier", "later"))
+    first = F.when(several, F.element_at(shared, 1) == F.struct(*key)).otherwise(apart | ~F.arrays_overlap("earlier_a", "earlier_b"))
+    both = F.when(alone, F.array("reason")).otherwise(F.concat(F.array("reason"), F.array_intersect("later_a", "later_b")))
+    return pairs.where(first).select("a", "b", F.when(several, F.array_sort(F.array_distinct(shared["reason"]))).otherwise(both).alias("reasons"))
 
 
 def sharing_pairs(tagged: DataFrame, block: int = 1024) -> DataFrame:

@@ -294,6 +294,27 @@ def test_pairs_are_listed_without_a_shuffle_of_pairs(spark):
     assert "hashpartitioning(a#" not in plan
 
 
+def test_links_are_never_broadcast(spark):
+    plan = catalog.queries()["theta_self_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_links_of_blocks_and_of_repeated_ids(spark):
+    rows = [(k, f"t{k % 2}", [f"n{k % 3}", None, f"n{k % 4}"], [f"m{k % 5}"] if k % 7 else None, f"l{k % 6}" if k % 5 else None, f"d{k % 2}") for k in range(40)]
+    # Ids 3 and 8 have two rows of one type, and both have rows of the types of the others.
+    rows += [(3, "t1", ["n9"], [], "l9", "d9"), (8, "t0", ["n9", "n9"], ["m9"], "l8", "d1"), (3, "t0", ["n0"], ["m9"], "l8", "d0"), (8, "t1", [], ["m0"], "l9", "d9")]
+    rows += [(None, "t0", ["n0"], [], "l1", "d0"), (50, None, ["n0"], [], "l1", "d0"), (51, "t0", None, None, None, None)]
+    has = {}
+    for k, kind, *lists, label, folder in rows:
+        found = [f"{n}:{v}" for n, vs in zip(("tag", "import", "label", "dir"), (*lists, [label], [folder])) for v in vs or [] if v]
+        has.setdefault(k, set()).update((kind, r) for r in found if k is not None and kind)
+    want = {(a, b): sorted({r for _, r in has[a] & has[b]}) for a in has for b in has if a is not None and b is not None and a < b and has[a] & has[b]}
+    df = spark.createDataFrame(rows, "id long, change_type string, tags array<string>, imports array<string>, label string, dir string")
+    for block in (3, 1024):
+        got = [((r.a, r.b), r.reasons) for r in changes.link_reasons(df, block).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_sharing_pairs(spark):
     rows = [(k, [f"n{k % 3}", f"b{k % 4}", *(["n0"] if k % 5 else [None])]) for k in range(60)] + [(99, []), (98, None)]
     sets = {k: {x for x in tags or [] if x} for k, tags in rows}
